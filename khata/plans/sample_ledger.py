@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from khata.lineage import cut
 from khata.operators.calendar import bank_calendar
+from khata.operators.movements import weekly_windows
 from khata.operators.postings import project
+from khata.plans.books import Books
 from khata.schemas import COVERS, EVENTS, conform, event_row
 
 # Days shut every year in the sample ledger.
@@ -314,6 +316,11 @@ class SampleLedger:
             F.explode(F.create_map(*pairs)).alias("method", "rate"),
         )
 
+    @cached_property
+    def books(self) -> Books:
+        """The ledger with its weekly windows."""
+        return Books(self.events, self.calendar, self.contracts, cut(weekly_windows(self.events), "windows"))
+
 
 _known: dict[tuple[str, str], SampleLedger] = {}
 
