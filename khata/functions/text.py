@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from khata.functions.money import paise_from_rupees
 
@@ -64,7 +65,7 @@ def looks_like_instruction(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike("(?iu)(" + "|".join(INSTRUCTION_SHAPES) + ")")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     # NFKC has no built-in expression
     for batch in batches:

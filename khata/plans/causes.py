@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from khata.operators.linkage import no_unplaced_credit, payouts_not_linked
+from khata.operators.linkage import link_credits, no_unplaced_credit, payouts_not_linked
 from khata.operators.movements import WINDOW, in_windows
 from khata.plans.books import Books
 
@@ -181,10 +181,35 @@ def missing_payouts(books: Books, links: DataFrame | None = None, keys: list[str
 
 def never_arrived_payouts(books: Books) -> DataFrame:
     """Missing payouts with the windows that should report them."""
-    found = in_windows(missing_payouts(books), books.windows)
+    if "known_by" in books.windows.columns:
+        found = _missing_as_known(books)
+    else:
+        found = in_windows(missing_payouts(books), books.windows)
     return found.filter(F.col("occurred_at") <= F.date_sub("window_end", STALE_DAYS))
 
 
+# How far before a window links are worked out again when facts are cut by what was known.
+AS_KNOWN_DAYS = 21
+
+
+def _missing_as_known(books: Books) -> DataFrame:
+    """Missing payouts per window from what was recorded when it was signed.
+
+    Linking is local in time, so each window links the payouts and credits from three
+    weeks before it up to the day it was signed.
+    """
+    reach = books.windows.select(
+        *WINDOW, F.date_sub("window_start", AS_KNOWN_DAYS).alias("window_start"),
+        F.greatest("window_end", F.coalesce("known_by", "window_end")).alias("window_end"), "known_by",
+    )
+    drop = ["window_start", "window_end", "known_by"]
+    paid = in_windows(books.payouts, reach).drop(*drop)
+    credits = in_windows(books.credits, reach).drop(*drop)
+    links = link_credits(credits, paid, WINDOW)
+    missing = missing_payouts(books, links, WINDOW, paid, credits)
+    return missing.join(books.windows, WINDOW).filter("occurred_at BETWEEN window_start AND window_end")
+
+
 def never_arrived(books: Books) -> DataFrame:
     return (
         never_arrived_payouts(books)

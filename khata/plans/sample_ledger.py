@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from khata.lineage import cut
 from khata.operators.calendar import bank_calendar
-from khata.operators.movements import weekly_windows
+from khata.operators.movements import weekly_windows, whole_period
 from khata.operators.postings import project
 from khata.plans.books import Books
 from khata.schemas import COVERS, EVENTS, conform, event_row
@@ -322,6 +322,73 @@ class SampleLedger:
         return Books(self.events, self.calendar, self.contracts, cut(weekly_windows(self.events), "windows"))
 
 
+    @cached_property
+    def whole(self) -> Books:
+        """The ledger with one window per merchant over its whole period."""
+        return self.books.over(cut(whole_period(self.events), "period"))
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        """What was planted, labelled by cause: (merchant_id, occurred_at, recorded_at, cause, amount_paise)."""
+        amount, zero = F.col("amount_paise"), F.lit(0).cast("bigint")
+        fee = F.coalesce(F.col("fee_paise"), zero)
+        contract = F.call_function("div", amount * 400 + 10000, F.lit(20000))
+
+        def label(cause: str, value: Column) -> Column:
+            return F.struct(F.lit(cause).alias("cause"), value.cast("bigint").alias("amount_paise"))
+
+        by_type = {
+            "payment_captured": [
+                label("normal_fee", contract), label("fee_rate_increase", fee - contract),
+                label("gst_on_fee", F.col("tax_paise")), label("tds_194o", F.col("tds_paise")),
+            ],
+            "refund_issued": [label("refunds_issued", amount)],
+            "dispute_opened": [label("dispute_reserve_held", amount)],
+            "dispute_resolved": [
+                label("dispute_reserve_held", -amount),
+                label("chargeback_lost", F.when(F.col("won"), zero).otherwise(amount)),
+            ],
+            "risk_hold_applied": [label("risk_hold", amount)],
+            "risk_hold_released": [label("risk_hold", -amount)],
+            "route_transfer": [label("route_split", amount)],
+            "gateway_adjustment": [label("gateway_adjustment", amount)],
+            "bank_charge_applied": [label("bank_charges", amount)],
+            "bank_debit": [label("other_bank_outflow", amount)],
+            "settlement_executed": [label("instant_settlement_fee", fee)],
+        }
+        rows = None
+        for kind, labels in by_type.items():
+            rows = F.when(F.col("type") == kind, F.array(*labels)) if rows is None else rows.when(
+                F.col("type") == kind, F.array(*labels))
+        planted = self.events.select("merchant_id", "occurred_at", "recorded_at", F.explode(rows).alias("t")).select(
+            "merchant_id", "occurred_at", "recorded_at", "t.cause", "t.amount_paise"
+        )
+        lost = self.payouts.filter("suffix = '' AND n % 37 = 0").select(
+            "merchant_id", F.col("day").alias("occurred_at"), F.col("day").alias("recorded_at"),
+            F.lit("settlement_never_arrived").alias("cause"), F.col("net").alias("amount_paise"),
+        )
+        return planted.unionByName(lost).filter("amount_paise <> 0")
+
+    @cached_property
+    def timing(self) -> DataFrame:
+        """When each capture was due and when it really settled, less what was split off it."""
+        days = self.calendar.select(F.col("d").alias("captured_on"), "t2_naive", "t2_actual")
+        split = F.when(F.col("k") % 60 == 17, F.call_function("div", F.col("gross"), F.lit(5))).otherwise(0)
+        net = F.col("gross") - F.col("fee") - F.col("tax") - F.col("tds") - split
+        return (
+            self.facts.filter("captured")
+            .select("merchant_id", F.col("d").alias("captured_on"), net.alias("net_paise"))
+            .join(F.broadcast(days), "captured_on")
+        )
+
+    @cached_property
+    def truth_links(self) -> DataFrame:
+        """The payout each bank credit really came from."""
+        landed = (F.col("n") % 37 != 0) | (F.col("suffix") == "b")
+        name = F.concat(F.lit("btx_"), F.col("merchant_id"), F.lit("_"), F.col("n").cast("string"), F.col("suffix"))
+        return self.payouts.filter(landed).select("merchant_id", name.alias("bank_txn_id"), "settlement_id")
+
+
 _known: dict[tuple[str, str], SampleLedger] = {}
 
 

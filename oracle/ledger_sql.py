@@ -206,3 +206,286 @@ def query(body: str, **local: str) -> str:
         return body.strip()
     parts = ",\n".join(f"{name} AS MATERIALIZED ({known[name].strip()})" for name in order)
     return f"WITH {parts}\n{body.strip()}"
+
+
+# Shared steps above the ledger itself.
+CTES["moves"] = """
+SELECT p.merchant_id, w.window_id, account, event_type, CAST(sum(amount_paise) AS BIGINT) AS amount_paise, count(*) AS n
+FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id AND p.occurred_at BETWEEN window_start AND window_end GROUP BY ALL"""
+CTES["priced"] = """
+SELECT e.merchant_id, entity_id AS payment_id, occurred_at, recorded_at, e.method, amount_paise, fee_paise, tax_paise, tds_paise,
+       coalesce(CAST(round(CAST(amount_paise AS DECIMAL(38,6)) * rate / 100, 0) AS BIGINT), 0) AS contract_paise
+FROM ev e LEFT JOIN contracts k ON k.merchant_id = e.merchant_id AND k.method = e.method WHERE type = 'payment_captured'"""
+CTES["pairs"] = r"""
+SELECT c.merchant_id, c.entity_id AS bank_txn_id, c.occurred_at AS cday, c.amount_paise AS camt,
+       p.entity_id AS settlement_id, p.utr, p.occurred_at AS pday, p.amount_paise AS pamt,
+       contains(c.narration, p.utr) AS ex,
+       contains(regexp_replace(upper(c.narration), '[^\p{L}\p{N}]', '', 'g'), p.utr) AS nm,
+       c.amount_paise = p.amount_paise
+         AND contains(regexp_replace(upper(c.narration), '[^\p{L}\p{N}]', '', 'g'), left(p.utr, 8)) AS st
+FROM ev c JOIN ev p ON p.merchant_id = c.merchant_id AND p.occurred_at BETWEEN c.occurred_at - 6 AND c.occurred_at + 1
+WHERE c.type = 'bank_credit_received' AND p.type = 'settlement_executed'"""
+CTES["by_ref"] = """
+SELECT merchant_id, bank_txn_id, cday, CASE WHEN en = 1 THEN 'exact_utr' WHEN nn = 1 THEN 'normalised_utr' WHEN sn = 1 THEN 'truncated_prefix' END AS rule,
+       CASE WHEN en = 1 THEN eid WHEN nn = 1 THEN nid WHEN sn = 1 THEN sid END AS settlement_id
+FROM (SELECT merchant_id, bank_txn_id, cday, count(*) FILTER (WHERE ex) AS en, min(settlement_id) FILTER (WHERE ex) AS eid,
+             count(*) FILTER (WHERE nm) AS nn, min(settlement_id) FILTER (WHERE nm) AS nid,
+             count(*) FILTER (WHERE st) AS sn, min(settlement_id) FILTER (WHERE st) AS sid FROM pairs GROUP BY ALL)
+WHERE en = 1 OR nn = 1 OR sn = 1"""
+CTES["by_amount"] = """
+SELECT *, count(*) OVER (PARTITION BY merchant_id, bank_txn_id) AS exact_n
+FROM (SELECT * FROM pairs x WHERE camt = pamt
+      AND NOT EXISTS (SELECT 1 FROM by_ref r WHERE r.merchant_id = x.merchant_id AND r.bank_txn_id = x.bank_txn_id)
+      AND NOT EXISTS (SELECT 1 FROM by_ref r WHERE r.merchant_id = x.merchant_id AND r.settlement_id = x.settlement_id))"""
+CTES["sharing"] = """
+SELECT a.merchant_id, a.bank_txn_id, count(DISTINCT b.bank_txn_id) AS sharing
+FROM by_amount a JOIN by_amount b ON a.merchant_id = b.merchant_id AND a.settlement_id = b.settlement_id GROUP BY ALL"""
+CTES["links"] = """
+SELECT c.merchant_id, c.entity_id AS bank_txn_id,
+       CASE WHEN r.rule IS NOT NULL THEN r.settlement_id WHEN a.exact_n = 1 AND s.sharing = 1 THEN a.settlement_id END AS settlement_id,
+       CASE WHEN r.rule IS NOT NULL THEN r.rule WHEN a.exact_n = 1 AND s.sharing = 1 THEN 'amount_date_unique'
+            WHEN a.exact_n IS NOT NULL THEN 'abstain_ambiguous' ELSE 'abstain_no_candidate' END AS rule,
+       CASE WHEN r.rule IS NOT NULL THEN 1 WHEN a.exact_n IS NOT NULL THEN a.exact_n
+            WHEN EXISTS (SELECT 1 FROM pairs x LEFT JOIN by_ref t ON t.merchant_id = x.merchant_id AND t.settlement_id = x.settlement_id
+                         WHERE x.merchant_id = c.merchant_id AND x.bank_txn_id = c.entity_id
+                         AND (t.bank_txn_id IS NULL OR (t.cday, t.bank_txn_id) >= (c.occurred_at, c.entity_id)))
+            THEN (SELECT count(*) FROM pairs x WHERE x.merchant_id = c.merchant_id AND x.bank_txn_id = c.entity_id
+                  AND NOT EXISTS (SELECT 1 FROM by_ref t WHERE t.merchant_id = x.merchant_id AND t.settlement_id = x.settlement_id))
+            ELSE 0 END AS candidates
+FROM ev c
+LEFT JOIN by_ref r ON r.merchant_id = c.merchant_id AND r.bank_txn_id = c.entity_id
+LEFT JOIN (SELECT merchant_id, bank_txn_id, max(exact_n) AS exact_n, min(settlement_id) AS settlement_id FROM by_amount GROUP BY ALL) a
+  ON a.merchant_id = c.merchant_id AND a.bank_txn_id = c.entity_id
+LEFT JOIN sharing s ON s.merchant_id = c.merchant_id AND s.bank_txn_id = c.entity_id
+WHERE c.type = 'bank_credit_received'"""
+CTES["missing"] = """
+SELECT p.* FROM ev p WHERE p.type = 'settlement_executed'
+AND NOT EXISTS (SELECT 1 FROM links l WHERE l.merchant_id = p.merchant_id AND l.settlement_id = p.entity_id)
+AND NOT EXISTS (SELECT 1 FROM links l JOIN ev b ON b.merchant_id = l.merchant_id AND b.entity_id = l.bank_txn_id AND b.type = 'bank_credit_received'
+                WHERE l.settlement_id IS NULL AND b.merchant_id = p.merchant_id AND b.amount_paise = p.amount_paise
+                AND b.occurred_at BETWEEN p.occurred_at - 6 AND p.occurred_at + 6)"""
+CTES["delayed"] = """
+SELECT w.merchant_id, w.window_id, p.ref AS payment_id, p.amount_paise
+FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id AND p.occurred_at BETWEEN window_start AND window_end
+JOIN calendar c ON c.d = p.occurred_at
+WHERE p.account = 'gateway_receivable' AND p.event_type = 'payment_captured' AND c.t2_naive <= window_end AND c.t2_actual > window_end"""
+
+_SLICES = [
+    ("gst_on_fee", "gst_input_credit", None), ("tds_194o", "tds_receivable", None),
+    ("instant_settlement_fee", "fee_expense", "settlement_executed"), ("bank_charges", "bank_charges", None),
+    ("refunds_issued", "refunds", None), ("dispute_reserve_held", "dispute_reserve", None),
+    ("chargeback_lost", "chargeback_loss", None), ("gateway_adjustment", "gateway_adjustments", None),
+    ("other_bank_outflow", "other_outflow", None), ("route_split", "revenue", "route_transfer"), ("risk_hold", "on_hold", None),
+    ("captured_not_yet_settled", "gateway_receivable", None), ("settlement_in_flight", "settlement_in_transit", None),
+]
+CTES["measured"] = "SELECT * FROM (" + " UNION ALL ".join(
+    [
+        f"SELECT merchant_id, window_id, '{cause}' AS cause, CAST(sum(amount_paise) AS BIGINT) AS raw_paise FROM moves "
+        f"WHERE account = '{account}'" + (f" AND event_type = '{kind}'" if kind else "") + " GROUP BY ALL"
+        for cause, account, kind in _SLICES
+    ]
+    + [
+        "SELECT p.merchant_id, window_id, 'normal_fee', CAST(sum(contract_paise) AS BIGINT) FROM priced p JOIN windows w "
+        "ON w.merchant_id = p.merchant_id AND occurred_at BETWEEN window_start AND window_end GROUP BY ALL",
+        "SELECT p.merchant_id, window_id, 'fee_rate_increase', CAST(sum(fee_paise - contract_paise) AS BIGINT) FROM priced p JOIN windows w "
+        "ON w.merchant_id = p.merchant_id AND occurred_at BETWEEN window_start AND window_end GROUP BY ALL",
+        "SELECT merchant_id, window_id, 'bank_holiday_delay', CAST(sum(a) AS BIGINT) FROM ("
+        "SELECT merchant_id, window_id, amount_paise AS a FROM delayed UNION ALL "
+        "SELECT d.merchant_id, d.window_id, -t.amount_paise FROM (SELECT DISTINCT merchant_id, window_id, payment_id FROM delayed) d "
+        "JOIN ev t ON t.merchant_id = d.merchant_id AND t.type = 'route_transfer' AND t.counterparty = d.payment_id) GROUP BY ALL",
+        "SELECT m.merchant_id, window_id, 'settlement_never_arrived', CAST(sum(amount_paise) AS BIGINT) FROM missing m JOIN windows w "
+        "ON w.merchant_id = m.merchant_id AND m.occurred_at BETWEEN window_start AND window_end AND m.occurred_at <= window_end - 3 GROUP BY ALL",
+    ]
+) + ") WHERE raw_paise <> 0"
+CTES["refined"] = """
+SELECT merchant_id, window_id, cause, CAST(sum(r) AS BIGINT) AS raw_paise, CAST(sum(a) AS BIGINT) AS amount_paise FROM (
+  SELECT merchant_id, window_id, cause, raw_paise AS r, raw_paise AS a FROM measured
+  UNION ALL SELECT merchant_id, window_id, 'captured_not_yet_settled', 0, -raw_paise FROM measured WHERE cause = 'bank_holiday_delay'
+  UNION ALL SELECT merchant_id, window_id, 'settlement_in_flight', 0, -raw_paise FROM measured WHERE cause = 'settlement_never_arrived')
+GROUP BY ALL"""
+_ALARM = "('fee_rate_increase', 'chargeback_lost', 'gateway_adjustment', 'risk_hold', 'settlement_never_arrived')"
+_PERM = ("('normal_fee', 'gst_on_fee', 'instant_settlement_fee', 'bank_charges', 'gateway_adjustment', 'fee_rate_increase', "
+         "'refunds_issued', 'chargeback_lost', 'route_split', 'other_bank_outflow')")
+CTES["findings"] = f"""
+SELECT merchant_id, window_id, cause, amount_paise, cause IN {_ALARM} AS alarming, cause IN {_PERM} AS permanent,
+       CAST(row_number() OVER (PARTITION BY merchant_id, window_id ORDER BY abs(amount_paise) DESC, cause) AS INT) AS position
+FROM refined WHERE amount_paise <> 0 AND raw_paise <> 0 AND (cause <> 'normal_fee' OR raw_paise > 0)"""
+CTES["claim_of"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', '{a}')" for c, a, _ in _SLICES
+) + (", ('normal_fee', 'fee_expense'), ('fee_rate_increase', 'fee_expense'), ('bank_holiday_delay', 'gateway_receivable'), "
+     "('settlement_never_arrived', 'settlement_in_transit')) t(cause, account)")
+CTES["moved"] = """
+SELECT merchant_id, window_id, account, CAST(sum(amount_paise) AS BIGINT) AS actual_paise FROM moves
+WHERE account NOT IN ('revenue', 'bank') OR (account = 'revenue' AND event_type = 'route_transfer') GROUP BY ALL"""
+CTES["coverage"] = """
+SELECT w.merchant_id, w.window_id, a.account, CAST(coalesce(c.claimed_paise, 0) AS BIGINT) AS claimed_paise,
+       CAST(coalesce(m.actual_paise, 0) AS BIGINT) AS actual_paise
+FROM windows w, (SELECT DISTINCT account FROM claim_of) a
+LEFT JOIN (SELECT merchant_id, window_id, account, sum(amount_paise) AS claimed_paise FROM refined JOIN claim_of USING (cause) GROUP BY ALL) c
+  ON c.merchant_id = w.merchant_id AND c.window_id = w.window_id AND c.account = a.account
+LEFT JOIN moved m ON m.merchant_id = w.merchant_id AND m.window_id = w.window_id AND m.account = a.account"""
+CTES["exceptions"] = """
+SELECT w.merchant_id, w.window_id, l.bank_txn_id, e.amount_paise, e.occurred_at, l.rule
+FROM links l JOIN ev e ON e.merchant_id = l.merchant_id AND e.entity_id = l.bank_txn_id AND e.type = 'bank_credit_received'
+JOIN windows w ON w.merchant_id = e.merchant_id AND e.occurred_at BETWEEN window_start AND window_end
+WHERE l.settlement_id IS NULL"""
+CTES["variance"] = """
+SELECT w.merchant_id, w.window_id, w.window_start, w.window_end,
+       CAST(coalesce(sum(-amount_paise) FILTER (WHERE account = 'revenue' AND event_type = 'payment_captured'), 0) AS BIGINT) AS gross_paise,
+       CAST(coalesce(sum(amount_paise) FILTER (WHERE account = 'bank' AND event_type = 'bank_credit_received'), 0) AS BIGINT) AS credits_paise,
+       CAST(coalesce(sum(amount_paise) FILTER (WHERE account = 'bank'), 0) AS BIGINT) AS landed_paise,
+       CAST(coalesce(sum(amount_paise) FILTER (WHERE account NOT IN ('revenue', 'bank') OR (account = 'revenue' AND event_type = 'route_transfer')), 0) AS BIGINT) AS explained_paise
+FROM windows w LEFT JOIN moves m ON m.merchant_id = w.merchant_id AND m.window_id = w.window_id GROUP BY ALL"""
+CTES["summary"] = """
+SELECT v.merchant_id, v.window_id, v.window_start, v.window_end, gross_paise, credits_paise, landed_paise,
+       gross_paise - landed_paise AS gap_paise, CAST(coalesce(f.s, 0) AS BIGINT) AS explained_paise, coalesce(f.n, 0) AS findings,
+       coalesce(f.al, 0) AS alarms, CAST(coalesce(f.pm, 0) AS BIGINT) AS permanent_paise, coalesce(x.n, 0) AS exceptions,
+       CAST(coalesce(x.s, 0) AS BIGINT) AS unresolved_paise,
+       CAST(gross_paise - landed_paise - coalesce(f.s, 0) AS BIGINT) AS remainder_paise, gross_paise - landed_paise = coalesce(f.s, 0) AS closes,
+       round(CASE WHEN gross_paise = landed_paise THEN 1.0 ELSE 1 - abs(gross_paise - landed_paise - coalesce(f.s, 0)) / abs(gross_paise - landed_paise) END, 6) AS explained_fraction,
+       g.open_n = 0 AS fully_covered, 17 AS checked
+FROM variance v
+LEFT JOIN (SELECT merchant_id, window_id, sum(amount_paise) AS s, count(*) AS n, count(*) FILTER (WHERE alarming) AS al,
+           sum(amount_paise) FILTER (WHERE permanent) AS pm FROM findings GROUP BY ALL) f ON f.merchant_id = v.merchant_id AND f.window_id = v.window_id
+LEFT JOIN (SELECT merchant_id, window_id, count(*) AS n, sum(amount_paise) AS s FROM exceptions GROUP BY ALL) x ON x.merchant_id = v.merchant_id AND x.window_id = v.window_id
+LEFT JOIN (SELECT merchant_id, window_id, count(*) FILTER (WHERE claimed_paise <> actual_paise) AS open_n FROM coverage GROUP BY ALL) g
+  ON g.merchant_id = v.merchant_id AND g.window_id = v.window_id"""
+
+
+def link_ctes(prefix: str, keys: str) -> dict[str, str]:
+    """Linkage once per key: reads {prefix}cr and {prefix}pa, ends in {prefix}links and {prefix}missing."""
+    names = [k.strip() for k in keys.split(",")]
+
+    def on(a: str, b: str) -> str:
+        return " AND ".join(f"{a}.{k} = {b}.{k}" for k in names)
+
+    p = prefix
+    fold = "regexp_replace(upper(c.narration), '[^\\p{L}\\p{N}]', '', 'g')"
+    return {
+        f"{p}pairs": f"""
+SELECT {", ".join("c." + k for k in names)}, c.bank_txn_id, c.occurred_at AS cday, c.amount_paise AS camt, p.settlement_id, p.utr,
+       p.occurred_at AS pday, p.amount_paise AS pamt, contains(c.narration, p.utr) AS ex, contains({fold}, p.utr) AS nm,
+       c.amount_paise = p.amount_paise AND contains({fold}, left(p.utr, 8)) AS st
+FROM {p}cr c JOIN {p}pa p ON {on("c", "p")} AND p.occurred_at BETWEEN c.occurred_at - 6 AND c.occurred_at + 1""",
+        f"{p}by_ref": f"""
+SELECT {keys}, bank_txn_id, CASE WHEN en = 1 THEN eid WHEN nn = 1 THEN nid WHEN sn = 1 THEN sid END AS settlement_id
+FROM (SELECT {keys}, bank_txn_id, count(*) FILTER (WHERE ex) AS en, min(settlement_id) FILTER (WHERE ex) AS eid,
+             count(*) FILTER (WHERE nm) AS nn, min(settlement_id) FILTER (WHERE nm) AS nid,
+             count(*) FILTER (WHERE st) AS sn, min(settlement_id) FILTER (WHERE st) AS sid FROM {p}pairs GROUP BY ALL)
+WHERE en = 1 OR nn = 1 OR sn = 1""",
+        f"{p}by_amount": f"""
+SELECT *, count(*) OVER (PARTITION BY {keys}, bank_txn_id) AS exact_n
+FROM (SELECT x.* FROM {p}pairs x ANTI JOIN {p}by_ref r ON {on("x", "r")} AND x.bank_txn_id = r.bank_txn_id WHERE camt = pamt) y
+ANTI JOIN {p}by_ref r ON {on("y", "r")} AND y.settlement_id = r.settlement_id""",
+        f"{p}sharing": f"""
+SELECT {", ".join("a." + k for k in names)}, a.bank_txn_id, count(DISTINCT b.bank_txn_id) AS sharing
+FROM {p}by_amount a JOIN {p}by_amount b ON {on("a", "b")} AND a.settlement_id = b.settlement_id GROUP BY ALL""",
+        f"{p}linked": f"""
+SELECT {keys}, bank_txn_id, settlement_id FROM {p}by_ref
+UNION ALL SELECT {", ".join("a." + k for k in names)}, a.bank_txn_id, a.settlement_id FROM {p}by_amount a
+JOIN {p}sharing s ON {on("a", "s")} AND a.bank_txn_id = s.bank_txn_id WHERE a.exact_n = 1 AND s.sharing = 1""",
+        f"{p}loose": f"SELECT c.* FROM {p}cr c ANTI JOIN {p}linked l ON {on('c', 'l')} AND c.bank_txn_id = l.bank_txn_id",
+        f"{p}unlinked": f"SELECT p.* FROM {p}pa p ANTI JOIN {p}linked l ON {on('p', 'l')} AND p.settlement_id = l.settlement_id",
+        f"{p}missing": f"""
+SELECT u.* FROM {p}unlinked u ANTI JOIN {p}loose b ON {on("u", "b")} AND b.amount_paise = u.amount_paise
+AND b.occurred_at BETWEEN u.occurred_at - 6 AND u.occurred_at + 6""",
+    }
+
+
+CTES["wcr"] = """
+SELECT w.merchant_id, w.window_id, entity_id AS bank_txn_id, amount_paise, occurred_at, narration FROM ev JOIN windows w
+ON w.merchant_id = ev.merchant_id AND occurred_at BETWEEN window_start - 21 AND window_end AND recorded_at <= window_end WHERE type = 'bank_credit_received'"""
+CTES["wpa"] = """
+SELECT w.merchant_id, w.window_id, entity_id AS settlement_id, utr, amount_paise, occurred_at, window_start, window_end FROM ev JOIN windows w
+ON w.merchant_id = ev.merchant_id AND occurred_at BETWEEN window_start - 21 AND window_end AND recorded_at <= window_end WHERE type = 'settlement_executed'"""
+CTES.update(link_ctes("w", "merchant_id, window_id"))
+CTES["moves_then"] = """
+SELECT p.merchant_id, w.window_id, account, event_type, CAST(sum(amount_paise) AS BIGINT) AS amount_paise
+FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id AND p.occurred_at BETWEEN window_start AND window_end
+AND p.recorded_at <= window_end GROUP BY ALL"""
+CTES["measured_then"] = "SELECT * FROM (" + " UNION ALL ".join(
+    [
+        f"SELECT merchant_id, window_id, '{cause}' AS cause, CAST(sum(amount_paise) AS BIGINT) AS raw_paise FROM moves_then "
+        f"WHERE account = '{account}'" + (f" AND event_type = '{kind}'" if kind else "") + " GROUP BY ALL"
+        for cause, account, kind in _SLICES
+    ]
+    + [
+        # captures and splits are recorded when they occur, so these three do not differ
+        "SELECT * FROM measured WHERE cause IN ('normal_fee', 'fee_rate_increase', 'bank_holiday_delay')",
+        "SELECT merchant_id, window_id, 'settlement_never_arrived', CAST(sum(amount_paise) AS BIGINT) FROM wmissing "
+        "WHERE occurred_at BETWEEN window_start AND window_end - 3 GROUP BY ALL",
+    ]
+) + ") WHERE raw_paise <> 0"
+CTES["findings_then"] = """
+SELECT * FROM (SELECT merchant_id, window_id, cause, CAST(sum(r) AS BIGINT) AS raw_paise, CAST(sum(a) AS BIGINT) AS amount_paise FROM (
+  SELECT merchant_id, window_id, cause, raw_paise AS r, raw_paise AS a FROM measured_then
+  UNION ALL SELECT merchant_id, window_id, 'captured_not_yet_settled', 0, -raw_paise FROM measured_then WHERE cause = 'bank_holiday_delay'
+  UNION ALL SELECT merchant_id, window_id, 'settlement_in_flight', 0, -raw_paise FROM measured_then WHERE cause = 'settlement_never_arrived')
+GROUP BY ALL) WHERE amount_paise <> 0 AND raw_paise <> 0"""
+CTES["restated"] = """
+SELECT * FROM (SELECT coalesce(n.merchant_id, t.merchant_id) AS merchant_id, coalesce(n.window_id, t.window_id) AS window_id,
+       coalesce(n.cause, t.cause) AS cause, coalesce(n.amount_paise, 0) AS now_paise, coalesce(t.amount_paise, 0) AS then_paise,
+       coalesce(n.amount_paise, 0) - coalesce(t.amount_paise, 0) AS delta_paise,
+       coalesce(t.amount_paise, 0) = 0 AND coalesce(n.amount_paise, 0) <> 0 AS appeared
+FROM findings n FULL JOIN findings_then t ON n.merchant_id = t.merchant_id AND n.window_id = t.window_id AND n.cause = t.cause) WHERE delta_paise <> 0"""
+_T = {
+    "payment_captured": [("normal_fee", "(amount_paise * 400 + 10000) // 20000"),
+                         ("fee_rate_increase", "fee_paise - (amount_paise * 400 + 10000) // 20000"),
+                         ("gst_on_fee", "tax_paise"), ("tds_194o", "tds_paise")],
+    "refund_issued": [("refunds_issued", "amount_paise")],
+    "dispute_opened": [("dispute_reserve_held", "amount_paise")],
+    "dispute_resolved": [("dispute_reserve_held", "-amount_paise"), ("chargeback_lost", "CASE WHEN won THEN 0 ELSE amount_paise END")],
+    "risk_hold_applied": [("risk_hold", "amount_paise")], "risk_hold_released": [("risk_hold", "-amount_paise")],
+    "route_transfer": [("route_split", "amount_paise")], "gateway_adjustment": [("gateway_adjustment", "amount_paise")],
+    "bank_charge_applied": [("bank_charges", "amount_paise")], "bank_debit": [("other_bank_outflow", "amount_paise")],
+    "settlement_executed": [("instant_settlement_fee", "fee_paise")],
+}
+CTES["truth"] = " UNION ALL ".join(
+    f"SELECT merchant_id, occurred_at, '{c}' AS cause, CAST({a} AS BIGINT) AS amount_paise FROM ev WHERE type = '{t}'"
+    for t, pairs in _T.items() for c, a in pairs
+) + " UNION ALL SELECT merchant_id, day, 'settlement_never_arrived', net FROM payouts WHERE suffix = '' AND n % 37 = 0"
+CTES["truth_win"] = """
+SELECT * FROM (
+SELECT t.merchant_id, window_id, cause, CAST(sum(amount_paise) AS BIGINT) AS actual_paise FROM truth t JOIN windows w
+  ON w.merchant_id = t.merchant_id AND occurred_at BETWEEN window_start AND window_end GROUP BY ALL
+UNION ALL
+SELECT f.merchant_id, window_id, 'bank_holiday_delay', CAST(sum(gross - fee - tax - tds - CASE WHEN k % 60 = 17 THEN gross // 5 ELSE 0 END) AS BIGINT)
+FROM facts f JOIN windows w ON w.merchant_id = f.merchant_id AND f.d BETWEEN window_start AND window_end
+JOIN calendar c ON c.d = f.d WHERE captured AND t2_naive <= window_end AND t2_actual > window_end GROUP BY ALL) WHERE actual_paise <> 0"""
+CTES["scored"] = """
+SELECT coalesce(f.merchant_id, t.merchant_id) AS merchant_id, coalesce(f.window_id, t.window_id) AS window_id, coalesce(f.cause, t.cause) AS cause,
+       CASE WHEN f.cause IS NULL THEN 'missed' WHEN f.cause IN ('captured_not_yet_settled', 'settlement_in_flight') THEN 'structural'
+            WHEN t.cause IS NULL THEN 'hallucinated' ELSE 'matched' END AS verdict,
+       coalesce(f.amount_paise, 0) AS reported_paise, coalesce(t.actual_paise, 0) AS actual_paise,
+       coalesce(f.amount_paise, 0) - coalesce(t.actual_paise, 0) AS error_paise
+FROM findings f FULL JOIN truth_win t ON f.merchant_id = t.merchant_id AND f.window_id = t.window_id AND f.cause = t.cause"""
+CTES["truth_links"] = """
+SELECT merchant_id, 'btx_' || merchant_id || '_' || n || suffix AS bank_txn_id, settlement_id FROM payouts WHERE n % 37 <> 0 OR suffix = 'b'"""
+CTES["bucketed"] = """
+SELECT *, CASE WHEN cause IN ('settlement_never_arrived', 'fee_rate_increase', 'risk_hold', 'dispute_reserve_held')
+               THEN CASE WHEN amount_paise > 0 THEN 'chase' ELSE 'timing' END
+               WHEN cause IN ('gst_on_fee', 'tds_194o') THEN 'tax'
+               WHEN cause IN ('captured_not_yet_settled', 'settlement_in_flight', 'bank_holiday_delay') THEN 'timing'
+               WHEN cause = 'chargeback_lost' THEN 'lost' ELSE 'cost' END AS bucket FROM findings"""
+_BUCKETS = ", ".join(
+    f"CAST(coalesce(sum(amount_paise) FILTER (WHERE bucket = '{b}'), 0) AS BIGINT) AS {b}_paise"
+    for b in ("chase", "tax", "timing", "cost", "lost")
+) + ", CAST(coalesce(sum(amount_paise) FILTER (WHERE bucket IN ('chase', 'tax') AND amount_paise > 0), 0) AS BIGINT) AS recoverable_paise"
+CTES["buckets"] = f"SELECT merchant_id, window_id, {_BUCKETS} FROM bucketed GROUP BY ALL"
+CTES["weekly"] = """
+SELECT v.merchant_id, v.window_id, v.window_start, v.window_end, gross_paise, gross_paise - landed_paise AS gap_paise,
+       coalesce(chase_paise, 0) AS chase_paise, coalesce(tax_paise, 0) AS tax_paise, coalesce(timing_paise, 0) AS timing_paise,
+       coalesce(cost_paise, 0) AS cost_paise, coalesce(lost_paise, 0) AS lost_paise, coalesce(recoverable_paise, 0) AS recoverable_paise,
+       CAST(coalesce(o, 0) AS BIGINT) AS overcharge_paise, coalesce(fl, 0) AS flagged,
+       CASE WHEN gross_paise <> 0 THEN round(coalesce(fee, 0) / gross_paise, 6) ELSE 0 END AS fee_rate,
+       CASE WHEN gross_paise <> 0 THEN round((coalesce(fee, 0) - coalesce(o, 0)) / gross_paise, 6) ELSE 0 END AS contract_rate
+FROM variance v LEFT JOIN buckets b ON b.merchant_id = v.merchant_id AND b.window_id = v.window_id
+LEFT JOIN (SELECT merchant_id, window_id, sum(amount_paise) FILTER (WHERE cause IN ('normal_fee', 'fee_rate_increase')) AS fee,
+           sum(amount_paise) FILTER (WHERE cause = 'fee_rate_increase') AS o, count(*) FILTER (WHERE alarming) AS fl
+           FROM findings GROUP BY ALL) f ON f.merchant_id = v.merchant_id AND f.window_id = v.window_id"""
+CTES["hike"] = """
+SELECT merchant_id, hike_started, since_paise,
+       CAST(round_even(CAST(since_paise AS DECIMAL(20,0)) * 365 / greatest(CAST(last_day - hike_started AS INT) + 1, 1), 0) AS BIGINT) AS per_year_paise
+FROM (SELECT w.merchant_id, hike_started, last_day, CAST(sum(overcharge_paise) AS BIGINT) AS since_paise FROM weekly w
+      JOIN (SELECT merchant_id, min(window_start) FILTER (WHERE overcharge_paise > 0) AS hike_started, max(window_end) AS last_day FROM weekly GROUP BY ALL) h
+      ON h.merchant_id = w.merchant_id WHERE window_start >= hike_started GROUP BY ALL)"""
