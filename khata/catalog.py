@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from khata.functions import text
-from khata.operators import audits, fees, linkage, movements, payouts, select
+from khata.operators import apportion, audits, fees, linkage, log, movements, payouts, select
 from khata.operators.movements import WINDOW
-from khata.plans import causes, close, insights, named, restate, scoring
-from khata.plans.sample_ledger import SampleLedger, sample_ledger
+from khata.operators.postings import project
+from khata.plans import (
+    causes, close, conformal, forecast, grounding, insights, named, pack, restate, scoring, search, tax,
+)
+from khata.plans.sample_ledger import GATEWAY_GSTIN, SampleLedger, sample_ledger
+from khata.sources import statement
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -248,8 +252,6 @@ query("k2_ranked_findings")(lambda s: close.findings(s.books).select(*WINDOW, "c
 def _(s):
     sums = s.books.moves.filter("account <> 'bank'").groupBy(*WINDOW, "account").agg(F.sum("amount_paise").alias("amount_paise"))
     # ties go to the account that comes first by name; at most thirteen rows per window
-    from pyspark.sql import Window
-
     biggest = Window.partitionBy(*WINDOW).orderBy(F.abs("amount_paise").desc(), "account")
     return sums.withColumn("_at", F.row_number().over(biggest)).filter("_at = 1").drop("_at")
 
@@ -269,3 +271,116 @@ query("x11_greedy_against_careful")(lambda s: scoring.greedy_against_careful(s.b
 query("x13_closed_weeks")(lambda s: scoring.closed_weeks(s.books))
 query("x15_fee_audit")(lambda s: fees.fee_audit(s.books.priced))
 query("x20_evidence_grid")(lambda s: causes.all_evidence(s.books, causes.refined(causes.measured(s.books))).drop("title"))
+
+# --- log ---------------------------------------------------------------------------------------
+
+query("f14_digests")(lambda s: log.with_digest(s.events).select("merchant_id", "event_id", "digest"))
+query("u1_union_of_sources")(lambda s: select.union_sources(
+    s.events.filter("type IN ('bank_credit_received', 'bank_charge_applied', 'bank_debit')"),
+    s.events.filter("type NOT IN ('bank_credit_received', 'bank_charge_applied', 'bank_debit')"),
+).select("merchant_id", "event_id", "occurred_at"))
+query("u2_distinct_facts")(lambda s: log.distinct_facts(s.deliveries).select("merchant_id", "event_id"))
+query("u2_ingestion")(lambda s: log.ingestion(s.deliveries, None))
+query("u3_missing_facts")(lambda s: audits.differing_facts(
+    s.log, log.with_digest(s.events.filter("type <> 'bank_debit'"))))
+query("q4_refolded_balances")(lambda s: audits.differing_balances(
+    movements.balances(movements.daily_movements(project(s.log))), movements.balances(s.books.daily)))
+query("q7_repeated_facts")(lambda s: audits.repeated_facts(s.deliveries).groupBy("merchant_id").agg(
+    F.count("*").alias("facts"), F.sum("copies").alias("copies")))
+query("w2_broken_links")(lambda s: log.broken_links(log.chain(s.log)))
+query("w3_chain")(lambda s: log.chain(s.log))
+query("w4_sequence")(lambda s: audits.broken_sequence(s.log))
+query("w5_sequence")(lambda s: s.log.select("merchant_id", "event_id", "seq"))
+
+
+@query("s14_pack_heads")
+def _(s):
+    return pack.build(s.books, log.heads(log.chain(s.log)))[0]
+
+
+@query("x12_pack_verify")
+def _(s):
+    heads = log.heads(log.chain(s.log))
+    sealed, lines = pack.build(s.books, heads)
+    return pack.verify(sealed, lines, sealed, heads)
+
+
+# --- statements and tax --------------------------------------------------------------------------
+
+query("w1_balance_check")(lambda s: statement.check_balances(s.statement_lines).select("file", "line", "checked", "broken"))
+query("w1_statement_report")(lambda s: statement.statement_report(s.statement_lines))
+query("s8_statement_events")(lambda s: statement.statement_events(
+    s.statement_lines.filter("NOT opening").withColumn("ref", F.lit("")), F.element_at(F.split("file", "-"), 1)
+).select("merchant_id", "event_id", "type", "occurred_at", "entity_id", "amount_paise", "narration"))
+query("a11_supplier_credit")(lambda s: tax.supplier_credit(s.invoices))
+query("a23_statement_totals")(lambda s: s.statement_lines.groupBy("file").agg(
+    F.coalesce(F.sum("debit_paise"), F.lit(0)).alias("debits_paise"), F.coalesce(F.sum("credit_paise"), F.lit(0)).alias("credits_paise")))
+query("c23_gst_shortfall")(lambda s: tax.gst_shortfall(s.window_fees, s.invoices, GATEWAY_GSTIN).drop("kind"))
+query("c24_malformed_gstins")(lambda s: tax.malformed_gstins(s.invoices).drop("kind"))
+query("c25_tds_gap")(lambda s: tax.tds_gap(s.window_fees, s.form_26as).drop("kind"))
+query("c26_tax_risks")(lambda s: tax.assess(s.window_fees, s.invoices, s.form_26as, GATEWAY_GSTIN))
+query("j12_paid_against_available")(lambda s: tax.gst_shortfall(s.window_fees, s.invoices, GATEWAY_GSTIN).groupBy("merchant_id").agg(
+    F.sum("paid_paise").alias("paid_paise"), F.sum("shown_paise").alias("shown_paise")))
+
+# --- apportionment and text -------------------------------------------------------------------------
+
+
+@query("f4_apportion")
+def _(s):
+    """Each order's total split over its lines by quantity."""
+    orders = _table(s, "orders").select(
+        F.col("o_orderkey").alias("k"), (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint").alias("total_paise"))
+    lines = _table(s, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")).agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("weight"))
+    return apportion.allocate(lines.join(orders, "k"), ["k"], "total_paise", "weight", "line").select("k", "line", "share_paise")
+
+
+@query("f9_narration_styles")
+def _(s):
+    paid = s.books.payouts.select("merchant_id", "settlement_id", "utr")
+    known = s.books.credits.join(s.truth_links, ["merchant_id", "bank_txn_id"]).join(paid, ["merchant_id", "settlement_id"])
+    return known.groupBy("merchant_id", text.narration_style(F.col("narration"), F.col("utr")).alias("style")).agg(
+        F.count("*").alias("credits"))
+
+
+query("f15_document_figures")(lambda s: grounding.citations(_table(s, "documents"), ["doc_id"]))
+query("x8_checked_figures")(lambda s: grounding.check(s.texts, grounding.permitted_figures(s.books), WINDOW).select(
+    *WINDOW, "paise", "grounded", "nearest_paise"))
+query("x8_grounding_rate")(lambda s: grounding.grounding_rate(
+    grounding.check(s.texts, grounding.permitted_figures(s.books), WINDOW), WINDOW))
+query("x18_permitted_figures")(lambda s: grounding.permitted_figures(s.books))
+
+# --- forecasts -----------------------------------------------------------------------------------------
+
+query("a12_weekday_shape")(lambda s: s.outlook.weekdays)
+query("a12_rates")(lambda s: s.outlook.rates)
+query("a24_overdue_and_written_off")(lambda s: s.outlook.overdue.join(s.outlook.written_off, ["merchant_id", "as_of"]))
+query("x1_forecast_days")(lambda s: s.outlook.days.drop("is_bank_day"))
+query("x1_forecast_totals")(lambda s: s.outlook.totals)
+query("w14_through")(lambda s: s.outlook.through())
+query("x2_error_causes")(lambda s: s.outlook.error_causes())
+query("x3_outcomes")(lambda s: s.outlook.outcomes)
+query("a13_backtest")(lambda s: forecast.backtest(s.outlook.outcomes))
+query("k4_worst_windows")(lambda s: forecast.worst(s.outlook.outcomes))
+query("w7_split_floors")(lambda s: conformal.split_floors(s.outlook.outcomes))
+query("w8_adaptive_floors")(lambda s: conformal.adaptive_floors(s.outlook.outcomes))
+query("a14_coverage")(lambda s: conformal.coverage(conformal.split_floors(s.outlook.outcomes), "split", 14, 28))
+
+
+@query("a15_pooled_coverage")
+def _(s):
+    split = conformal.coverage(conformal.split_floors(s.outlook.outcomes), "split", 14, 28)
+    adaptive = conformal.coverage(conformal.adaptive_floors(s.outlook.outcomes), "adaptive", 14, 28)
+    return conformal.pooled(split.unionByName(adaptive))
+
+
+# --- search ----------------------------------------------------------------------------------------------
+
+query("x4_slices")(lambda s: search.slices(s.books))
+query("x6_hold_out")(lambda s: search.hold_out(s.books))
+query("x6_rediscover")(lambda s: search.rediscover(s.books))
+query("x5_blame_largest")(lambda s: search.blame_largest(s.books).select(*WINDOW, "cause", "account", "claim_paise", "accepted"))
+query("x7_second_opinion")(lambda s: search.second_opinion(s.books))
+query("x17_drill_down")(lambda s: movements.in_windows(
+    s.postings.filter("account = 'chargeback_loss'"), s.books.windows).select(
+    *WINDOW, "event_id", "account", "amount_paise", "ref"))

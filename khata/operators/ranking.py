@@ -32,3 +32,24 @@ def rank_in_group(
         .withColumn(into, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_part", "_local", "_before")
     )
+
+
+def carry_last(
+    df: DataFrame, group: list[str], order: list, value: str, into: str, parts: int | None = None
+) -> DataFrame:
+    """The latest non-null ``value`` at or before each row of its group, however big the group is."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *[F.col(g) for g in group], *order)
+    placed = cut(placed.withColumn("_part", F.spark_partition_id()), "carried")
+    local = Window.partitionBy(*group, "_part").orderBy(*order)
+    seen = placed.withColumn("_local", F.last(value, ignorenulls=True).over(local)).withColumn(
+        "_at", F.row_number().over(local)
+    )
+    ends = seen.groupBy(*group, "_part").agg(F.max_by("_local", "_at").alias("_end"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*group, "_part", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    return (
+        seen.join(ends, [*group, "_part"])
+        .withColumn(into, F.coalesce("_local", "_carried"))
+        .drop("_part", "_local", "_at", "_carried")
+    )

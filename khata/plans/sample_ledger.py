@@ -11,20 +11,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from khata.functions.money import money_text
 from khata.lineage import cut
 from khata.operators.calendar import bank_calendar
-from khata.operators.movements import weekly_windows, whole_period
+from khata.operators.log import assign_sequence, distinct_facts, with_digest
+from khata.operators.movements import variance, weekly_windows, whole_period
 from khata.operators.postings import project
+from khata.plans import causes
 from khata.plans.books import Books
+from khata.plans.forecast import Outlook, rolling_origins
+from khata.plans.grounding import memos
 from khata.schemas import COVERS, EVENTS, conform, event_row
 
 # Days shut every year in the sample ledger.
 SAMPLE_HOLIDAYS = ("01-01", "01-26", "05-01", "08-15", "10-02", "12-25")
 CONTRACT_RATES = {"card": "2.00", "upi": "2.00", "netbanking": "2.00", "wallet": "2.00", "emi": "2.00"}
 SWEEP_PAISE = 5_000_000
+GATEWAY_GSTIN = "29ABCDE1234F1Z5"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -389,6 +395,92 @@ class SampleLedger:
         return self.payouts.filter(landed).select("merchant_id", name.alias("bank_txn_id"), "settlement_id")
 
 
+    @cached_property
+    def outlook(self) -> Outlook:
+        """Forecasts every four weeks over the next fortnight."""
+        origins = cut(rolling_origins(self.events, warmup=60, step=28, horizon=14), "origins")
+        return Outlook(self.books, self.covers, origins, horizon=14)
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        """Everything delivered once, captures and payouts twice."""
+        again = self.events.filter("type IN ('payment_captured', 'settlement_executed')")
+        return with_digest(self.events.unionByName(again))
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return cut(assign_sequence(distinct_facts(self.deliveries)), "log")
+
+    @cached_property
+    def statement_lines(self) -> DataFrame:
+        """A bank statement per merchant and month: an opening balance, then its movements.
+
+        Some lines print no balance and some a wrong one.
+        """
+        opening = F.lit(100_000_000).cast("bigint")
+        bank = self.events.filter("type IN ('bank_credit_received', 'bank_charge_applied', 'bank_debit')")
+        into = F.col("type") == "bank_credit_received"
+        rows = bank.select(
+            F.concat_ws("-", "merchant_id", F.date_format("occurred_at", "yyyyMM")).alias("file"),
+            F.col("occurred_at").alias("txn_date"), F.col("occurred_at").alias("value_date"), "narration", "entity_id",
+            F.when(into, 0).otherwise(F.col("amount_paise")).cast("bigint").alias("debit_paise"),
+            F.when(into, F.col("amount_paise")).otherwise(0).cast("bigint").alias("credit_paise"),
+        )
+        order = Window.partitionBy("file").orderBy("txn_date", "entity_id")
+        line = F.row_number().over(order) + 1
+        running = opening + F.sum(F.col("credit_paise") - F.col("debit_paise")).over(order)
+        rows = rows.withColumn("line", line.cast("bigint")).withColumn("running", running)
+        shown = F.when(F.col("line") % 7 != 3, F.col("running") + F.when(F.col("line") % 13 == 5, 100).otherwise(0))
+        rows = rows.withColumn("balance_paise", shown).withColumn("opening", F.lit(False))
+        first = rows.select("file").distinct().select(
+            "file", F.lit(1).cast("bigint").alias("line"), opening.alias("balance_paise"), F.lit(True).alias("opening"))
+        return rows.drop("running").unionByName(first, allowMissingColumns=True)
+
+    @cached_property
+    def window_fees(self) -> DataFrame:
+        return causes.window_fees(self.books)
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        """Returns filed for each window: most in full, some short, some not at all, some by nobody real."""
+        tax = self.window_fees.groupBy("merchant_id", "window_id").agg(F.sum("tax_paise").alias("tax"), F.sum("fee_paise").alias("fee"))
+        w, zero = F.col("window_id"), F.lit(0).cast("bigint")
+        filed = F.col("tax") - F.when(w % 7 == 3, 1000).otherwise(0)
+        half = F.call_function("div", filed, F.lit(2))
+        number = F.concat(F.lit("G"), w.cast("string"))
+
+        def row(gstin: Column, tag: str, taxable: Column, igst: Column, cgst: Column, sgst: Column) -> Column:
+            return F.struct(
+                gstin.alias("supplier_gstin"), F.lit(tag).alias("supplier_name"), F.concat(F.lit(tag), number).alias("invoice_no"),
+                taxable.cast("bigint").alias("taxable_paise"), igst.cast("bigint").alias("igst_paise"),
+                cgst.cast("bigint").alias("cgst_paise"), sgst.cast("bigint").alias("sgst_paise"), zero.alias("cess_paise"))
+
+        gstin = F.when(w % 2 == 0, GATEWAY_GSTIN.lower()).otherwise(GATEWAY_GSTIN)
+        rows = F.array(
+            F.when(w % 5 != 0, row(gstin, "GATEWAY", F.col("fee"), zero, half, filed - half)),
+            F.when(w % 6 == 1, row(F.lit("29XXXXX9999X9X9"), "NOBODY", F.lit(100000), 18000 + w, zero, zero)),
+        )
+        return tax.select("merchant_id", "window_id", F.explode(rows).alias("i")).filter("i IS NOT NULL").select(
+            "merchant_id", "window_id", "i.*")
+
+    @cached_property
+    def form_26as(self) -> DataFrame:
+        """TDS the tax office shows for most windows, a little short for every third."""
+        tds = self.window_fees.groupBy("merchant_id", "window_id").agg(F.sum("tds_paise").alias("tds"))
+        w = F.col("window_id")
+        return tds.filter(w % 4 != 2).select(
+            "merchant_id", "window_id", (F.col("tds") - F.when(w % 3 == 0, 500).otherwise(0)).alias("amount_paise"))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The memos of all windows; every ninth quotes a gap that is not the verified one."""
+        wrong = money_text(F.col("gap_paise") + 12345)
+        gaps = variance(self.books.moves, self.books.windows).select("merchant_id", "window_id", "gap_paise")
+        spoiled = F.concat(F.substring_index("text", ", a gap of ", 1), F.lit(", a gap of "), wrong, F.lit("."))
+        return memos(self.books).join(gaps, ["merchant_id", "window_id"]).select(
+            "merchant_id", "window_id", F.when(F.col("window_id") % 9 == 4, spoiled).otherwise(F.col("text")).alias("text"))
+
+
 _known: dict[tuple[str, str], SampleLedger] = {}
 
 

@@ -186,4 +186,84 @@ _add("x15_fee_audit", "SELECT merchant_id, payment_id, occurred_at, method, amou
      "CAST(fee_paise * 1000000 // amount_paise AS BIGINT) AS billed_ppm FROM priced WHERE fee_paise <> contract_paise")
 _add("x13_closed_weeks", "SELECT merchant_id, count(*) AS windows, count(*) FILTER (WHERE closes) AS closed, count(*) FILTER (WHERE fully_covered) AS covered FROM summary GROUP BY ALL")
 _add("x20_evidence_grid", "SELECT w.merchant_id, w.window_id, c.cause, coalesce(r.raw_paise, 0) AS raw_paise, coalesce(r.amount_paise, 0) AS amount_paise, "
-     "coalesce(r.raw_paise, 0) <> 0 AS supported FROM windows w, claim_of c LEFT JOIN refined r ON r.merchant_id = w.merchant_id AND r.window_id = w.window_id AND r.cause = c.cause")
+     "coalesce(r.raw_paise, 0) <> 0 AS supported FROM windows w CROSS JOIN claim_of c LEFT JOIN refined r ON r.merchant_id = w.merchant_id AND r.window_id = w.window_id AND r.cause = c.cause")
+
+# --- log, statements, tax -------------------------------------------------------------------
+_FIELDS = ("amount_paise", "counterparty", "currency", "detail", "entity_id", "event_id", "fee_paise", "merchant_id", "method", "narration",
+           "occurred_at", "recorded_at", "tax_paise", "tds_paise", "type", "utr", "value_date", "won")
+_JSON = "{" + ", ".join(f"'{f}': {f}" for f in _FIELDS) + "}"
+_add("f14_digests", f"SELECT merchant_id, event_id, sha256(CAST(to_json({_JSON}) AS VARCHAR)) AS digest FROM ev")
+_add("u1_union_of_sources", "SELECT merchant_id, event_id, occurred_at FROM ev")
+_add("u2_distinct_facts", "SELECT DISTINCT merchant_id, event_id FROM ev")
+_add("u2_ingestion", "SELECT merchant_id, count(*) + count(*) FILTER (WHERE type IN ('payment_captured', 'settlement_executed')) AS delivered, "
+     "count(*) AS recorded, count(*) FILTER (WHERE type IN ('payment_captured', 'settlement_executed')) AS skipped FROM ev GROUP BY ALL")
+_add("u3_missing_facts", f"SELECT merchant_id, sha256(CAST(to_json({_JSON}) AS VARCHAR)) AS digest, 'left' AS only_in FROM ev WHERE type = 'bank_debit'")
+_add("q4_refolded_balances", "SELECT '' AS merchant_id, '' AS account, 0 AS balance_paise WHERE false")
+_add("q7_repeated_facts", "SELECT merchant_id, count(*) AS facts, 2 * count(*) AS copies FROM ev WHERE type IN ('payment_captured', 'settlement_executed') GROUP BY ALL")
+_add("w2_broken_links", "SELECT '' AS merchant_id, 0 AS batch, '' AS reason WHERE false")
+_add("w4_sequence", "SELECT '' AS merchant_id, 0 AS first, 0 AS last, 0 AS rows, 0 AS different WHERE false")
+_add("w5_sequence", "SELECT merchant_id, event_id, row_number() OVER (PARTITION BY merchant_id ORDER BY recorded_at, occurred_at, event_id) AS seq FROM ev")
+_add("x12_pack_verify", "SELECT '' AS merchant_id, 0 AS window_id, '' AS reason WHERE false")
+_add("w1_balance_check", "SELECT file, line, checked, broken FROM st_checked")
+_add("w1_statement_report", "SELECT s.file, count(*) FILTER (WHERE NOT opening) AS rows, CAST(coalesce(sum(debit_paise), 0) AS BIGINT) AS debits_paise, "
+     "CAST(coalesce(sum(credit_paise), 0) AS BIGINT) AS credits_paise, any_value(balances_seen) AS balances_seen, any_value(checked) AS checked, any_value(broken) AS broken, "
+     "any_value(checked) > 0 AND any_value(broken) = 0 AS reconciles FROM st s JOIN (SELECT file, count(*) AS balances_seen, count(*) FILTER (WHERE checked) AS checked, "
+     "count(*) FILTER (WHERE broken) AS broken FROM st_checked GROUP BY file) c ON c.file = s.file GROUP BY s.file")
+_add("s8_statement_events", "SELECT split_part(file, '-', 1) AS merchant_id, CASE WHEN credit_paise <> 0 THEN 'stmt-cr-' ELSE 'stmt-dr-' END || ident AS event_id, "
+     "CASE WHEN credit_paise <> 0 THEN 'bank_credit_received' WHEN regexp_matches(lower(narration), 'chrg|charge|chg|comm|amc|maint|sms alert|annual fee|service fee|penalty|gst on') "
+     "THEN 'bank_charge_applied' ELSE 'bank_debit' END AS type, txn_date AS occurred_at, ident AS entity_id, CASE WHEN credit_paise <> 0 THEN credit_paise ELSE debit_paise END AS amount_paise, narration "
+     "FROM (SELECT *, 'bank-' || strftime(txn_date, '%Y%m%d') || '-' || line AS ident FROM st WHERE NOT opening)")
+_add("a11_supplier_credit", "SELECT merchant_id, supplier_gstin, count(*) AS invoices, CAST(sum(tax_paise) AS BIGINT) AS credit_paise FROM invoices GROUP BY ALL")
+_add("a23_statement_totals", "SELECT file, CAST(sum(debit_paise) AS BIGINT) AS debits_paise, CAST(sum(credit_paise) AS BIGINT) AS credits_paise FROM st0 GROUP BY file")
+_add("c23_gst_shortfall", "SELECT * FROM tax_gst")
+_add("c24_malformed_gstins", "SELECT * FROM tax_bad")
+_add("c25_tds_gap", "SELECT * FROM tax_tds")
+_add("c26_tax_risks", "SELECT *, CAST(row_number() OVER (PARTITION BY merchant_id, window_id ORDER BY abs(amount_paise) DESC, kind) AS INT) AS position FROM ("
+     "SELECT merchant_id, window_id, 'tds_194o' AS kind, amount_paise FROM tax_tds UNION ALL SELECT merchant_id, window_id, 'gst_input_credit', amount_paise FROM tax_gst "
+     "UNION ALL SELECT merchant_id, window_id, 'malformed_gstin', amount_paise FROM tax_bad)")
+_add("j12_paid_against_available", "SELECT merchant_id, CAST(sum(paid_paise) AS BIGINT) AS paid_paise, CAST(sum(shown_paise) AS BIGINT) AS shown_paise FROM tax_gst GROUP BY ALL")
+_add("f4_apportion", "SELECT k, line, CAST(share + CASE WHEN turn <= total_paise - given THEN 1 ELSE 0 END AS BIGINT) AS share_paise FROM ("
+     "SELECT *, sum(share) OVER (PARTITION BY k) AS given, row_number() OVER (PARTITION BY k ORDER BY rest DESC, line DESC) AS turn FROM ("
+     "SELECT *, CAST(total_paise AS HUGEINT) * weight // every AS share, CAST(total_paise AS HUGEINT) * weight % every AS rest FROM ("
+     "SELECT l_orderkey AS k, l_linenumber AS line, CAST(sum(CAST(l_quantity AS BIGINT)) AS HUGEINT) AS weight, sum(sum(CAST(l_quantity AS BIGINT))) OVER (PARTITION BY l_orderkey) AS every, "
+     "any_value(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS total_paise FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_linenumber)))")
+_add("f9_narration_styles", r"""SELECT c.merchant_id, CASE WHEN contains(narration, p.utr) THEN CASE WHEN regexp_matches(substr(narration, strpos(narration, p.utr) + length(p.utr), 1), '[0-9]') THEN 'noisy' ELSE 'clean' END
+ WHEN contains(regexp_replace(upper(narration), '[^\p{L}\p{N}]', '', 'g'), p.utr) THEN 'cased'
+ WHEN contains(regexp_replace(upper(narration), '[^\p{L}\p{N}]', '', 'g'), left(p.utr, 6)) THEN 'truncated' ELSE 'absent' END AS style, count(*) AS credits
+ FROM ev c JOIN truth_links t ON t.merchant_id = c.merchant_id AND t.bank_txn_id = c.entity_id JOIN payouts p ON p.merchant_id = t.merchant_id AND p.settlement_id = t.settlement_id
+ WHERE c.type = 'bank_credit_received' GROUP BY ALL""")
+_add("x8_checked_figures", "SELECT merchant_id, window_id, paise, grounded, CASE WHEN NOT grounded THEN (SELECT arg_min(a, abs(a - abs(paise)) * 2 + CASE WHEN a > abs(paise) THEN 1 ELSE 0 END) FROM "
+     "(SELECT p.merchant_id AS m, p.window_id AS w, abs(amount_paise) AS a FROM permitted p) q WHERE q.m = g.merchant_id AND q.w = g.window_id) END AS nearest_paise FROM grounded g")
+_add("x8_grounding_rate", "SELECT merchant_id, window_id, count(*) AS figures, count(*) FILTER (WHERE grounded) AS grounded, round(avg(CAST(grounded AS INT)), 6) AS rate FROM grounded GROUP BY ALL")
+_add("x18_permitted_figures", "SELECT * FROM permitted")
+
+# --- forecasts, search -------------------------------------------------------------------------
+_add("a12_weekday_shape", "SELECT * FROM weekdays")
+_add("a12_rates", "SELECT * FROM rates")
+_add("a24_overdue_and_written_off", "SELECT o.merchant_id, o.as_of, overdue_paise, written_off_paise FROM overdue o JOIN written_off w ON w.merchant_id = o.merchant_id AND w.as_of = o.as_of")
+_add("x1_forecast_days", "SELECT * FROM fdays")
+_add("x1_forecast_totals", "SELECT f.*, overdue_paise, written_off_paise FROM (SELECT merchant_id, as_of, CAST(sum(committed_paise) AS BIGINT) AS committed_paise, CAST(sum(projected_paise) AS BIGINT) AS projected_paise, "
+     "CAST(sum(expected_paise) AS BIGINT) AS expected_paise FROM fdays GROUP BY ALL) f JOIN overdue o ON o.merchant_id = f.merchant_id AND o.as_of = f.as_of JOIN written_off w ON w.merchant_id = f.merchant_id AND w.as_of = f.as_of")
+_add("w14_through", "SELECT merchant_id, as_of, day, CAST(sum(expected_paise) OVER (PARTITION BY merchant_id, as_of ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS through_paise FROM fdays")
+_add("x3_outcomes", "SELECT * FROM outcomes")
+_add("a13_backtest", "SELECT merchant_id, count(*) AS windows, round(coalesce(avg(CASE WHEN actual_paise <> 0 THEN abs(error_paise) / abs(actual_paise) END), 0), 6) AS mape, "
+     "CAST(sum(error_paise) AS BIGINT) AS bias_paise, round(CASE WHEN sum(actual_paise) <> 0 THEN -sum(error_paise) / sum(actual_paise) ELSE 0 END, 6) AS optimism, "
+     "count(*) FILTER (WHERE error_paise < 0) AS days_short FROM outcomes GROUP BY ALL")
+_add("k4_worst_windows", "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY merchant_id ORDER BY abs(error_paise) DESC, as_of) AS INT) AS place FROM outcomes) WHERE place <= 3")
+_add("w7_split_floors", "SELECT *, actual_paise >= floor_paise AS held FROM floors")
+_COV = ("SELECT merchant_id, count(*) FILTER (WHERE actual_paise >= floor_paise) AS held, count(*) FILTER (WHERE actual_paise < floor_paise) AS breached, "
+        "CAST(sum(floor_paise) AS BIGINT) AS floor_paise, CAST(sum(actual_paise) AS BIGINT) AS actual_paise FROM floors WHERE certified GROUP BY ALL")
+_add("a14_coverage", f"SELECT *, held + breached AS independent, round(held / (held + breached), 6) AS empirical, round(CASE WHEN actual_paise = 0 THEN 0 ELSE floor_paise / actual_paise END, 6) AS tightness, "
+     f"held / (held + breached) >= 0.9 AS meets_target, 'split' AS method FROM ({_COV})")
+_add("x4_slices", "SELECT * FROM slices")
+_add("x6_hold_out", "SELECT * FROM hold")
+_add("x6_rediscover", "SELECT * FROM swept")
+_add("x5_blame_largest", "SELECT c.merchant_id, c.window_id, c.cause, l.account, l.amount_paise AS claim_paise, l.amount_paise = any_value(c.remainder_paise) AND bool_and("
+     "v.claimed_paise - CASE WHEN h.account = v.account THEN c.amount_paise ELSE 0 END + CASE WHEN l.account = v.account THEN l.amount_paise ELSE 0 END = v.actual_paise) AS accepted "
+     "FROM cases c JOIN largest l ON l.merchant_id = c.merchant_id AND l.window_id = c.window_id JOIN claim_of h ON h.cause = c.cause "
+     "JOIN coverage v ON v.merchant_id = c.merchant_id AND v.window_id = c.window_id GROUP BY c.merchant_id, c.window_id, c.cause, l.account, l.amount_paise")
+_ALARMING = "('fee_rate_increase', 'chargeback_lost', 'gateway_adjustment', 'risk_hold', 'settlement_never_arrived')"
+_add("x7_second_opinion", f"SELECT * EXCLUDE (rn) FROM (SELECT *, cause IN {_ALARMING} AS alarming, row_number() OVER (PARTITION BY merchant_id, window_id "
+     f"ORDER BY cause IN {_ALARMING} DESC, abs(amount_paise) DESC, cause) AS rn FROM swept) WHERE rn = 1")
+_add("x17_drill_down", "SELECT p.merchant_id, window_id, event_id, account, amount_paise, ref FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id "
+     "AND occurred_at BETWEEN window_start AND window_end WHERE account = 'chargeback_loss'")

@@ -194,7 +194,7 @@ def query(body: str, **local: str) -> str:
     known = {**CTES, **local}
 
     def visit(text: str, skip: str = "") -> None:
-        words = set(re.findall(r"[a-z_][a-z_0-9]*", re.sub(r"'[^']*'", "''", text)))
+        words = set(re.findall(r"(?:FROM|JOIN)\s+([a-z_][a-z_0-9]*)", text))
         for name in known:
             if name in words and name != skip and name not in order:
                 visit(known[name], name)
@@ -320,7 +320,7 @@ WHERE account NOT IN ('revenue', 'bank') OR (account = 'revenue' AND event_type
 CTES["coverage"] = """
 SELECT w.merchant_id, w.window_id, a.account, CAST(coalesce(c.claimed_paise, 0) AS BIGINT) AS claimed_paise,
        CAST(coalesce(m.actual_paise, 0) AS BIGINT) AS actual_paise
-FROM windows w, (SELECT DISTINCT account FROM claim_of) a
+FROM windows w CROSS JOIN (SELECT DISTINCT account FROM claim_of) a
 LEFT JOIN (SELECT merchant_id, window_id, account, sum(amount_paise) AS claimed_paise FROM refined JOIN claim_of USING (cause) GROUP BY ALL) c
   ON c.merchant_id = w.merchant_id AND c.window_id = w.window_id AND c.account = a.account
 LEFT JOIN moved m ON m.merchant_id = w.merchant_id AND m.window_id = w.window_id AND m.account = a.account"""
@@ -489,3 +489,164 @@ SELECT merchant_id, hike_started, since_paise,
 FROM (SELECT w.merchant_id, hike_started, last_day, CAST(sum(overcharge_paise) AS BIGINT) AS since_paise FROM weekly w
       JOIN (SELECT merchant_id, min(window_start) FILTER (WHERE overcharge_paise > 0) AS hike_started, max(window_end) AS last_day FROM weekly GROUP BY ALL) h
       ON h.merchant_id = w.merchant_id WHERE window_start >= hike_started GROUP BY ALL)"""
+
+
+# --- statements, tax, text, forecasts ------------------------------------------------------
+
+CTES["st0"] = """
+SELECT merchant_id || '-' || strftime(occurred_at, '%Y%m') AS file, occurred_at AS txn_date, narration, entity_id,
+       CASE WHEN type = 'bank_credit_received' THEN 0 ELSE amount_paise END AS debit_paise,
+       CASE WHEN type = 'bank_credit_received' THEN amount_paise ELSE 0 END AS credit_paise
+FROM ev WHERE type IN ('bank_credit_received', 'bank_charge_applied', 'bank_debit')"""
+CTES["st1"] = """
+SELECT *, 1 + row_number() OVER (PARTITION BY file ORDER BY txn_date, entity_id) AS line,
+       100000000 + sum(credit_paise - debit_paise) OVER (PARTITION BY file ORDER BY txn_date, entity_id ROWS UNBOUNDED PRECEDING) AS running FROM st0"""
+CTES["st"] = """
+SELECT file, line, txn_date, narration, debit_paise, credit_paise, false AS opening,
+       CASE WHEN line % 7 <> 3 THEN running + CASE WHEN line % 13 = 5 THEN 100 ELSE 0 END END AS balance_paise FROM st1
+UNION ALL SELECT DISTINCT file, 1, NULL, NULL, NULL, NULL, true, 100000000 FROM st0"""
+CTES["st_checked"] = """
+SELECT file, line, opening, lag(line) OVER (PARTITION BY file ORDER BY line) IS NOT NULL AND NOT opening AS checked,
+       coalesce(balance_paise - lag(balance_paise) OVER (PARTITION BY file ORDER BY line) <> cum - lag(cum) OVER (PARTITION BY file ORDER BY line), false) AS broken
+FROM (SELECT *, sum(coalesce(credit_paise, 0) - coalesce(debit_paise, 0)) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS cum FROM st)
+WHERE balance_paise IS NOT NULL"""
+CTES["wfees"] = """
+SELECT p.merchant_id, window_id, CAST(sum(fee_paise) AS BIGINT) AS fee, CAST(sum(tax_paise) AS BIGINT) AS tax, CAST(sum(tds_paise) AS BIGINT) AS tds,
+       CAST(sum(contract_paise) AS BIGINT) AS contract
+FROM priced p JOIN windows w ON w.merchant_id = p.merchant_id AND occurred_at BETWEEN window_start AND window_end GROUP BY ALL"""
+CTES["invoices"] = """
+SELECT merchant_id, window_id, '29ABCDE1234F1Z5' AS supplier_gstin, tax - CASE WHEN window_id % 7 = 3 THEN 1000 ELSE 0 END AS tax_paise,
+       window_id % 2 = 1 AS valid FROM wfees WHERE window_id % 5 <> 0
+UNION ALL SELECT merchant_id, window_id, '29XXXXX9999X9X9', 18000 + window_id, false FROM wfees WHERE window_id % 6 = 1"""
+CTES["f26"] = "SELECT merchant_id, window_id, tds - CASE WHEN window_id % 3 = 0 THEN 500 ELSE 0 END AS amount_paise FROM wfees WHERE window_id % 4 <> 2"
+CTES["tax_gst"] = """
+SELECT f.merchant_id, f.window_id, greatest(tax - coalesce(t, 0), 0) AS amount_paise, tax AS paid_paise, CAST(coalesce(t, 0) AS BIGINT) AS shown_paise
+FROM wfees f LEFT JOIN (SELECT merchant_id, window_id, sum(tax_paise) AS t FROM invoices WHERE supplier_gstin = '29ABCDE1234F1Z5' GROUP BY ALL) i
+ON i.merchant_id = f.merchant_id AND i.window_id = f.window_id WHERE tax <> 0"""
+CTES["tax_bad"] = """
+SELECT merchant_id, window_id, count(*) AS invoices, CAST(sum(tax_paise) AS BIGINT) AS amount_paise FROM invoices WHERE NOT valid GROUP BY ALL"""
+CTES["tax_tds"] = """
+SELECT f.merchant_id, f.window_id, greatest(tds - coalesce(x.amount_paise, 0), 0) AS amount_paise, tds AS paid_paise, x.amount_paise AS shown_paise
+FROM wfees f LEFT JOIN f26 x ON x.merchant_id = f.merchant_id AND x.window_id = f.window_id WHERE tds <> 0"""
+
+CTES["origins"] = """
+SELECT merchant_id, CAST(unnest(generate_series(lo + INTERVAL 60 DAY, hi - INTERVAL 14 DAY, INTERVAL 28 DAY)) AS DATE) AS as_of
+FROM (SELECT merchant_id, min(occurred_at) AS lo, max(occurred_at) AS hi FROM ev GROUP BY merchant_id)"""
+CTES["known_ev"] = """
+SELECT o.as_of, e.* FROM origins o JOIN ev e ON e.merchant_id = o.merchant_id AND e.occurred_at <= o.as_of AND e.recorded_at <= o.as_of"""
+CTES["lookback"] = "SELECT * FROM known_ev WHERE occurred_at >= as_of - 45"
+CTES["rates"] = """
+SELECT *, gross - fees - deductions AS implied FROM (SELECT o.merchant_id, o.as_of,
+  CAST(coalesce(sum(amount_paise) FILTER (WHERE type = 'payment_captured'), 0) AS BIGINT) AS gross,
+  CAST(coalesce(sum(fee_paise + tax_paise + tds_paise) FILTER (WHERE type = 'payment_captured'), 0) AS BIGINT) AS fees,
+  CAST(coalesce(sum(amount_paise) FILTER (WHERE type IN ('refund_issued', 'dispute_opened')), 0) AS BIGINT) AS deductions,
+  CAST(coalesce(sum(amount_paise) FILTER (WHERE type = 'bank_credit_received'), 0) AS BIGINT) AS landed
+FROM origins o LEFT JOIN lookback l ON l.merchant_id = o.merchant_id AND l.as_of = o.as_of GROUP BY ALL)"""
+CTES["weekdays"] = """
+SELECT merchant_id, as_of, CAST(isodow(occurred_at) - 1 AS INT) AS weekday, CAST(floor(sum(w * g) / sum(w) + 0.5) AS BIGINT) AS typical
+FROM (SELECT merchant_id, as_of, occurred_at, CAST(sum(amount_paise) AS DOUBLE) AS g, pow(0.5, CAST(as_of - occurred_at AS INT) / 45.0) AS w
+      FROM lookback WHERE type = 'payment_captured' GROUP BY ALL) GROUP BY ALL"""
+CTES["waiting"] = """
+SELECT k.merchant_id, k.as_of, k.amount_paise - k.fee_paise - k.tax_paise - k.tds_paise AS net, c.t2_actual AS lands
+FROM known_ev k JOIN calendar c ON c.d = k.occurred_at
+WHERE k.type = 'payment_captured' AND NOT EXISTS (SELECT 1 FROM covers v WHERE v.merchant_id = k.merchant_id AND v.payment_id = k.entity_id AND v.settled_on <= k.as_of)"""
+CTES["ocr"] = "SELECT merchant_id, as_of, entity_id AS bank_txn_id, amount_paise, occurred_at, narration FROM known_ev WHERE type = 'bank_credit_received'"
+CTES["opa"] = "SELECT merchant_id, as_of, entity_id AS settlement_id, utr, amount_paise, occurred_at FROM known_ev WHERE type = 'settlement_executed'"
+CTES.update(link_ctes("o", "merchant_id, as_of"))
+CTES["overdue"] = """
+SELECT o.merchant_id, o.as_of, CAST(coalesce(sum(net) FILTER (WHERE lands <= o.as_of), 0) AS BIGINT) AS overdue_paise
+FROM origins o LEFT JOIN waiting w ON w.merchant_id = o.merchant_id AND w.as_of = o.as_of GROUP BY ALL"""
+CTES["written_off"] = """
+SELECT o.merchant_id, o.as_of, CAST(coalesce(sum(amount_paise) FILTER (WHERE u.occurred_at < o.as_of - 3), 0) AS BIGINT) AS written_off_paise
+FROM origins o LEFT JOIN ounlinked u ON u.merchant_id = o.merchant_id AND u.as_of = o.as_of GROUP BY ALL"""
+CTES["pending"] = """
+SELECT merchant_id, as_of, day, CAST(sum(net) AS BIGINT) AS net FROM (
+  SELECT merchant_id, as_of, lands AS day, net FROM waiting WHERE lands > as_of
+  UNION ALL SELECT merchant_id, as_of, next_open, amount_paise FROM ounlinked JOIN calendar ON d = as_of + 1 WHERE occurred_at >= as_of - 3) GROUP BY ALL"""
+
+
+def _rh(x: str, n: str, d: str) -> str:
+    up = f"(2 * CAST(abs({x}) AS HUGEINT) * {n} + {d}) // (2 * CAST({d} AS HUGEINT))"
+    return f"CASE WHEN {d} = 0 THEN 0 WHEN {x} < 0 THEN -({up}) ELSE {up} END"
+
+
+def _real(x: str) -> str:
+    return f"CASE WHEN implied > 0 AND landed < implied THEN {_rh(x, 'landed', 'implied')} ELSE {x} END"
+
+
+CTES["committed"] = f"""
+SELECT merchant_id, as_of, day, CAST({_real("a")} AS BIGINT) AS committed_paise FROM (
+  SELECT p.merchant_id, p.as_of, day, implied, landed, net - {_rh("net", "deductions", "gross")} AS a
+  FROM pending p JOIN rates r ON r.merchant_id = p.merchant_id AND r.as_of = p.as_of)"""
+CTES["ahead"] = "SELECT merchant_id, as_of, CAST(as_of + CAST(unnest(range(1, 15)) AS INT) AS DATE) AS day FROM origins"
+CTES["projected"] = f"""
+SELECT merchant_id, as_of, t2_actual AS day, CAST(sum({_real("b")}) AS BIGINT) AS projected_paise FROM (
+  SELECT *, a - {_rh("a", "deductions", "gross")} AS b FROM (
+    SELECT h.merchant_id, h.as_of, c.t2_actual, gross, fees, deductions, landed, implied, typical - {_rh("typical", "fees", "gross")} AS a
+    FROM ahead h JOIN calendar c ON c.d = h.day JOIN weekdays w ON w.merchant_id = h.merchant_id AND w.as_of = h.as_of AND w.weekday = isodow(h.day) - 1
+    JOIN rates r ON r.merchant_id = h.merchant_id AND r.as_of = h.as_of)) GROUP BY ALL"""
+CTES["fdays"] = """
+SELECT merchant_id, as_of, day, committed_paise, projected_paise, committed_paise + projected_paise AS expected_paise FROM (
+  SELECT h.merchant_id, h.as_of, h.day, CASE WHEN c.is_bank_day THEN coalesce(committed_paise, 0) ELSE 0 END AS committed_paise,
+         CASE WHEN c.is_bank_day THEN coalesce(projected_paise, 0) ELSE 0 END AS projected_paise
+  FROM ahead h JOIN calendar c ON c.d = h.day
+  LEFT JOIN committed m ON m.merchant_id = h.merchant_id AND m.as_of = h.as_of AND m.day = h.day
+  LEFT JOIN projected p ON p.merchant_id = h.merchant_id AND p.as_of = h.as_of AND p.day = h.day)"""
+CTES["outcomes"] = """
+SELECT f.merchant_id, f.as_of, f.forecast_paise, a.actual_paise, a.actual_paise - f.forecast_paise AS error_paise
+FROM (SELECT merchant_id, as_of, CAST(sum(expected_paise) AS BIGINT) AS forecast_paise FROM fdays GROUP BY ALL) f
+JOIN (SELECT o.merchant_id, o.as_of, CAST(coalesce(sum(amount_paise), 0) AS BIGINT) AS actual_paise FROM origins o LEFT JOIN ev e
+      ON e.merchant_id = o.merchant_id AND e.type = 'bank_credit_received' AND e.occurred_at > o.as_of AND e.occurred_at <= o.as_of + 14 GROUP BY ALL) a
+ON a.merchant_id = f.merchant_id AND a.as_of = f.as_of"""
+CTES["floors"] = """
+SELECT merchant_id, as_of, forecast_paise, actual_paise, CAST(n AS INT) AS calibrated_on,
+       greatest(0, CAST(trunc(forecast_paise * (1 - q)) AS BIGINT)) AS floor_paise, n >= 9 AS certified
+FROM (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE past[CAST(least(ceil((n + 1) * (1 - CAST(0.1 AS DOUBLE))), n) AS INT)] END AS q
+      FROM (SELECT *, len(past) AS n FROM (SELECT *, list_sort(coalesce(list(score) OVER (PARTITION BY merchant_id ORDER BY as_of ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])) AS past
+            FROM (SELECT *, CASE WHEN forecast_paise <= 0 THEN 0.0 ELSE CAST(forecast_paise - actual_paise AS DOUBLE) / CAST(forecast_paise AS DOUBLE) END AS score
+                  FROM outcomes WHERE forecast_paise <> 0))))"""
+
+# --- search and grounding -------------------------------------------------------------------
+
+CTES["hold"] = """
+SELECT f.merchant_id, f.window_id, f.cause, f.amount_paise,
+       CAST(s.remainder_paise + f.amount_paise - CASE WHEN p.raw_paise IS NOT NULL AND p.raw_paise <> 0 THEN r.raw_paise ELSE 0 END AS BIGINT) AS remainder_paise,
+       f.cause IN ('captured_not_yet_settled', 'settlement_in_flight') AS refined_by_other
+FROM findings f JOIN refined r ON r.merchant_id = f.merchant_id AND r.window_id = f.window_id AND r.cause = f.cause
+JOIN summary s ON s.merchant_id = f.merchant_id AND s.window_id = f.window_id
+LEFT JOIN refined p ON p.merchant_id = f.merchant_id AND p.window_id = f.window_id
+  AND p.cause = CASE f.cause WHEN 'bank_holiday_delay' THEN 'captured_not_yet_settled' WHEN 'settlement_never_arrived' THEN 'settlement_in_flight' END"""
+CTES["slices"] = """
+SELECT merchant_id, window_id, account || '|' || event_type AS slice, account, amount_paise FROM moves
+UNION ALL SELECT merchant_id, window_id, account, account, CAST(sum(amount_paise) AS BIGINT) FROM moves GROUP BY ALL
+UNION ALL SELECT merchant_id, window_id, 'fee_at_contracted_rate', 'fee_expense', contract FROM wfees
+UNION ALL SELECT merchant_id, window_id, 'fee_as_billed', 'fee_expense', fee FROM wfees
+UNION ALL SELECT merchant_id, window_id, 'fee_billed_above_contract', 'fee_expense', fee - contract FROM wfees"""
+CTES["cases"] = "SELECT * FROM hold WHERE remainder_paise <> 0 AND NOT refined_by_other"
+CTES["proposed"] = """
+SELECT * FROM (SELECT c.merchant_id, c.window_id, c.cause, min(s.account) AS account, count(DISTINCT s.account) AS accounts,
+  arg_min(slice, CAST(CASE WHEN contains(slice, '|') THEN 0 ELSE 1 END AS VARCHAR) || lpad(CAST(length(slice) AS VARCHAR), 4, '0') || slice) AS slice
+FROM cases c JOIN slices s ON s.merchant_id = c.merchant_id AND s.window_id = c.window_id AND s.amount_paise = c.remainder_paise GROUP BY ALL) WHERE accounts = 1"""
+CTES["judged"] = """
+SELECT c.merchant_id, c.window_id, c.cause, p.slice, p.account, bool_and(
+  v.claimed_paise - CASE WHEN h.account = v.account THEN c.amount_paise ELSE 0 END + CASE WHEN p.account = v.account THEN c.remainder_paise ELSE 0 END = v.actual_paise) AS accepted
+FROM cases c JOIN proposed p ON p.merchant_id = c.merchant_id AND p.window_id = c.window_id AND p.cause = c.cause
+JOIN claim_of h ON h.cause = c.cause JOIN coverage v ON v.merchant_id = c.merchant_id AND v.window_id = c.window_id GROUP BY ALL"""
+CTES["swept"] = """
+SELECT c.merchant_id, c.window_id, c.cause, c.amount_paise, c.remainder_paise, j.slice, j.account, coalesce(j.accepted, false) AS accepted
+FROM cases c LEFT JOIN judged j ON j.merchant_id = c.merchant_id AND j.window_id = c.window_id AND j.cause = c.cause"""
+CTES["largest"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id, window_id ORDER BY abs(amount_paise) DESC, account) AS rn FROM (
+  SELECT merchant_id, window_id, account, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM moves WHERE account <> 'bank' GROUP BY ALL)) WHERE rn = 1"""
+CTES["permitted"] = """
+SELECT DISTINCT merchant_id, window_id, amount_paise FROM (
+  SELECT merchant_id, window_id, unnest([raw_paise, amount_paise]) AS amount_paise FROM refined WHERE raw_paise <> 0
+  UNION ALL SELECT merchant_id, window_id, amount_paise FROM exceptions
+  UNION ALL SELECT merchant_id, window_id, unnest([gross_paise, landed_paise, gap_paise, explained_paise, remainder_paise, unresolved_paise]) FROM summary)"""
+CTES["cited"] = """
+SELECT s.merchant_id, s.window_id, unnest(CASE WHEN s.window_id % 9 = 4 THEN [landed_paise, gross_paise, gap_paise + 12345]
+       WHEN f.amount_paise IS NULL THEN [landed_paise, gross_paise, gap_paise] ELSE [landed_paise, gross_paise, gap_paise, f.amount_paise] END) AS paise
+FROM summary s LEFT JOIN findings f ON f.merchant_id = s.merchant_id AND f.window_id = s.window_id AND f.position = 1"""
+CTES["grounded"] = """
+SELECT c.merchant_id, c.window_id, paise, EXISTS (SELECT 1 FROM permitted p WHERE p.merchant_id = c.merchant_id AND p.window_id = c.window_id
+       AND abs(p.amount_paise) = abs(c.paise)) AS grounded FROM cited c"""
