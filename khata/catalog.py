@@ -258,7 +258,7 @@ def _(s):
 
 @query("u4_accounts_touched")
 def _(s):
-    claimed = causes.refined(causes.measured(s.books)).select(
+    claimed = causes.refined(s.books.measured).select(
         *WINDOW, causes.lookup(F.col("cause"), "account").alias("account"))
     moved = movements.account_movements(s.books.moves).select(*WINDOW, "account")
     return claimed.union(moved).distinct()
@@ -270,7 +270,7 @@ query("x11_linkage_against_naive")(lambda s: scoring.linkage_against_naive(s.boo
 query("x11_greedy_against_careful")(lambda s: scoring.greedy_against_careful(s.books, s.truth_links))
 query("x13_closed_weeks")(lambda s: scoring.closed_weeks(s.books))
 query("x15_fee_audit")(lambda s: fees.fee_audit(s.books.priced))
-query("x20_evidence_grid")(lambda s: causes.all_evidence(s.books, causes.refined(causes.measured(s.books))).drop("title"))
+query("x20_evidence_grid")(lambda s: causes.all_evidence(s.books, causes.refined(s.books.measured)).drop("title"))
 
 # --- log ---------------------------------------------------------------------------------------
 

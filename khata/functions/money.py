@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def paise_from_rupees(text: Column) -> Column:
     """Rupees (text or decimal) to paise, half-up; NULL when it is not a number."""
-    rupees = text.cast("string").try_cast("decimal(24,10)")
-    return F.round(rupees * F.lit(100).cast("decimal(3,0)"), 0).cast("bigint")
+    rupees = text.cast("string").try_cast("decimal(33,10)")
+    return F.round(rupees * F.lit(100).cast("decimal(3,0)"), 0).try_cast("bigint")
 
 
 def paise_or_zero(text: Column) -> Column:

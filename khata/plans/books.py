@@ -32,7 +32,15 @@ class Books:
 
     @cached_property
     def moves(self) -> DataFrame:
-        return movements.window_movements(self.daily, self.windows)
+        """Sums per window, account and event type: at most a few dozen rows per window."""
+        return cut(movements.window_movements(self.daily, self.windows), "moves")
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        """Raw amount of every cause per window; findings, proof, packs and searches all read it."""
+        from khata.plans.causes import measure
+
+        return cut(measure(self), "measured")
 
     @cached_property
     def priced(self) -> DataFrame:

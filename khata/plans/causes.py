@@ -223,7 +223,7 @@ def never_arrived(books: Books) -> DataFrame:
 SOURCES: list[Callable[[Books], DataFrame]] = [slice_causes, fee_causes, holiday_delay, never_arrived]
 
 
-def measured(books: Books) -> DataFrame:
+def measure(books: Books) -> DataFrame:
     """Raw amount of every cause that is not zero, per window."""
     out: DataFrame | None = None
     for source in SOURCES:

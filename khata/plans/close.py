@@ -15,7 +15,7 @@ CLAIMED = tuple(sorted({c.account for c in causes.CAUSES}))
 
 def findings(books: Books, without: tuple[str, ...] = ()) -> DataFrame:
     """Supported causes with something left after refinement, biggest first within a window."""
-    amounts = causes.refined(causes.measured(books), without)
+    amounts = causes.refined(books.measured, without)
     kept = amounts.filter(causes.supported(amounts)).filter("amount_paise <> 0")
     biggest = Window.partitionBy(*WINDOW).orderBy(F.abs("amount_paise").desc(), "cause")
     cause = F.col("cause")
@@ -31,7 +31,7 @@ def findings(books: Books, without: tuple[str, ...] = ()) -> DataFrame:
 
 def coverage(books: Books, without: tuple[str, ...] = ()) -> DataFrame:
     """Per window and account: what the causes claim against what moved."""
-    amounts = causes.refined(causes.measured(books), without)
+    amounts = causes.refined(books.measured, without)
     claimed = (
         amounts.withColumn("account", causes.lookup(F.col("cause"), "account"))
         .groupBy(*WINDOW, "account")

@@ -60,7 +60,7 @@ def grounding_rate(checked: DataFrame, keys: list[str]) -> DataFrame:
 
 def permitted_figures(books: Books) -> DataFrame:
     """Amounts a text about a window may quote: findings raw and refined, exceptions and their sum, headline figures."""
-    amounts = causes.refined(causes.measured(books))
+    amounts = causes.refined(books.measured)
     stands = amounts.filter(causes.supported(amounts))
     out = stands.select(*WINDOW, F.explode(F.array("raw_paise", "amount_paise")).alias("amount_paise"))
     out = out.unionByName(exceptions(books).select(*WINDOW, "amount_paise"))

@@ -293,8 +293,9 @@ class SampleLedger:
 
     @cached_property
     def events(self) -> DataFrame:
+        """Events of orders as written, those of payouts made on the fly from the few payout rows."""
         parts = self.from_orders.unionByName(payout_events(self.payouts))
-        return cut(parts.unionByName(rate_changes(self.spark, self.folder)), "events")
+        return parts.unionByName(rate_changes(self.spark, self.folder))
 
     @cached_property
     def covers(self) -> DataFrame:

@@ -60,7 +60,7 @@ def propose(open_cases: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def hold_out(books: Books) -> DataFrame:
     """Every finding of every window taken away once: what is left open then."""
-    amounts = causes.refined(causes.measured(books))
+    amounts = causes.refined(books.measured)
     found = amounts.filter(causes.supported(amounts)).filter("amount_paise <> 0")
     explained = found.groupBy(*WINDOW).agg(F.sum("amount_paise").alias("explained"))
     base = variance(books.moves, books.windows).select(*WINDOW, "gap_paise").join(explained, WINDOW, "left")
