@@ -313,6 +313,15 @@ def rolling_origins(events: DataFrame, warmup: int, step: int, horizon: int) ->
     )
 
 
+def calibration_origins(as_of: DataFrame, lookback: int = 140, horizon: int = 14) -> DataFrame:
+    """Origins a horizon apart whose windows all end by ``as_of`` (merchant_id, as_of)."""
+    first = F.date_sub("as_of", lookback)
+    last = F.date_sub("as_of", horizon)
+    return as_of.select(
+        "merchant_id", F.explode(F.sequence(first, last, F.expr(f"INTERVAL {horizon} DAY"))).alias("as_of")
+    )
+
+
 def backtest(outcomes: DataFrame) -> DataFrame:
     """How good the forecasts of each merchant were."""
     error, actual = F.col("error_paise"), F.col("actual_paise")
