@@ -15,7 +15,10 @@ from khata.plans import (
     causes, close, conformal, forecast, grounding, insights, named, pack, restate, scoring, search, tax,
 )
 from khata.plans.sample_ledger import GATEWAY_GSTIN, SampleLedger, sample_ledger
-from khata.sources import statement
+from khata.plans.sample_stream import fact_stream
+from khata.sources import gateway, statement
+from khata.streaming import jobs
+from khata.streaming.run import run_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -363,7 +366,8 @@ query("x3_outcomes")(lambda s: s.outlook.outcomes)
 query("a13_backtest")(lambda s: forecast.backtest(s.outlook.outcomes))
 query("k4_worst_windows")(lambda s: forecast.worst(s.outlook.outcomes))
 query("w7_split_floors")(lambda s: conformal.split_floors(s.outlook.outcomes))
-query("w8_adaptive_floors")(lambda s: conformal.adaptive_floors(s.outlook.outcomes))
+query("w8_adaptive_floors")(lambda s: conformal.adaptive_floors(s.outlook.outcomes).withColumn(
+    "level", F.round("level", 9)).withColumn("discount", F.round("discount", 9)))
 query("a14_coverage")(lambda s: conformal.coverage(conformal.split_floors(s.outlook.outcomes), "split", 14, 28))
 
 
@@ -384,3 +388,81 @@ query("x7_second_opinion")(lambda s: search.second_opinion(s.books))
 query("x17_drill_down")(lambda s: movements.in_windows(
     s.postings.filter("account = 'chargeback_loss'"), s.books.windows).select(
     *WINDOW, "event_id", "account", "amount_paise", "ref"))
+
+# --- sources over the ledger's own rows ------------------------------------------------------------------------
+
+
+def _report_items(s: SampleLedger) -> DataFrame:
+    """The ledger's order events as the rows a settlement report would carry."""
+    kinds = {"payment_captured": "payment", "refund_issued": "refund", "route_transfer": "transfer", "gateway_adjustment": "adjustment"}
+    rows = s.events.filter(F.col("type").isin(*kinds))
+    kind = None
+    for event, name in kinds.items():
+        kind = F.when(F.col("type") == event, name) if kind is None else kind.when(F.col("type") == event, name)
+    taken = F.col("type") == "payment_captured"
+    credit = F.when(taken, F.col("amount_paise") - F.col("fee_paise") - F.col("tax_paise")).otherwise(0)
+    seconds = F.unix_seconds(F.col("occurred_at").cast("timestamp"))
+    month = F.date_format("occurred_at", "yyyyMM")
+    wanted = {
+        "entity_id": F.col("entity_id"), "type": kind, "amount": F.col("amount_paise"), "credit": credit,
+        "debit": F.when(taken, 0).otherwise(F.col("amount_paise")), "fee": F.col("fee_paise"), "tax": F.col("tax_paise"),
+        "currency": F.lit("INR"), "created_at": seconds, "settled_at": F.unix_seconds(F.last_day("occurred_at").cast("timestamp")),
+        "settlement_id": F.concat(F.lit("rs_"), month), "settlement_utr": F.concat(month, "merchant_id"),
+        "order_id": F.col("counterparty"), "payment_id": F.col("counterparty"), "description": F.col("detail"), "method": F.col("method"),
+        "id": F.col("entity_id"), "entity": F.lit("payment"), "status": F.lit("captured"),
+    }
+    columns = []
+    for field in gateway.ITEM.split(", "):
+        name, typed = field.split(" ")
+        columns.append((wanted[name] if name in wanted else F.lit(None)).cast(typed).alias(name))
+    return rows.select("merchant_id", F.lit("report").alias("file"), F.xxhash64("event_id").alias("position"), *columns)
+
+
+_BOOKED = ["merchant_id", "event_id", "type", "occurred_at", "recorded_at", "entity_id", "counterparty", "amount_paise",
+           "fee_paise", "tax_paise", "utr", "detail"]
+query("s1_report_events")(lambda s: gateway.report_events(_report_items(s), F.lit("2002-01-01").cast("date")).select(*_BOOKED))
+query("s1_report_covers")(lambda s: gateway.report_covers(_report_items(s), F.lit("2002-01-01").cast("date")).select(
+    "merchant_id", "settlement_id", "payment_id"))
+
+
+@query("s2_payment_events")
+def _(s):
+    """Captures as a payments export reports them: the fee includes its tax."""
+    items = _report_items(s).filter("type = 'payment'").withColumn("fee", F.col("fee") + F.col("tax"))
+    return gateway.payment_events(items).select(*_BOOKED)
+
+
+@query("s3_refund_events")
+def _(s):
+    items = _report_items(s).filter("type = 'refund'").withColumn("status", F.when(F.col("amount") % 10 == 3, "failed").otherwise("processed"))
+    fast = F.when(F.col("description") == "instant", "optimum").otherwise("normal")
+    return gateway.refund_events(items.withColumn("speed_processed", fast)).select(*_BOOKED)
+
+
+query("p6_report_rejects")(lambda s: gateway.report_rejects(
+    _report_items(s).withColumn("currency", F.when(F.col("amount") % 100 == 7, "USD").otherwise(F.col("currency"))).withColumn(
+        "type", F.when(F.col("amount") % 100 == 9, "mystery").otherwise(F.col("type")))
+).select("merchant_id", "entity_id", "reason"))
+query("p7_lenient_report")(lambda s: gateway.report_events(
+    _report_items(s).withColumn("currency", F.when(F.col("amount") % 100 == 7, "USD").otherwise(F.col("currency"))),
+    F.lit("2002-01-01").cast("date"), strict=False).filter("type <> 'settlement_executed'").groupBy("merchant_id", "type").agg(
+    F.count("*").alias("events"), F.sum("amount_paise").alias("amount_paise")))
+
+# --- streams over the sample events ------------------------------------------------------------------------------
+
+
+def stream_query(name: str, mode: str, keys: list[str] | None = None):
+    def keep(build):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return run_to_table(build(fact_stream(spark, folder)), mode, name, keys)
+
+        QUERIES[name] = run
+        return build
+
+    return keep
+
+
+stream_query("t1_distinct_within", "append")(lambda facts: jobs.distinct_within(facts.union(facts)).select(
+    "merchant_id", "event_id", "type", "amount_paise"))
+stream_query("t3_weekly_movements", "update", ["merchant_id", "week_start", "account"])(jobs.weekly_movements)
+stream_query("t4_running_balances", "update", ["merchant_id", "account"])(jobs.running_balances)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.ledger_sql import query
+from oracle.ledger_sql import CTES, query
 
 SQL: dict[str, str] = {}
 
@@ -267,3 +267,102 @@ _add("x7_second_opinion", f"SELECT * EXCLUDE (rn) FROM (SELECT *, cause IN {_ALA
      f"ORDER BY cause IN {_ALARMING} DESC, abs(amount_paise) DESC, cause) AS rn FROM swept) WHERE rn = 1")
 _add("x17_drill_down", "SELECT p.merchant_id, window_id, event_id, account, amount_paise, ref FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id "
      "AND occurred_at BETWEEN window_start AND window_end WHERE account = 'chargeback_loss'")
+
+# --- whole period, recurrences, sources, streams ----------------------------------------------
+_WHOLE = ("SELECT merchant_id, 0 AS window_id, min(occurred_at) AS window_start, max(occurred_at) AS window_end FROM ev GROUP BY merchant_id")
+_add("a17_sizing", "SELECT count(*) AS merchants, CAST(sum(gross_paise) // count(*) AS BIGINT) AS avg_captured_paise, "
+     "CAST(sum(coalesce(recoverable_paise, 0)) // count(*) AS BIGINT) AS avg_recoverable_paise, CAST(sum(greatest(coalesce(chase_paise, 0), 0)) // count(*) AS BIGINT) AS avg_chase_paise, "
+     "CAST(sum(greatest(coalesce(tax_paise, 0), 0)) // count(*) AS BIGINT) AS avg_tax_paise, round(sum(coalesce(recoverable_paise, 0)) / sum(gross_paise), 4) AS recoverable_share "
+     "FROM variance v LEFT JOIN buckets b ON b.merchant_id = v.merchant_id", windows=_WHOLE)
+_add("a20_quarter", "SELECT s.merchant_id, window_start, window_end, gross_paise, landed_paise, gap_paise, remainder_paise, chase_paise, tax_paise, timing_paise, cost_paise, lost_paise, "
+     "recoverable_paise, weeks, hike_started, since_paise, per_year_paise FROM summary s LEFT JOIN buckets b ON b.merchant_id = s.merchant_id "
+     "JOIN (SELECT merchant_id, count(*) AS weeks FROM wk GROUP BY ALL) k ON k.merchant_id = s.merchant_id LEFT JOIN hiked h ON h.merchant_id = s.merchant_id",
+     windows=_WHOLE, wk=CTES["windows"],
+     over="SELECT k.merchant_id, k.window_id, window_start, window_end, sum(fee_paise - contract_paise) AS o FROM wk k JOIN priced p ON p.merchant_id = k.merchant_id "
+          "AND occurred_at BETWEEN window_start AND window_end GROUP BY ALL",
+     hiked="SELECT merchant_id, hike_started, since_paise, CAST(round_even(CAST(since_paise AS DECIMAL(20,0)) * 365 / greatest(CAST(last_day - hike_started AS INT) + 1, 1), 0) AS BIGINT) AS per_year_paise "
+           "FROM (SELECT w.merchant_id, hike_started, last_day, CAST(sum(o) AS BIGINT) AS since_paise FROM over w JOIN (SELECT o.merchant_id, min(o.window_start) FILTER (WHERE o > 0) AS hike_started, "
+           "any_value(hi) AS last_day FROM over o JOIN (SELECT merchant_id, max(window_end) AS hi FROM wk GROUP BY ALL) z ON z.merchant_id = o.merchant_id GROUP BY ALL) h "
+           "ON h.merchant_id = w.merchant_id WHERE w.window_start >= hike_started GROUP BY ALL)")
+_X2 = f"""
+SELECT o.merchant_id, o.as_of, coalesce(l.g, 0) AS g, coalesce(l.oc, 0) AS oc, coalesce(h.net, 0) AS held, coalesce(e.rf, 0) AS rf, coalesce(e.dp, 0) AS dp,
+       coalesce(e.rel, 0) AS rel, r.deductions, r.gross
+FROM origins o JOIN rates r ON r.merchant_id = o.merchant_id AND r.as_of = o.as_of
+LEFT JOIN (SELECT o.merchant_id, o.as_of, CAST(sum(amount_paise) AS BIGINT) AS g, CAST(sum(fee_paise - contract_paise) AS BIGINT) AS oc FROM origins o JOIN priced p ON p.merchant_id = o.merchant_id
+           JOIN calendar c ON c.d = p.occurred_at WHERE t2_actual BETWEEN o.as_of + 1 AND o.as_of + 14 GROUP BY ALL) l ON l.merchant_id = o.merchant_id AND l.as_of = o.as_of
+LEFT JOIN (SELECT o.merchant_id, o.as_of, CAST(sum(amount_paise - fee_paise - tax_paise - tds_paise) AS BIGINT) AS net FROM origins o JOIN priced p ON p.merchant_id = o.merchant_id
+           JOIN calendar c ON c.d = p.occurred_at WHERE t2_naive BETWEEN o.as_of + 1 AND o.as_of + 14 AND t2_actual > o.as_of + 14 GROUP BY ALL) h ON h.merchant_id = o.merchant_id AND h.as_of = o.as_of
+LEFT JOIN (SELECT o.merchant_id, o.as_of, CAST(sum(amount_paise) FILTER (WHERE type = 'refund_issued') AS BIGINT) AS rf, CAST(sum(amount_paise) FILTER (WHERE type = 'dispute_opened') AS BIGINT) AS dp,
+           CAST(coalesce(sum(amount_paise) FILTER (WHERE type = 'risk_hold_released'), 0) - coalesce(sum(amount_paise) FILTER (WHERE type = 'risk_hold_applied'), 0) AS BIGINT) AS rel
+           FROM origins o JOIN ev e ON e.merchant_id = o.merchant_id AND e.occurred_at BETWEEN o.as_of + 1 AND o.as_of + 14 GROUP BY ALL) e ON e.merchant_id = o.merchant_id AND e.as_of = o.as_of"""
+_SEEN = "(rf + dp)"
+_add("x2_error_causes", f"""
+SELECT merchant_id, as_of, cause, CAST(amount AS BIGINT) AS amount_paise FROM (
+ SELECT merchant_id, as_of, 'fee_rate_increase' AS cause, -oc AS amount FROM xerr UNION ALL SELECT merchant_id, as_of, 'bank_holiday_delay', -held FROM xerr
+ UNION ALL SELECT merchant_id, as_of, 'risk_hold', rel FROM xerr
+ UNION ALL SELECT merchant_id, as_of, 'refunds_issued', -sg * (share_r + CASE WHEN rest_r > rest_d AND spare > 0 OR rf > 0 AND dp = 0 THEN spare ELSE 0 END) FROM split WHERE rf <> 0
+ UNION ALL SELECT merchant_id, as_of, 'dispute_reserve_held', -sg * (share_d + CASE WHEN rest_r > rest_d AND rf > 0 THEN 0 ELSE spare END) FROM split WHERE dp <> 0) WHERE amount <> 0""",
+     xerr=_X2,
+     split=f"""SELECT *, m - share_r - share_d AS spare FROM (SELECT *, CAST(m AS HUGEINT) * rf // {_SEEN} AS share_r, CAST(m AS HUGEINT) * dp // {_SEEN} AS share_d,
+               CAST(m AS HUGEINT) * rf % {_SEEN} AS rest_r, CAST(m AS HUGEINT) * dp % {_SEEN} AS rest_d FROM (
+               SELECT *, abs(su) AS m, sign(su) AS sg FROM (SELECT *, rf + dp - CASE WHEN gross = 0 THEN 0 ELSE (2 * CAST(g AS HUGEINT) * deductions + gross) // (2 * gross) END AS su FROM xerr)
+               WHERE su <> 0 AND rf + dp <> 0))""")
+_CLIP = "least(greatest({0}, 0.0001), 0.999)"
+
+
+def _q(scores: str, level: str) -> str:
+    n = f"len({scores})"
+    return f"(CASE WHEN {n} = 0 THEN 0.0 ELSE list_sort({scores})[CAST(least(ceil(({n} + 1) * (1 - {_CLIP.format(level)})), {n}) AS INT)] END)"
+
+
+_add("w8_adaptive_floors", f"""
+SELECT merchant_id, as_of, forecast_paise, actual_paise, n AS calibrated_on, floor_paise, n >= 9 AS certified, actual_paise >= floor_paise AS held, round(level, 9) AS level,
+       round({_q("scores", "level")}, 9) AS discount, n + 1 >= 12 AND ({_q("scores", "level")} > 0.25 OR list_sum(recent) / len(recent) > 0.2) AS in_distress
+FROM (WITH RECURSIVE walk AS (
+  SELECT merchant_id, CAST(0 AS BIGINT) AS i, CAST([] AS DOUBLE[]) AS scores, CAST(0.1 AS DOUBLE) AS level, CAST([] AS INT[]) AS recent, CAST(NULL AS DATE) AS as_of,
+         CAST(0 AS BIGINT) AS forecast_paise, CAST(0 AS BIGINT) AS actual_paise, CAST(0 AS INT) AS n, CAST(0 AS BIGINT) AS floor_paise FROM (SELECT DISTINCT merchant_id FROM steps)
+  UNION ALL
+  SELECT merchant_id, i, list_append(scores, CASE WHEN forecast_paise <= 0 THEN 0.0 ELSE CAST(forecast_paise - actual_paise AS DOUBLE) / CAST(forecast_paise AS DOUBLE) END),
+         least(greatest(level + CAST(0.02 AS DOUBLE) * (CAST(0.1 AS DOUBLE) - CASE WHEN actual_paise < floor_paise THEN 1 ELSE 0 END), 0.0001), 0.999),
+         list_append(recent, CASE WHEN actual_paise < floor_paise THEN 1 ELSE 0 END)[-12:], as_of, forecast_paise, actual_paise, CAST(len(scores) AS INT), floor_paise
+  FROM (SELECT w.merchant_id, s.i, w.scores, w.level, w.recent, s.as_of, s.forecast_paise, s.actual_paise,
+               greatest(0, CAST(trunc(s.forecast_paise * (1 - {_q("w.scores", "w.level")})) AS BIGINT)) AS floor_paise
+        FROM walk w JOIN steps s ON s.merchant_id = w.merchant_id AND s.i = w.i + 1)) SELECT * FROM walk) WHERE i > 0""",
+     steps="SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY as_of) AS i FROM outcomes WHERE forecast_paise <> 0")
+_add("w3_chain", f"""
+SELECT merchant_id, recorded_at, batch, facts, root, prev_hash, hash FROM (WITH RECURSIVE walk AS (
+  SELECT merchant_id, recorded_at, batch, facts, root, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || root) AS hash FROM dayroots WHERE batch = 1
+  UNION ALL SELECT d.merchant_id, d.recorded_at, d.batch, d.facts, d.root, w.hash, sha256(w.hash || d.root)
+  FROM walk w JOIN dayroots d ON d.merchant_id = w.merchant_id AND d.batch = w.batch + 1) SELECT * FROM walk)""",
+     dayroots=f"""SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY recorded_at) AS batch FROM (
+       SELECT merchant_id, recorded_at, sha256(string_agg(leaf, '' ORDER BY head)) AS root, CAST(sum(n) AS BIGINT) AS facts FROM (
+         SELECT merchant_id, recorded_at, left(digest, 4) AS head, sha256(string_agg(digest, '' ORDER BY digest)) AS leaf, count(*) AS n
+         FROM (SELECT merchant_id, recorded_at, sha256(CAST(to_json({_JSON}) AS VARCHAR)) AS digest FROM ev) GROUP BY ALL) GROUP BY ALL)""")
+
+_ITEMS = "('payment_captured', 'refund_issued', 'route_transfer', 'gateway_adjustment')"
+_NETS = f"""SELECT merchant_id, 'rs_' || strftime(occurred_at, '%Y%m') AS settlement_id, strftime(occurred_at, '%Y%m') || merchant_id AS utr, max(last_day(occurred_at)) AS settled_on,
+  CAST(sum(CASE WHEN type = 'payment_captured' THEN amount_paise - fee_paise - tax_paise ELSE -amount_paise END) AS BIGINT) AS net FROM ev WHERE type IN {_ITEMS} GROUP BY ALL"""
+_add("s1_report_events", f"""
+SELECT merchant_id, CASE type WHEN 'payment_captured' THEN 'cap-' WHEN 'refund_issued' THEN 'ref-' WHEN 'route_transfer' THEN 'trf-' ELSE 'adj-' END || entity_id AS event_id, type, occurred_at,
+  DATE '2002-01-01' AS recorded_at, entity_id, counterparty, amount_paise, fee_paise, tax_paise, CAST(NULL AS VARCHAR) AS utr,
+  CASE WHEN type = 'payment_captured' THEN NULL WHEN type = 'refund_issued' THEN 'normal' ELSE detail END AS detail FROM ev WHERE type IN {_ITEMS}
+UNION ALL SELECT merchant_id, 'setl-' || settlement_id, 'settlement_executed', settled_on, DATE '2002-01-01', settlement_id, NULL, net, 0, NULL, utr, NULL FROM nets WHERE net > 0""", nets=_NETS)
+_add("s1_report_covers", f"SELECT e.merchant_id, n.settlement_id, e.entity_id AS payment_id FROM ev e JOIN nets n ON n.merchant_id = e.merchant_id AND n.settlement_id = 'rs_' || strftime(occurred_at, '%Y%m') "
+     f"WHERE e.type IN {_ITEMS} AND net > 0", nets=_NETS)
+_add("s2_payment_events", "SELECT merchant_id, entity_id AS event_id, type, occurred_at, occurred_at AS recorded_at, entity_id, counterparty, amount_paise, fee_paise, tax_paise, "
+     "CAST(NULL AS VARCHAR) AS utr, CAST(NULL AS VARCHAR) AS detail FROM ev WHERE type = 'payment_captured'")
+_add("s3_refund_events", "SELECT merchant_id, entity_id AS event_id, type, occurred_at, occurred_at AS recorded_at, entity_id, counterparty, amount_paise, CAST(NULL AS BIGINT) AS fee_paise, "
+     "CAST(NULL AS BIGINT) AS tax_paise, CAST(NULL AS VARCHAR) AS utr, detail FROM ev WHERE type = 'refund_issued' AND amount_paise % 10 <> 3")
+_add("p6_report_rejects", f"SELECT merchant_id, entity_id, CASE WHEN amount_paise % 100 = 7 THEN 'foreign currency USD' ELSE 'unmapped row type mystery' END AS reason FROM ev WHERE type IN {_ITEMS} AND amount_paise % 100 IN (7, 9)")
+_add("p7_lenient_report", f"SELECT merchant_id, type, count(*) AS events, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM ev WHERE type IN {_ITEMS} AND amount_paise % 100 <> 7 GROUP BY ALL")
+
+_FACTS = """SELECT 'u' || (user_id % 7) AS merchant_id, CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS DATE) AS d, gross,
+  CASE event_type WHEN 'purchase' THEN 'payment_captured' WHEN 'error' THEN 'payment_failed' ELSE 'order_placed' END AS type, fee, CAST(round(CAST(fee AS DECIMAL(20,0)) * 18 / 100, 0) AS BIGINT) AS tax
+FROM (SELECT *, CAST(round(CAST(gross AS DECIMAL(20,0)) * 2 / 100, 0) AS BIGINT) AS fee FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS gross FROM events
+WHERE event_type IN ('purchase', 'error', 'signup')))"""
+_STREAMED = ("SELECT merchant_id, d, unnest(['gateway_receivable', 'fee_expense', 'gst_input_credit', 'tds_receivable', 'revenue']) AS account, "
+             "unnest([abs(gross - fee - tax), abs(fee), abs(tax), 0, -abs(gross)]) AS amount FROM sfacts WHERE type = 'payment_captured'")
+_add("t1_distinct_within", "SELECT merchant_id, event_id, type, gross AS amount_paise FROM sfacts", sfacts=_FACTS)
+_add("t4_running_balances", "SELECT merchant_id, account, CAST(sum(amount) AS BIGINT) AS balance_paise FROM streamed GROUP BY ALL", sfacts=_FACTS, streamed=_STREAMED)
+_add("t3_weekly_movements", "SELECT merchant_id, CAST(DATE '1970-01-01' + CAST(7 * (CAST(d - DATE '1970-01-01' AS INT) // 7) AS INT) AS DATE) AS week_start, account, CAST(sum(amount) AS BIGINT) AS amount_paise "
+     "FROM streamed WHERE account <> 'revenue' GROUP BY ALL", sfacts=_FACTS, streamed=_STREAMED)
