@@ -7,17 +7,21 @@ it is unique on both sides. Anything else is left open.
 
 Pairs are never built from a whole merchant. On ordinary days a credit meets the few
 payouts of its eight days; on crowded days it meets payouts only through a piece of
-text they share. The claim order of the references (earlier credits first) is kept by
+text they share, and where many payouts carry the same reference it meets that
+reference once and, of its payouts, only those of its own amount. The claim order of the references (earlier credits first) is kept by
 deciding, in each round, every credit that no earlier one competes with.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.functions.text import reference_key
 from khata.lineage import cut
+from khata.operators.ranking import rank_in_group, running_sum
 
 # Confidence of each rule, and what is needed to accept a link.
 CONFIDENCE = {
@@ -85,63 +89,108 @@ def _evidence(narration: Column, folded: Column, utr: Column, same_amount: Colum
     ]
 
 
-def reference_edges(
-    credits: DataFrame, paid: DataFrame, keys: list[str],
-    lookback: int = LOOKBACK_DAYS, forward: int = FORWARD_DAYS, crowded: int = CROWDED,
-) -> DataFrame:
-    """Credit-payout pairs with some reference evidence.
-
-    Payouts that agree in reference, day and amount can never be told apart by a
-    reference, so they enter once with their number ``n``.
-    """
-    nodes = (
+def reference_nodes(paid: DataFrame, keys: list[str]) -> DataFrame:
+    """Payouts a reference can point to. Those that agree in reference, day and amount can never
+    be told apart by a reference, so they enter once with their number ``n``."""
+    return (
         paid.filter(F.length("utr") >= SHORTEST_REFERENCE)
         .groupBy(*keys, "utr", F.col("occurred_at").alias("day"), F.col("amount_paise").alias("paid_paise"))
         .agg(F.count("*").alias("n"), F.min("settlement_id").alias("settlement_id"))
     )
-    crowd = nodes.groupBy(*keys, "day").agg(F.count("*").alias("in_cell"))
-    nodes = nodes.join(crowd, [*keys, "day"])
-    sparse = nodes.filter(F.col("in_cell") <= crowded).drop("in_cell")
-    dense = nodes.filter(F.col("in_cell") > crowded).drop("in_cell")
 
+
+def _edge_columns(keys: list[str]) -> list[str]:
+    return [*keys, "bank_txn_id", "occurred_at", "settlement_id", "utr", "day", "paid_paise", "n", "exact", "norm", "stub"]
+
+
+@dataclass
+class Cells:
+    """Payouts that credits meet as a group: those of one day with the same reference, or with
+    the same start of a reference and the same amount. ``by`` names the columns of a cell."""
+
+    by: list[str]
+    naming: DataFrame
+    nodes: DataFrame
+
+
+@dataclass
+class Evidence:
+    """What narrations say about payouts: single credit-payout edges, and cells."""
+
+    edges: DataFrame
+    cells: list[Cells] = field(default_factory=list)
+
+
+def _head() -> Column:
+    return F.left("utr", F.lit(SHORTEST_REFERENCE))
+
+
+def reference_evidence(
+    credits: DataFrame, paid: DataFrame, keys: list[str],
+    lookback: int = LOOKBACK_DAYS, forward: int = FORWARD_DAYS, crowded: int = CROWDED,
+) -> Evidence:
+    """Credit-payout pairs with some reference evidence, never all pairs of a day, reference or amount."""
+    columns = _edge_columns(keys)
     seen = credits.select(
         *keys, "bank_txn_id", "occurred_at", "amount_paise", "narration",
         reference_key(F.col("narration")).alias("folded"),
     )
     same = F.col("amount_paise") == F.col("paid_paise")
     judged = _evidence(F.col("narration"), F.col("folded"), F.col("utr"), same)
-    by_day = (
-        seen.withColumn("day", _near(F.col("occurred_at"), lookback, forward))
-        .join(sparse, [*keys, "day"])
-        .select("*", *judged)
-    )
+    told = F.col("exact") | F.col("norm") | F.col("stub")
+
+    nodes = reference_nodes(paid, keys).withColumn("head", _head())
+    busy = nodes.groupBy(*keys, "day").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).drop("_n")
+    # the few busy days are written down, and ordinary books have none of them
+    busy = cut(busy, "busy-days")
+    reach = seen.withColumn("day", _near(F.col("occurred_at"), lookback, forward))
+    if busy.isEmpty():
+        return Evidence(reach.join(nodes, [*keys, "day"]).select("*", *judged).filter(told).select(*columns))
+
+    sparse = nodes.join(busy, [*keys, "day"], "left_anti")
+    dense = cut(nodes.join(busy, [*keys, "day"], "left_semi"), "busy-nodes")
+
+    def crowd(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*keys, *by).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).drop("_n")
+
+    by_amount, by_reference = ["head", "paid_paise", "day"], ["utr", "day"]
+    amount_cells = cut(crowd(dense, by_amount), "amount-cells")
+    same_amount = dense.join(amount_cells, [*keys, *by_amount], "left_semi")
+    others = dense.join(amount_cells, [*keys, *by_amount], "left_anti")
+    reference_cells = cut(crowd(others, by_reference), "reference-cells")
+    same_reference = others.join(reference_cells, [*keys, *by_reference], "left_semi")
+    single = others.join(reference_cells, [*keys, *by_reference], "left_anti")
 
     in_reach = F.col("day").between(
         F.date_sub(F.col("occurred_at"), lookback), F.date_add(F.col("occurred_at"), forward)
     )
+    no, yes = F.lit(False), F.lit(True)
     sizes = dense.select(*keys, F.length("utr").alias("size")).distinct()
-    whole = (
-        seen.join(sizes, keys)
-        .withColumn("utr", F.explode(F.array_union(
-            _pieces(F.col("narration"), F.col("size")), _pieces(F.col("folded"), F.col("size")))))
-        .join(dense, [*keys, "utr"])
-        .filter(in_reach)
-        .select("*", *judged)
-    )
-    stubs = dense.withColumn("stub_key", F.left("utr", F.lit(SHORTEST_REFERENCE)))
-    cut_off = (
+    pieces = seen.join(sizes, keys).withColumn("utr", F.explode(F.array_union(
+        _pieces(F.col("narration"), F.col("size")), _pieces(F.col("folded"), F.col("size")))))
+    heads = (
         seen.join(sizes.select(*keys).distinct(), keys, "left_semi")
-        .withColumn("stub_key", F.explode(F.array_distinct(_pieces(F.col("folded"), F.lit(SHORTEST_REFERENCE)))))
-        .join(stubs.withColumnRenamed("paid_paise", "amount_paise"), [*keys, "stub_key", "amount_paise"])
+        .withColumn("head", F.explode(F.array_distinct(_pieces(F.col("folded"), F.lit(SHORTEST_REFERENCE)))))
         .withColumn("paid_paise", F.col("amount_paise"))
-        .filter(in_reach)
-        .select("*", *judged)
     )
-    columns = [
-        *keys, "bank_txn_id", "occurred_at", "settlement_id", "utr", "day", "paid_paise", "n", "exact", "norm", "stub",
-    ]
-    dense_edges = whole.select(*columns).unionByName(cut_off.select(*columns)).distinct()
-    return by_day.select(*columns).unionByName(dense_edges).filter("exact OR norm OR stub")
+    exact, norm = F.contains("narration", F.col("utr")).alias("exact"), F.contains("folded", F.col("utr")).alias("norm")
+
+    by_day = reach.join(sparse, [*keys, "day"]).select("*", *judged).filter(told).select(*columns)
+    named = pieces.join(single, [*keys, "utr"]).filter(in_reach).select("*", *judged).select(*columns)
+    cut_off = heads.join(single, [*keys, "head", "paid_paise"]).filter(in_reach).select("*", *judged).select(*columns)
+    # a cell judges what its payouts share, so single edges into it carry only the rest
+    named_there = pieces.join(same_amount, [*keys, "utr"]).filter(in_reach).select("*", exact, norm, no.alias("stub")).select(*columns)
+    paid_there = heads.join(same_reference, [*keys, "head", "paid_paise"]).filter(in_reach).select(
+        "*", no.alias("exact"), no.alias("norm"), yes.alias("stub")).select(*columns)
+    edges = by_day.unionByName(named.unionByName(cut_off).unionByName(named_there).unionByName(paid_there).distinct())
+
+    credit = [*keys, "bank_txn_id", "occurred_at"]
+    naming_amount = heads.join(amount_cells, [*keys, "head", "paid_paise"]).filter(in_reach).select(
+        *credit, *by_amount, F.col("head").alias("as_utr"), no.alias("exact"), no.alias("norm"), yes.alias("stub")).distinct()
+    naming_reference = pieces.join(reference_cells, [*keys, "utr"]).filter(in_reach).select(
+        *credit, *by_reference, F.col("utr").alias("as_utr"), exact, norm, no.alias("stub")).distinct()
+    return Evidence(edges, [
+        Cells(by_amount, naming_amount, same_amount), Cells(by_reference, naming_reference, same_reference)])
 
 
 def _rules(hits: DataFrame) -> DataFrame:
@@ -192,42 +241,173 @@ def _decide_all(edges: DataFrame, keys: list[str]) -> DataFrame:
     return _rules(hits).select(*credit, "rule", "settlement_id", "candidates")
 
 
-def claim_by_reference(edges: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
+def _look_at_cells(live: DataFrame, cells: Cells, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A cell as edges of this round, and the credits that have to wait for a later one.
+
+    While two payouts of a cell are sure to be left when a credit's turn comes, what they
+    share cannot decide for that credit, whoever went first. Payouts leave a cell only
+    through single edges, so counting the earlier such edges settles that for nearly all
+    credits at once; the rest wait for the ones before them.
+    """
+    cell, credit = [*keys, *cells.by], [*keys, "bank_txn_id"]
+    turn = F.struct("occurred_at", "bank_txn_id")
+    left = cells.nodes.groupBy(*cell).agg(F.sum("n").alias("left"), F.min("settlement_id").alias("settlement_id"))
+    named = cells.naming.join(left, cell)
+    into = live.withColumn("head", _head()).join(left.select(*cell), cell, "left_semi")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    steps = named.select(*cell, "occurred_at", "bank_txn_id", zero.alias("step"), F.lit("").alias("which")).unionByName(
+        into.select(*cell, "occurred_at", "bank_txn_id", one.alias("step"), F.col("settlement_id").alias("which")))
+    order = [F.col(c) for c in ("occurred_at", "bank_txn_id", "step", "which")]
+    ahead = cut(running_sum(steps, cell, order, "step", "ahead").filter("step = 0").drop("step", "which"), "ahead")
+    named = named.join(ahead, [*cell, "occurred_at", "bank_txn_id"])
+    unsure = named.filter(F.col("left") - F.col("ahead") < 2)
+    # whoever is first in a cell sees it as it is
+    first = steps.groupBy(*cell).agg(F.min(turn).alias("first_turn"))
+    late = unsure.join(first, cell).filter(F.col("first_turn") < turn).select(*credit)
+    as_edges = named.select(
+        *keys, "bank_txn_id", "occurred_at", "settlement_id", F.col("as_utr").alias("utr"), "day",
+        F.lit(None).cast("bigint").alias("paid_paise"), F.col("left").alias("n"), "exact", "norm", "stub")
+    return as_edges, late
+
+
+# Passes over the foreseen decisions before only the undisputed ones are taken.
+PASSES = 6
+
+
+def _named_payouts(naming: DataFrame, cells: Cells, keys: list[str]) -> DataFrame:
+    """Every payout of a cell with the earliest turn at which one of the given credits names the cell."""
+    cell = [*keys, *cells.by]
+    first = naming.groupBy(*cell).agg(F.min(F.struct("occurred_at", "bank_txn_id")).alias("turn"))
+    return cells.nodes.join(first, cell).select(*keys, "settlement_id", "turn")
+
+
+def _foresee(edges: DataFrame, waiting: DataFrame | None, cells: list[Cells], keys: list[str]) -> DataFrame:
+    """Decisions that hold whatever the undecided credits outside them do.
+
+    Every credit is decided on what is free now. Such a decision stands if the payouts
+    it rests on cannot be gone when its turn comes: none is foreseen for an earlier
+    credit, and no earlier credit outside the foreseen ones has an edge to it or names
+    its cell. Credits whose decision may fall are put outside, until nothing changes. Only the earliest
+    turn at which a payout may go is kept, so no two credits are ever compared.
+    """
+    credit, payout = [*keys, "bank_txn_id"], [*keys, "settlement_id"]
+    turn = F.struct("occurred_at", "bank_txn_id")
+    edges = cut(edges, "round")
+    foreseen = _decide_all(edges, keys)
+    if waiting is not None:
+        foreseen = foreseen.join(waiting.distinct(), credit, "left_anti")
+    foreseen = cut(foreseen, "foreseen")
+    inside, held = foreseen, foreseen.count()
+    for _ in range(PASSES):
+        takes = inside.filter("settlement_id IS NOT NULL").select(*payout, turn.alias("turn"))
+        outside = edges.filter("n = 1").join(inside.select(*credit), credit, "left_anti").select(*payout, turn.alias("turn"))
+        for group in cells:
+            strangers = group.naming.join(inside.select(*credit), credit, "left_anti")
+            outside = outside.unionByName(_named_payouts(strangers, group, keys))
+        gone = takes.unionByName(outside).groupBy(*payout).agg(F.min("turn").alias("gone_at"))
+        # a payout with an equal twin never goes
+        stays = F.col("gone_at").isNull() | (F.col("gone_at") >= turn) | (F.col("n") > 1)
+        pick = foreseen.select(*credit, "rule", F.col("settlement_id").alias("picked"))
+        judged = edges.join(gone, payout, "left").withColumn("stays", stays).join(pick, credit)
+        safe = F.when(F.col("stays"), F.col("n")).otherwise(0)
+        size = F.length("utr")
+        sized = judged.groupBy(*credit, "occurred_at", "rule", size.alias("size")).agg(
+            F.max(F.col("exact").cast("int")).alias("exact"),
+            F.sum(F.when(F.col("exact"), safe).otherwise(0)).alias("exact_safe"),
+            F.max(F.col("norm").cast("int")).alias("norm"),
+            F.sum(F.when(F.col("norm"), safe).otherwise(0)).alias("norm_safe"),
+            F.max(F.col("stub").cast("int")).alias("stub"),
+            F.sum(F.when(F.col("stub"), safe).otherwise(0)).alias("stub_safe"),
+            F.max((F.col("stays") & (F.col("n") == 1) & F.coalesce(F.col("settlement_id") == F.col("picked"), F.lit(False))).cast("int")).alias("pick_safe"),
+        )
+        tiers = sized.groupBy(*credit, "occurred_at", "rule").agg(
+            F.max("exact").alias("exact"), F.max_by("exact_safe", F.when(F.col("exact") == 1, F.col("size"))).alias("exact_safe"),
+            F.max("norm").alias("norm"), F.sum("norm_safe").alias("norm_safe"),
+            F.max("stub").alias("stub"), F.sum("stub_safe").alias("stub_safe"), F.max("pick_safe").alias("pick_safe"),
+        )
+        exact_tied = (F.col("exact") == 0) | (F.col("exact_safe") >= 2)
+        norm_tied = (F.col("norm") == 0) | (F.col("norm_safe") >= 2)
+        stub_tied = (F.col("stub") == 0) | (F.col("stub_safe") >= 2)
+        picked = F.col("pick_safe") == 1
+        stands = (
+            F.when(F.col("rule") == "exact_utr", picked)
+            .when(F.col("rule") == "normalised_utr", picked & exact_tied)
+            .when(F.col("rule") == "truncated_prefix", picked & exact_tied & norm_tied)
+            .otherwise(exact_tied & norm_tied & stub_tied)
+        )
+        kept = cut(inside.join(tiers.filter(stands).select(*credit), credit, "left_semi"), "foreseen")
+        now = kept.count()
+        if now == held:
+            return kept
+        inside, held = kept, now
+    # not settled yet: the credits nobody earlier competes with are always decided
+    free = edges.filter("n = 1")
+    first = free.select(*payout, turn.alias("turn"))
+    for group in cells:
+        first = first.unionByName(_named_payouts(group.naming, group, keys))
+    first = first.groupBy(*payout).agg(F.min("turn").alias("first_turn"))
+    contested = free.join(first, payout).filter(F.col("first_turn") < turn).select(*credit).distinct()
+    return foreseen.join(contested, credit, "left_anti")
+
+
+def _count_hits(made: DataFrame, edges: DataFrame, cells: list[Cells], keys: list[str], threshold: float) -> DataFrame:
+    """For credits with several payouts named in full: how many were still free at their turn."""
+    credit, payout = [*keys, "bank_txn_id"], [*keys, "settlement_id"]
+    turn = F.struct("occurred_at", "bank_txn_id")
+    several = cut(made.filter("rule = 'exact_utr' AND candidates > 1").select(*credit, "occurred_at"), "several")
+    if several.isEmpty():
+        return made
+    taken = _accepted(made, threshold).select(*payout, turn.alias("gone_at"))
+    hits = (
+        edges.filter("exact").join(several.select(*credit), credit, "left_semi").join(taken, payout, "left")
+        .filter(F.col("gone_at").isNull() | (F.col("gone_at") >= turn)).select(*credit, "n")
+    )
+    for group in cells:
+        cell = [*keys, *group.by]
+        total = group.nodes.groupBy(*cell).agg(F.sum("n").alias("all"))
+        gone = group.nodes.select(*cell, "settlement_id").join(taken, payout)
+        zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+        asks = group.naming.filter("exact").join(several.select(*credit), credit, "left_semi")
+        steps = asks.select(*cell, "occurred_at", "bank_txn_id", zero.alias("step")).unionByName(
+            gone.select(*cell, "gone_at.occurred_at", "gone_at.bank_txn_id", one.alias("step")))
+        order = [F.col(c) for c in ("occurred_at", "bank_txn_id", "step")]
+        seen = running_sum(steps, cell, order, "step", "ahead").filter("step = 0").join(total, cell)
+        hits = hits.unionByName(seen.select(*credit, (F.col("all") - F.col("ahead")).alias("n")))
+    counted = hits.groupBy(*credit).agg(F.sum("n").alias("_hits"))
+    return made.join(counted, credit, "left").withColumn("candidates", F.coalesce("_hits", "candidates")).drop("_hits")
+
+
+def claim_by_reference(evidence: Evidence, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """Decide every credit that has reference evidence, earlier credits first.
 
     Returns (keys, bank_txn_id, occurred_at, rule, settlement_id, candidates); ``rule`` is
     NULL where the references did not settle it.
     """
-    turn = F.struct("occurred_at", "bank_txn_id")
-    live = cut(edges, "edges")
+    credit, payout = [*keys, "bank_txn_id"], [*keys, "settlement_id"]
+    live = cut(evidence.edges, "edges")
+    cells = [Cells(c.by, cut(c.naming, "naming"), cut(c.nodes, "cell-nodes")) for c in evidence.cells]
+    start, start_cells = live, [Cells(c.by, c.naming, c.nodes) for c in cells]
     decided: DataFrame | None = None
     while True:
-        # a payout whose twin cannot be told from it is never claimed, so nobody waits for it
-        first = (
-            live.filter("n = 1")
-            .groupBy(*keys, "settlement_id")
-            .agg(F.min(turn).alias("first_turn"))
-        )
-        waiting = (
-            live.filter("n = 1")
-            .join(first, [*keys, "settlement_id"])
-            .filter(F.col("first_turn") < turn)
-            .select(*keys, "bank_txn_id")
-            .distinct()
-        )
-        ready = live.join(waiting, [*keys, "bank_txn_id"], "left_anti")
-        # decisions are final: written once, then used twice
-        made = cut(_decide_all(ready, keys), "claims")
+        edges, waiting = live, None
+        for group in cells:
+            more, later = _look_at_cells(live, group, keys)
+            edges = edges.unionByName(more)
+            waiting = later if waiting is None else waiting.unionByName(later)
+        # decisions are final: written once, then used several times
+        made = cut(_foresee(edges, waiting, cells, keys), "claims")
         decided = made if decided is None else decided.unionByName(made)
-        accepted = _accepted(made, threshold)
-        live = cut(
-            live.join(made.select(*keys, "bank_txn_id"), [*keys, "bank_txn_id"], "left_anti").join(
-                accepted.select(*keys, "settlement_id"), [*keys, "settlement_id"], "left_anti"
-            ),
-            "edges",
-        )
-        if live.isEmpty():
-            return decided
+        accepted = _accepted(made, threshold).select(*payout)
+        live = cut(live.join(made.select(*credit), credit, "left_anti").join(accepted, payout, "left_anti"), "edges")
+        done = live.isEmpty()
+        for group in cells:
+            group.nodes = cut(group.nodes.join(accepted, payout, "left_anti"), "cell-nodes")
+            there = group.nodes.select(*keys, *group.by).distinct()
+            left = group.naming.join(made.select(*credit), credit, "left_anti").join(there, [*keys, *group.by], "left_semi")
+            group.naming = cut(left, "naming")
+            done = done and group.naming.isEmpty()
+        if done:
+            return _count_hits(decided, start, start_cells, keys, threshold)
 
 
 def _confidence(rule: Column) -> Column:
@@ -282,8 +462,8 @@ def link_credits(
     keys = keys or ["merchant_id"]
     credits = cut(credits, "credits")
     paid = cut(paid, "paid")
-    edges = reference_edges(credits, paid, keys, lookback, forward, crowded)
-    made = claim_by_reference(edges, keys, threshold)
+    made = claim_by_reference(
+        reference_evidence(credits, paid, keys, lookback, forward, crowded), keys, threshold)
     by_reference = made.filter(F.col("rule").isNotNull())
     accepted = _accepted(made, threshold)
 
@@ -368,8 +548,6 @@ def _first_come(open_credits: DataFrame, free: DataFrame, keys: list[str], lookb
     """
     import pandas as pd
 
-    from khata.operators.ranking import rank_in_group
-
     cell = [*keys, "amount_paise", "day"]
     ranked_credits = rank_in_group(
         open_credits.select(*keys, "amount_paise", F.col("occurred_at").alias("day"), "bank_txn_id"),

@@ -8,39 +8,51 @@ from pyspark.sql import functions as F
 from khata.lineage import cut
 
 
-def rank_in_group(
-    df: DataFrame, group: list[str], order: list, into: str = "rank", parts: int | None = None
-) -> DataFrame:
-    """``row_number`` per group without ever sorting one group in one task.
+def _placed(df: DataFrame, group: list[str], order: list, parts: int | None) -> DataFrame:
+    """``df`` in range partitions by (group, order), so that a big group spans many of them.
 
-    The rows are range-partitioned by (group, order), so a big group spans many
-    partitions; each partition ranks its own piece and adds how many rows of the group
-    lie in earlier partitions. ``order`` must be unique within a group.
+    Written out, so that partition numbers stay what they are when a task is run again.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, *[F.col(g) for g in group], *order)
-    # written out so that partition numbers stay what they are when a task is rerun
-    placed = cut(placed.withColumn("_part", F.spark_partition_id()), "ranked")
-    pieces = placed.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
+    return cut(placed.withColumn("_part", F.spark_partition_id()), "placed")
+
+
+def running_sum(
+    df: DataFrame, group: list[str], order: list, value: str, into: str, parts: int | None = None
+) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the group, without sorting one group in one task.
+
+    Each partition sums its own piece and adds what the group's earlier partitions hold.
+    ``order`` must be unique within a group.
+    """
+    placed = _placed(df, group, order, parts)
+    pieces = placed.groupBy(*group, "_part").agg(F.sum(value).alias("_size"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select(*group, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    zero = F.lit(0).cast("bigint")
+    offsets = pieces.select(*group, "_part", F.coalesce(F.sum("_size").over(earlier), zero).alias("_before"))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.withColumn("_local", local)
+        placed.withColumn("_local", F.coalesce(F.sum(value).over(inside), zero))
         .join(offsets, [*group, "_part"])
-        .withColumn(into, (F.col("_local") + F.col("_before")).cast("bigint"))
+        .withColumn(into, F.col("_local") + F.col("_before"))
         .drop("_part", "_local", "_before")
     )
 
 
+def rank_in_group(
+    df: DataFrame, group: list[str], order: list, into: str = "rank", parts: int | None = None
+) -> DataFrame:
+    """``row_number`` per group for groups of any size."""
+    ranked = running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), group, order, "_one", into, parts)
+    return ranked.withColumn(into, (F.col(into) + 1).cast("bigint")).drop("_one")
+
+
 def carry_last(
     df: DataFrame, group: list[str], order: list, value: str, into: str, parts: int | None = None
 ) -> DataFrame:
     """The latest non-null ``value`` at or before each row of its group, however big the group is."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *[F.col(g) for g in group], *order)
-    placed = cut(placed.withColumn("_part", F.spark_partition_id()), "carried")
+    placed = _placed(df, group, order, parts)
     local = Window.partitionBy(*group, "_part").orderBy(*order)
     seen = placed.withColumn("_local", F.last(value, ignorenulls=True).over(local)).withColumn(
         "_at", F.row_number().over(local)

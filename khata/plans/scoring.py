@@ -62,8 +62,10 @@ def report(scored: DataFrame, gaps: DataFrame) -> DataFrame:
         return F.round(F.when(bottom == 0, F.lit(1.0)).otherwise(top / bottom), 6)
 
     said = F.col("matched") + F.col("hallucinated")
-    # both sides are one row, so this is a pairing, not a product
-    return counts.withColumn("_one", F.lit(1)).join(closed.withColumn("_one", F.lit(1)), "_one").select(
+    # two one-row sums over different tables, brought together by one more sum
+    both = counts.unionByName(closed, allowMissingColumns=True)
+    names = ("windows", "closed", "matched", "hallucinated", "missed", "exact", "error_paise")
+    return both.agg(*[F.max(n).alias(n) for n in names]).select(
         "windows", "closed", "matched", "hallucinated", "missed", "error_paise",
         ratio(F.col("closed"), F.col("windows")).alias("close_rate"),
         ratio(F.col("hallucinated"), said).alias("hallucinated_rate"),

@@ -71,7 +71,7 @@ def random_world(rng):
     return credits, payouts
 
 
-@pytest.mark.parametrize("crowded,greedy,seed", [(64, False, 1), (0, False, 2), (1, False, 3), (64, True, 4)])
+@pytest.mark.parametrize("crowded,greedy,seed", [(64, False, 1), (0, False, 2), (1, False, 3), (2, False, 5), (64, True, 4)])
 def test_random_worlds_match_the_sequential_model(spark, crowded, greedy, seed):
     rng = random.Random(seed)
     worlds = {f"w{i}": random_world(rng) for i in range(400)}
@@ -107,3 +107,23 @@ def test_work_follows_daily_volume_not_history(spark):
             links = link_credits(*frames).collect()
             assert all(r["settlement_id"] == "p" + r["bank_txn_id"][1:] for r in links)
     assert per[1] < per[0] * 1.2 and per[1] < 90
+
+
+def test_one_reference_carried_by_a_whole_day(spark):
+    """Hundreds of payouts and credits of one day share a reference: no pairs, few rounds, same answer."""
+    rng = random.Random(7)
+    payouts = [(f"p{i:04d}", "SETTLEMENT01", 1000 + i, D) for i in range(500)]
+    credits = [(f"c{i:04d}", 1000 + rng.randrange(520), later(rng.randrange(3)), rng.choice(("NEFT SETTLEMENT01 X", "IMPS SETTLEMENT-01", "NO REF")))
+               for i in range(500)]
+    got = run(spark, {"m": (credits, payouts)})
+    want = models.link(credits, payouts)
+    assert {c: (got["m", c]["settlement_id"], got["m", c]["rule"]) for c in want} == {c: (p, r) for c, (p, r, _) in want.items()}
+
+
+def test_a_busy_day_with_proper_references(spark):
+    payouts = [(f"p{i}", f"20260504{i:06d}", 1000 + i % 7, D) for i in range(2000)]
+    credits = [(f"c{i}", 1000 + i % 7, later(i % 3), f"NEFT CR-{payouts[i][1]}") for i in range(0, 2000, 2)]
+    cut_off = [(f"d{i}", 1000 + i % 7, later(i % 3), "BY NEFT*20260504") for i in range(1, 2000, 2)]
+    got = run(spark, {"m": (credits + cut_off, payouts)})
+    assert all(got["m", c[0]]["settlement_id"] == "p" + c[0][1:] and got["m", c[0]]["rule"] == "exact_utr" for c in credits)
+    assert {got["m", c[0]]["rule"] for c in cut_off} == {"abstain_ambiguous"}
