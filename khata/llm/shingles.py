@@ -34,7 +34,9 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = 4_000_000) ->
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """(bounds, words): the words of text i, A-Z in lower case, are ``words[bounds[i]:bounds[i + 1]]``."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # taken anew: Arrow's text kernels misread arrays whose first offset is not zero
+    whole = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole))
     bounds = split.offsets.to_numpy().astype(np.int64)
     flat = split.values.slice(bounds[0], bounds[-1] - bounds[0])
     real = pc.greater(pc.binary_length(flat), 0)
