@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from khata.llm import decontaminate, ngram_join, packing, pii, quality_rules, quality_rules_sql
+from khata.llm import decontaminate, ngram_join, packing, pii, qda, quality_rules, quality_rules_sql, token_files, url_lists, warc
 from khata.llm.base import table
 
 
@@ -30,6 +31,25 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.digests(spark, folder)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.judge(url_lists.sample_captures(pages), url_lists.sample_events(pages))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, index)
+
+
 NGRAM_JOIN_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingle AS MATERIALIZED (
@@ -47,8 +67,12 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii": op7_pii,
+    "op8_url_filters": op8_url_filters,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_warc": op10_warc,
 }
 SQL = {
     "op1_quality_rules": quality_rules_sql.sql(),
