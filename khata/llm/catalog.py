@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from khata.llm import decontaminate, ngram_join, packing, pii, qda, quality_rules, quality_rules_sql, token_files, url_lists, warc
+from khata.llm import bloom_lm, decontaminate, ngram_join, packing, pii, qda, quality_rules, quality_rules_sql, token_files, url_lists, warc
 from khata.llm.base import table
 
 
@@ -31,6 +31,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return token_files.digests(spark, folder)
@@ -67,6 +71,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_bloom_language_model": op4_bloom_language_model,
     "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii": op7_pii,
