@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from khata.llm import bloom_lm, decontaminate, ngram_join, packing, pii, qda, quality_rules, quality_rules_sql, token_files, url_lists, warc
 from khata.llm.base import table
 
@@ -78,8 +80,11 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_quality_rules": quality_rules_sql.sql(),
     "op2_ngram_jaccard_join": NGRAM_JOIN_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
