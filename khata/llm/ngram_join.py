@@ -7,13 +7,16 @@ lower case). The steps:
 2. Size bands: band b holds set sizes up to ``100 / percent`` times its smallest. Sets of one band, and those of the band
    below it, differ in at most ``k`` elements when they link. The shingle domain is split into groups of three parts. With
    ``k // 2 + 1`` groups, one group of a linked pair holds at most one differing element, so the two parts without it are
-   equal; the signatures are the three two-part subsets of every group. One more group than needed is used: a linked pair then
-   agrees on two groups, so that only sets which have two or more groups with an empty subset must emit empty subsets.
-3. Signatures travel as packed blobs, each set once per task. Who shares a signature is linked to its smallest sharer; the
-   components of that graph are blocks, small groups that hold every linked pair.
-4. Only members of blocks are read again. Inside a block, sets are compared through 1024-bit parity sketches, whose distance
-   never exceeds the true one, then exactly; pairs already connected are skipped, and a spanning forest comes out, never all
-   pairs. A block with more than ``TILE_BYTES`` of sets is cut into tiles that meet two by two in separate tasks.
+   equal; the signatures are the three two-part subsets of every group. A subset is weak if it holds no shingle but frequent
+   ones. Some more groups than needed are used (``extra``), so a linked pair agrees on more of them than that: only sets with more
+   weak groups must emit their weak subsets. Any set of frequent shingles gives right results; it is found on a bounded sample
+   of documents (``SAMPLE_SHINGLES``), and keeps common passages from joining unlike texts.
+3. Signatures travel as packed blobs, each set once per task. Sharers of a signature become candidate pairs: all pairs of up to
+   ``SMALL`` sharers, otherwise each with the smallest. Small groups' pairs are dropped when their 1024-bit parity sketches, whose
+   distance never exceeds the true one, are too far apart. The components of what is left are blocks, which hold every linked pair.
+4. Only the first document of each set in a block is read again, found through a map of bits that is broadcast (``MAP_BITS``, the
+   same at any size). Inside a block, sets are compared through sketches, then exactly; pairs already
+   connected are skipped, and a spanning forest comes out, never all pairs. A block with more than ``TILE_BYTES`` of sets is cut into tiles that meet two by two in separate tasks.
 5. Components of the forest are the answer.
 
 Nothing is capped. Cases: null, empty and blank texts have no set and link with nothing; fewer than ``width`` words are one
@@ -39,10 +42,14 @@ from khata.llm.shingles import mix, shingle_sets, slices
 
 WIDTH, PERCENT = 4, 85
 PARTS = 3
-EXTRA = 1
+#: Sharers of a signature whose pairs are all tested; shingles that the sample of documents holds, and what counts as frequent in it.
+SMALL, SAMPLE_SHINGLES, FREQUENT = 8, 4_000_000, 3
+NONE = np.zeros(0, np.uint64)
 #: Signatures that one reducer is meant to hold, and bytes of sets on one side of a tile.
 REDUCER_ENTRIES, TILE_BYTES = 2_000_000, 24 << 20
-SKETCH_BITS = 1024
+LEAST_BITS = 1024
+#: Bits and parts of the map of documents to read again; a fuller map lets more documents pass for nothing.
+MAP_BITS, MAP_PARTS = 1 << 27, 64
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -61,30 +68,76 @@ def allowed(a, b, percent: int):
     return (100 - percent) * (a + b) // (100 + percent)
 
 
+def extra(k):
+    """Groups beyond the needed ones, for bands whose linked sets differ in ``k`` elements at most."""
+    return np.minimum(3, 1 + k // 24)
+
+
 def groups(upper, percent: int):
     """Groups per band; none where only equal sets link."""
     k = allowed(upper, upper, percent)
-    return np.where(k > 0, k // 2 + 1 + EXTRA, 0)
+    return np.where(k > 0, k // 2 + 1 + extra(k), 0)
 
 
 def _identity(values: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes()))))
 
 
+def sketch_bits(size: int) -> int:
+    return max(LEAST_BITS, 1 << max(0, int(size - 1).bit_length()))
+
+
+def sketches(bounds: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """Per set, the parity of the number of its elements on each of ``bits`` places (a power of two); rows of 64-bit words."""
+    n = len(bounds) - 1
+    with np.errstate(over="ignore"):
+        spot = (mix(values + np.uint64(0x2545F491)) & np.uint64(bits - 1)).astype(np.int64)
+    spot += np.repeat(np.arange(n), np.diff(bounds)) * bits
+    odd = (np.bincount(spot, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64).reshape(n, -1)
+
+
+def _own_sketches(bounds: np.ndarray, values: np.ndarray) -> list[bytes]:
+    """Each set's sketch, as wide as its size asks."""
+    sizes = np.diff(bounds)
+    out: list[bytes] = [b""] * len(sizes)
+    for small in range(0, len(sizes), 2000):
+        some = [i for i in range(small, min(small + 2000, len(sizes))) if sizes[i] <= LEAST_BITS]
+        part = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int64)
+        chosen = np.concatenate([values[bounds[i]:bounds[i + 1]] for i in some]) if some else values[:0]
+        for i, x in zip(some, sketches(part, chosen, LEAST_BITS), strict=True):
+            out[i] = x.tobytes()
+    for i in np.flatnonzero(sizes > LEAST_BITS).tolist():
+        out[i] = sketches(np.array([0, sizes[i]]), values[bounds[i]:bounds[i + 1]], sketch_bits(sizes[i]))[0].tobytes()
+    return out
+
+
+def _folded(words: np.ndarray, length: int) -> np.ndarray:
+    """A sketch narrowed to ``length`` words: places that fall together add up their parities."""
+    while len(words) > length:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 bounds, values = shingle_sets(piece.column("text"), width)
                 ids = [_identity(values[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n", "id"]
-                )
+                yield pa.RecordBatch.from_arrays([
+                    piece.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.int64()),
+                    pa.array(_own_sketches(bounds, values), pa.binary()),
+                ], ["doc_id", "n", "id", "sketch"])
     return run
 
 
-def signatures(bounds: np.ndarray, values: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, signature) of every set, own band and the next."""
+def signatures(bounds: np.ndarray, values: np.ndarray, percent: int, frequent: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, signature) of every set, own band and the next. ``frequent`` is sorted."""
+    rare = np.ones(len(values), bool)
+    if len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] != values
     sizes = np.diff(bounds)
     upper = bands(percent, int(sizes.max(initial=1)))
     own = np.searchsorted(upper, sizes)
@@ -99,25 +152,35 @@ def signatures(bounds: np.ndarray, values: np.ndarray, percent: int) -> tuple[np
             owner, element = owner[live], mix(values[live] ^ mix(band[owner[live]].astype(np.uint64) + np.uint64(0x51ED)))
             part = base[owner] + (element >> np.uint64(11)) % (g[owner] * PARTS).astype(np.uint64)
             part = part.astype(np.int64)
+            own_rare = rare[live]
             sums = np.zeros(base[-1], np.uint64)
             np.add.at(sums, part, mix(element + np.uint64(0x7F4A7C15)))
-            held = np.bincount(part, minlength=base[-1]).reshape(-1, PARTS)
+            held = np.bincount(part[own_rare], minlength=base[-1]).reshape(-1, PARTS)
             sums = sums.reshape(-1, PARTS)
             whom = np.repeat(np.arange(len(sizes)), g)
             number = np.arange(len(whom)) - np.repeat(np.cumsum(g) - g, g)
-            empty = held.sum(1, keepdims=True) == held
-            loose = np.bincount(whom, weights=empty.any(1), minlength=len(sizes)) > EXTRA
+            weak = held.sum(1, keepdims=True) == held
+            loose = np.bincount(whom, weights=weak.any(1), minlength=len(sizes)) > extra(allowed(upper[band], upper[band], percent))
             for out in range(PARTS):
                 tag = mix(((band[whom] * 1_000_003 + number) * PARTS + out).astype(np.uint64))
-                use = ~empty[:, out] | loose[whom]
+                use = ~weak[:, out] | loose[whom]
                 owners.append(whom[use])
                 sigs.append(mix(sums[use].sum(1) - sums[use, out] + tag[use]))
     return np.concatenate(owners), np.concatenate(sigs)
 
 
-def _blobs(width: int, percent: int, buckets: int):
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(piece.column("text"), width)[1].view(np.int64))], ["shingle"])
+    return run
+
+
+def _blobs(width: int, percent: int, buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        frequent = shared.value
         for batch in batches:
             for piece in slices(batch):
                 bounds, values = shingle_sets(piece.column("text"), width)
@@ -132,7 +195,9 @@ def _blobs(width: int, percent: int, buckets: int):
                 chosen = np.zeros(len(bounds) - 1, bool)
                 chosen[keep] = True
                 sizes = np.diff(bounds)
-                owner, sig = signatures(np.concatenate([[0], np.cumsum(sizes[keep])]), values[np.repeat(chosen, sizes)], percent)
+                owner, sig = signatures(np.concatenate([[0], np.cumsum(sizes[keep])]), values[np.repeat(chosen, sizes)], percent, frequent)
+                if len(sig) == 0:
+                    continue
                 bucket = (sig % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 whose, sig, bucket = np.array(ids, np.int64)[owner[order]], sig[order], bucket[order]
@@ -147,7 +212,7 @@ def _blobs(width: int, percent: int, buckets: int):
 
 
 def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from each sharer of a signature to the smallest sharer."""
+    """Candidate pairs of each signature; ``test`` is 1 where all pairs of its sharers are given."""
     sigs, ids = [], []
     for batch in batches:
         sigs += [np.frombuffer(x, np.uint64) for x in batch.column("sigs").to_pylist()]
@@ -156,38 +221,76 @@ def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sig, own = np.concatenate(sigs), np.concatenate(ids)
     del sigs, ids
-    order = np.argsort(sig, kind="stable")
+    order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
-    new = np.concatenate([[True], sig[1:] != sig[:-1]])
-    starts = np.flatnonzero(new)
-    least = np.minimum.reduceat(own, starts)
-    first = np.repeat(least, np.diff(np.concatenate([starts, [len(sig)]])))
-    apart = own != first
-    pairs = np.unique(np.stack([own[apart], first[apart]], 1), axis=0)
+    again = np.concatenate([[False], (sig[1:] == sig[:-1]) & (own[1:] == own[:-1])])
+    sig, own = sig[~again], own[~again]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(starts, len(sig)))
+    edges = []
+    for n in range(2, SMALL + 1):
+        first = starts[size == n]
+        edges += [np.stack([own[first + i], own[first + j], np.ones(len(first), np.int64)], 1) for i in range(n) for j in range(i + 1, n)]
+    large = size > SMALL
+    least = np.repeat(np.minimum.reduceat(own, starts), size)
+    many = np.repeat(large, size) & (own != least)
+    edges.append(np.stack([own[many], least[many], np.zeros(int(many.sum()), np.int64)], 1))
+    pairs = np.concatenate(edges)
+    pairs[:, :2].sort(axis=1)
+    pairs = np.unique(pairs, axis=0)
     for at in range(0, len(pairs), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[at:at + 100_000, 0]), pa.array(pairs[at:at + 100_000, 1])], ["a", "b"])
+        part = pairs[at:at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(part[:, 2])], ["a", "b", "test"])
 
 
-def _sets(width: int):
+def _near(percent: int):
+    """Pairs whose sketches allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
-                bounds, values = shingle_sets(piece.column("text"), width)
-                sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                # rows of one doc_id may have different texts: only the text of this very set counts
-                same = pa.array([len(v) > 0 and _identity(v) == x for v, x in zip(sets, piece.column("id").to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([
-                    piece.column("id"), piece.column("root"), piece.column("pieces"), pa.array([v.tobytes() for v in sets], pa.binary()),
-                ], ["id", "root", "pieces", "elements"]).filter(same)
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, pair in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                one, two = (np.frombuffer(x, np.uint64) for x in pair)
+                length = min(len(one), len(two))
+                apart[i] = np.bitwise_count(_folded(one, length) ^ _folded(two, length)).sum()
+            close = apart <= allowed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            yield batch.select([0, 1]).filter(pa.array(close))
     return run
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements on each of ``SKETCH_BITS`` places; as 64-bit words."""
+def _spots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(part, places) of document numbers in the map."""
     with np.errstate(over="ignore"):
-        spot = mix(values + np.uint64(0x2545F491)) % np.uint64(SKETCH_BITS)
-    odd = (np.bincount(spot.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.uint64)
+        first = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0xD0C))
+        places = np.stack([first, mix(first)]) >> np.uint64(8)
+    return (first % np.uint64(MAP_PARTS)).astype(np.int64), (places % np.uint64(MAP_BITS // MAP_PARTS)).astype(np.int64)
+
+
+def _marked(group: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(MAP_BITS // MAP_PARTS, bool)
+    bits[_spots(group["doc_id"].to_numpy())[1].ravel()] = True
+    return pd.DataFrame({"part": [group["part"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_spots(batch.column(0).to_numpy())[0]), batch.column(0)], ["part", "doc_id"])
+
+
+def _sets(width: int, shared):
+    """(id, elements) of the documents in the map."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for batch in batches:
+            part, places = _spots(batch.column("doc_id").to_numpy())
+            hit = np.zeros(batch.num_rows, bool)
+            for p, bits in marks.items():
+                own = np.flatnonzero(part == p)
+                hit[own] = ((bits[places[:, own] >> 3] >> (7 - (places[:, own] & 7)).astype(np.uint8)) & 1 == 1).all(0)
+            for piece in slices(batch.filter(pa.array(hit))):
+                bounds, values = shingle_sets(piece.column("text"), width)
+                sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([_identity(v) for v in sets], pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())], ["id", "elements"])
+    return run
 
 
 def forest(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
@@ -195,7 +298,7 @@ def forest(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, pe
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
     sizes, side = sizes[order], side[order]
-    sketches = np.stack([sketch(sets[i]) for i in order])
+    drawn = sketches(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([sets[i] for i in order]), min(1 << 14, sketch_bits(sizes[-1])))
     parent = np.arange(len(order))
 
     def find(x: int) -> int:
@@ -207,7 +310,7 @@ def forest(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, pe
     out = []
     for i in range(len(order)):
         to = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
-        apart = np.bitwise_count(sketches[i + 1:to] ^ sketches[i]).sum(1)
+        apart = np.bitwise_count(drawn[i + 1:to] ^ drawn[i]).sum(1)
         near = apart <= allowed(sizes[i], sizes[i + 1:to], percent)
         if across:
             near &= side[i + 1:to] != side[i]
@@ -233,21 +336,34 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, reducer_en
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    members = cut(texts.mapInArrow(_members(width), "doc_id long, n long, id long"), "join-members")
+    members = cut(texts.mapInArrow(_members(width), "doc_id long, n long, id long, sketch binary"), "join-members")
     nodes = members.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
-    entries = (members.agg(F.sum("n")).first()[0] or 0) * 2 * 3 * (100 - percent) // (100 + percent) * 2
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // reducer_entries + 1)
-    buckets = 4 * parts
-    edges = (
-        texts.mapInArrow(_blobs(width, percent, buckets), "bucket long, sigs binary, ids binary")
-        .repartition(parts, "bucket").mapInArrow(_sharers, "a long, b long")
+    shingles = members.agg(F.sum("n")).first()[0] or 0
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(shingles // SAMPLE_SHINGLES + 1)) == 0)
+    drawn = sample.mapInArrow(_shingles(width), "shingle long").groupBy("shingle").count()
+    frequent = drawn.filter(F.col("count") >= FREQUENT).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(np.sort(frequent))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * 6 // 10 // reducer_entries + 1)
+    candidates = cut(
+        texts.mapInArrow(_blobs(width, percent, parts, shared), "bucket long, sigs binary, ids binary")
+        .repartition(parts, "bucket").mapInArrow(_sharers, "a long, b long, test long")
+        .groupBy("a", "b").agg(F.min("test").alias("test")), "join-candidates"
     )
+    drawn = members.filter("id IS NOT NULL").select("id", "n", "sketch")
+    ends = candidates.filter("test = 1").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    drawn = cut(drawn.join(ends, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "join-sketches")
+    one, two = (drawn.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    tested = candidates.filter("test = 1").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+    edges = candidates.filter("test = 0").select("a", "b").unionByName(tested.mapInArrow(_near(percent), "a long, b long"))
     blocks = components(edges, "join-blocks").withColumnsRenamed({"node": "id"})
     sized = cut(blocks.join(nodes, "id"), "join-sized")
     pieces = sized.groupBy("root").agg(F.expr(f"CAST(sum(8 * n) DIV {TILE_BYTES} + 1 AS INT)").alias("pieces"))
     active = cut(sized.join(pieces, "root").select("id", "root", "pieces", F.col("rep").alias("doc_id")), "join-active")
-    sets = texts.join(active, "doc_id").mapInArrow(_sets(width), "id long, root long, pieces int, elements binary")
+    marks = active.select("doc_id").mapInArrow(_numbered, "part long, doc_id long").groupBy("part").applyInPandas(_marked, "part long, bits binary").collect()
+    wanted = spark.sparkContext.broadcast({r["part"]: np.frombuffer(r["bits"], np.uint8) for r in marks})
+    again = texts.filter("doc_id IS NOT NULL").mapInArrow(_sets(width, wanted), "id long, elements binary")
+    sets = again.join(active.select("id", "root", "pieces"), "id")
     tiles = (
         sets.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
