@@ -318,8 +318,8 @@ def _finisher(tokens: int):
 def score(docs: DataFrame, pair_min: int = PAIR_MIN, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Rows of ``RESULT`` for every document, the model trained on all that are not held out."""
     spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // REDUCER_BYTES, 1 << 20))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // REDUCER_BYTES)
     buckets = 2 * parts
     marked = docs.select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     learnt, model = train(marked.filter("NOT held_out"), buckets, parts, pair_min, filter_bytes)

@@ -79,8 +79,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     held = fold(F.col("doc_id"), FOLDS) == HELD_OUT
     x = cut(vectors(docs), "qda-vectors")
     known = labels.select("doc_id", "quality").filter("quality IN (0, 1)").filter(~held)
-    classes = factors(moments(x.join(known, "doc_id")))
+    classes = moments(x.join(known, "doc_id"))
     if len(classes) == 2:
+        classes = factors(classes)
         gap = _log_density(classes[1]) - _log_density(classes[0])
         value = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), gap))))
     else:
