@@ -62,7 +62,8 @@ INSTRUCTION_SHAPES = (
 
 
 def looks_like_instruction(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike("(?iu)(" + "|".join(INSTRUCTION_SHAPES) + ")")
+    """Whether the folded, uncut text has one of the shapes, so that look-alike and invisible characters do not hide it."""
+    return folded_text(text).rlike("(?iu)(" + "|".join(INSTRUCTION_SHAPES) + ")")
 
 
 @F.pandas_udf(StringType())
@@ -72,17 +73,24 @@ def _compatible_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.fillna("").map(lambda s: unicodedata.normalize("NFKC", s))
 
 
+def folded_text(text: Column) -> Column:
+    """Compatibility forms folded, control and format characters dropped, blanks collapsed."""
+    plain_ascii = F.coalesce(text, F.lit("")).rlike(r"^\p{ASCII}*$")
+    # only text beyond ASCII can have another compatible form
+    folded = F.when(plain_ascii, F.coalesce(text, F.lit(""))).otherwise(_compatible_form(text))
+    folded = F.regexp_replace(folded, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", " ")
+    folded = F.regexp_replace(folded, r"\p{Cf}", "")
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
+
+
 def clean_text(text: Column, limit: int = 240) -> Column:
-    """Fold compatibility forms, drop control and format characters, collapse blanks.
+    """The folded text; past ``limit`` characters it is cut for display and says what is missing.
 
-    Text past ``limit`` characters is shortened for display and says how long it was;
-    checks run on the whole text, not on this.
+    Checks run on the whole text, not on this.
     """
-    folded = F.regexp_replace(_compatible_form(text), r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", " ")
-    folded = F.regexp_replace(folded, r"\p{Cf}", "")
-    folded = F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
-    note = F.concat(F.left(folded, F.lit(limit)), F.lit("... [truncated, "),
-                    F.length(folded).cast("string"), F.lit(" chars]"))
+    folded = folded_text(text)
+    note = F.concat(F.left(folded, F.lit(limit)), F.lit(" (first "), F.lit(str(limit)), F.lit(" of "),
+                    F.length(folded).cast("string"), F.lit(" characters)"))
     return F.when(F.length(folded) > limit, note).otherwise(folded)
 
 

@@ -30,6 +30,7 @@ class Reconciliation:
     actions: DataFrame
     risks: DataFrame
     inputs: DataFrame
+    refused: DataFrame
 
 
 def _folder(path: Column) -> Column:
@@ -44,7 +45,8 @@ def reconcile(
     """Reads files laid out as <merchant>/<file> and closes the period they cover.
 
     A statement that contradicts its own balance, or a contract that cannot be read,
-    stops the job; nothing is reconciled against it.
+    stops the job; nothing is reconciled against it. So does a statement or return that
+    cannot be read, unless ``strict`` is off: then it is listed in ``refused``.
     """
     bad = fees.invalid_contracts(contracts).select("reason").distinct().take(3)
     if bad:
@@ -57,7 +59,8 @@ def reconcile(
     sold = gateway.report_events(kinds["report"], pulled_on, strict=strict).unionByName(
         gateway.payment_events(kinds["payments"], refund_items, strict=strict))
 
-    parsed = statement.load(spark, statements)
+    parsed = statement.load(spark, statements, strict)
+    refused = parsed["unreadable"].withColumn("kind", F.lit("statement"))
     told = cut(statement.statement_report(parsed["lines"]), "statement-report")
     broken = [r["file"] for r in told.filter("checked > 0 AND broken > 0").select("file").take(3)]
     if broken:
@@ -72,7 +75,9 @@ def reconcile(
 
     invoices = None
     if returns is not None:
-        filed = gst.load(spark, returns)["invoices"]
+        read = gst.load(spark, returns, strict=strict)
+        filed = read["invoices"]
+        refused = refused.unionByName(read["unreadable"].withColumn("kind", F.lit("return")))
         # a return is for the window its merchant is closed over; weekly windows take invoices by date
         keyed = books.windows.select("merchant_id", "window_id", "window_start", "window_end")
         invoices = filed.join(keyed, "merchant_id")
@@ -82,7 +87,7 @@ def reconcile(
     risks = tax.assess(causes.window_fees(books), invoices, form_26as, gateway_gstin)
     return Reconciliation(
         books, close.close_summary(books), found, close.coverage(books), close.exceptions(books),
-        insights.actions(found, books.windows), risks, gateway.input_report(items, events),
+        insights.actions(found, books.windows), risks, gateway.input_report(items, events), refused,
     )
 
 

@@ -20,21 +20,29 @@ _HIGH = {
     0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
 }
 _UNDEFINED = "[\x81\x8d\x8f\x90\x9d]"
-_COLUMNS = 40
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of every file that is not too large to be a statement."""
+class RefusedFile(ValueError):
+    """A file that cannot be taken for what it should be."""
+
+
+def read_files(spark: SparkSession, path: str, strict: bool = True, most: int = MAX_BYTES) -> DataFrame:
+    """(file, content) of every file. Files of more than ``most`` bytes stop a strict job; a lenient one lists them by ``oversized``."""
+    if strict:
+        large = [r["file"] for r in oversized(spark, path, most).select("file").take(3)]
+        if large:
+            raise RefusedFile(f"more than {most} bytes: {large}")
     return (
         spark.read.format("binaryFile").load(path)
-        .filter(F.col("length") <= MAX_BYTES)
+        .filter(F.col("length") <= most)
         .select(F.col("path").alias("file"), "content")
     )
 
 
-def oversized(spark: SparkSession, path: str) -> DataFrame:
+def oversized(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
+    """(file, reason) of files past the limit; reads no content."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
-    return files.filter(F.col("length") > MAX_BYTES).withColumn("reason", F.lit("file is too large to be a statement"))
+    return files.filter(F.col("length") > most).select("file", F.format_string("%d bytes are more than the %d taken", "length", F.lit(most)).alias("reason"))
 
 
 def decoded(content: Column) -> Column:
@@ -46,6 +54,16 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
+def _line_cells(line: Column) -> Column:
+    """Cells of one line, however many; a quoted cell loses its quotes and its doubled quotes become single."""
+    quoted = F.transform(
+        # a comma counts when an even number of quotes follows it
+        F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1),
+        lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c),
+    )
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
+
+
 def cells(files: DataFrame) -> DataFrame:
     """(file, line, cells) of every line, numbered from one.
 
@@ -57,16 +75,11 @@ def cells(files: DataFrame) -> DataFrame:
     odd = F.exists("lines", lambda line: F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1)
     split = split.withColumn("runs_over", odd)
 
-    schema = ", ".join(f"c{i} string" for i in range(_COLUMNS))
-    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     plain = (
         split.filter("NOT runs_over")
         .select("file", F.posexplode("lines").alias("_at", "raw"))
-        .withColumn("parsed", F.from_csv("raw", schema, options))
+        .select("file", (F.col("_at") + 1).cast("bigint").alias("line"), _line_cells(F.col("raw")).alias("cells"))
     )
-    # a row ends at its last comma, so that trailing cells that are not there stay away
-    as_array = F.array(*[F.coalesce(F.col(f"parsed.c{i}"), F.lit("")) for i in range(_COLUMNS)])
-    plain = plain.select("file", (F.col("_at") + 1).cast("bigint").alias("line"), as_array.alias("cells"))
 
     def by_module(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

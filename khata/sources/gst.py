@@ -64,25 +64,32 @@ def json_invoices(files: DataFrame) -> DataFrame:
     )
 
 
-def csv_invoices(files: DataFrame) -> DataFrame:
+def csv_invoices(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Invoices, and (file, reason) of files without a header."""
     rows = cut(delimited.cells(files), "return-cells")
     enough = F.col("supplier_gstin").isNotNull() & F.col("invoice_no").isNotNull()
     heads = delimited.best_header(rows, COLUMNS, delimited.named_roles(COLUMNS), HEADER_LINES, enough, None)
+    heads = cut(heads, "return-heads")
+    headless = files.select("file").join(heads.filter("readable").select("file"), "file", "left_anti")
     body = rows.join(heads.filter("readable"), "file").filter("line > header_line")
-    return body.select(
+    invoices = body.select(
         "file", cell("supplier_gstin").alias("supplier_gstin"), cell("supplier_name").alias("supplier_name"),
         cell("invoice_no").alias("invoice_no"), parse_date(cell("invoice_date"), RETURN_LAYOUTS).alias("invoice_date"),
         paise_or_zero(cell("taxable_value")).alias("taxable_paise"),
         *[paise_or_zero(cell(t)).alias(f"{t}_paise") for t in _TAXES],
     )
+    return invoices, headless.select("file", F.lit("neither a return in JSON nor a table with its columns").alias("reason"))
 
 
 def parse(files: DataFrame, merchant: Column | None = None) -> dict[str, DataFrame]:
-    """Return files -> ``invoices`` and ``skipped``; ``merchant`` defaults to the file's folder."""
-    marked = files.withColumn("_json", is_json(F.col("content")))
-    every = json_invoices(marked.filter("_json").drop("_json")).unionByName(
-        csv_invoices(marked.filter("NOT _json").drop("_json"))
-    )
+    """Return files -> ``invoices``, ``skipped`` and ``unreadable``; ``merchant`` defaults to the file's folder.
+
+    What looks like JSON but is not a return is tried as a table, as an export may start with a bracket.
+    """
+    a_return = F.from_json(delimited.decoded(F.col("content")), RETURN)
+    marked = files.withColumn("_json", is_json(F.col("content")) & F.coalesce(a_return["data"]["docdata"].isNotNull() | a_return["docdata"].isNotNull(), F.lit(False)))
+    tables, headless = csv_invoices(marked.filter("NOT _json").drop("_json"))
+    every = json_invoices(marked.filter("_json").drop("_json")).unionByName(tables)
     folder = F.element_at(F.split("file", "/"), -2)
     every = every.withColumn("merchant_id", folder if merchant is None else merchant)
     readable = F.col("invoice_date").isNotNull() & (F.col("supplier_gstin") != "")
@@ -91,8 +98,16 @@ def parse(files: DataFrame, merchant: Column | None = None) -> dict[str, DataFra
         "skipped": every.filter(~readable).select(
             "file", "supplier_gstin", "invoice_no", F.lit("unreadable date or no supplier").alias("reason")
         ),
+        "unreadable": headless,
     }
 
 
-def load(spark: SparkSession, path: str, merchant: Column | None = None) -> dict[str, DataFrame]:
-    return parse(delimited.read_files(spark, path), merchant)
+def load(spark: SparkSession, path: str, merchant: Column | None = None, strict: bool = True) -> dict[str, DataFrame]:
+    """Parsed returns of a folder. A strict load stops at files that cannot be read; a lenient one lists them."""
+    parsed = parse(delimited.read_files(spark, path, strict), merchant)
+    if strict:
+        bad = [r["file"] for r in parsed["unreadable"].select("file").take(3)]
+        if bad:
+            raise delimited.RefusedFile(f"not a return: {bad}")
+        return parsed
+    return parsed | {"unreadable": parsed["unreadable"].unionByName(delimited.oversized(spark, path))}

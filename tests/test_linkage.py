@@ -26,16 +26,16 @@ def later(days):
     return D + datetime.timedelta(days=days)
 
 
-U = "20260504123456"
+U = "77310428905566"
 CASES = {
     "exact": ([("c", 50000, D, f"GATEWAY PVT LTD-{U}")], [("p", U, 50000, D)], ("p", "exact_utr")),
-    "separators": ([("c", 50000, D, "IMPS/20260504-123456/X")], [("p", U, 50000, D)], ("p", "normalised_utr")),
-    "truncated": ([("c", 50000, D, "BY TRANSFER-NEFT*BANK0*2026050412")], [("p", U, 50000, D)], ("p", "truncated_prefix")),
+    "separators": ([("c", 50000, D, "IMPS/77310428-905566/X")], [("p", U, 50000, D)], ("p", "normalised_utr")),
+    "truncated": ([("c", 50000, D, "MOVED*HILLS*7731042890")], [("p", U, 50000, D)], ("p", "truncated_prefix")),
     "no reference": ([("c", 50000, D, "IMPS IN GATEWAY")], [("p", U, 50000, D)], ("p", "amount_date_unique")),
-    "longer reference": ([("c", 50000, D, f"X-{U}")], [("q", "2026050412", 50000, D), ("p", U, 50000, D)], ("p", "exact_utr")),
-    "stranger": ([("c", 17250, D, "SOME OTHER PAYER")], [("p", U, 50000, D)], (None, "abstain_no_candidate")),
+    "longer reference": ([("c", 50000, D, f"X-{U}")], [("q", "7731042890", 50000, D), ("p", U, 50000, D)], ("p", "exact_utr")),
+    "stranger": ([("c", 33300, D, "RENT FROM UPSTAIRS")], [("p", U, 50000, D)], (None, "abstain_no_candidate")),
     "out of reach": ([("c", 50000, later(9), f"X-{U}")], [("p", U, 50000, D)], (None, "abstain_no_candidate")),
-    "blank reference": ([("c", 17250, D, "ANY")], [("p", "", 50000, D)], (None, "abstain_no_candidate")),
+    "blank reference": ([("c", 33300, D, "ANY")], [("p", "", 50000, D)], (None, "abstain_no_candidate")),
 }
 
 
@@ -46,14 +46,14 @@ def test_named_cases(spark, crowded):
 
 
 def test_ambiguous_pairs_stay_open_and_greedy_guesses(spark):
-    world = {"m": ([("a", 998, later(2), "IMPS IN"), ("b", 998, later(3), "IMPS IN")], [("early", "20260601000001", 998, D), ("late", "20260603000002", 998, later(2))])}
+    world = {"m": ([("a", 4210, later(2), "PAYIN"), ("b", 4210, later(3), "PAYIN")], [("early", "50117700000001", 4210, D), ("late", "60228800000002", 4210, later(2))])}
     assert {r["rule"] for r in run(spark, world).values()} == {"abstain_ambiguous"}
     guessed = run(spark, world, greedy=True)
     assert (guessed["m", "a"]["settlement_id"], guessed["m", "b"]["settlement_id"]) == ("early", "late")
 
 
 def test_threshold_is_final_but_leaves_the_payout_free(spark):
-    world = {"m": ([("a", 5, D, "X*20260504"), ("b", 5, later(1), "IMPS")], [("p", U, 5, D)])}
+    world = {"m": ([("a", 5, D, "X*77310428"), ("b", 5, later(1), "IMPS")], [("p", U, 5, D)])}
     got = run(spark, world, threshold=0.95)
     assert got["m", "a"]["settlement_id"] is None and got["m", "a"]["rule"] == "truncated_prefix"
 
