@@ -97,8 +97,8 @@ def memos(books: Books) -> DataFrame:
     top = findings(books).filter("position = 1").select(*WINDOW, "title", F.col("amount_paise").alias("_top"))
     body = close_summary(books).join(top, WINDOW, "left")
     said = F.concat(
-        F.lit("Cash landed "), money_text(F.col("landed_paise")), F.lit(" against "), money_text(F.col("gross_paise")),
-        F.lit(" captured, a gap of "), money_text(F.col("gap_paise")), F.lit("."),
-        F.coalesce(F.concat(F.lit(" Most of it: "), F.col("title"), F.lit(" at "), money_text(F.col("_top")), F.lit(".")), F.lit("")),
+        F.lit("Sold "), money_text(F.col("gross_paise")), F.lit(", in the bank "), money_text(F.col("landed_paise")),
+        F.lit("; still out "), money_text(F.col("gap_paise")), F.lit("."),
+        F.coalesce(F.concat(F.lit(" First cause: "), F.col("title"), F.lit(", "), money_text(F.col("_top")), F.lit(".")), F.lit("")),
     )
     return body.select(*WINDOW, said.alias("text"))

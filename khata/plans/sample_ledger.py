@@ -223,15 +223,14 @@ def payout_events(payouts: DataFrame) -> DataFrame:
         utr=F.col("utr"), currency=F.lit("INR"),
     )
     utr = F.col("utr")
-    absent = F.lit("IMPS IN GATEWAY PVT LTD")
+    absent = F.lit("INWARD FROM GATEWAY")
     narration = (
         F.when(F.col("suffix") == "b", absent)
-        .when(n % 5 == 0, F.concat(F.lit("NEFT CR-BANK0000001-GATEWAY PVT LTD-"), utr))
-        .when(n % 5 == 1, F.concat(F.lit("IMPS/"), utr.substr(1, 8), F.lit("-"), utr.substr(9, 20),
-                                   F.lit("/GATEWAY/SETTLEMENT")))
-        .when(n % 5 == 2, F.concat(F.lit("BY TRANSFER-NEFT*BANK0*"), utr.substr(1, 10)))
+        .when(n % 5 == 0, F.concat(F.lit("GATEWAY DAY CLOSE "), utr))
+        .when(n % 5 == 1, F.concat(F.lit("PAYOUT GATEWAY "), utr.substr(1, 8), F.lit("-"), utr.substr(9, 20)))
+        .when(n % 5 == 2, F.concat(F.lit("SHORT SLIP "), utr.substr(1, 10)))
         .when(n % 5 == 3, absent)
-        .otherwise(F.concat(F.lit("RTGS CR GATEWAY REF "), utr, F.lpad((n % 100).cast("string"), 2, "0")))
+        .otherwise(F.concat(F.lit("GATEWAY SLIP NO "), utr, F.lpad((n % 100).cast("string"), 2, "0")))
     )
     arrives = F.date_add("day", (n % 3).cast("int"))
 
@@ -477,7 +476,7 @@ class SampleLedger:
         """The memos of all windows; every ninth quotes a gap that is not the verified one."""
         wrong = money_text(F.col("gap_paise") + 12345)
         gaps = variance(self.books.moves, self.books.windows).select("merchant_id", "window_id", "gap_paise")
-        spoiled = F.concat(F.substring_index("text", ", a gap of ", 1), F.lit(", a gap of "), wrong, F.lit("."))
+        spoiled = F.concat(F.substring_index("text", "; still out ", 1), F.lit("; still out "), wrong, F.lit("."))
         return memos(self.books).join(gaps, ["merchant_id", "window_id"]).select(
             "merchant_id", "window_id", F.when(F.col("window_id") % 9 == 4, spoiled).otherwise(F.col("text")).alias("text"))
 

@@ -83,33 +83,33 @@ CTES["order_events"] = "\nUNION ALL ".join([
 # account | signed amount | ref | memo, per event type
 _RULES = {
     "payment_captured": [
-        ("gateway_receivable", "abs(amount_paise - fee_paise - tax_paise - tds_paise)", "entity_id", "'net receivable'"),
+        ("gateway_receivable", "abs(amount_paise - fee_paise - tax_paise - tds_paise)", "entity_id", "'owed by the gateway'"),
         ("fee_expense", "abs(fee_paise)", "entity_id", "method || ' fee'"),
-        ("gst_input_credit", "abs(tax_paise)", "entity_id", "'GST on fee'"),
-        ("tds_receivable", "abs(tds_paise)", "entity_id", "'sec 194-O'"),
+        ("gst_input_credit", "abs(tax_paise)", "entity_id", "'tax on the charge'"),
+        ("tds_receivable", "abs(tds_paise)", "entity_id", "'withheld at source'"),
         ("revenue", "-abs(amount_paise)", "entity_id", "counterparty"),
     ],
-    "refund_issued": [("refunds", "abs(amount_paise)", "entity_id", "'refund of ' || counterparty"),
+    "refund_issued": [("refunds", "abs(amount_paise)", "entity_id", "'back for ' || counterparty"),
                       ("gateway_receivable", "-abs(amount_paise)", "entity_id", "counterparty")],
-    "dispute_opened": [("dispute_reserve", "abs(amount_paise)", "entity_id", "'reserve, ' || detail"),
+    "dispute_opened": [("dispute_reserve", "abs(amount_paise)", "entity_id", "'set aside: ' || detail"),
                        ("gateway_receivable", "-abs(amount_paise)", "entity_id", "counterparty")],
     "risk_hold_applied": [("on_hold", "abs(amount_paise)", "entity_id", "detail"),
-                          ("gateway_receivable", "-abs(amount_paise)", "entity_id", "'held'")],
-    "risk_hold_released": [("gateway_receivable", "abs(amount_paise)", "entity_id", "'hold released'"),
-                           ("on_hold", "-abs(amount_paise)", "entity_id", "'released'")],
+                          ("gateway_receivable", "-abs(amount_paise)", "entity_id", "'kept back'")],
+    "risk_hold_released": [("gateway_receivable", "abs(amount_paise)", "entity_id", "'no longer kept back'"),
+                           ("on_hold", "-abs(amount_paise)", "entity_id", "'handed on'")],
     "settlement_executed": [
         ("settlement_in_transit", "abs(amount_paise)", "utr", "entity_id"),
-        ("fee_expense", "abs(fee_paise)", "entity_id", "'instant settlement fee'"),
+        ("fee_expense", "abs(fee_paise)", "entity_id", "'charge for paying at once'"),
         ("gateway_receivable", "-abs(amount_paise + fee_paise)", "entity_id", "utr")],
     "bank_credit_received": [("bank", "abs(amount_paise)", "entity_id", "narration"),
-                             ("settlement_in_transit", "-abs(amount_paise)", "entity_id", "'credit confirmed'")],
+                             ("settlement_in_transit", "-abs(amount_paise)", "entity_id", "'arrived'")],
     "bank_charge_applied": [("bank_charges", "abs(amount_paise)", "entity_id", "narration"),
-                            ("bank", "-abs(amount_paise)", "entity_id", "'debited by bank'")],
+                            ("bank", "-abs(amount_paise)", "entity_id", "'taken by the bank'")],
     "bank_debit": [("other_outflow", "abs(amount_paise)", "entity_id", "narration"),
-                   ("bank", "-abs(amount_paise)", "entity_id", "'paid out of the bank'")],
+                   ("bank", "-abs(amount_paise)", "entity_id", "'left the account'")],
     "gateway_adjustment": [("gateway_adjustments", "abs(amount_paise)", "entity_id", "detail"),
-                           ("gateway_receivable", "-abs(amount_paise)", "entity_id", "'netted off the payout'")],
-    "route_transfer": [("revenue", "abs(amount_paise)", "entity_id", "'split to ' || detail"),
+                           ("gateway_receivable", "-abs(amount_paise)", "entity_id", "'taken from a payout'")],
+    "route_transfer": [("revenue", "abs(amount_paise)", "entity_id", "'share of ' || detail"),
                        ("gateway_receivable", "-abs(amount_paise)", "entity_id", "counterparty")],
 }
 
@@ -127,8 +127,8 @@ def _postings(source: str) -> str:
     for kind, rows in _RULES.items():
         for row in rows:
             one(kind, *row)
-    one("dispute_resolved", "gateway_receivable", "abs(amount_paise)", "entity_id", "'reserve released'", " AND won")
-    one("dispute_resolved", "chargeback_loss", "abs(amount_paise)", "entity_id", "'dispute lost'", " AND NOT won")
+    one("dispute_resolved", "gateway_receivable", "abs(amount_paise)", "entity_id", "'set aside no longer'", " AND won")
+    one("dispute_resolved", "chargeback_loss", "abs(amount_paise)", "entity_id", "'lost to the buyer'", " AND NOT won")
     one("dispute_resolved", "dispute_reserve", "-abs(amount_paise)", "entity_id", "counterparty")
     return "\nUNION ALL ".join(parts)
 
@@ -148,12 +148,12 @@ SELECT merchant_id, day, n, suffix, CAST(gross_out - fee AS BIGINT) AS net, CAST
 FROM (SELECT *, CASE WHEN n % 11 = 5 AND suffix = '' THEN (gross_out * 2 + 500) // 1000 ELSE 0 END AS fee
       FROM (SELECT merchant_id, day, n, '' AS suffix, net - CASE WHEN swept THEN 5000000 ELSE 0 END AS gross_out FROM payout_net
             UNION ALL SELECT merchant_id, day, n, 'b', 5000000 FROM payout_net WHERE swept))"""
-_NARR = """CASE WHEN suffix = 'b' THEN 'IMPS IN GATEWAY PVT LTD'
-  WHEN n % 5 = 0 THEN 'NEFT CR-BANK0000001-GATEWAY PVT LTD-' || utr
-  WHEN n % 5 = 1 THEN 'IMPS/' || substr(utr, 1, 8) || '-' || substr(utr, 9) || '/GATEWAY/SETTLEMENT'
-  WHEN n % 5 = 2 THEN 'BY TRANSFER-NEFT*BANK0*' || substr(utr, 1, 10)
-  WHEN n % 5 = 3 THEN 'IMPS IN GATEWAY PVT LTD'
-  ELSE 'RTGS CR GATEWAY REF ' || utr || lpad(CAST(n % 100 AS VARCHAR), 2, '0') END"""
+_NARR = """CASE WHEN suffix = 'b' THEN 'INWARD FROM GATEWAY'
+  WHEN n % 5 = 0 THEN 'GATEWAY DAY CLOSE ' || utr
+  WHEN n % 5 = 1 THEN 'PAYOUT GATEWAY ' || substr(utr, 1, 8) || '-' || substr(utr, 9)
+  WHEN n % 5 = 2 THEN 'SHORT SLIP ' || substr(utr, 1, 10)
+  WHEN n % 5 = 3 THEN 'INWARD FROM GATEWAY'
+  ELSE 'GATEWAY SLIP NO ' || utr || lpad(CAST(n % 100 AS VARCHAR), 2, '0') END"""
 CTES["payout_events"] = f"""
 SELECT merchant_id, 'settlement_executed:' || settlement_id AS event_id, 'settlement_executed' AS type, day AS occurred_at,
        day AS recorded_at, settlement_id AS entity_id, CAST(NULL AS VARCHAR) AS counterparty, CAST(NULL AS VARCHAR) AS method,
