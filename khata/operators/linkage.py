@@ -35,7 +35,7 @@ CONFIDENCE = {
 THRESHOLD = 0.75
 LOOKBACK_DAYS = 6
 FORWARD_DAYS = 1
-SHORTEST_REFERENCE = 8
+HEAD = 8
 # Payouts per key and day beyond which pairs go through shared text.
 CROWDED = 64
 
@@ -85,7 +85,7 @@ def _evidence(narration: Column, folded: Column, utr: Column, same_amount: Colum
     return [
         F.contains(narration, utr).alias("exact"),
         F.contains(folded, utr).alias("norm"),
-        (same_amount & F.contains(folded, F.left(utr, F.lit(SHORTEST_REFERENCE)))).alias("stub"),
+        (same_amount & F.contains(folded, F.left(utr, F.lit(HEAD)))).alias("stub"),
     ]
 
 
@@ -93,7 +93,7 @@ def reference_nodes(paid: DataFrame, keys: list[str]) -> DataFrame:
     """Payouts a reference can point to. Those that agree in reference, day and amount can never
     be told apart by a reference, so they enter once with their number ``n``."""
     return (
-        paid.filter(F.length("utr") >= SHORTEST_REFERENCE)
+        paid.filter(F.trim("utr") != "")
         .groupBy(*keys, "utr", F.col("occurred_at").alias("day"), F.col("amount_paise").alias("paid_paise"))
         .agg(F.count("*").alias("n"), F.min("settlement_id").alias("settlement_id"))
     )
@@ -122,7 +122,7 @@ class Evidence:
 
 
 def _head() -> Column:
-    return F.left("utr", F.lit(SHORTEST_REFERENCE))
+    return F.left("utr", F.lit(HEAD))
 
 
 def reference_evidence(
@@ -169,8 +169,8 @@ def reference_evidence(
     pieces = seen.join(sizes, keys).withColumn("utr", F.explode(F.array_union(
         _pieces(F.col("narration"), F.col("size")), _pieces(F.col("folded"), F.col("size")))))
     heads = (
-        seen.join(sizes.select(*keys).distinct(), keys, "left_semi")
-        .withColumn("head", F.explode(F.array_distinct(_pieces(F.col("folded"), F.lit(SHORTEST_REFERENCE)))))
+        seen.join(sizes.select(*keys, F.least("size", F.lit(HEAD)).alias("size")).distinct(), keys)
+        .withColumn("head", F.explode(F.array_distinct(_pieces(F.col("folded"), F.col("size")))))
         .withColumn("paid_paise", F.col("amount_paise"))
     )
     exact, norm = F.contains("narration", F.col("utr")).alias("exact"), F.contains("folded", F.col("utr")).alias("norm")

@@ -59,11 +59,8 @@ def append_new_facts(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         facts = log.with_digest(batch)
-        days = [r[0] for r in facts.select("recorded_at").distinct().collect()]
-        if not days:
-            return
-        # a copy of a fact has the same recorded_at, so only those folders are read
-        held = spark.read.schema(FACTS).parquet(path).filter(F.col("recorded_at").isin(days))
+        # a copy of a fact has the same recorded_at, so only the folders of these days are read
+        held = spark.read.schema(FACTS).parquet(path).join(facts.select("recorded_at").distinct(), "recorded_at", "left_semi")
         new = log.new_facts(facts, held).withColumn("seq", F.lit(None).cast("bigint"))
         new.select(*FACTS.names).write.mode("append").partitionBy("recorded_at").parquet(path)
 
@@ -95,19 +92,21 @@ def running_balances(events: DataFrame) -> DataFrame:
 # --- late facts -----------------------------------------------------------------------------------
 
 
-def weekly_movements(events: DataFrame, days: int = LATE_DAYS) -> DataFrame:
-    """Movements per calendar week, restated whenever a late fact changes one (update mode)."""
-    posted = project(events).filter(~F.col("account").isin(*SUBJECT)).withColumn("occurred_ts", _at("occurred_at"))
+def weekly_movements(events: DataFrame) -> DataFrame:
+    """Movements per calendar week, restated whenever a late fact changes one (update mode).
+
+    There is no watermark, so no fact is ever too late; the state is one sum per merchant, week and account.
+    """
+    posted = project(events).filter(~F.col("account").isin(*SUBJECT))
     return (
-        posted.withWatermark("occurred_ts", f"{days} days")
-        .groupBy("merchant_id", F.window("occurred_ts", "7 days").alias("week"), "account")
+        posted.groupBy("merchant_id", F.window(_at("occurred_at"), "7 days").alias("week"), "account")
         .agg(F.sum("amount_paise").alias("amount_paise"))
         .select("merchant_id", F.to_date("week.start").alias("week_start"), "account", "amount_paise")
     )
 
 
 def split_late(path: str, days: int = LATE_DAYS) -> Callable[[DataFrame, int], None]:
-    """A batch writer that puts facts recorded too late for the weekly state in a table of their own."""
+    """A batch writer that lists facts recorded more than ``days`` after they occurred; the weekly sums hold them too."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         late = F.datediff("recorded_at", "occurred_at") > days
@@ -138,7 +137,7 @@ def payouts_in_flight(
         parts = F.array_union(parts, _pieces(reference_key(F.col("narration")), F.lit(size)))
     right = credits.select(
         F.col("merchant_id").alias("credit_merchant"), "bank_txn_id", _at("occurred_at").alias("credit_ts"),
-        F.explode(F.filter(parts, lambda p: p.rlike("^[A-Za-z0-9]*[0-9][A-Za-z0-9]*$"))).alias("named"),
+        F.explode(F.filter(parts, lambda p: F.trim(p) != "")).alias("named"),
     ).withWatermark("credit_ts", f"{delay_days} days")
     in_time = (F.col("credit_ts") >= F.col("paid_ts") - F.expr(f"INTERVAL {forward} DAYS")) & (
         F.col("credit_ts") <= F.col("paid_ts") + F.expr(f"INTERVAL {lookback} DAYS"))

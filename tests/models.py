@@ -28,7 +28,7 @@ def link(credits, payouts, threshold=0.75, greedy=False):
             out[ident] = (None, "abstain_no_candidate", 0)
             continue
         folded = fold_text(said)
-        usable = [p for p in near if len(p[1]) >= 8]
+        usable = [p for p in near if p[1].strip()]
         exact = sorted((p for p in usable if p[1] in said), key=lambda p: -len(p[1]))
         norm = [p for p in usable if p[1] in folded]
         stub = [p for p in usable if p[2] == amount and p[1][:8] in folded]

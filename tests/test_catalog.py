@@ -6,8 +6,9 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry
+from khata.catalog import QUERIES
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,10 @@ def test_entry_runs(spark):
     assert frame.filter("NOT closes").isEmpty() and "remainder_paise" in frame.columns
 
 
+def test_every_query_is_registered():
+    assert set(NAMES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_most_queries_have_sql():
     lacking = set(NAMES) - set(entry.oracle_sql())
     assert lacking <= {"f15_document_figures", "j1f_greedy", "x11_greedy_against_careful", "s14_pack_heads", "a15_pooled_coverage"}

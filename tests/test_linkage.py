@@ -35,6 +35,8 @@ CASES = {
     "longer reference": ([("c", 50000, D, f"X-{U}")], [("q", "7731042890", 50000, D), ("p", U, 50000, D)], ("p", "exact_utr")),
     "stranger": ([("c", 33300, D, "RENT FROM UPSTAIRS")], [("p", U, 50000, D)], (None, "abstain_no_candidate")),
     "out of reach": ([("c", 50000, later(9), f"X-{U}")], [("p", U, 50000, D)], (None, "abstain_no_candidate")),
+    "short reference": ([("c", 33300, D, "NEFT KH12 X")], [("p", "KH12", 50000, D)], ("p", "exact_utr")),
+    "short among long": ([("c", 50000, D, f"{U} KH12")], [("q", "KH12", 50000, D), ("p", U, 50000, D)], ("p", "exact_utr")),
     "blank reference": ([("c", 33300, D, "ANY")], [("p", "", 50000, D)], (None, "abstain_no_candidate")),
 }
 
@@ -61,6 +63,7 @@ def test_threshold_is_final_but_leaves_the_payout_free(spark):
 def random_world(rng):
     """Few days, amounts and references, so that claims chain and collide."""
     refs = ["20260504" + "".join(rng.choice("01") for _ in range(rng.choice((0, 2, 4)))) for _ in range(4)]
+    refs += rng.sample(["A1", "7B7B", "2026"], rng.randrange(3))
     payouts = [(f"p{i}", rng.choice(refs), rng.choice((100, 200, 300)), later(rng.randrange(10))) for i in range(rng.randrange(1, 9))]
     credits = []
     for i in range(rng.randrange(1, 9)):

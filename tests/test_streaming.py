@@ -81,6 +81,17 @@ def test_late_disputes_restate_their_week(spark, ledger, tmp_path):
     assert want.join(spark.table("weeks"), ["merchant_id", "week_start", "account", "amount_paise"], "left_anti").isEmpty()
 
 
+def test_no_fact_is_too_late_for_its_week(spark, ledger, tmp_path):
+    one = sample(ledger).filter("type = 'payment_captured'").limit(1)
+    for i, day in enumerate(["2026-06-01", "2026-06-15", "2026-06-29", "2026-01-01", "2026-07-06"]):
+        fact = one.withColumns({"occurred_at": F.to_date(F.lit(day)), "recorded_at": F.to_date(F.lit(day)), "event_id": F.lit(f"e{i}"), "amount_paise": F.lit(100 + i).cast("bigint"),
+                                "fee_paise": F.lit(0).cast("bigint"), "tax_paise": F.lit(0).cast("bigint"), "tds_paise": F.lit(0).cast("bigint")})
+        deliver(fact, tmp_path / "in", 20 + i)
+    drain(jobs.weekly_movements(jobs.read_events(spark, str(tmp_path / "in"), files_per_batch=1)), "all_weeks")
+    got = {r["amount_paise"] for r in spark.table("all_weeks").filter("account = 'gateway_receivable'").collect()}
+    assert {100, 101, 102, 103, 104} <= got
+
+
 def test_too_late_facts_go_aside(spark, ledger, tmp_path):
     deliver(sample(ledger), tmp_path / "in", 7)
     stream = jobs.read_events(spark, str(tmp_path / "in"))
