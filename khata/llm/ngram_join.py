@@ -11,9 +11,10 @@ lower case). The steps:
    ones. Some more groups than needed are used (``extra``), so a linked pair agrees on more of them than that: only sets with more
    weak groups must emit their weak subsets. Any set of frequent shingles gives right results; it is found on a bounded sample
    of documents (``SAMPLE_SHINGLES``), and keeps common passages from joining unlike texts.
-3. Signatures travel as packed blobs, each set once per task. Sharers of a signature become candidate pairs: all pairs of up to
-   ``SMALL`` sharers, otherwise each with the smallest. Small groups' pairs are dropped when their 1024-bit parity sketches, whose
-   distance never exceeds the true one, are too far apart. The components of what is left are blocks, which hold every linked pair.
+3. Signatures travel as packed blobs, each set once per task. Up to ``SMALL`` sharers of a signature become candidate pairs; more
+   are a group, compared in one task or, beyond ``GROUP`` members, tile by tile. Both are tested by parity sketches, whose distance
+   never exceeds the true one; a group yields a spanning forest of its near pairs, not all of them. The components of what is
+   left are blocks, which hold every linked pair.
 4. Only the first document of each set in a block is read again, found through a map of bits that is broadcast (``MAP_BITS``, the
    same at any size). Inside a block, sets are compared through sketches, then exactly; pairs already
    connected are skipped, and a spanning forest comes out, never all pairs. A block with more than ``TILE_BYTES`` of sets is cut into tiles that meet two by two in separate tasks.
@@ -42,8 +43,10 @@ from khata.llm.shingles import mix, shingle_sets, slices
 
 WIDTH, PERCENT = 4, 85
 PARTS = 3
-#: Sharers of a signature whose pairs are all tested; shingles that the sample of documents holds, and what counts as frequent in it.
-SMALL, SAMPLE_SHINGLES, FREQUENT = 8, 4_000_000, 3
+#: Sharers of a signature that become pairs; members of a tile of a larger group.
+SMALL, GROUP = 8, 4096
+#: Shingles that the sample of documents holds, and how often a frequent one occurs in it.
+SAMPLE_SHINGLES, FREQUENT = 4_000_000, 3
 NONE = np.zeros(0, np.uint64)
 #: Signatures that one reducer is meant to hold, and bytes of sets on one side of a tile.
 REDUCER_ENTRIES, TILE_BYTES = 2_000_000, 24 << 20
@@ -212,7 +215,7 @@ def _blobs(width: int, percent: int, buckets: int, shared):
 
 
 def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each signature; ``test`` is 1 where all pairs of its sharers are given."""
+    """Candidate pairs (kind 1) of signatures with few sharers; (signature, sharer) rows (kind 2) of the others."""
     sigs, ids = [], []
     for batch in batches:
         sigs += [np.frombuffer(x, np.uint64) for x in batch.column("sigs").to_pylist()]
@@ -231,16 +234,13 @@ def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for n in range(2, SMALL + 1):
         first = starts[size == n]
         edges += [np.stack([own[first + i], own[first + j], np.ones(len(first), np.int64)], 1) for i in range(n) for j in range(i + 1, n)]
-    large = size > SMALL
-    least = np.repeat(np.minimum.reduceat(own, starts), size)
-    many = np.repeat(large, size) & (own != least)
-    edges.append(np.stack([own[many], least[many], np.zeros(int(many.sum()), np.int64)], 1))
     pairs = np.concatenate(edges)
     pairs[:, :2].sort(axis=1)
-    pairs = np.unique(pairs, axis=0)
-    for at in range(0, len(pairs), 100_000):
-        part = pairs[at:at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(part[:, 2])], ["a", "b", "test"])
+    many = np.repeat(size > SMALL, size)
+    rows = np.concatenate([np.unique(pairs, axis=0), np.stack([sig[many].view(np.int64), own[many], np.full(int(many.sum()), 2)], 1)])
+    for at in range(0, len(rows), 100_000):
+        part = rows[at:at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(part[:, 2])], ["a", "b", "kind"])
 
 
 def _near(percent: int):
@@ -276,6 +276,61 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_spots(batch.column(0).to_numpy())[0]), batch.column(0)], ["part", "doc_id"])
 
 
+def near_forest(ids: np.ndarray, sizes: np.ndarray, drawn: np.ndarray, side: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect whatever sketches allow to link; with ``across``, only pairs from side 0 to side 1 count."""
+    order = np.argsort(sizes, kind="stable")
+    ids, sizes, drawn, side = ids[order], sizes[order], drawn[order], side[order]
+    label, out = np.arange(len(ids)), []
+    for i in range(len(ids)):
+        to = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
+        open_ = np.flatnonzero(label[i + 1:to] != label[i]) + i + 1
+        if across:
+            open_ = open_[side[open_] != side[i]]
+        if len(open_) == 0:
+            continue
+        near = open_[np.bitwise_count(drawn[open_] ^ drawn[i]).sum(1) <= allowed(sizes[i], sizes[open_], percent)]
+        others, first = np.unique(label[near], return_index=True)
+        out += [(int(ids[i]), int(ids[j])) for j in near[first]]
+        label[np.isin(label, others)] = label[i]
+    return out
+
+
+def _group_forest(percent: int):
+    """Forests of groups whose rows (sig, i, j, piece, id, n, sketch) follow one another."""
+    def links(key: tuple, rows: list) -> list[tuple[int, int]]:
+        pieces, ids, sizes, drawn = zip(*rows, strict=True)
+        words = [np.frombuffer(x, np.uint64) for x in drawn]
+        length = min(map(len, words))
+        side = np.array(pieces) - key[1]
+        return near_forest(np.array(ids), np.array(sizes), np.stack([_folded(w, length) for w in words]), side, key[1] != key[2], percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            out = []
+            for sig, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (sig, i, j) != key:
+                    out += links(key, rows) if rows else []
+                    key, rows = (sig, i, j), []
+                rows.append(row)
+            yield _edges(out)
+        yield _edges(links(key, rows) if rows else [])
+    return run
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Rows with ``pieces`` and ``id``, repeated for every tile (i, j) that their piece is a side of."""
+    return (
+        rows.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        .withColumns({"i": F.least("piece", "other"), "j": F.greatest("piece", "other")}).drop("other", "pieces")
+    )
+
+
 def _sets(width: int, shared):
     """(id, elements) of the documents in the map."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,15 +402,20 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, reducer_en
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * 6 // 10 // reducer_entries + 1)
     candidates = cut(
         texts.mapInArrow(_blobs(width, percent, parts, shared), "bucket long, sigs binary, ids binary")
-        .repartition(parts, "bucket").mapInArrow(_sharers, "a long, b long, test long")
-        .groupBy("a", "b").agg(F.min("test").alias("test")), "join-candidates"
+        .repartition(parts, "bucket").mapInArrow(_sharers, "a long, b long, kind long")
+        .distinct(), "join-candidates"
     )
+    pairs = candidates.filter("kind = 1").select("a", "b")
+    shared_by = candidates.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("id"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared_by.select("id")).distinct()
     drawn = members.filter("id IS NOT NULL").select("id", "n", "sketch")
-    ends = candidates.filter("test = 1").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     drawn = cut(drawn.join(ends, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "join-sketches")
     one, two = (drawn.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    tested = candidates.filter("test = 1").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
-    edges = candidates.filter("test = 0").select("a", "b").unionByName(tested.mapInArrow(_near(percent), "a long, b long"))
+    tested = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
+    pieces = shared_by.groupBy("sig").agg((F.count("*") / GROUP + 1).cast("int").alias("pieces"))
+    grouped = _tiled(shared_by.join(pieces, "sig").join(drawn, "id")).select("sig", "i", "j", "piece", "id", "n", "sketch")
+    grouped = grouped.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    edges = tested.unionByName(grouped.mapInArrow(_group_forest(percent), "a long, b long"))
     blocks = components(edges, "join-blocks").withColumnsRenamed({"node": "id"})
     sized = cut(blocks.join(nodes, "id"), "join-sized")
     pieces = sized.groupBy("root").agg(F.expr(f"CAST(sum(8 * n) DIV {TILE_BYTES} + 1 AS INT)").alias("pieces"))
@@ -364,12 +424,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, reducer_en
     wanted = spark.sparkContext.broadcast({r["part"]: np.frombuffer(r["bits"], np.uint8) for r in marks})
     again = texts.filter("doc_id IS NOT NULL").mapInArrow(_sets(width, wanted), "id long, elements binary")
     sets = again.join(active.select("id", "root", "pieces"), "id")
-    tiles = (
-        sets.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select("root", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "id", "elements")
-    )
-    links = tiles.groupBy("root", "i", "j").applyInPandas(_tile(percent), "a long, b long")
+    links = _tiled(sets).groupBy("root", "i", "j").applyInPandas(_tile(percent), "a long, b long")
     linked = components(links, "join-links").withColumnsRenamed({"node": "id"})
     named = cut(linked.join(nodes.select("id", "rep"), "id"), "join-named")
     smallest = named.select("id", "root").join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("id", "least")

@@ -6,7 +6,7 @@ metadata reads touch none of the ids. Ids are dictionary coded, or delta coded w
 ``group_bytes`` and pages at ``page_rows`` rows, and each column has page indexes, so a filter on doc_id reads single pages.
 
 Text is encoded word by word: the vocabulary's splitting never crosses a blank, so the ids of a text are those of its words
-in a row. A task keeps the ids of words that it has met, up to ``CACHED_WORDS``, then starts anew.
+in a row. A worker keeps the ids of words that it has met, up to ``CACHED_WORDS``, then starts anew.
 
 Cases: null and empty texts are the end id alone; a null doc_id comes first; repeated rows are written as often as they occur;
 an empty table gives no rows and no files; other columns are ignored.
@@ -31,7 +31,9 @@ from khata.lineage import checkpoint_folder
 from khata.llm.shingles import slices
 
 END = 2
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+#: ASCII and Latin-1 letters, then any ASCII marks but the apostrophe, which the splitting treats apart.
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 GROUP_BYTES, PAGE_ROWS = 8 << 20, 256
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -44,29 +46,67 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def word_table(path: str) -> dict[str, bytes]:
+    """Words that this worker has encoded; it lasts from task to task."""
+    return {}
+
+
 class WordCoder:
     """Ids of texts as little-endian 32-bit bytes, through a bounded table of words."""
 
     def __init__(self, path: str, end: int = END) -> None:
-        self.coder, self.known, self.end = tokenizer(path), {}, np.int32(end).tobytes()
+        self.coder, self.known, self.end = tokenizer(path), word_table(path), np.int32(end).tobytes()
+        special = self.coder.get_added_tokens_decoder()
+        self.mark, self.marks = next(((i, t.content) for i, t in sorted(special.items()) if not t.normalized and not (t.lstrip or t.rstrip or t.single_word)), (None, ""))
+
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, encoded some thousand at a time with an added token between them where the vocabulary has one."""
+        if self.mark is None or any(self.marks[:2] in w for w in words):
+            return [np.array(e.ids, np.int32).tobytes() for e in self.coder.encode_batch(words, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(words), 4000):
+            ids = np.array(self.coder.encode(self.marks.join(words[at:at + 4000]), add_special_tokens=False).ids, np.int32)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            out += [ids[a + 1:b].tobytes() for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
+        return out
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         # taken anew: Arrow's text kernels misread arrays whose first offset is not zero
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts)))))
         bounds = split.offsets.to_numpy()
         words = split.values.dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        fresh = [w for w in names if w not in self.known]
-        if fresh:
-            coded = self.coder.encode_batch(fresh, add_special_tokens=False)
-            self.known.update(zip(fresh, (np.array(e.ids, np.int32).tobytes() for e in coded), strict=True))
-        own = np.empty(len(names), object)
-        own[:] = [self.known[w] for w in names]
+        own = self.all_of(words.dictionary)
         at = words.indices.to_numpy()
         return [b"".join(own[at[a:b]].tolist()) + self.end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
+    def all_of(self, words: pa.Array) -> np.ndarray:
+        """Ids of distinct words. A plain word is its letters in lower case, then its marks: the splitting parts them anyway."""
+        found = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        out = np.empty(len(words), object)
+        if plain.any():
+            found = found.filter(pa.array(plain))
+            letters, marks = pc.utf8_lower(found.field("letters")).dictionary_encode(), found.field("marks").dictionary_encode()
+            out[plain] = self.looked_up(letters.dictionary)[letters.indices.to_numpy()] + self.looked_up(marks.dictionary)[marks.indices.to_numpy()]
+        if not plain.all():
+            out[~plain] = self.looked_up(words.filter(pa.array(~plain)))
+        return out
+
+    def looked_up(self, parts: pa.Array) -> np.ndarray:
+        names = parts.to_pylist()
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        fresh = [w for w in names if w not in self.known]
+        odd = [w for w in fresh if not w or self.marks[:2] in w]
+        simple = fresh if not odd else [w for w in fresh if w and self.marks[:2] not in w]
+        for some in (simple, odd):
+            if some:
+                self.known.update(zip(some, self.fresh(some), strict=True))
+        out = np.empty(len(names), object)
+        out[:] = [self.known[w] for w in names]
+        return out
+
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

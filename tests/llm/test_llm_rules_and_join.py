@@ -90,6 +90,8 @@ def test_join_equals_all_pairs(spark, monkeypatch, width, percent, tile):
             own = edited(rng, own, rng.choice([0, 0.005, 0.01, 0.03]))
             texts.append(" ".join(own + [f"w{rng.randint(0, 9)}"] * rng.choice([0, 0, 1, 5])))
     texts += ["common start of all " + t for t in texts[:15]] + [texts[0].upper(), texts[0]]
+    crowd = [f"c{rng.randint(0, 4000)}" for _ in range(250)]
+    texts += [" ".join(edited(rng, crowd, rng.choice([0.002, 0.01, 0.03]))) for _ in range(40)]
     rows = list(enumerate(texts))
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), width, percent, reducer_entries=500)
     assert sorted((tuple(r) for r in got.collect()), key=str) == by_brute_force(rows, width, percent)
