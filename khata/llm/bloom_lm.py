@@ -39,7 +39,7 @@ FOLDS, HELD_OUT = 7, 2
 HEAD = 1 << 17
 BITS, PROBES, PAIR_MIN, FILTER_BYTES = 10, 4, 2, 256 << 20
 MASS = 64.0
-PIECE_BYTES, REDUCER_BYTES = 8_000_000, 16 << 20
+PIECE_BYTES, REDUCER_BYTES = 4_000_000, 16 << 20
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A257A257A257A2)
 
 
