@@ -198,12 +198,18 @@ _add("u2_distinct_facts", "SELECT DISTINCT merchant_id, event_id FROM ev")
 _add("u2_ingestion", "SELECT merchant_id, count(*) + count(*) FILTER (WHERE type IN ('payment_captured', 'settlement_executed')) AS delivered, "
      "count(*) AS recorded, count(*) FILTER (WHERE type IN ('payment_captured', 'settlement_executed')) AS skipped FROM ev GROUP BY ALL")
 _add("u3_missing_facts", f"SELECT merchant_id, sha256(CAST(to_json({_JSON}) AS VARCHAR)) AS digest, 'left' AS only_in FROM ev WHERE type = 'bank_debit'")
-_add("q4_refolded_balances", "SELECT '' AS merchant_id, '' AS account, 0 AS balance_paise WHERE false")
+_add("q4_refolded_balances", "SELECT merchant_id, account, balance_paise FROM (SELECT * FROM ((SELECT * FROM whole_bal EXCEPT ALL SELECT * FROM part_bal) UNION ALL (SELECT * FROM part_bal EXCEPT ALL SELECT * FROM whole_bal)))",
+     whole_bal="SELECT merchant_id, account, CAST(sum(amount_paise) AS BIGINT) AS balance_paise FROM postings GROUP BY ALL",
+     part_bal="SELECT merchant_id, account, CAST(sum(amount_paise) AS BIGINT) AS balance_paise FROM postings WHERE event_type <> 'bank_charge_applied' GROUP BY ALL")
 _add("q7_repeated_facts", "SELECT merchant_id, count(*) AS facts, 2 * count(*) AS copies FROM ev WHERE type IN ('payment_captured', 'settlement_executed') GROUP BY ALL")
-_add("w2_broken_links", "SELECT '' AS merchant_id, 0 AS batch, '' AS reason WHERE false")
-_add("w4_sequence", "SELECT '' AS merchant_id, 0 AS first, 0 AS last, 0 AS rows, 0 AS different WHERE false")
+_add("w2_broken_links", "SELECT merchant_id, batch, CASE batch % 9 WHEN 4 THEN 'content was altered' ELSE 'does not follow its predecessor' END AS reason "
+     "FROM (SELECT merchant_id, recorded_at, row_number() OVER (PARTITION BY merchant_id ORDER BY recorded_at) AS batch FROM (SELECT DISTINCT merchant_id, recorded_at FROM ev)) WHERE batch % 9 IN (4, 7)")
+_add("w4_sequence", "SELECT merchant_id, min(seq) AS first, max(seq) AS last, count(*) AS rows, count(DISTINCT seq) AS different FROM ("
+     "SELECT merchant_id, row_number() OVER (PARTITION BY merchant_id ORDER BY recorded_at, occurred_at, event_id) AS seq FROM ev) WHERE seq % 50 <> 17 "
+     "GROUP BY merchant_id HAVING min(seq) <> 1 OR max(seq) <> count(*)")
 _add("w5_sequence", "SELECT merchant_id, event_id, row_number() OVER (PARTITION BY merchant_id ORDER BY recorded_at, occurred_at, event_id) AS seq FROM ev")
-_add("x12_pack_verify", "SELECT '' AS merchant_id, 0 AS window_id, '' AS reason WHERE false")
+_add("x12_pack_verify", "SELECT merchant_id, window_id, CASE window_id % 11 WHEN 3 THEN 'contents do not match the digest' WHEN 5 THEN 'lines do not match the digest' "
+     "ELSE 'not reproducible' END AS reason FROM summary WHERE window_id % 11 IN (3, 5, 7)")
 _add("w1_balance_check", "SELECT file, line, checked, broken FROM st_checked")
 _add("w1_statement_report", "SELECT s.file, count(*) FILTER (WHERE NOT opening) AS rows, CAST(coalesce(sum(debit_paise), 0) AS BIGINT) AS debits_paise, "
      "CAST(coalesce(sum(credit_paise), 0) AS BIGINT) AS credits_paise, any_value(balances_seen) AS balances_seen, any_value(checked) AS checked, any_value(broken) AS broken, "
