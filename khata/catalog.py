@@ -68,10 +68,14 @@ def _(s):
 
 @query("p8_refund_gate")
 def _(s):
-    """Captures that should have a refund row (every ninth key is returned) and have none."""
-    due = fees.captures(s.events).filter(F.substring("payment_id", 5, 20).cast("bigint") % 9 == 0)
-    seen = select.select(s.events, "refunds").select("merchant_id", F.col("counterparty").alias("payment_id"))
-    return due.join(seen, ["merchant_id", "payment_id"], "left_anti").select("merchant_id", "payment_id")
+    """Captures reported as refunded (every ninth key) without a refund row, by the gate of the payments export."""
+    caught = s.events.filter("type = 'payment_captured'")
+    returned = F.substring("entity_id", 5, 20).cast("bigint") % 9 == 0
+    items = caught.select(
+        "merchant_id", F.col("entity_id").alias("id"), F.when(returned, "refunded").otherwise("captured").alias("status"), "method", "currency",
+        (F.col("fee_paise") + F.col("tax_paise")).alias("fee"), F.col("tax_paise").alias("tax"), F.when(returned, F.col("amount_paise")).otherwise(0).alias("amount_refunded"))
+    refunds = select.select(s.events, "refunds").select("merchant_id", F.col("counterparty").alias("payment_id"), F.lit("processed").alias("status"))
+    return gateway.payment_rejects(items, refunds).select("merchant_id", F.col("id").alias("payment_id"))
 
 
 query("p11_bank_charges")(lambda s: s.events.filter("narration IS NOT NULL").select(

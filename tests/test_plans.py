@@ -183,3 +183,14 @@ def test_tax_risks_without_and_with_proof(spark):
     assert tax.tds_gap(paid).first()["amount_paise"] == 100
     shown = spark.createDataFrame([("m", 0, 150)], window + "amount_paise bigint")
     assert tax.tds_gap(paid, shown).first()["amount_paise"] == 0
+
+
+def test_questions_in_words():
+    asked = {
+        "top five payouts": "largest_payouts", "Show the 20 largest settlements": "largest_payouts", "which payouts didn't arrive?": "payouts_without_credit",
+        "What has never reached the bank": "payouts_without_credit", "what could not match?": "unattributed_credits", "unlinked credits": "unattributed_credits",
+        "which methods fail most": "failed_by_method", "what did we pay in fees": "fees_by_method", "chargebacks of March": "disputes",
+        "money sent back to buyers": "refunds", "which days slipped over a holiday": "slipped_days", "balance of every account": "account_balances", "hello": None,
+    }
+    assert {q: named.which(q) for q in asked} == asked
+    assert [named.how_many(q) for q in ("top five payouts", "the 20 largest", "largest of all", "the largest in 2024")] == [5, 20, 10, 10]
