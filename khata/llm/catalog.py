@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from khata.llm import bloom_lm, decontaminate, ngram_join, packing, pii, qda, quality_rules, quality_rules_sql, token_files, url_lists, warc
+from khata.llm import bloom_lm, decontaminate, ngram_join, packing, pii, pii_sql, qda, quality_rules, quality_rules_sql, token_files, url_lists, warc
 from khata.llm.base import table
 
 
@@ -69,6 +69,31 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r
 SELECT r.a AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
 
 
+URL_LISTS_SQL = r"""
+WITH cap AS MATERIALIZED (
+  SELECT page_id, DATE '2023-01-01' + CAST((page_id * 37) % 730 AS INT) AS fetched,
+    nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS seg FROM pages),
+entries AS (SELECT DISTINCT unnest([host, array_to_string(string_split(host, '.')[-2:], '.'), host || '/' || seg]) AS entry FROM cap WHERE host IS NOT NULL),
+numbered AS (SELECT entry, CAST('0x' || substr(md5(entry), 1, 7) AS BIGINT) AS n FROM entries WHERE NOT suffix(entry, '/')),
+event AS (SELECT entry, n, unnest(range(0, n % 4 + 1)) AS k FROM numbered WHERE n % 3 <> 0),
+daily AS (SELECT entry, CAST(DATE '2022-10-01' + CAST((n * (k + 1)) % 900 AS INT) AS DATE) AS day, max(['block', 'allow', 'remove'][(n + k) % 3 + 1]) AS action FROM event GROUP BY ALL),
+span AS (SELECT entry, action, day AS since, lead(day) OVER (PARTITION BY entry ORDER BY day) AS until FROM daily),
+label AS (SELECT page_id, fetched, host, seg, string_split(host, '.') AS l FROM cap WHERE host IS NOT NULL),
+name AS (SELECT page_id, fetched, seg, k AS labels, array_to_string(l[len(l) - k + 1:], '.') AS name FROM (SELECT *, unnest(range(1, least(len(l), 6) + 1)) AS k FROM label)),
+key AS (SELECT page_id, fetched, labels, false AS path, name AS key FROM name UNION ALL SELECT page_id, fetched, labels, true, name || '/' || seg FROM name WHERE seg <> ''),
+active AS (SELECT key.*, action FROM key JOIN span ON entry = key AND action <> 'remove' AND fetched >= since AND (until IS NULL OR fetched < until)),
+best AS (SELECT page_id, key AS matched, action AS verdict, count(*) OVER (PARTITION BY page_id) AS n_active FROM active
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY labels DESC, path DESC, key DESC, action DESC) = 1)
+SELECT page_id, host, CAST(fetched AS DATE) AS fetched, coalesce(verdict, 'none') AS verdict, matched, coalesce(n_active, 0) AS n_active FROM cap LEFT JOIN best USING (page_id)"""
+
+WARC_SQL = """
+SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT *, CASE WHEN strlen(body) >= 100 THEN min(page_id) OVER (PARTITION BY body) ELSE page_id END AS first
+  FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -85,6 +110,9 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": quality_rules_sql.sql(),
     "op2_ngram_jaccard_join": NGRAM_JOIN_SQL,
+    "op7_pii": pii_sql.sql(),
+    "op8_url_filters": URL_LISTS_SQL,
+    "op10_warc": WARC_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -86,7 +86,7 @@ def sample_events(pages: DataFrame) -> DataFrame:
     """Dated list entries drawn from the pages' own hosts, parent domains and first path segments."""
     seen = pages.select(host(F.col("url")).alias("h"), segment(F.col("url")).alias("s")).filter("h IS NOT NULL")
     entries = seen.select(F.explode(F.array(F.col("h"), F.substring_index("h", ".", -2), F.concat("h", F.lit("/"), "s"))).alias("entry")).filter("NOT endswith(entry, '/')").distinct()
-    n = F.crc32(F.col("entry").cast("binary"))
+    n = F.conv(F.substring(F.md5(F.col("entry").cast("binary")), 1, 7), 16, 10).cast("bigint")
     steps = F.explode(F.sequence(F.lit(0), F.pmod(n, F.lit(4)).cast("int"))).alias("k")
     event = entries.filter(F.pmod(n, F.lit(3)) != 0).select("entry", n.alias("n"), steps)
     action = F.element_at(F.array(F.lit("block"), F.lit("allow"), F.lit("remove")), (F.pmod(F.col("n") + F.col("k"), F.lit(3)) + 1).cast("int"))
