@@ -52,7 +52,7 @@ NONE = np.zeros(0, np.uint64)
 REDUCER_ENTRIES, TILE_BYTES = 2_000_000, 24 << 20
 LEAST_BITS = 1024
 #: Bits and parts of the map of documents to read again; a fuller map lets more documents pass for nothing.
-MAP_BITS, MAP_PARTS = 1 << 27, 64
+MAP_BITS, MAP_PARTS = 1 << 26, 64
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -172,6 +172,12 @@ def signatures(bounds: np.ndarray, values: np.ndarray, percent: int, frequent: n
     return np.concatenate(owners), np.concatenate(sigs)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A column of numbers as bytes, a row per batch."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], ["shingles"])
+
+
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,14 +403,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, reducer_en
     shingles = members.agg(F.sum("n")).first()[0] or 0
     sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(shingles // SAMPLE_SHINGLES + 1)) == 0)
     drawn = sample.mapInArrow(_shingles(width), "shingle long").groupBy("shingle").count()
-    frequent = drawn.filter(F.col("count") >= FREQUENT).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(np.sort(frequent))
+    packed = drawn.filter(F.col("count") >= FREQUENT).select("shingle").mapInArrow(_packed, "shingles binary").collect()
+    shared = spark.sparkContext.broadcast(np.sort(np.concatenate([NONE, *(np.frombuffer(r["shingles"], np.uint64) for r in packed)])))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * 6 // 10 // reducer_entries + 1)
     candidates = cut(
         texts.mapInArrow(_blobs(width, percent, parts, shared), "bucket long, sigs binary, ids binary")
         .repartition(parts, "bucket").mapInArrow(_sharers, "a long, b long, kind long")
         .distinct(), "join-candidates"
     )
+    shared.destroy()
     pairs = candidates.filter("kind = 1").select("a", "b")
     shared_by = candidates.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("id"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared_by.select("id")).distinct()
@@ -426,6 +433,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, reducer_en
     sets = again.join(active.select("id", "root", "pieces"), "id")
     links = _tiled(sets).groupBy("root", "i", "j").applyInPandas(_tile(percent), "a long, b long")
     linked = components(links, "join-links").withColumnsRenamed({"node": "id"})
+    wanted.destroy()
     named = cut(linked.join(nodes.select("id", "rep"), "id"), "join-named")
     smallest = named.select("id", "root").join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("id", "least")
     return cut(
