@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from khata.llm import bloom_lm
+from khata.llm import bloom_lm, decontaminate
 
 
 def held(doc):
@@ -37,3 +37,23 @@ def test_pairs_seen_once_count(spark):
     score = {r.doc_id: r.score for r in bloom_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     seen, unseen = ([score[d] for k, d in enumerate(asked) if k % 2 == odd_] for odd_ in (1, 0))
     assert sum(seen) / 300 > sum(unseen) / 300 + 0.1
+
+
+# --- decontamination
+
+def test_copies_of_items_of_ordinary_words_are_found(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    items = [rng.choices(vocabulary, k=rng.choice([150, 300])) for _ in range(40)]
+    docs, truth = [], set()
+    for d in range(1200):
+        own = rng.choices(vocabulary, k=rng.randint(20, 200))
+        if d % 4 == 0:
+            at = rng.randint(0, len(own))
+            own[at:at] = items[d // 4 % 40]
+            truth.add((d, d // 4 % 40))
+        docs.append((d, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert sum(-(-len(w) // decontaminate.STRIDE) for w in items) > decontaminate.LATENT
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, benchmark).collect()} == truth
