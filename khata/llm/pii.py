@@ -25,6 +25,18 @@ from pyspark.sql import functions as F
 SHAPES = (
     r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     r"[0-9A-Fa-f]{32,}",
+    # international numbers by layout, so that none runs on into the next value; the last shape takes all other layouts
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,}(?:-[0-9]{2,}){1,3}",
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,}(?:\.[0-9]{2,}){1,3}",
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{5,}",
+    r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4} [0-9]{4,}",
+    r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{2,3} [0-9]{2} [0-9]{2,}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{2,4} [0-9]{2,}(?:-[0-9]{2,}){1,2}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{2,4} [0-9]{5,}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{3} [0-9]{3} [0-9]{4,}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{2,4} [0-9]{4} [0-9]{4,}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{2,4} [0-9]{3} [0-9]{3,}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{2,3} [0-9]{2,3} [0-9]{2} [0-9]{2,}",
     r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}",
     r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
     r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}",

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from khata.llm import bloom_lm, decontaminate
+from khata.llm import bloom_lm, decontaminate, pii
 
 
 def held(doc):
@@ -57,3 +57,23 @@ def test_copies_of_items_of_ordinary_words_are_found(spark):
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     assert sum(-(-len(w) // decontaminate.STRIDE) for w in items) > decontaminate.LATENT
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, benchmark).collect()} == truth
+
+
+# --- pseudonyms
+
+PHONES = [
+    "+1 (826) 555-4081", "+1 (017) 555-7713", "+1 (826) 555 4081", "+7 (495) 123 45 67", "+1-555-123-4567", "+1.555.123.4567", "+1 555 123 4567",
+    "+1 555 123-4567", "+15551234567", "+49 30 1234567", "+44 20 7946 0958", "+7 495 123 45 67", "+49 89 123 456",
+]
+VALUES = ["190.137.223.204", "5105105105105100", "4111 1111 1111 1111", "1999-12-31", "(212) 555-1234", "123-45-6789", "+1 (826) 555-4081"]
+
+
+@pytest.mark.parametrize("gap", [" ", ", "])
+def test_a_phone_and_the_value_after_it_are_both_replaced(spark, gap):
+    both = [(p, v) for p in PHONES for v in VALUES]
+    alone = sorted({*PHONES, *VALUES})
+    rows = [(i, v) for i, v in enumerate(alone)] + [(1000 + i, p + gap + v) for i, (p, v) in enumerate(both)]
+    got = {r.doc_id: r.text for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    to = {v: got[i] for i, v in enumerate(alone)}
+    assert all(to[v] != v and len(to[v]) > 6 for v in alone)
+    assert [got[1000 + i] for i in range(len(both))] == [to[p] + gap + to[v] for p, v in both]
