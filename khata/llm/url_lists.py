@@ -3,7 +3,7 @@
 List events (entry, action ``block``, ``allow`` or ``remove``, day) become validity intervals: an event of an entry holds from its
 day until the entry's next event; of several events of one entry on one day the last by action name counts. An entry is a host
 or parent domain, with an optional first path segment. A capture's keys are all of these that cover it, at most
-``2 * LABELS``; its keys meet the intervals by key, and the interval that holds the fetch day is the as-of match. The most specific
+two per label of its host; its keys meet the intervals by key, and the interval that holds the fetch day is the as-of match. The most specific
 active entry decides: more labels first, then with a path segment.
 
 Captures are first reduced to distinct (keys, day) pairs with map-side combining, and a hot host's pairs are spread by day: the
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from khata.lineage import cut
 
-LABELS = 6
-
 
 def host(url: Column) -> Column:
     """Lower-case host without user, port and trailing dot; null if there is none."""
@@ -38,8 +36,7 @@ def segment(url: Column) -> Column:
 def keys(name: Column, first: Column) -> Column:
     """Keys that cover a host and path segment: the host's own and its parents' names, each alone and with the segment."""
     labels = F.split(name, r"\.")
-    depth = F.least(F.size(labels), F.lit(LABELS))
-    names = F.transform(F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
     both = F.transform(names, lambda n: F.array(n, F.concat(n, F.lit("/"), first)))
     return F.when(name.isNotNull(), F.when(F.length(first) > 0, F.flatten(both)).otherwise(names))
 

@@ -1,11 +1,12 @@
 """Nothing is left out for size or shape: cases that earlier versions cut."""
 
+import datetime
 import random
 import zlib
 
 import pytest
 
-from khata.llm import bloom_lm, decontaminate, pii
+from khata.llm import bloom_lm, decontaminate, pii, url_lists
 
 
 def held(doc):
@@ -77,3 +78,17 @@ def test_a_phone_and_the_value_after_it_are_both_replaced(spark, gap):
     to = {v: got[i] for i, v in enumerate(alone)}
     assert all(to[v] != v and len(to[v]) > 6 for v in alone)
     assert [got[1000 + i] for i in range(len(both))] == [to[p] + gap + to[v] for p, v in both]
+
+
+# --- URL lists
+
+@pytest.mark.parametrize("labels", [6, 7, 8, 40, 127])
+def test_entries_of_deep_hosts_match(spark, labels):
+    name = ".".join(f"{k % 10}" for k in range(labels))
+    day = datetime.date(2024, 1, 1)
+    captures = spark.createDataFrame([(1, f"https://{name}/en/x", day), (2, f"https://w.{name}/", day), (3, f"https://w{name}/", day)], "page_id long, url string, fetched date")
+    for entry, want in ((name, {1, 2}), (f"{name}/en", {1})):
+        events = spark.createDataFrame([(entry, "block", day)], "entry string, action string, day date")
+        got = url_lists.judge(captures, events).collect()
+        assert {r.page_id for r in got if (r.verdict, r.matched, r.n_active) == ("block", entry, 1)} == want
+        assert all(r.verdict == "none" for r in got if r.page_id not in want)
