@@ -60,6 +60,15 @@ def test_copies_of_items_of_ordinary_words_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, benchmark).collect()} == truth
 
 
+def test_every_text_of_an_item_id_is_searched(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"{c}{rng.randrange(500)}" for _ in range(30)) for c in "abc"]
+    benchmark = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (5, texts[1]), (6, texts[2])], "item_id long, text string")
+    frame = spark.createDataFrame([(k, f"x y z {t} u v w") for k, t in enumerate(texts)] + [(3, "x y z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.lcs, r.item_words) for r in decontaminate.leaks(frame, benchmark).collect())
+    assert got == [(0, 5, 30, 30), (1, 5, 30, 30), (2, 6, 30, 30)]
+
+
 # --- pseudonyms
 
 PHONES = [
