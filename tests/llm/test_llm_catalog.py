@@ -15,7 +15,7 @@ NATIVE = ("op1_quality_rules", "op7_pii")
 
 
 def test_all_are_registered():
-    assert set(catalog.QUERIES) <= set(entry.queries()) and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in catalog.QUERIES if k != "pipeline"}
+    assert set(catalog.QUERIES) <= set(entry.queries()) and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in catalog.QUERIES if k != "pipeline"}
     assert corpus_pipeline.ORACLE_SQL is None or entry.oracle_sql()["pipeline"] == corpus_pipeline.ORACLE_SQL
 
 
