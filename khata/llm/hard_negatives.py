@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.lineage import cut
@@ -246,16 +246,17 @@ def mine(embeddings: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     size = anchors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")).first()
     if size["n"] == 0:
         return spark.createDataFrame([], RESULT)
-    # vectors in a block have one width; twice as many blocks as fit, because the hash deals them unevenly
-    blocks = -(-2 * size["n"] * max(size["width"], 1) * 8 // block_bytes)
+    width = 8 * max(size["width"], 1)
+    blocks = -(-size["n"] * width // block_bytes)
+    # the hash deals anchors unevenly: more blocks until the fullest one fits
+    while blocks < size["n"] and anchors.groupBy(_block_number(blocks)).count().agg(F.max("count")).first()[0] * width > max(block_bytes, width):
+        blocks *= 2
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = None
     for n in range(blocks):
-        block = _block(anchors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect())
+        block = _block(anchors.filter(_block_number(blocks) == n).collect())
         if len(block.ids) == 0:
             continue
-        if blocks > 1 and len(block.ids) > 1 and block.vectors.nbytes > block_bytes:
-            raise ValueError(f"a block of anchors has {block.vectors.nbytes} bytes of vectors, more than {block_bytes}")
         shared = spark.sparkContext.broadcast(block)
         mine_first = secondary_sort(rows.mapInArrow(_positives(shared), "key binary"), parts).mapPartitions(first_positives)
         pairs = cut(spark.createDataFrame(mine_first, PAIRS), "positives")
@@ -269,6 +270,10 @@ def mine(embeddings: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return out
 
 
+def _block_number(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+
+
 def _limits(block: Block, pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Lowest and highest score of each window; collects at most ``POSITIVES`` rows per anchor of the block."""
     low, high = np.ones((len(block.ids), POSITIVES), np.int64), np.zeros((len(block.ids), POSITIVES), np.int64)
