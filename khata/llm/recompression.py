@@ -64,7 +64,7 @@ def compress(symbol: np.ndarray, alone: int) -> list[Level]:
             _lift(levels, fresh, _named(first, [below.symbol[first], np.diff(np.append(first, len(fresh)))]), block=True)
         # pairs
         below = levels[-1]
-        if len(below.symbol) <= 2 * documents:
+        if len(below.symbol) < 2 * documents:
             break
         edge = below.symbol.max() - documents + 1
         side = (mix(below.symbol.astype(np.uint64) + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(bool)
