@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from khata.functions import text
+from khata.lineage import checkpoint_folder
 from khata.operators import apportion, audits, fees, linkage, log, movements, payouts, select
 from khata.operators.movements import WINDOW
 from khata.operators.postings import project
@@ -16,7 +18,7 @@ from khata.plans import (
 )
 from khata.plans.sample_ledger import GATEWAY_GSTIN, SampleLedger, sample_ledger
 from khata.plans.sample_stream import fact_stream
-from khata.sources import gateway, statement
+from khata.sources import gateway, log_store, statement
 from khata.streaming import jobs
 from khata.streaming.run import run_to_table
 
@@ -308,6 +310,20 @@ def _(s):
 
 
 query("w3_chain")(lambda s: log.chain(s.log))
+
+
+@query("s13_log_roundtrip")
+def _(s):
+    """Three deliveries, two of them on the same days and all with facts that were there before; read back verified."""
+    path = f"{checkpoint_folder(s.spark)}/log-{uuid.uuid4().hex}"
+    early, bank = F.col("recorded_at") <= F.lit("1998-06-30").cast("date"), F.col("type").isin("bank_credit_received", "bank_charge_applied", "bank_debit")
+    captured, paid = F.col("type") == "payment_captured", F.col("type") == "settlement_executed"
+    for delivery in (early & ~bank, early & (bank | captured), ~early | paid):
+        log_store.append(s.events.filter(delivery), path)
+    log_store.read_log(s.spark, path)
+    return log_store.links(s.spark, path)
+
+
 query("w4_sequence")(lambda s: audits.broken_sequence(s.log.filter("seq % 50 <> 17")))
 query("w5_sequence")(lambda s: s.log.select("merchant_id", "event_id", "seq"))
 
@@ -484,5 +500,16 @@ def stream_query(name: str, mode: str, keys: list[str] | None = None):
 
 stream_query("t1_distinct_within", "append")(lambda facts: jobs.distinct_within(facts.union(facts)).select(
     "merchant_id", "event_id", "type", "amount_paise"))
+
+
+def _t1_streamed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream, with every fact twice, recorded into a log and read back verified."""
+    base = f"{checkpoint_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    facts = fact_stream(spark, folder)
+    jobs.ingest(facts.union(facts), f"{base}/log", f"{base}/state").awaitTermination()
+    return log_store.read_log(spark, f"{base}/log").select("merchant_id", "event_id", "type", "amount_paise", "delivery", "seq")
+
+
+QUERIES["t1_streamed_log"] = _t1_streamed_log
 stream_query("t3_weekly_movements", "update", ["merchant_id", "week_start", "account"])(jobs.weekly_movements)
 stream_query("t4_running_balances", "update", ["merchant_id", "account"])(jobs.running_balances)

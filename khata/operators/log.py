@@ -1,9 +1,10 @@
 """The append-only log: content digests, repeated facts, sequence numbers and the hash chain.
 
 A chain over single records can only be built one record after the other, so facts are
-chained by the day they were recorded: each day has one root over its facts, and the
-roots of a merchant form the chain. Roots are built in two steps by the leading digits
-of the digests, so a huge day is split into many small groups.
+chained in batches: what one delivery recorded on one day has one root over its facts and
+their sequence numbers, and the roots of a merchant form the chain. A later delivery goes on
+from the stored heads and reads none of the facts before it. Roots are built in two steps
+by the leading digits of the digests, so a huge day is split into many small groups.
 """
 
 from __future__ import annotations
@@ -53,13 +54,13 @@ def ingestion(batch: DataFrame, log: DataFrame | None) -> DataFrame:
     return out.withColumn("skipped", F.col("delivered") - F.col("recorded"))
 
 
-def assign_sequence(facts: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """Numbers new facts 1..n per merchant, after what the log already holds."""
+def assign_sequence(facts: DataFrame, since: DataFrame | None = None) -> DataFrame:
+    """Numbers new facts of each merchant on from where the heads in ``since`` stand, or from 1."""
     order = [F.col(c) for c in ("recorded_at", "occurred_at", "event_id", "digest")]
     out = rank_in_group(facts, ["merchant_id"], order, "seq")
-    if log is None:
+    if since is None:
         return out
-    last = log.groupBy("merchant_id").agg(F.max("seq").alias("_last"))
+    last = since.select("merchant_id", F.col("facts").alias("_last"))
     return out.join(last, "merchant_id", "left").withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0))).drop("_last")
 
 
@@ -73,34 +74,53 @@ def roots(rows: DataFrame, keys: list[str], digest: str = "digest", digits: int
     return leaf.groupBy(*keys).agg(F.sha2(F.concat_ws("", ordered), 256).alias("root"), F.sum("_n").alias("facts"))
 
 
-def chain(log: DataFrame) -> DataFrame:
-    """Day batches of each merchant in order, each hashed together with the one before.
+def _delivered(rows: DataFrame) -> DataFrame:
+    return rows if "delivery" in rows.columns else rows.withColumn("delivery", F.lit(1).cast("bigint"))
+
+
+def log_roots(log: DataFrame) -> DataFrame:
+    """One root per merchant, delivery and day recorded, over its facts and the places they have in the sequence."""
+    leaf = F.sha2(F.concat_ws(":", "seq", "digest"), 256)
+    return roots(_delivered(log).withColumn("_fact", leaf), ["merchant_id", "delivery", "recorded_at"], "_fact")
+
 
-    One row per day and merchant goes through the sequential step, never the facts.
+HEAD = "merchant_id string, batch bigint, facts bigint, log_head string"
+CHAIN = "merchant_id string, recorded_at date, delivery bigint, batch bigint, facts bigint, root string, prev_hash string, hash string"
+
+
+def chain(log: DataFrame, since: DataFrame | None = None) -> DataFrame:
+    """Batches of each merchant in order, each hashed together with the one before.
+
+    A batch is what one delivery recorded on one day. With ``since``, the heads of a log, the chain goes on from there:
+    only the new facts are read. One row per batch and merchant goes through the sequential step, never the facts.
     """
-    days = roots(log, ["merchant_id", "recorded_at"])
+    days = log_roots(log)
+    if since is None:
+        days = days.withColumns({"_from": F.lit(0).cast("bigint"), "_head": F.lit(GENESIS)})
+    else:
+        held = since.select("merchant_id", F.col("batch").alias("_from"), F.col("log_head").alias("_head"))
+        days = days.join(held, "merchant_id", "left").withColumns(
+            {"_from": F.coalesce("_from", F.lit(0).cast("bigint")), "_head": F.coalesce("_head", F.lit(GENESIS))})
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("recorded_at").reset_index(drop=True)
-        before, out = GENESIS, []
+        pdf = pdf.sort_values(["delivery", "recorded_at"]).reset_index(drop=True)
+        before, out = pdf["_head"].iloc[0], []
         for root in pdf["root"]:
             now = hashlib.sha256((before + root).encode()).hexdigest()
             out.append((before, now))
             before = now
-        pdf["batch"] = range(1, len(pdf) + 1)
+        pdf["batch"] = range(int(pdf["_from"].iloc[0]) + 1, int(pdf["_from"].iloc[0]) + len(pdf) + 1)
         pdf["prev_hash"] = [p for p, _ in out]
         pdf["hash"] = [h for _, h in out]
-        return pdf[["merchant_id", "recorded_at", "batch", "facts", "root", "prev_hash", "hash"]]
+        return pdf[["merchant_id", "recorded_at", "delivery", "batch", "facts", "root", "prev_hash", "hash"]]
 
-    return days.groupBy("merchant_id").applyInPandas(
-        fold,
-        "merchant_id string, recorded_at date, batch bigint, facts bigint, root string, prev_hash string, hash string",
-    )
+    return days.groupBy("merchant_id").applyInPandas(fold, CHAIN)
 
 
 def heads(links: DataFrame) -> DataFrame:
+    """Where the chain of each merchant stands: last batch, number of facts (the last sequence number), last hash."""
     return links.groupBy("merchant_id").agg(
-        F.max_by("hash", "batch").alias("log_head"), F.sum("facts").alias("facts")
+        F.max("batch").alias("batch"), F.sum("facts").alias("facts"), F.max_by("hash", "batch").alias("log_head")
     )
 
 
@@ -123,11 +143,11 @@ def broken_links(links: DataFrame, content: str = "root", position: str = "batch
 
 
 def altered_batches(log: DataFrame, links: DataFrame) -> DataFrame:
-    """Days whose facts no longer give the root the chain was built on."""
-    now = roots(log, ["merchant_id", "recorded_at"]).select(
-        "merchant_id", "recorded_at", F.col("root").alias("_now"), F.col("facts").alias("_facts")
+    """Batches whose facts, or whose order, no longer give the root the chain was built on."""
+    now = log_roots(log).select(
+        "merchant_id", "delivery", "recorded_at", F.col("root").alias("_now"), F.col("facts").alias("_facts")
     )
-    both = links.join(now, ["merchant_id", "recorded_at"], "full_outer")
+    both = _delivered(links).join(now, ["merchant_id", "delivery", "recorded_at"], "full_outer")
     return both.filter(~F.col("root").eqNullSafe(F.col("_now"))).select(
-        "merchant_id", "recorded_at", F.col("facts").alias("facts_then"), F.col("_facts").alias("facts_now")
+        "merchant_id", "delivery", "recorded_at", F.col("facts").alias("facts_then"), F.col("_facts").alias("facts_now")
     )

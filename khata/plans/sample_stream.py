@@ -12,18 +12,19 @@ _SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, val
 
 
 def fact_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Purchases are captures, errors are failures, sign-ups are placed orders; seven merchants."""
+    """Every event as a fact of one of seven merchants: purchases are captures, clicks refunds, errors failures, the rest placed orders."""
     raw = spark.readStream.schema(_SCHEMA).parquet(f"{folder}/events*.parquet")
     day = F.to_date("ts")
     gross = (F.col("value").cast("decimal(18,2)") * 100).cast("bigint")
     kind = (
         F.when(F.col("event_type") == "purchase", "payment_captured")
+        .when(F.col("event_type") == "click", "refund_issued")
         .when(F.col("event_type") == "error", "payment_failed")
-        .when(F.col("event_type") == "signup", "order_placed")
+        .otherwise("order_placed")
     )
     taken = F.col("event_type") == "purchase"
     fee = F.when(taken, apply_rate(gross, F.lit("2.00")))
-    rows = raw.filter("event_type IN ('purchase', 'error', 'signup')").select(
+    rows = raw.select(
         F.concat(F.lit("u"), F.col("user_id") % 7).alias("merchant_id"),
         F.col("event_id").cast("string").alias("event_id"), kind.alias("type"), day.alias("occurred_at"),
         day.alias("recorded_at"), F.col("event_id").cast("string").alias("entity_id"),

@@ -1,38 +1,96 @@
-"""The log on disk: facts and chain, one JSON object per line."""
+"""The log on disk: facts and chain, one JSON object per line, a folder per delivery.
+
+A delivery is recorded in two writes. Its facts come first, numbered on from the stored heads; its links of the chain come
+second and make it count. Facts of a delivery without links are what a run left that did not end: nobody reads them, and the
+next delivery takes their number and replaces them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from khata.lineage import cut
 from khata.operators import log
 from khata.schemas import EVENTS
 
-FACTS = T.StructType([*EVENTS.fields, T.StructField("digest", T.StringType()), T.StructField("seq", T.LongType())])
-CHAIN = "merchant_id string, recorded_at date, batch bigint, facts bigint, root string, prev_hash string, hash string"
+FACTS = T.StructType([*EVENTS.fields, T.StructField("digest", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("delivery", T.LongType())])
+# Folders below a delivery: the month recorded, so that a later delivery reads only its own months.
+MONTH = T.StructField("month", T.StringType())
+
+
+def _month() -> Column:
+    return F.date_format("recorded_at", "yyyy-MM")
 
 
 class BrokenLog(Exception):
     """What was read back is not what was chained."""
 
 
-def write_log(facts: DataFrame, path: str) -> None:
-    """Facts by the day they were recorded, so that a later delivery adds folders and rewrites none."""
-    facts.write.mode("append").partitionBy("recorded_at").option("ignoreNullFields", False).json(f"{path}/facts")
-    log.chain(facts).write.mode("append").json(f"{path}/chain")
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The JSON table at ``path``; empty where nothing was written yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)
+
+
+def links(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, f"{path}/chain", log.CHAIN)
+
+
+def facts(spark: SparkSession, path: str) -> DataFrame:
+    """The facts of all deliveries that were recorded to the end."""
+    whole = links(spark, path).select("delivery").distinct()
+    return _stored(spark, f"{path}/facts", T.StructType([*FACTS.fields, MONTH])).join(whole, "delivery", "left_semi")
+
+
+def append(batch: DataFrame, path: str) -> DataFrame:
+    """Record what ``batch`` adds to the log at ``path``; per merchant, rows delivered, recorded and skipped.
+
+    Facts that the log holds are skipped, so a delivery that comes again adds nothing. Of the log only the months of
+    the delivery are read, and of the chain its links. One delivery is recorded at a time.
+    """
+    spark = batch.sparkSession
+    came = cut(log.with_digest(batch), "delivery")
+    chained = links(spark, path)
+    number = (chained.agg(F.max("delivery")).first()[0] or 0) + 1
+    heads = cut(log.heads(chained), "heads")
+    # a copy of a fact has the same recorded_at, so only these months can hold it
+    held = facts(spark, path).join(came.select(_month().alias("month")).distinct(), "month", "left_semi")
+    told = cut(log.ingestion(came, held), "told")
+    new = log.assign_sequence(log.new_facts(came, held), heads).withColumn("delivery", F.lit(number).cast("bigint"))
+    placed = new.select(*FACTS.names, _month().alias("month")).repartitionByRange("month", "merchant_id", "seq")
+    target = f"{path}/facts/delivery={number}"
+    placed.drop("delivery").write.mode("overwrite").partitionBy("month").option("partitionOverwriteMode", "static").option(
+        "ignoreNullFields", False).json(target)
+    # read again, so the chain is over what was written
+    written = _stored(spark, target, T.StructType([*(f for f in FACTS.fields if f.name != "delivery"), MONTH]))
+    log.chain(written.withColumn("delivery", F.lit(number).cast("bigint")), heads).drop("delivery").write.mode("overwrite").json(f"{path}/chain/delivery={number}")
+    return told
+
+
+def faults(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
+    """(merchant_id, reason) of links and batches that do not hold; with ``since``, of the deliveries after that one only."""
+    chained = links(spark, path)
+    first = 0 if not since else chained.filter(F.col("delivery") <= since).groupBy("merchant_id").agg(F.max("batch").alias("_seen"))
+    broken = log.broken_links(chained)
+    if since:
+        broken = broken.join(first, "merchant_id", "left").filter(F.col("batch") > F.coalesce("_seen", F.lit(0)))
+    late = F.col("delivery") > since
+    altered = log.altered_batches(facts(spark, path).filter(late), chained.filter(late))
+    return broken.select("merchant_id", "reason").unionByName(
+        altered.select("merchant_id", F.lit("facts were added, moved or altered").alias("reason")))
 
 
-def read_log(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    facts = spark.read.schema(FACTS).json(f"{path}/facts")
+def read_log(spark: SparkSession, path: str, verify: bool = True, since: int = 0) -> DataFrame:
+    """The facts, after the chain and they themselves were checked from delivery ``since`` on."""
     if verify:
-        links = spark.read.schema(CHAIN).json(f"{path}/chain")
-        broken = log.broken_links(links).select("merchant_id", "reason").union(
-            log.altered_batches(facts, links).selectExpr("merchant_id", "'facts were added or altered'")
-        )
-        shown = [f"{r['merchant_id']}: {r['reason']}" for r in broken.take(3)]
+        shown = [f"{r['merchant_id']}: {r['reason']}" for r in faults(spark, path, since).take(3)]
         if shown:
             raise BrokenLog("; ".join(shown))
-    return facts
+    return facts(spark, path).select(*FACTS.names)
 
 
 def write_events(events: DataFrame, path: str) -> None:

@@ -16,8 +16,8 @@ from khata.operators.movements import SUBJECT
 from khata.operators.postings import project
 from khata.plans import conformal
 from khata.schemas import EVENTS
+from khata.sources import log_store
 from khata.sources.gateway import EXPORT
-from khata.sources.log_store import FACTS
 
 # Disputes are recorded up to three weeks after they occur, so state is kept this long.
 LATE_DAYS = 35
@@ -50,28 +50,20 @@ def distinct_within(events: DataFrame, days: int = LATE_DAYS) -> DataFrame:
 
 
 def append_new_facts(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that adds to the log only what it does not hold yet.
+    """A batch writer that records each batch as a delivery of the log: what is new, numbered and chained on from the stored heads.
 
-    Exact over any stretch of time: what was seen is the log itself. A batch that is
-    run again after a failure finds its facts there and adds nothing.
+    Exact over any stretch of time: what was seen is the log itself. A batch that is run again after a failure finds its facts there
+    and adds nothing, or replaces what a run that did not end has left.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        facts = log.with_digest(batch)
-        # a copy of a fact has the same recorded_at, so only the folders of these days are read
-        held = spark.read.schema(FACTS).parquet(path).join(facts.select("recorded_at").distinct(), "recorded_at", "left_semi")
-        new = log.new_facts(facts, held).withColumn("seq", F.lit(None).cast("bigint"))
-        new.select(*FACTS.names).write.mode("append").partitionBy("recorded_at").parquet(path)
+        log_store.append(batch, path)
 
     return write
 
 
 def ingest(events: DataFrame, path: str, checkpoint: str):
     """Run what has arrived through to the log and stop."""
-    spark = events.sparkSession
-    # an empty log where there is none yet
-    spark.createDataFrame([], FACTS).write.mode("ignore").partitionBy("recorded_at").parquet(path)
     return (
         events.observe("delivered", F.count("*").alias("rows"))
         .writeStream.foreachBatch(append_new_facts(path))

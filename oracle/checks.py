@@ -335,15 +335,28 @@ FROM (WITH RECURSIVE walk AS (
                greatest(0, CAST(trunc(s.forecast_paise * (1 - {_q("w.scores", "w.level")})) AS BIGINT)) AS floor_paise
         FROM walk w JOIN steps s ON s.merchant_id = w.merchant_id AND s.i = w.i + 1)) SELECT * FROM walk) WHERE i > 0""",
      steps="SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY as_of) AS i FROM outcomes WHERE forecast_paise <> 0")
-_add("w3_chain", f"""
-SELECT merchant_id, recorded_at, batch, facts, root, prev_hash, hash FROM (WITH RECURSIVE walk AS (
-  SELECT merchant_id, recorded_at, batch, facts, root, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || root) AS hash FROM dayroots WHERE batch = 1
-  UNION ALL SELECT d.merchant_id, d.recorded_at, d.batch, d.facts, d.root, w.hash, sha256(w.hash || d.root)
-  FROM walk w JOIN dayroots d ON d.merchant_id = w.merchant_id AND d.batch = w.batch + 1) SELECT * FROM walk)""",
-     dayroots=f"""SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY recorded_at) AS batch FROM (
-       SELECT merchant_id, recorded_at, sha256(string_agg(leaf, '' ORDER BY head)) AS root, CAST(sum(n) AS BIGINT) AS facts FROM (
-         SELECT merchant_id, recorded_at, left(digest, 4) AS head, sha256(string_agg(digest, '' ORDER BY digest)) AS leaf, count(*) AS n
-         FROM (SELECT merchant_id, recorded_at, sha256(CAST(to_json({_JSON}) AS VARCHAR)) AS digest FROM ev) GROUP BY ALL) GROUP BY ALL)""")
+
+
+def _chain(delivery: str) -> dict[str, str]:
+    """Batches of a log that was recorded in the given deliveries."""
+    return {
+        "numbered": f"""SELECT merchant_id, delivery, recorded_at, digest, row_number() OVER (PARTITION BY merchant_id ORDER BY delivery, recorded_at, occurred_at, event_id) AS seq
+         FROM (SELECT merchant_id, recorded_at, occurred_at, event_id, CAST({delivery} AS BIGINT) AS delivery, sha256(CAST(to_json({_JSON}) AS VARCHAR)) AS digest FROM ev)""",
+        "batches": """SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY delivery, recorded_at) AS batch FROM (
+         SELECT merchant_id, delivery, recorded_at, sha256(string_agg(part, '' ORDER BY head)) AS root, CAST(sum(n) AS BIGINT) AS facts FROM (
+           SELECT merchant_id, delivery, recorded_at, left(leaf, 4) AS head, sha256(string_agg(leaf, '' ORDER BY leaf)) AS part, count(*) AS n
+           FROM (SELECT merchant_id, delivery, recorded_at, sha256(seq || ':' || digest) AS leaf FROM numbered) GROUP BY ALL) GROUP BY ALL)""",
+    }
+
+
+_CHAIN = """
+SELECT merchant_id, recorded_at, delivery, batch, facts, root, prev_hash, hash FROM (WITH RECURSIVE walk AS (
+  SELECT merchant_id, recorded_at, delivery, batch, facts, root, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || root) AS hash FROM batches WHERE batch = 1
+  UNION ALL SELECT d.merchant_id, d.recorded_at, d.delivery, d.batch, d.facts, d.root, w.hash, sha256(w.hash || d.root)
+  FROM walk w JOIN batches d ON d.merchant_id = w.merchant_id AND d.batch = w.batch + 1) SELECT * FROM walk)"""
+_add("w3_chain", _CHAIN, **_chain("1"))
+_add("s13_log_roundtrip", _CHAIN, **_chain("CASE WHEN recorded_at > DATE '1998-06-30' THEN 3 "
+     "WHEN type IN ('bank_credit_received', 'bank_charge_applied', 'bank_debit') THEN 2 ELSE 1 END"))
 
 _ITEMS = "('payment_captured', 'refund_issued', 'route_transfer', 'gateway_adjustment')"
 _NETS = f"""SELECT merchant_id, 'rs_' || strftime(occurred_at, '%Y%m') AS settlement_id, strftime(occurred_at, '%Y%m') || merchant_id AS utr, max(last_day(occurred_at)) AS settled_on,
@@ -363,12 +376,14 @@ _add("p6_report_rejects", f"SELECT merchant_id, entity_id, CASE WHEN amount_pais
 _add("p7_lenient_report", f"SELECT merchant_id, type, count(*) AS events, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM ev WHERE type IN {_ITEMS} AND amount_paise % 100 <> 7 GROUP BY ALL")
 
 _FACTS = """SELECT 'u' || (user_id % 7) AS merchant_id, CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS DATE) AS d, gross,
-  CASE event_type WHEN 'purchase' THEN 'payment_captured' WHEN 'error' THEN 'payment_failed' ELSE 'order_placed' END AS type, fee, CAST(round(CAST(fee AS DECIMAL(20,0)) * 18 / 100, 0) AS BIGINT) AS tax
-FROM (SELECT *, CAST(round(CAST(gross AS DECIMAL(20,0)) * 2 / 100, 0) AS BIGINT) AS fee FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS gross FROM events
-WHERE event_type IN ('purchase', 'error', 'signup')))"""
+  CASE event_type WHEN 'purchase' THEN 'payment_captured' WHEN 'click' THEN 'refund_issued' WHEN 'error' THEN 'payment_failed' ELSE 'order_placed' END AS type, fee, CAST(round(CAST(fee AS DECIMAL(20,0)) * 18 / 100, 0) AS BIGINT) AS tax
+FROM (SELECT *, CAST(round(CAST(gross AS DECIMAL(20,0)) * 2 / 100, 0) AS BIGINT) AS fee FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS gross FROM events))"""
 _STREAMED = ("SELECT merchant_id, d, unnest(['gateway_receivable', 'fee_expense', 'gst_input_credit', 'tds_receivable', 'revenue']) AS account, "
-             "unnest([abs(gross - fee - tax), abs(fee), abs(tax), 0, -abs(gross)]) AS amount FROM sfacts WHERE type = 'payment_captured'")
+             "unnest([abs(gross - fee - tax), abs(fee), abs(tax), 0, -abs(gross)]) AS amount FROM sfacts WHERE type = 'payment_captured' "
+             "UNION ALL SELECT merchant_id, d, unnest(['refunds', 'gateway_receivable']), unnest([abs(gross), -abs(gross)]) FROM sfacts WHERE type = 'refund_issued'")
 _add("t1_distinct_within", "SELECT merchant_id, event_id, type, gross AS amount_paise FROM sfacts", sfacts=_FACTS)
+_add("t1_streamed_log", "SELECT merchant_id, event_id, type, gross AS amount_paise, CAST(1 AS BIGINT) AS delivery, "
+     "row_number() OVER (PARTITION BY merchant_id ORDER BY d, event_id) AS seq FROM sfacts", sfacts=_FACTS)
 _add("t4_running_balances", "SELECT merchant_id, account, CAST(sum(amount) AS BIGINT) AS balance_paise FROM streamed GROUP BY ALL", sfacts=_FACTS, streamed=_STREAMED)
 _add("t3_weekly_movements", "SELECT merchant_id, CAST(DATE '1970-01-01' + CAST(7 * (CAST(d - DATE '1970-01-01' AS INT) // 7) AS INT) AS DATE) AS week_start, account, CAST(sum(amount) AS BIGINT) AS amount_paise "
      "FROM streamed WHERE account <> 'revenue' GROUP BY ALL", sfacts=_FACTS, streamed=_STREAMED)

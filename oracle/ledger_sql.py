@@ -23,7 +23,7 @@ FROM (SELECT *, CAST((gross * 2 * CASE WHEN method = 'card' AND CAST(o_orderdate
       JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
       LEFT JOIN (SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS returned_on
                  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-                 WHERE l_returnflag = 'R' AND l_orderkey % 9 = 0 AND CAST(l_shipdate AS DATE) > CAST(o_orderdate AS DATE)
+                 WHERE l_returnflag = 'R' AND CAST(l_shipdate AS DATE) > CAST(o_orderdate AS DATE)
                  GROUP BY l_orderkey) r ON r.l_orderkey = o_orderkey) x"""
 
 CTES["cal0"] = """

@@ -1,4 +1,5 @@
 import datetime
+import pathlib
 import random
 
 import models
@@ -141,13 +142,81 @@ def test_chain_catches_tampering(spark, ledger, tmp_path):
     assert not log.broken_links(links.withColumn("root", F.when(F.col("batch") == 4, F.lit("x")).otherwise(F.col("root")))).isEmpty()
     # nothing before ``since`` is looked at again
     assert log.broken_links(links.filter("batch <> 3"), since=4).isEmpty()
-    log_store.write_log(facts, str(tmp_path / "log"))
-    again = log_store.read_log(spark, str(tmp_path / "log"))
-    assert again.count() == facts.count()
-    again.limit(1).withColumn("event_id", F.lit("forged")).select(*again.columns).write.mode("append").partitionBy(
-        "recorded_at").json(str(tmp_path / "log" / "facts"))
+    # the same facts in another order inside a day are another log
+    day = facts.groupBy("recorded_at").count().filter("count > 1").first()["recorded_at"]
+    pair = [r["seq"] for r in facts.filter(F.col("recorded_at") == day).orderBy("seq").limit(2).collect()]
+    swapped = facts.withColumn("seq", F.when(F.col("seq") == pair[0], pair[1]).when(F.col("seq") == pair[1], pair[0]).otherwise(F.col("seq")))
+    assert [r["recorded_at"] for r in log.altered_batches(swapped, links).collect()] == [day]
+
+
+@pytest.fixture()
+def deliveries(ledger):
+    """Three deliveries of two merchants: two on the same days, the third a later half-year; all bring something again."""
+    whole = ledger.events.filter("merchant_id IN ('m1', 'm2') AND recorded_at BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'")
+    early, bank = F.col("recorded_at") <= F.lit("1997-03-31").cast("date"), F.col("type").startswith("bank")
+    captured = F.col("type") == "payment_captured"
+    return whole, [whole.filter(early & ~bank), whole.filter(early & (bank | captured)), whole.filter(~early | bank)]
+
+
+def test_log_goes_on_from_its_head(spark, deliveries, tmp_path):
+    whole, parts = deliveries
+    path = str(tmp_path / "log")
+    told = [{r["merchant_id"]: (r["delivered"], r["recorded"], r["skipped"]) for r in log_store.append(part, path).collect()} for part in parts]
+    assert all(d == r + k for t in told for d, r, k in t.values())
+    assert all(k == 0 for _, _, k in told[0].values()) and all(k > 0 for t in told[1:] for _, _, k in t.values())
+    facts = log_store.read_log(spark, path)
+    assert audits.differing_facts(facts, log.with_digest(whole)).isEmpty() and audits.broken_sequence(facts).isEmpty()
+    assert facts.select("delivery").distinct().count() == 3
+    # a day that two deliveries have in common is one batch of each
+    assert facts.groupBy("merchant_id", "recorded_at").agg(F.countDistinct("delivery").alias("n")).filter("n > 1").count() > 0
+    # the chain that went on from its head is the chain over everything
+    links = log_store.links(spark, path)
+    assert links.exceptAll(log.chain(facts).select(*links.columns)).isEmpty() and log.broken_links(links).isEmpty()
+    # what comes again adds nothing, not even a delivery
+    again = log_store.append(parts[1], path)
+    assert again.agg(F.sum("recorded")).first()[0] == 0 and log_store.links(spark, path).count() == links.count()
+    assert log_store.faults(spark, path).isEmpty()
+
+
+def _rewrite(spark, path, change):
+    facts = change(spark.read.text(path)).collect()
+    for file in pathlib.Path(path).rglob("*"):
+        if file.is_file():
+            file.unlink()
+    pathlib.Path(path, "part-0.json").write_text("\n".join(r["value"] for r in facts) + "\n")
+
+
+def test_log_notices_what_was_done_to_it(spark, deliveries, tmp_path):
+    _, parts = deliveries
+    path = tmp_path / "log"
+    for part in parts:
+        log_store.append(part, str(path))
+    month = str(path / "facts" / "delivery=2" / "month=1997-02")
+    # two facts of one day change places
+    day = log_store.facts(spark, str(path)).filter("delivery = 2 AND month = '1997-02' AND merchant_id = 'm1'").groupBy("recorded_at").agg(
+        F.sort_array(F.collect_list("seq")).alias("s")).filter("size(s) > 1").first()["s"]
+    a, b = f'"seq":{day[0]}}}', f'"seq":{day[1]}}}'
+    _rewrite(spark, month, lambda t: t.select(F.when(F.col("value").endswith(a), F.replace("value", F.lit(a), F.lit(b))).when(
+        F.col("value").endswith(b), F.replace("value", F.lit(b), F.lit(a))).otherwise(F.col("value")).alias("value")))
+    assert [tuple(r) for r in log_store.faults(spark, str(path)).collect()] == [("m1", "facts were added, moved or altered")]
     with pytest.raises(log_store.BrokenLog):
-        log_store.read_log(spark, str(tmp_path / "log"))
+        log_store.read_log(spark, str(path))
+    # deliveries after the second are whole
+    assert log_store.faults(spark, str(path), since=2).isEmpty() and log_store.read_log(spark, str(path), since=2).count() > 0
+
+
+def test_unfinished_delivery_is_replaced(spark, deliveries, tmp_path):
+    whole, parts = deliveries
+    path = tmp_path / "log"
+    log_store.append(parts[0], str(path))
+    before = log_store.read_log(spark, str(path)).count()
+    # a run that wrote facts and ended before their links
+    log_store.facts(spark, str(path)).drop("delivery").withColumn("event_id", F.lit("half")).write.partitionBy("month").json(str(path / "facts" / "delivery=2"))
+    assert log_store.read_log(spark, str(path)).count() == before
+    for part in parts[1:]:
+        log_store.append(part, str(path))
+    facts = log_store.read_log(spark, str(path))
+    assert facts.filter("event_id = 'half'").isEmpty() and audits.differing_facts(facts, log.with_digest(whole)).isEmpty()
 
 
 def test_null_and_blank_have_different_digests(spark):

@@ -1,6 +1,7 @@
 """A stream over any order of deliveries ends where the batch job ends."""
 
 import datetime
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from khata.operators import audits, log, movements
 from khata.operators.postings import project
 from khata.plans import conformal
 from khata.schemas import EVENTS
+from khata.sources import log_store
 from khata.streaming import jobs
 
 
@@ -42,12 +44,32 @@ def test_ingest_is_the_same_for_any_delivery(spark, ledger, tmp_path):
         # delivered again, later: nothing is added
         deliver(events, source, seed + 10)
         jobs.ingest(jobs.read_events(spark, str(source), files_per_batch=2), target, str(tmp_path / f"cp{seed}")).awaitTermination(240)
-        logs.append(spark.read.schema(jobs.FACTS).parquet(target))
+        logs.append(log_store.read_log(spark, target))  # verified: every batch of the stream went on from the head
     clean = log.distinct_facts(log.with_digest(events))
     for got in logs:
         assert got.count() == clean.count()
         assert audits.differing_facts(got, clean).isEmpty()
         assert audits.repeated_facts(got).isEmpty()
+        assert audits.broken_sequence(got).isEmpty()
+        # a fact that goes missing leaves a gap
+        assert audits.broken_sequence(got.filter("seq <> 7")).count() == got.select("merchant_id").distinct().count()
+
+
+def test_a_stream_in_order_is_the_batch_log(spark, ledger, tmp_path):
+    """Whatever the cut into batches, facts that come by the day they were recorded get the numbers of the batch log."""
+    events = sample(ledger).filter("merchant_id IN ('m1', 'm2')")
+    want = log.assign_sequence(log.distinct_facts(log.with_digest(events))).select("merchant_id", "digest", "seq")
+    for files, name in ((1, "fine"), (3, "coarse")):
+        source = tmp_path / name
+        source.mkdir()
+        for i, (first, last) in enumerate([("1996-01-01", "1997-01-17"), ("1997-01-18", "1997-02-03"), ("1997-02-04", "1997-02-04"), ("1997-02-05", "1999-01-01")]):
+            rows = events.filter(F.col("recorded_at").between(first, last)).toJSON().collect()
+            (source / f"{i}.json").write_text("\n".join(rows) + "\n")
+            os.utime(source / f"{i}.json", (1_700_000_000 + 60 * i,) * 2)
+        target = str(tmp_path / f"{name}-log")
+        jobs.ingest(jobs.read_events(spark, str(source), files_per_batch=files), target, str(tmp_path / f"{name}-cp")).awaitTermination(240)
+        got = log_store.read_log(spark, target).select("merchant_id", "digest", "seq")
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
 def test_distinct_within_watermark(spark, ledger, tmp_path):
