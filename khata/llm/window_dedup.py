@@ -33,9 +33,9 @@ from khata.llm.exact_words import equal_windows, window_hashes, word_codes
 from khata.llm.shingles import mix, slices
 
 WIDTH, SEED = 13, 3
-PIECE, BUCKET = 16 << 20, 24 << 20
+PIECE, BUCKET = 4 << 20, 8 << 20
 #: About how many bytes of text the sample holds, and how many messages of a piece go to one task.
-SAMPLE, SPREAD = 32 << 20, 8
+SAMPLE, SPREAD = 32 << 20, 2
 #: How many times the words of a text travel.
 TRAVEL = 3
 
