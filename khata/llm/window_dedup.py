@@ -10,7 +10,7 @@
 4. A bucket sorts its windows by hash, compares them word by word, and reports for every document the runs of windows that also
    start in a smaller one. Messages are one compressed blob per piece and bucket, and the number of buckets follows the bytes of text,
    so a bucket has about ``BUCKET`` bytes of words whatever the input.
-5. Runs come back to their document by (doc_id, hash of the text), the words they cover are dropped and the rest is digested.
+5. Runs come back to their document by doc_id and 32 bits of its text's hash, which tell rows of one id apart; the words they cover are dropped and the rest is digested.
 
 Cases: a null or empty text has no words; a text of fewer than ``WIDTH`` words has no window; rows with a null id keep all words and take
 none from others; rows of one id never take words from each other; repeated rows count once and are each returned; a window met
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.llm.exact_words import equal_windows, window_hashes, word_codes
@@ -98,16 +98,19 @@ def _real(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray
     return batch.take(pa.array(kept)), key[kept, 0], key[kept, 1]
 
 
-def pack(*arrays: np.ndarray, words: list[bytes] = ()) -> bytes:
-    """Arrays of 64-bit numbers of one length, and texts without line ends, as one compressed blob."""
-    head = np.array([len(arrays[0])], np.int64).tobytes()
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(a, np.int64).tobytes() for a in arrays) + b"\n".join(words), 3)
+def pack(docs: np.ndarray, *arrays: np.ndarray, words: list[bytes] = ()) -> bytes:
+    """Ids as differences, 32-bit numbers and texts without line ends, one of each per entry, as one compressed blob."""
+    parts = [np.array([len(docs)], np.int64), np.diff(docs, prepend=np.int64(0)), *(np.ascontiguousarray(a, np.uint32) for a in arrays)]
+    return zstandard.compress(b"".join(x.tobytes() for x in parts) + b"\n".join(words), 3)
 
 
-def unpack(blob: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
+def unpack(blob: bytes, numbers: int) -> tuple[list[np.ndarray], bytes]:
+    """([ids, then that many arrays of numbers], the texts as one)."""
     raw = zstandard.decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return [np.frombuffer(raw, np.int64, n, 8 + 8 * n * k) for k in range(arrays)], raw[8 + 8 * n * arrays:]
+    out = [np.cumsum(np.frombuffer(raw, np.int64, n, 8))]
+    out += [np.frombuffer(raw, np.uint32, n, 8 + 8 * n + 4 * n * k).astype(np.int64) for k in range(numbers)]
+    return out, raw[8 + 8 * n + 4 * n * numbers:]
 
 
 MESSAGE = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -169,9 +172,9 @@ def _judge(width: int):
         for batch in batches:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if kind == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(blob, 4)[0]], ["doc_id", "mark", "start", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(blob, 3)[0]], ["doc_id", "mark", "start", "n"])
                     continue
-                (doc, mark, start), words = unpack(blob, 3)
+                (doc, mark, start), words = unpack(blob, 2)
                 docs.append(doc), marks.append(mark), starts.append(start)
                 texts.append(words)
         if not docs:
@@ -191,8 +194,8 @@ def _kept(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("runs").to_pylist(), strict=True):
-                words = (text.as_py() or b"").split()
+            for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
+                words, found = zstandard.decompress(text.as_py()).split(), found.as_py()
                 kept, removed = words, 0
                 if found:
                     cover = np.zeros(len(words) + 1, np.int64)
@@ -208,6 +211,19 @@ def _kept(width: int):
     return run
 
 
+def text_mark() -> Column:
+    """Tells the rows of one doc_id apart: 32 bits of the hash of their text."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their way through the shuffle."""
+    shrink = zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        texts = pa.array([shrink(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), texts], ["doc_id", "mark", "text"])
+
+
 def frequent(docs: DataFrame, size: int, buckets: int, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
     """Minimisers with more than a quarter of a bucket's share of the super-k-mers in about ``SAMPLE`` bytes of whole documents; at most 4 per bucket."""
     share = min(1.0, SAMPLE / max(size, 1))
@@ -221,7 +237,7 @@ def frequent(docs: DataFrame, size: int, buckets: int, width: int = WIDTH, seed:
 
 def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(doc_id, mark, start, n): stretches of n window starts whose windows also start in a document with a smaller id."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", F.xxhash64("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", text_mark())
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-TRAVEL * size // BUCKET))
     hot = frequent(own, size, buckets, width, seed)
@@ -232,6 +248,6 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document without the words of windows that a smaller document holds."""
     found = repeats(docs, width).groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = own.join(found, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), "left")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", text_mark()).mapInArrow(_compressed, "doc_id long, mark long, text binary")
+    whole = own.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
     return whole.select("doc_id", "text", "runs").mapInArrow(_kept(width), RESULT)

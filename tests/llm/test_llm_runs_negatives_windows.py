@@ -264,7 +264,7 @@ def test_windows_are_the_same_for_any_list_of_frequent_minimisers(spark, monkeyp
 
 def test_frequent_minimisers_are_found(spark):
     rows = [(i, f"first{i} second{i} third{i} fourth{i} all rights are reserved by the owner of number{i} and nobody{i} else{i}") for i in range(4000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.xxhash64("text"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", window_dedup.text_mark())
     assert 0 < len(window_dedup.frequent(docs, 400_000, 8)) <= 32
 
 
