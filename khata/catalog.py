@@ -16,7 +16,7 @@ from khata.operators.postings import project
 from khata.plans import (
     causes, close, conformal, forecast, grounding, insights, named, pack, restate, scoring, search, tax,
 )
-from khata.plans.sample_ledger import GATEWAY_GSTIN, SampleLedger, sample_ledger
+from khata.plans.sample_ledger import GATEWAY_GSTIN, SampleLedger, busy_days, order_facts, sample_ledger
 from khata.plans.sample_stream import fact_stream
 from khata.sources import gateway, log_store, statement
 from khata.streaming import jobs
@@ -106,6 +106,8 @@ query("p13_gateway_credits")(lambda s: select.select(s.events, "credits")
 query("j1_links")(lambda s: s.books.links.select("merchant_id", "bank_txn_id", "settlement_id", "rule", "candidates"))
 query("j1_tiers")(lambda s: s.books.links.groupBy("merchant_id", "rule").agg(
     F.count("*").alias("credits"), F.count("settlement_id").alias("linked")))
+query("j1_busy_days")(lambda s: linkage.link_credits(*busy_days(order_facts(s.spark, s.folder))).filter("settlement_id IS NOT NULL").select(
+    "merchant_id", "bank_txn_id", "settlement_id"))
 query("j1a_candidates")(lambda s: linkage.candidate_pairs(s.books.credits, s.books.payouts, ["merchant_id"])
     .filter("in_reach > 0"))
 query("j1e_open_credits")(lambda s: s.books.links.filter("rule = 'abstain_ambiguous'").select(

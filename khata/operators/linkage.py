@@ -35,6 +35,8 @@ CONFIDENCE = {
 THRESHOLD = 0.75
 LOOKBACK_DAYS = 6
 FORWARD_DAYS = 1
+# A credit of the amount within this many days could be the payout.
+UNPLACED_DAYS = 6
 HEAD = 8
 # Payouts per key and day beyond which pairs go through shared text.
 CROWDED = 64
@@ -377,6 +379,22 @@ def _count_hits(made: DataFrame, edges: DataFrame, cells: list[Cells], keys: lis
     return made.join(counted, credit, "left").withColumn("candidates", F.coalesce("_hits", "candidates")).drop("_hits")
 
 
+def _contested(edges: DataFrame, cells: list[Cells], keys: list[str]) -> DataFrame:
+    """Credits that point to a payout which another credit, or a cell, points to as well.
+
+    All others can be decided at once: nobody else can have taken what they point to when their turn comes.
+    """
+    credit, payout = [*keys, "bank_txn_id"], [*keys, "settlement_id"]
+    shared = edges.filter("n = 1").groupBy(*payout).agg(
+        F.min("bank_txn_id").alias("_lo"), F.max("bank_txn_id").alias("_hi")).filter("_lo <> _hi").select(*payout)
+    for group in cells:
+        shared = shared.unionByName(group.nodes.select(*payout))
+    out = edges.join(shared, payout, "left_semi").select(*credit)
+    for group in cells:
+        out = out.unionByName(group.naming.select(*credit))
+    return out.distinct()
+
+
 def claim_by_reference(evidence: Evidence, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """Decide every credit that has reference evidence, earlier credits first.
 
@@ -384,10 +402,15 @@ def claim_by_reference(evidence: Evidence, keys: list[str], threshold: float = T
     NULL where the references did not settle it.
     """
     credit, payout = [*keys, "bank_txn_id"], [*keys, "settlement_id"]
-    live = cut(evidence.edges, "edges")
+    edges = cut(evidence.edges, "edges")
     cells = [Cells(c.by, cut(c.naming, "naming"), cut(c.nodes, "cell-nodes")) for c in evidence.cells]
+    contested = cut(_contested(edges, cells, keys), "contested")
+    decided = _decide_all(edges.join(contested, credit, "left_anti"), keys)
+    if contested.isEmpty():
+        return decided
+    live = cut(edges.join(contested, credit, "left_semi"), "edges")
     start, start_cells = live, [Cells(c.by, c.naming, c.nodes) for c in cells]
-    decided: DataFrame | None = None
+    settled: DataFrame | None = None
     while True:
         edges, waiting = live, None
         for group in cells:
@@ -396,7 +419,7 @@ def claim_by_reference(evidence: Evidence, keys: list[str], threshold: float = T
             waiting = later if waiting is None else waiting.unionByName(later)
         # decisions are final: written once, then used several times
         made = cut(_foresee(edges, waiting, cells, keys), "claims")
-        decided = made if decided is None else decided.unionByName(made)
+        settled = made if settled is None else settled.unionByName(made)
         accepted = _accepted(made, threshold).select(*payout)
         live = cut(live.join(made.select(*credit), credit, "left_anti").join(accepted, payout, "left_anti"), "edges")
         done = live.isEmpty()
@@ -407,7 +430,7 @@ def claim_by_reference(evidence: Evidence, keys: list[str], threshold: float = T
             group.naming = cut(left, "naming")
             done = done and group.naming.isEmpty()
         if done:
-            return _count_hits(decided, start, start_cells, keys, threshold)
+            return decided.unionByName(_count_hits(settled, start, start_cells, keys, threshold))
 
 
 def _confidence(rule: Column) -> Column:
@@ -626,7 +649,7 @@ def payouts_not_linked(paid: DataFrame, links: DataFrame, keys: list[str] | None
 
 
 def no_unplaced_credit(
-    paid: DataFrame, credits: DataFrame, links: DataFrame, keys: list[str] | None = None, days: int = 6
+    paid: DataFrame, credits: DataFrame, links: DataFrame, keys: list[str] | None = None, days: int = UNPLACED_DAYS
 ) -> DataFrame:
     """Payouts that no unplaced credit of equal amount within ``days`` days could be."""
     keys = keys or ["merchant_id"]

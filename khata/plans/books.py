@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from khata.lineage import cut
 from khata.operators import fees, linkage, movements
+from khata.operators.as_known import History
 from khata.operators.postings import project
 
 
@@ -62,10 +63,15 @@ class Books:
     def links(self) -> DataFrame:
         return cut(linkage.link_credits(self.credits, self.payouts), "links")
 
+    @cached_property
+    def history(self) -> History:
+        """What links were before all was known."""
+        return History(self.credits, self.payouts, self.links)
+
     def over(self, windows: DataFrame) -> Books:
         """The same books closed over other windows; tables that do not depend on them are shared."""
         other = Books(self.events, self.calendar, self.contracts, windows)
-        for name in ("daily", "daily_fees", "links"):
+        for name in ("daily", "daily_fees", "links", "history"):
             if name in self.__dict__:
                 other.__dict__[name] = self.__dict__[name]
         return other

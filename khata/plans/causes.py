@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from khata.operators.linkage import link_credits, no_unplaced_credit, payouts_not_linked
+from khata.lineage import cut
+from khata.operators.linkage import no_unplaced_credit, payouts_not_linked
 from khata.operators.movements import WINDOW, in_windows
 from khata.plans.books import Books
 
@@ -188,26 +189,16 @@ def never_arrived_payouts(books: Books) -> DataFrame:
     return found.filter(F.col("occurred_at") <= F.date_sub("window_end", STALE_DAYS))
 
 
-# How far before a window links are worked out again when facts are cut by what was known.
-AS_KNOWN_DAYS = 21
-
-
 def _missing_as_known(books: Books) -> DataFrame:
-    """Missing payouts per window from what was recorded when it was signed.
-
-    Linking is local in time, so each window links the payouts and credits from three
-    weeks before it up to the day it was signed.
-    """
-    reach = books.windows.select(
-        *WINDOW, F.date_sub("window_start", AS_KNOWN_DAYS).alias("window_start"),
-        F.greatest("window_end", F.coalesce("known_by", "window_end")).alias("window_end"), "known_by",
-    )
-    drop = ["window_start", "window_end", "known_by"]
-    paid = in_windows(books.payouts, reach).drop(*drop)
-    credits = in_windows(books.credits, reach).drop(*drop)
-    links = link_credits(credits, paid, WINDOW)
-    missing = missing_payouts(books, links, WINDOW, paid, credits)
-    return missing.join(books.windows, WINDOW).filter("occurred_at BETWEEN window_start AND window_end")
+    """Missing payouts per window from what was recorded when it was signed, however far back that reaches."""
+    history = books.history
+    asked = in_windows(books.payouts, books.windows).withColumn("known_by", F.coalesce("known_by", F.lit("9999-12-31").cast("date")))
+    asked = cut(asked.filter("occurred_at <= known_by").join(history.settled, ["merchant_id", "settlement_id"]), "asked")
+    open_then = F.col("settled") > F.col("known_by")
+    settled = asked.filter(~open_then).join(missing_payouts(books).select("merchant_id", "settlement_id"), ["merchant_id", "settlement_id"], "left_semi")
+    links, credits, paid = history.relinked(asked.filter(open_then), WINDOW)
+    missing = missing_payouts(books, links, WINDOW, paid, credits).select(*WINDOW, "settlement_id")
+    return settled.unionByName(asked.filter(open_then).join(missing, [*WINDOW, "settlement_id"], "left_semi").select(*settled.columns))
 
 
 def never_arrived(books: Books) -> DataFrame:

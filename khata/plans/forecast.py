@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from khata.functions.money import ratio_half_up
 from khata.lineage import cut
 from khata.operators.apportion import allocate
-from khata.operators.linkage import link_credits, payouts_not_linked
+from khata.operators.linkage import payouts_not_linked
 from khata.plans.books import Books
 
 # Days of history that shape the forecast, its half-life, days until an
@@ -27,9 +27,6 @@ HALF_LIFE_DAYS = 45.0
 STALE_DAYS = 3
 LAG_DAYS = 2
 ORIGIN = ["merchant_id", "as_of"]
-# Payouts this recent are linked again as of each origin, from this much history.
-RELINK_DAYS = 14
-HISTORY_DAYS = 28
 
 
 def _total(when: Column, value: Column) -> Column:
@@ -149,44 +146,37 @@ class Outlook:
             F.sum("net").alias("net"))
 
     @cached_property
-    def unlinked_recent(self) -> DataFrame:
-        """Payouts of the last days that no credit known at the origin links to."""
-        reach = self.origins.select(
-            "merchant_id", "as_of", F.explode(F.sequence(F.date_sub("as_of", HISTORY_DAYS), F.col("as_of"))).alias("occurred_at"))
-
-        def seen(rows: DataFrame) -> DataFrame:
-            return rows.join(reach, ["merchant_id", "occurred_at"]).filter(F.col("recorded_at") <= F.col("as_of"))
-
-        paid = cut(seen(self.books.payouts), "paid-as-of")
-        links = link_credits(seen(self.books.credits), paid, ORIGIN)
-        unlinked = payouts_not_linked(paid, links, ORIGIN)
-        return cut(unlinked.filter(F.datediff("as_of", "occurred_at") <= RELINK_DAYS), "unlinked")
+    def unlinked_then(self) -> DataFrame:
+        """Payouts that were open at an origin for which the final links did not hold yet."""
+        history = self.books.history
+        known = F.greatest("occurred_at", "recorded_at")
+        waiting = self.books.payouts.join(history.settled, ["merchant_id", "settlement_id"]).filter(known < F.col("settled"))
+        asked = waiting.withColumn("as_of", F.explode(F.sequence(known, F.date_sub("settled", 1)))).join(self.origins.select(*ORIGIN), ORIGIN)
+        asked = cut(asked.withColumn("known_by", F.col("as_of")).drop("settled"), "asked")
+        links, _, paid = history.relinked(asked, ORIGIN)
+        unlinked = payouts_not_linked(paid, links, ORIGIN).select(*ORIGIN, "settlement_id")
+        return cut(asked.join(unlinked, [*ORIGIN, "settlement_id"], "left_semi"), "unlinked")
 
     @cached_property
     def written_off(self) -> DataFrame:
         """Payouts older than a few days that nothing links to: gone unless proven otherwise."""
-        recent = (
-            self.unlinked_recent.filter(F.datediff("as_of", "occurred_at") > STALE_DAYS)
-            .groupBy(*ORIGIN).agg(F.sum("amount_paise").alias("recent"))
+        unsettled = (
+            self.unlinked_then.filter(F.datediff("as_of", "occurred_at") > STALE_DAYS)
+            .groupBy(*ORIGIN).agg(F.sum("amount_paise").alias("unsettled"))
         )
-        credit_known = self.books.credits.select(
-            "merchant_id", "bank_txn_id", F.greatest("occurred_at", "recorded_at").alias("linked_known"))
-        linked = self.books.links.filter("settlement_id IS NOT NULL").join(credit_known, ["merchant_id", "bank_txn_id"]).select(
-            "merchant_id", "settlement_id", "linked_known")
-        aged = F.greatest(F.date_add("occurred_at", RELINK_DAYS + 1), F.col("recorded_at"))
-        old = self.books.payouts.join(linked, ["merchant_id", "settlement_id"], "left").withColumn("aged", aged)
-        old = old.filter(F.col("linked_known").isNull() | (F.col("linked_known") > F.col("aged")))
-        ups = old.select("merchant_id", F.col("aged").alias("day"), F.col("amount_paise").alias("delta"))
-        downs = old.filter("linked_known IS NOT NULL").select(
-            "merchant_id", F.col("linked_known").alias("day"), (-F.col("amount_paise")).alias("delta"))
-        total = self._at_origins(ups.unionByName(downs)).join(recent, ORIGIN, "left")
-        return total.select(*ORIGIN, (F.col("running") + F.coalesce("recent", F.lit(0))).alias("written_off_paise"))
+        given_up = F.greatest("settled", F.date_add("occurred_at", STALE_DAYS + 1))
+        ups = self.books.history.unlinked.select("merchant_id", given_up.alias("day"), F.col("amount_paise").alias("delta"))
+        total = self._at_origins(ups).join(unsettled, ORIGIN, "left")
+        return total.select(*ORIGIN, (F.col("running") + F.coalesce("unsettled", F.lit(0))).alias("written_off_paise"))
 
     @cached_property
     def pending(self) -> DataFrame:
         """Money already on its way at the origin, by the day it should land."""
         tomorrow = self.books.calendar.select(F.date_sub("d", 1).alias("as_of"), F.col("next_open").alias("day"))
-        young = self.unlinked_recent.filter(F.datediff("as_of", "occurred_at") <= STALE_DAYS)
+        last = F.date_add("occurred_at", STALE_DAYS)
+        fresh = self.books.history.unlinked.filter(F.col("settled") <= last).withColumn("as_of", F.explode(F.sequence("settled", last)))
+        young = self.unlinked_then.filter(F.col("as_of") <= last).select(*ORIGIN, "amount_paise").unionByName(
+            fresh.join(self.origins.select(*ORIGIN), ORIGIN).select(*ORIGIN, "amount_paise"))
         paid = young.join(F.broadcast(tomorrow), "as_of").select(*ORIGIN, "day", F.col("amount_paise").alias("net"))
         return self.captured_pending.unionByName(paid).groupBy(*ORIGIN, "day").agg(F.sum("net").alias("net"))
 

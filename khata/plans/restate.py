@@ -15,9 +15,9 @@ def signed(books: Books, signed_on: str = "window_end") -> Books:
     return books.over(books.windows.withColumn("known_by", F.col(signed_on)))
 
 
-def movements(books: Books, signed_on: str = "window_end") -> DataFrame:
+def movements(books: Books, signed_on: str = "window_end", old: Books | None = None) -> DataFrame:
     """Causes whose amount changed between the signed close and now."""
-    then = findings(signed(books, signed_on)).select(*WINDOW, "cause", F.col("amount_paise").alias("then_paise"))
+    then = findings(old or signed(books, signed_on)).select(*WINDOW, "cause", F.col("amount_paise").alias("then_paise"))
     now = findings(books).select(*WINDOW, "cause", F.col("amount_paise").alias("now_paise"))
     both = now.join(then, [*WINDOW, "cause"], "full_outer")
     for name in ("then_paise", "now_paise"):
@@ -35,7 +35,7 @@ def restatement(books: Books, signed_on: str = "window_end") -> DataFrame:
     before = variance(old.moves, books.windows).select(*WINDOW, F.col("gap_paise").alias("gap_then"))
     after = variance(books.moves, books.windows).select(*WINDOW, F.col("gap_paise").alias("gap_now"))
     delta = F.col("delta_paise")
-    moved = movements(books, signed_on).groupBy(*WINDOW).agg(
+    moved = movements(books, signed_on, old).groupBy(*WINDOW).agg(
         F.count("*").alias("causes_moved"),
         F.count_if("appeared").alias("late_arrivals"),
         F.call_function("div", F.sum(F.abs(delta)) + 1, F.lit(2)).alias("reclassified_paise"),

@@ -480,6 +480,25 @@ class SampleLedger:
             "merchant_id", "window_id", F.when(F.col("window_id") % 9 == 4, spoiled).otherwise(F.col("text")).alias("text"))
 
 
+def busy_days(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(credits, payouts) of merchants that are paid out order by order: all orders within twelve days, hundreds to many thousands a day."""
+    k = F.col("k")
+    utr = F.concat(F.lpad(((k * 7919 + 13) % 100_000_000).cast("string"), 8, "0"), F.lpad(k.cast("string"), 8, "0"))
+    day = F.date_add(F.lit("2000-01-03").cast("date"), (k % 12).cast("int"))
+    paid = facts.select(
+        "merchant_id", F.concat(F.lit("set_"), k.cast("string")).alias("settlement_id"), utr.alias("utr"), F.col("gross").alias("amount_paise"),
+        day.alias("occurred_at"), day.alias("recorded_at"), F.lit(0).cast("bigint").alias("fee_paise"))
+    style, came = k % 5, F.date_add(day, (k % 4).cast("int"))
+    narration = (
+        F.when(style == 0, F.concat(F.lit("NEFT "), utr)).when(style == 1, F.concat(F.lit("UPI/"), F.left(utr, F.lit(8)), F.lit("-"), F.substring(utr, 9, 8)))
+        .when(style == 2, F.concat(F.lit("IMPS "), F.left(utr, F.lit(11)))).otherwise(F.lit("FUND TRANSFER"))
+    )
+    credits = facts.filter(k % 10 != 7).select(
+        "merchant_id", F.concat(F.lit("cr_"), k.cast("string")).alias("bank_txn_id"), F.col("gross").alias("amount_paise"),
+        came.alias("occurred_at"), came.alias("recorded_at"), narration.alias("narration"))
+    return credits, paid
+
+
 _known: dict[tuple[str, str], SampleLedger] = {}
 
 

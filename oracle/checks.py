@@ -42,6 +42,7 @@ _add("p13_gateway_credits", "SELECT merchant_id, count(*) AS credits, CAST(sum(a
      "WHERE type = 'bank_credit_received' AND contains(lower(narration), 'gateway') GROUP BY ALL")
 
 _add("j1_links", "SELECT l.merchant_id, bank_txn_id, settlement_id, rule, candidates FROM links l")
+_add("j1_busy_days", "SELECT merchant_id, bank_txn_id, settlement_id FROM dlinked")
 _add("j1_tiers", "SELECT merchant_id, rule, count(*) AS credits, count(settlement_id) AS linked FROM links GROUP BY ALL")
 _add("j1a_candidates", "SELECT merchant_id, cday AS occurred_at, count(DISTINCT bank_txn_id) AS credits, count(DISTINCT settlement_id) AS in_reach FROM pairs GROUP BY ALL")
 _add("j1e_open_credits", "SELECT merchant_id, bank_txn_id, rule, reason FROM (SELECT l.*, CASE "

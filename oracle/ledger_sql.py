@@ -360,13 +360,14 @@ def link_ctes(prefix: str, keys: str) -> dict[str, str]:
         return " AND ".join(f"{a}.{k} = {b}.{k}" for k in names)
 
     p = prefix
-    fold = "regexp_replace(upper(c.narration), '[^\\p{L}\\p{N}]', '', 'g')"
+    fold = "c.folded"
     return {
         f"{p}pairs": f"""
 SELECT {", ".join("c." + k for k in names)}, c.bank_txn_id, c.occurred_at AS cday, c.amount_paise AS camt, p.settlement_id, p.utr,
        p.occurred_at AS pday, p.amount_paise AS pamt, contains(c.narration, p.utr) AS ex, contains({fold}, p.utr) AS nm,
        c.amount_paise = p.amount_paise AND contains({fold}, left(p.utr, 8)) AS st
-FROM {p}cr c JOIN {p}pa p ON {on("c", "p")} AND p.occurred_at BETWEEN c.occurred_at - 6 AND c.occurred_at + 1""",
+FROM (SELECT *, regexp_replace(upper(narration), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS folded, unnest(generate_series(occurred_at - 6, occurred_at + 1, INTERVAL 1 DAY))::DATE AS pday FROM {p}cr) c
+JOIN {p}pa p ON {on("c", "p")} AND p.occurred_at = c.pday""",
         f"{p}by_ref": f"""
 SELECT {keys}, bank_txn_id, CASE WHEN en = 1 THEN eid WHEN nn = 1 THEN nid WHEN sn = 1 THEN sid END AS settlement_id
 FROM (SELECT {keys}, bank_txn_id, count(*) FILTER (WHERE ex) AS en, min(settlement_id) FILTER (WHERE ex) AS eid,
@@ -394,11 +395,19 @@ AND b.occurred_at BETWEEN u.occurred_at - 6 AND u.occurred_at + 6""",
 
 CTES["wcr"] = """
 SELECT w.merchant_id, w.window_id, entity_id AS bank_txn_id, amount_paise, occurred_at, narration FROM ev JOIN windows w
-ON w.merchant_id = ev.merchant_id AND occurred_at BETWEEN window_start - 21 AND window_end AND recorded_at <= window_end WHERE type = 'bank_credit_received'"""
+ON w.merchant_id = ev.merchant_id AND occurred_at <= window_end AND recorded_at <= window_end WHERE type = 'bank_credit_received'"""
 CTES["wpa"] = """
 SELECT w.merchant_id, w.window_id, entity_id AS settlement_id, utr, amount_paise, occurred_at, window_start, window_end FROM ev JOIN windows w
-ON w.merchant_id = ev.merchant_id AND occurred_at BETWEEN window_start - 21 AND window_end AND recorded_at <= window_end WHERE type = 'settlement_executed'"""
+ON w.merchant_id = ev.merchant_id AND occurred_at <= window_end AND recorded_at <= window_end WHERE type = 'settlement_executed'"""
 CTES.update(link_ctes("w", "merchant_id, window_id"))
+CTES["dpa"] = """
+SELECT merchant_id, 'set_' || k AS settlement_id, lpad(CAST((k * 7919 + 13) % 100000000 AS VARCHAR), 8, '0') || lpad(CAST(k AS VARCHAR), 8, '0') AS utr, gross AS amount_paise,
+       CAST(DATE '2000-01-03' + CAST(k % 12 AS INT) AS DATE) AS occurred_at, k FROM facts"""
+CTES["dcr"] = """
+SELECT merchant_id, 'cr_' || k AS bank_txn_id, amount_paise, CAST(occurred_at + CAST(k % 4 AS INT) AS DATE) AS occurred_at,
+       CASE k % 5 WHEN 0 THEN 'NEFT ' || utr WHEN 1 THEN 'UPI/' || left(utr, 8) || '-' || substr(utr, 9, 8) WHEN 2 THEN 'IMPS ' || left(utr, 11) ELSE 'FUND TRANSFER' END AS narration
+FROM dpa WHERE k % 10 <> 7"""
+CTES.update(link_ctes("d", "merchant_id"))
 CTES["moves_then"] = """
 SELECT p.merchant_id, w.window_id, account, event_type, CAST(sum(amount_paise) AS BIGINT) AS amount_paise
 FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id AND p.occurred_at BETWEEN window_start AND window_end
