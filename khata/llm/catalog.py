@@ -92,7 +92,7 @@ event AS (SELECT entry, n, unnest(range(0, n % 4 + 1)) AS k FROM numbered WHERE
 daily AS (SELECT entry, CAST(DATE '2022-10-01' + CAST((n * (k + 1)) % 900 AS INT) AS DATE) AS day, max(['block', 'allow', 'remove'][(n + k) % 3 + 1]) AS action FROM event GROUP BY ALL),
 span AS (SELECT entry, action, day AS since, lead(day) OVER (PARTITION BY entry ORDER BY day) AS until FROM daily),
 label AS (SELECT page_id, fetched, host, seg, string_split(host, '.') AS l FROM cap WHERE host IS NOT NULL),
-name AS (SELECT page_id, fetched, seg, k AS labels, array_to_string(l[len(l) - k + 1:], '.') AS name FROM (SELECT *, unnest(range(1, least(len(l), 6) + 1)) AS k FROM label)),
+name AS (SELECT page_id, fetched, seg, k AS labels, array_to_string(l[len(l) - k + 1:], '.') AS name FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM label)),
 key AS (SELECT page_id, fetched, labels, false AS path, name AS key FROM name UNION ALL SELECT page_id, fetched, labels, true, name || '/' || seg FROM name WHERE seg <> ''),
 active AS (SELECT key.*, action FROM key JOIN span ON entry = key AND action <> 'remove' AND fetched >= since AND (until IS NULL OR fetched < until)),
 best AS (SELECT page_id, key AS matched, action AS verdict, count(*) OVER (PARTITION BY page_id) AS n_active FROM active

@@ -348,7 +348,7 @@ def covering(url):
         return None, []
     seg = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", url)
     labels = m.group(1).split(".")
-    names = [".".join(labels[-k:]) for k in range(1, min(6, len(labels)) + 1)]
+    names = [".".join(labels[-k:]) for k in range(1, len(labels) + 1)]
     return m.group(1), [(len(n.split(".")), p, k) for n in names for p, k in ([(False, n)] + ([(True, f"{n}/{seg.group(1)}")] if seg else []))]
 
 
