@@ -30,7 +30,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), pii.KEY)
 
 
 def op4_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ kind AS (SELECT *, {_digits('m')} AS d, CASE
     WHEN contains(m, '@') THEN 'mail' WHEN len(m) >= 32 THEN 'hex' WHEN regexp_matches(m, '^[+(]') THEN 'phone'
     WHEN regexp_matches(m, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') THEN 'ipv4'
     WHEN regexp_matches(m, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN '%Y-%m-%d' WHEN regexp_matches(m, '^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$') THEN '%d/%m/%Y'
-    WHEN regexp_matches(m, '^[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}}$') THEN '%d.%m.%Y' WHEN regexp_matches(m, '^[0-9]{{3}}-[0-9]{{2,3}}-[0-9]{{4}}$') THEN 'national'
+    WHEN regexp_matches(m, '^[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}}$') THEN '%d.%m.%Y' WHEN regexp_matches(m, '{pii.NATIONAL}') THEN 'national'
     WHEN len(m) >= 13 THEN 'card' END AS kind FROM found),
 part AS (SELECT *, CASE WHEN kind <> 'phone' THEN '' WHEN regexp_matches(m, '^[+][0-9]{{1,3}}[ .(-]') THEN regexp_extract(m, '^[+][0-9]+') ELSE left(m, 2) END AS head,
     CASE kind WHEN '%Y-%m-%d' THEN {_date('%Y-%m-%d')} WHEN '%d/%m/%Y' THEN {_date('%d/%m/%Y')} WHEN '%d.%m.%Y' THEN {_date('%d.%m.%Y')} END AS t,

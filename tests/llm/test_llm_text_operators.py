@@ -146,7 +146,7 @@ def swap(m):
                 return s
             a, b = feistel("date", t // 270, t % 270, 272, 270)
             return (datetime.datetime(1900, 1, 1) + datetime.timedelta(a * 270 + b)).strftime(form)
-    if re.fullmatch(r"\d{3}-\d{2,3}-\d{4}", s):
+    if re.fullmatch(r"\d{3}-\d{2,3}-\d{4}|\d{3} \d{3} \d{4}|\d{3}\.\d{3}\.\d{4}", s):
         return refill(s, permuted("national", d))
     if len(s) >= 13 and 13 <= len(d) <= 19 and luhn(d) == 0:
         body = permuted("card", d[:-1])
@@ -163,32 +163,51 @@ PERSONAL = [
 ]
 
 
+#: Numbers in layouts people write, from no list of the operator's.
+WRITTEN = [
+    "+91 98765 43210", "+55 11 91234 5678", "+55 11 9123 4567", "+33 6 12 34 56 78", "+44 (0)20 7946 0958", "+44 20 7946 0958", "+49 (0) 30 123456", "+49 30 123456", "+36 1 234 5678",
+    "(415) 555 2671", "415 555 2671", "415.555.2671", "415-555-2671", "(415) 555-2671", "3782 822463 10005", "+65 9123 4567", "+1 415 555 2671", "+1-415-555-2671", "+1.415.555.2671",
+    "+1 (415) 555-2671", "+353 1 234 5678", "+86 138 0013 8000", "+81 90 1234 5678", "+39 06 1234 5678", "4111 1111 1111 1111", "4111-1111-1111-1111", "+919876543210",
+]
+
+
+def test_written_numbers_are_masked_in_full():
+    """Whatever stands behind it, each number is one match from its first digit to its last, or the next value is met untouched."""
+    for number in WRITTEN:
+        for after in ("", ".", ", x", " and more", " 12.03.2024", " 190.137.223.204", " mail@example.org", "\n2024-03-12"):
+            found = [m for m in re.finditer(pii.PATTERN, f"call {number}{after}")]
+            assert found[0].span() == (5, 5 + len(number)), (number, after, found[0].group())
+            assert swap(found[0]) != number
+            if re.match(r"\s?(12|190|mail|2024)", after.strip()):
+                assert found[1].group() == after.strip()
+
+
 def test_pseudonyms_equal_the_model(spark, odd, none):
-    rows = [(i, t) for i, t in enumerate(PERSONAL)]
-    got = {r.doc_id: r.text for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows = [(i, t) for i, t in enumerate([*PERSONAL, *(f"{a} {b}" for a in WRITTEN for b in ("", "12.03.2024", "415 555 2671", "0"))])]
+    got = {r.doc_id: r.text for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), pii.KEY).collect()}
     assert got == {i: re.sub(pii.PATTERN, swap, t) for i, t in rows}
     assert any(got[i] != t for i, t in rows)
-    same = sorted((str(r.text) for r in pii.pseudonymise(odd).collect()))
-    assert same == sorted(str(r.text) for r in odd.collect()) and pii.pseudonymise(odd).columns == odd.columns
-    assert pii.pseudonymise(none).collect() == []
+    same = sorted((str(r.text) for r in pii.pseudonymise(odd, pii.KEY).collect()))
+    assert same == sorted(str(r.text) for r in odd.collect()) and pii.pseudonymise(odd, pii.KEY).columns == odd.columns
+    assert pii.pseudonymise(none, pii.KEY).collect() == []
 
 
 def test_pseudonyms_of_the_sample_equal_the_model(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     want = {r.doc_id: re.sub(pii.PATTERN, swap, r.text) for r in docs.collect()}
-    assert {r.doc_id: r.text for r in pii.report(docs).collect()} == want
+    assert {r.doc_id: r.text for r in pii.report(docs, pii.KEY).collect()} == want
 
 
 def test_permutation_keeps_values_apart_and_valid(spark):
     numbers = [f"{i:011d}" for i in range(3000)]
     cards = [n + next(c for c in "0123456789" if luhn(n + "00" + c) == 0).join(["00", ""]) for n in numbers]
-    frame = pii.report(spark.createDataFrame(list(enumerate(cards)), "doc_id long, text string"))
+    frame = pii.report(spark.createDataFrame(list(enumerate(cards)), "doc_id long, text string"), pii.KEY)
     out = [r.text for r in frame.collect()]
     assert len(set(out)) == len(cards) and all(luhn(x) == 0 and len(x) == len(cards[0]) for x in out)
 
 
 def test_pseudonyms_run_without_python(spark, odd):
-    plan = pii.pseudonymise(odd)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(odd, pii.KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 

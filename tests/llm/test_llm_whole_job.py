@@ -83,7 +83,7 @@ def test_a_phone_and_the_value_after_it_are_both_replaced(spark, gap):
     both = [(p, v) for p in PHONES for v in VALUES]
     alone = sorted({*PHONES, *VALUES})
     rows = [(i, v) for i, v in enumerate(alone)] + [(1000 + i, p + gap + v) for i, (p, v) in enumerate(both)]
-    got = {r.doc_id: r.text for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), pii.KEY).collect()}
     to = {v: got[i] for i, v in enumerate(alone)}
     assert all(to[v] != v and len(to[v]) > 6 for v in alone)
     assert [got[1000 + i] for i in range(len(both))] == [to[p] + gap + to[v] for p, v in both]
