@@ -65,3 +65,46 @@ def carry_last(
         .withColumn(into, F.coalesce("_local", "_carried"))
         .drop("_part", "_local", "_at", "_carried")
     )
+
+
+# Branches of a rank per pass over the rows.
+BRANCHES = 16
+
+
+def earlier_order_statistic(df: DataFrame, group: list[str], order: list, value: str, k: str, into: str) -> DataFrame:
+    """The ``k``-th smallest ``value`` among the earlier rows of the group; null where they are fewer or ``k`` is below 1.
+
+    Every value has a rank in its group. Ranks are narrowed down digit by digit: rows and questions with the same leading digits go in
+    order past one running count per next digit, and a question follows the digit in which its k-th row lies. A pass is one sort;
+    the number of passes is that of the digits, and no row ever holds the values before it. ``order`` must be unique in a group.
+    """
+    ranked = rank_in_group(df, group, [F.col(value), *order], "_rank")
+    ranked = cut(rank_in_group(ranked.withColumn("_rank", F.col("_rank") - 1), group, order, "_turn"), "ranked")
+    most = ranked.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    digits = 1
+    while BRANCHES**digits < most:
+        digits += 1
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    # a question comes before the row of its own turn
+    rows = ranked.select(*group, "_turn", F.lit(1).alias("_kind"), "_rank", none.alias("_k"), zero.alias("_node"))
+    asked = ranked.filter((F.col(k) >= 1) & (F.col(k) < F.col("_turn"))).select(
+        *group, "_turn", F.lit(0).alias("_kind"), none.alias("_rank"), F.col(k).cast("bigint").alias("_k"), zero.alias("_node"))
+    both = rows.unionByName(asked)
+    before = Window.partitionBy(*group, "_node").orderBy("_turn", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    for place in range(digits - 1, -1, -1):
+        digit = F.call_function("div", F.col("_rank"), F.lit(BRANCHES**place)) % BRANCHES
+        counted = both.withColumn("_digit", digit)
+        # rows whose next digit is at most d
+        upto = [F.coalesce(F.sum((F.col("_digit") <= d).cast("bigint")).over(before), zero).alias(f"_upto{d}") for d in range(BRANCHES)]
+        counted = counted.select("*", *upto)
+        found, passed = F.lit(BRANCHES - 1), F.col(f"_upto{BRANCHES - 2}")
+        for d in range(BRANCHES - 2, -1, -1):
+            here = F.col(f"_upto{d}") >= F.col("_k")
+            found = F.when(here, d).otherwise(found)
+            passed = F.when(here, F.col(f"_upto{d - 1}") if d else zero).otherwise(passed)
+        both = counted.select(
+            *group, "_turn", "_kind", "_rank", (F.col("_k") - passed).alias("_k"),
+            (F.col("_node") * BRANCHES + F.when(F.col("_kind") == 1, F.col("_digit")).otherwise(found)).alias("_node"))
+    answer = both.filter("_kind = 0").select(*group, "_turn", F.col("_node").alias("_rank"))
+    answer = answer.join(ranked.select(*group, "_rank", F.col(value).alias(into)), [*group, "_rank"]).drop("_rank")
+    return ranked.join(answer, [*group, "_turn"], "left").drop("_rank", "_turn")

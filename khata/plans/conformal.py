@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from khata.operators.ranking import earlier_order_statistic, rank_in_group
+
 # Share of breaches allowed, step of the adaptive rule, its bounds, and
 # when a model counts as in distress.
 ALPHA = 0.10
@@ -24,16 +26,15 @@ def over_forecast(forecast: Column, actual: Column) -> Column:
 def split_floors(outcomes: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """A floor per window from the scores of the merchant's earlier windows.
 
-    A merchant has at most a few thousand windows, so their scores fit a window frame.
+    Earlier scores are counted by rank, so a window holds none of them, however many its merchant has.
     """
     scored = outcomes.filter("forecast_paise <> 0").withColumn(
         "score", over_forecast(F.col("forecast_paise"), F.col("actual_paise"))
     )
-    earlier = Window.partitionBy("merchant_id").orderBy("as_of").rowsBetween(Window.unboundedPreceding, -1)
-    seen = scored.withColumn("_past", F.array_sort(F.collect_list("score").over(earlier)))
-    n = F.size("_past")
-    rank = F.ceil((n + 1) * F.lit(1 - alpha)).cast("int")
-    quantile = F.when(n == 0, F.lit(0.0)).otherwise(F.element_at("_past", F.least(rank, n)))
+    scored = rank_in_group(scored, ["merchant_id"], [F.col("as_of")], "n").withColumn("n", (F.col("n") - 1).cast("int"))
+    rank = F.least(F.ceil((F.col("n") + 1) * F.lit(1 - alpha)).cast("int"), F.col("n"))
+    seen = earlier_order_statistic(scored.withColumn("rank", rank), ["merchant_id"], [F.col("as_of")], "score", "rank", "discount")
+    n, quantile = F.col("n"), F.coalesce("discount", F.lit(0.0))
     floor = F.greatest(F.lit(0), (F.col("forecast_paise") * (1 - quantile)).cast("bigint"))
     return seen.select(
         "merchant_id", "as_of", "forecast_paise", "actual_paise", n.alias("calibrated_on"),

@@ -129,6 +129,20 @@ def test_floors_match_the_models(spark):
             scores.append((forecast - actual) / forecast)
 
 
+def test_order_statistics_of_earlier_rows(spark):
+    rng = random.Random(12)
+    rows = [(g, i, rng.choice((-1.5, 0.0, 0.25, rng.random())), rng.choice((0, 1, 2, max(1, i // 2), i, i + 1))) for g, n in (("a", 700), ("b", 17), ("c", 1)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "g string, i int, x double, k int").repartition(4)
+    got = {(r["g"], r["i"]): r["kth"] for r in ranking.earlier_order_statistic(frame, ["g"], [F.col("i")], "x", "k", "kth").collect()}
+    past = {}
+    for g, i, x, k in rows:
+        seen = sorted(past.setdefault(g, []))
+        assert got[g, i] == (seen[k - 1] if 1 <= k <= len(seen) else None)
+        past[g].append(x)
+    empty = ranking.earlier_order_statistic(frame.filter("i < 0"), ["g"], [F.col("i")], "x", "k", "kth")
+    assert empty.collect() == [] and empty.columns == [*frame.columns, "kth"]
+
+
 def test_chain_catches_tampering(spark, ledger, tmp_path):
     facts = ledger.log.filter("merchant_id = 'm1'")
     links = log.chain(facts)
