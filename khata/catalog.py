@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from khata.functions import text
+from khata.functions import dates, money, text
 from khata.lineage import checkpoint_folder
 from khata.operators import apportion, audits, fees, linkage, log, movements, payouts, select
+from khata.operators.calendar import add_bank_days
 from khata.operators.movements import WINDOW
 from khata.operators.postings import project
 from khata.plans import (
@@ -283,6 +284,60 @@ query("x13_closed_weeks")(lambda s: scoring.closed_weeks(s.books))
 query("x15_fee_audit")(lambda s: fees.fee_audit(s.books.priced))
 query("x20_evidence_grid")(lambda s: causes.all_evidence(s.books, causes.refined(s.books.measured)).drop("title"))
 
+# --- spellings of amounts, dates and headers, written from the orders and read back ---------------
+
+
+def _rupees(s: SampleLedger) -> tuple[DataFrame, Column]:
+    """Orders, and their amount in rupees with Indian grouping."""
+    whole = F.call_function("div", F.col("gross"), F.lit(100))
+    return s.facts, F.concat(money.indian_grouping(whole), F.lit("."), F.lpad((F.col("gross") % 100).cast("string"), 2, "0"))
+
+
+@query("f5_amounts")
+def _(s):
+    orders, text = _rupees(s)
+    spelled = F.element_at(F.array(
+        text, F.concat(text, F.lit(" Cr")), F.concat(text, F.lit("DR ")), F.concat(F.lit("("), text, F.lit(")")),
+        F.concat(F.lit(" INR "), text), F.concat(F.lit("-"), text), F.concat(F.lit("₹"), text), F.lit("N/A"), F.lit("see note")), (F.col("k") % 9 + 1).cast("int"))
+    return orders.select(F.col("k"), money.signed_paise(spelled).alias("paise"))
+
+
+@query("f21_return_amounts")
+def _(s):
+    orders, text = _rupees(s)
+    spelled = F.element_at(F.array(text, F.concat(F.lit("₹"), text), F.lit("-"), F.lit(""), F.lit("nil")), (F.col("k") % 5 + 1).cast("int"))
+    return orders.select("k", money.paise_or_zero(spelled).alias("paise"))
+
+
+@query("f6_dates")
+def _(s):
+    layouts = ("dd/MM/yyyy", "d/M/yy", "dd-MM-yyyy", "d-M-yy", "dd-MMM-yyyy", "d-MMM-yy", "dd MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd", "yyyyMMdd")
+    spelled = F.element_at(F.array(*[F.date_format("d", x) for x in layouts]), (F.col("k") % len(layouts) + 1).cast("int"))
+    return s.facts.select("k", dates.parse_date(F.concat(F.lit(" "), F.upper(spelled))).alias("day"))
+
+
+query("f7_header_keys")(lambda s: _table(s, "documents").select(
+    "doc_id", F.length(text.header_key(F.col("text"))).alias("n"), F.md5(text.header_key(F.col("text")).cast("binary")).alias("key_md5")))
+query("f19_money_columns")(lambda s: money.render_money_columns(movements.balances(s.books.daily)))
+
+
+@query("p9_invalid_contracts")
+def _(s):
+    """A contract line per order, some of them with a method or a rate that does not exist."""
+    rate = F.element_at(F.array(F.lit("2.00"), F.lit("2,00"), F.lit("10.5"), F.lit("-1"), F.lit("0"), F.lit(None).cast("string"), F.lit("10")), (F.col("k") % 7 + 1).cast("int"))
+    raw = s.facts.select("k", F.when(F.col("k") % 11 == 3, "cheque").when(F.col("k") % 11 == 5, None).otherwise(F.col("method")).alias("method"), rate.alias("rate"))
+    return fees.invalid_contracts(raw).select("k", "reason")
+
+
+@query("w13_bank_days")
+def _(s):
+    days, out = s.facts.select("d").distinct(), None
+    for n in range(4):
+        one = add_bank_days(days, "d", n, s.calendar, "landed").select("d", F.lit(n).alias("n"), "landed")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- log ---------------------------------------------------------------------------------------
 
 query("f14_digests")(lambda s: log.with_digest(s.events).select("merchant_id", "event_id", "digest"))

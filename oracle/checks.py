@@ -41,6 +41,18 @@ _add("p12_instruction_shapes", f"SELECT 'documents' AS source, doc_id AS id, reg
 _add("p13_gateway_credits", "SELECT merchant_id, count(*) AS credits, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM ev "
      "WHERE type = 'bank_credit_received' AND contains(lower(narration), 'gateway') GROUP BY ALL")
 
+_add("f5_amounts", "SELECT k, CASE WHEN k % 9 IN (0, 1, 4, 6) THEN gross WHEN k % 9 IN (2, 3, 5) THEN -gross END AS paise FROM facts")
+_add("f21_return_amounts", "SELECT k, CASE WHEN k % 5 < 2 THEN gross ELSE 0 END AS paise FROM facts")
+_add("f6_dates", "SELECT k, CASE WHEN k % 10 < 9 THEN d END AS day FROM facts")
+_add("f7_header_keys", "SELECT doc_id, len(h) AS n, md5(h) AS key_md5 FROM (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', '', 'g') AS h FROM documents)")
+_PAIRS = "regexp_replace(reverse(regexp_replace(reverse(left(w, greatest(len(w) - 3, 0))), '(..)', '\\1,', 'g')), '^,', '')"
+_add("f19_money_columns", f"SELECT merchant_id, account, CASE WHEN v < 0 THEN '-' ELSE '' END || 'INR ' || CASE WHEN len(w) > 3 THEN {_PAIRS} || ',' || right(w, 3) ELSE w END "
+     "|| '.' || lpad(CAST(abs(v) % 100 AS VARCHAR), 2, '0') AS balance_paise FROM (SELECT merchant_id, account, v, CAST(abs(v) // 100 AS VARCHAR) AS w FROM ("
+     "SELECT merchant_id, account, CAST(sum(amount_paise) AS BIGINT) AS v FROM postings GROUP BY ALL))")
+_add("p9_invalid_contracts", "SELECT k, reason FROM (SELECT k, CASE WHEN k % 11 IN (3, 5) THEN 'unknown method' WHEN k % 7 IN (1, 5) THEN 'rate is not a number' "
+     "WHEN k % 7 IN (2, 3) THEN 'rate outside 0 to 10 percent' END AS reason FROM facts) WHERE reason IS NOT NULL")
+_add("w13_bank_days", "SELECT f.d, n, CASE WHEN n = 0 THEN f.d ELSE o.d END AS landed FROM (SELECT DISTINCT d, unnest(range(4))::INT AS n FROM facts) f JOIN cal1 c ON c.d = f.d "
+     "LEFT JOIN cal1 o ON o.is_bank_day AND o.open_ordinal = c.open_ordinal + n")
 _add("j1_links", "SELECT l.merchant_id, bank_txn_id, settlement_id, rule, candidates FROM links l")
 _add("j1_busy_days", "SELECT merchant_id, bank_txn_id, settlement_id FROM dlinked")
 _add("j1_tiers", "SELECT merchant_id, rule, count(*) AS credits, count(settlement_id) AS linked FROM links GROUP BY ALL")
