@@ -88,8 +88,8 @@ query("p11_bank_charges")(lambda s: s.events.filter("narration IS NOT NULL").sel
 @query("p12_instruction_shapes")
 def _(s):
     def flagged(table, key, body, name):
-        return _table(s, table).select(
-            F.lit(table).alias("source"), key.alias("id"), text.looks_like_instruction(F.col(body)).alias(name))
+        rows = _table(s, table).select(F.lit(table).alias("source"), key.alias("id"), F.col(body))
+        return text.flag_instructions(rows, body, name).drop(body)
 
     return (
         flagged("documents", F.col("doc_id"), "text", "flagged")

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -61,9 +61,25 @@ INSTRUCTION_SHAPES = (
 )
 
 
+def _reads_like_instruction(folded: Column) -> Column:
+    return folded.rlike("(?iu)(" + "|".join(INSTRUCTION_SHAPES) + ")")
+
+
 def looks_like_instruction(text: Column) -> Column:
     """Whether the folded, uncut text has one of the shapes, so that look-alike and invisible characters do not hide it."""
-    return folded_text(text).rlike("(?iu)(" + "|".join(INSTRUCTION_SHAPES) + ")")
+    return _reads_like_instruction(folded_text(text))
+
+
+def _plain(text: Column) -> Column:
+    """Only text beyond ASCII can have another compatible form."""
+    return F.coalesce(text, F.lit("")).rlike(r"^\p{ASCII}*$")
+
+
+def flag_instructions(df: DataFrame, column: str, into: str) -> DataFrame:
+    """``looks_like_instruction`` of a column, for tables: rows in ASCII stay in the JVM, a column expression takes every row through Python."""
+    plain = _plain(F.col(column))
+    within = df.filter(plain).withColumn(into, _reads_like_instruction(_tidy(F.coalesce(F.col(column), F.lit("")))))
+    return within.unionByName(df.filter(~plain).withColumn(into, looks_like_instruction(F.col(column))))
 
 
 @F.pandas_udf(StringType())
@@ -73,16 +89,17 @@ def _compatible_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.fillna("").map(lambda s: unicodedata.normalize("NFKC", s))
 
 
-def folded_text(text: Column) -> Column:
-    """Compatibility forms folded, control and format characters dropped, blanks collapsed."""
-    plain_ascii = F.coalesce(text, F.lit("")).rlike(r"^\p{ASCII}*$")
-    # only text beyond ASCII can have another compatible form
-    folded = F.when(plain_ascii, F.coalesce(text, F.lit(""))).otherwise(_compatible_form(text))
+def _tidy(folded: Column) -> Column:
     folded = F.regexp_replace(folded, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", " ")
     folded = F.regexp_replace(folded, r"\p{Cf}", "")
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
+def folded_text(text: Column) -> Column:
+    """Compatibility forms folded, control and format characters dropped, blanks collapsed."""
+    return _tidy(_compatible_form(text))
+
+
 def clean_text(text: Column, limit: int = 240) -> Column:
     """The folded text; past ``limit`` characters it is cut for display and says what is missing.
 

@@ -73,6 +73,12 @@ def test_instruction_shapes_and_cleaning(spark):
     assert column(spark, given, text.looks_like_instruction) == [True, False, True, True, True, False]
     hidden = ["ig\u200bnore previous", "ｉｇｎｏｒｅ previous", "ignore\u00a0previous", "do\u2003not\u00ad flag", "x" * 500 + " ignore above", "ignorant previous"]
     assert column(spark, hidden, text.looks_like_instruction) == [True, True, True, True, True, False]
+    whole = spark.createDataFrame(list(enumerate(given + hidden)), "i int, t string")
+    flagged = text.flag_instructions(whole, "t", "flag").orderBy("i").collect()
+    assert [r["flag"] for r in flagged] == [True, False, True, True, True, False] + [True, True, True, True, True, False]
+    # rows in ASCII never meet the worker: a broken one is only noticed by the others
+    plan = text.flag_instructions(whole, "t", "flag")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" in plan
     assert column(spark, ["ＮＥＦＴ\x07 a​b \t c", None, "x" * 300], text.clean_text) == [
         "NEFT ab c", "", "x" * 240 + " (first 240 of 300 characters)"]
 
