@@ -165,6 +165,7 @@ query("a5_movement_slices")(lambda s: movements.movement_slices(s.books.moves))
 query("a6_types_touching")(lambda s: s.books.daily.groupBy("merchant_id", "account", "event_type").agg(
     F.sum("amount_paise").alias("amount_paise"), F.sum("n").alias("n")))
 query("a7_evidence_refs")(lambda s: causes.evidence_refs(s.books))
+query("a7_shown_refs")(lambda s: causes.shown_refs(s.books))
 query("a8_fees_by_method")(lambda s: causes.window_fees(s.books).filter("fee_paise <> contract_paise").select(
     *WINDOW, "method", "captures", "gross_paise", "fee_paise", "contract_paise",
     (F.col("fee_paise") - F.col("contract_paise")).alias("excess_paise")))
@@ -284,6 +285,18 @@ query("x13_closed_weeks")(lambda s: scoring.closed_weeks(s.books))
 query("x15_fee_audit")(lambda s: fees.fee_audit(s.books.priced))
 query("x20_evidence_grid")(lambda s: causes.all_evidence(s.books, causes.refined(s.books.measured)).drop("title"))
 
+query("x17_findings_rows")(lambda s: close.drill_down(s.books, close.findings(s.books)))
+
+
+@query("x13_weekly_check")
+def _(s):
+    """One merchant's log has an amount changed on every seventeenth fact; that merchant's check must fail, and no other."""
+    links = log.chain(s.log)
+    touched = (F.col("merchant_id") == "m2") & (F.col("seq") % 17 == 5)
+    facts = s.log.withColumn("digest", F.when(touched, F.sha2("digest", 256)).otherwise(F.col("digest")))
+    return scoring.weekly_check(s.books, facts, links)
+
+
 # --- spellings of amounts, dates and headers, written from the orders and read back ---------------
 
 

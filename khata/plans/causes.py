@@ -257,21 +257,17 @@ def all_evidence(books: Books, amounts: DataFrame) -> DataFrame:
 
 
 def evidence_refs(books: Books) -> DataFrame:
-    """What each finding cites, one row per reference: the first 25 of an account's
-    references, the overcharged methods, the shut days, every missing payout."""
+    """What each finding cites, one row per reference: its account's references, the overcharged
+    methods, the shut days, every missing payout."""
     cites = {c.refs: c.name for c in CAUSES if c.refs}
     cause: Column | None = None
     for account, name in cites.items():
         cause = F.when(F.col("account") == account, name) if cause is None else cause.when(F.col("account") == account, name)
-    first = Window.partitionBy(*WINDOW, "cause").orderBy("ref")
     touched = (
         in_windows(books.postings.filter(F.col("account").isin(*cites) & (F.col("ref") != "")), books.windows)
         .withColumn("cause", cause)
         .select(*WINDOW, "cause", "ref")
         .distinct()
-        .withColumn("_at", F.row_number().over(first))
-        .filter(F.col("_at") <= REFS_SHOWN)
-        .drop("_at")
     )
     fees = (
         window_fees(books)
@@ -288,3 +284,10 @@ def evidence_refs(books: Books) -> DataFrame:
         *WINDOW, F.lit("settlement_never_arrived").alias("cause"), F.col("utr").alias("ref")
     )
     return touched.unionByName(fees).unionByName(shut).unionByName(lost)
+
+
+def shown_refs(books: Books) -> DataFrame:
+    """The references a report shows: of an account's, the first ``REFS_SHOWN`` of a finding; of the others all."""
+    listed = F.col("cause").isin(*[c.name for c in CAUSES if c.refs])
+    place = F.row_number().over(Window.partitionBy(*WINDOW, "cause").orderBy("ref"))
+    return evidence_refs(books).withColumn("_at", place).filter(~listed | (F.col("_at") <= REFS_SHOWN)).drop("_at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from khata.operators.linkage import unattributed_credits
+from khata.operators.linkage import UNPLACED_DAYS, unattributed_credits
 from khata.operators.movements import WINDOW, account_movements, in_windows, variance
 from khata.plans import causes
 from khata.plans.books import Books
@@ -95,26 +95,55 @@ def flagship(books: Books) -> DataFrame:
     return close_summary(books).orderBy("merchant_id", "window_id")
 
 
+def _text(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
 def evidence_sql(found: DataFrame) -> DataFrame:
-    """Adds a query that recomputes the amount of a finding from the ``postings`` and ``events`` views.
+    """Adds a query that recomputes what a finding rests on, before anything that refines it is taken off.
 
-    Only causes that are one slice of the ledger have a single-statement proof here; the
-    others are recomputed by their own operator.
+    It reads the views ``postings``, ``events``, ``calendar``, ``contracts`` and ``credit_links``; nothing but literals of the finding stands in it.
     """
-    span = F.concat(
-        F.lit(" AND merchant_id = '"), F.replace(F.col("merchant_id"), F.lit("'"), F.lit("''")),
-        F.lit("' AND occurred_at BETWEEN DATE '"), F.col("window_start").cast("string"),
-        F.lit("' AND DATE '"), F.col("window_end").cast("string"), F.lit("'"),
-    )
+    end = _text("DATE '", F.col("window_end").cast("string"), "'")
+    merchant = F.replace(F.col("merchant_id"), F.lit("'"), F.lit("''"))
+
+    def span(rows: str) -> Column:
+        return _text(f"{rows}.merchant_id = '", merchant, f"' AND {rows}.occurred_at BETWEEN DATE '", F.col("window_start").cast("string"), "' AND ", end)
+
+    total = "SELECT coalesce(sum({}), 0) AS amount_paise FROM "
+    priced = "CAST(round(CAST(e.amount_paise AS DECIMAL(20,0)) * c.rate / 100, 0) AS BIGINT)"
+    contract = "JOIN contracts c ON c.merchant_id = e.merchant_id AND c.method = e.method WHERE e.type = 'payment_captured' AND "
+    slipped = _text("c.t2_naive <= ", end, " AND c.t2_actual > ", end)
+    made = {
+        "normal_fee": _text(total.format(priced), "events e ", contract, span("e")),
+        "fee_rate_increase": _text(total.format(f"e.fee_paise - coalesce({priced}, 0)"), "events e LEFT ", contract, span("e")),
+        "bank_holiday_delay": _text(
+            "SELECT coalesce((SELECT sum(p.amount_paise) FROM postings p JOIN calendar c ON c.d = p.occurred_at WHERE p.account = 'gateway_receivable' "
+            "AND p.event_type = 'payment_captured' AND ", span("p"), " AND ", slipped, "), 0) - coalesce((SELECT sum(t.amount_paise) FROM events t "
+            "JOIN events p ON p.merchant_id = t.merchant_id AND p.entity_id = t.counterparty AND p.type = 'payment_captured' "
+            "JOIN calendar c ON c.d = p.occurred_at WHERE t.type = 'route_transfer' AND ", span("p"), " AND ", slipped, "), 0) AS amount_paise"),
+        "settlement_never_arrived": _text(
+            total.format("p.amount_paise"), "events p WHERE p.type = 'settlement_executed' AND ", span("p"), " AND p.occurred_at <= date_sub(", end,
+            f", {causes.STALE_DAYS}) AND NOT EXISTS (SELECT 1 FROM credit_links l WHERE l.merchant_id = p.merchant_id AND l.settlement_id = p.entity_id) "
+            "AND NOT EXISTS (SELECT 1 FROM events b JOIN credit_links l ON l.merchant_id = b.merchant_id AND l.bank_txn_id = b.entity_id AND l.settlement_id IS NULL "
+            "WHERE b.type = 'bank_credit_received' AND b.merchant_id = p.merchant_id AND b.amount_paise = p.amount_paise "
+            f"AND b.occurred_at BETWEEN date_sub(p.occurred_at, {UNPLACED_DAYS}) AND date_add(p.occurred_at, {UNPLACED_DAYS}))"),
+    }
     text: Column | None = None
     for c in causes.CAUSES:
-        if c.name in ("normal_fee", "fee_rate_increase", "bank_holiday_delay", "settlement_never_arrived"):
-            continue
-        kind = f" AND event_type = '{c.event_type}'" if c.event_type else ""
-        body = F.concat(
-            F.lit(f"SELECT coalesce(sum(amount_paise), 0) AS amount_paise FROM postings WHERE account = '{c.account}'{kind}"),
-            span,
-        )
-        match = F.col("cause") == c.name
+        kind = f" AND p.event_type = '{c.event_type}'" if c.event_type else ""
+        slice_of_books = _text(total.format("p.amount_paise"), f"postings p WHERE p.account = '{c.account}'{kind} AND ", span("p"))
+        body, match = made.get(c.name, slice_of_books), F.col("cause") == c.name
         text = F.when(match, body) if text is None else text.when(match, body)
     return found.withColumn("evidence_sql", text)
+
+
+def drill_down(books: Books, found: DataFrame) -> DataFrame:
+    """The postings behind every finding (merchant_id, window_id, cause) that is a slice of the books: those of its account and event type."""
+    slices = [(c.name, c.account, c.event_type) for c in causes.CAUSES if c.name not in causes._PRICED + causes._DERIVED]
+    kinds = found.sparkSession.createDataFrame(slices, "cause string, account string, kind string")
+    # thirteen fixed rows
+    asked = found.select(*WINDOW, "cause").join(F.broadcast(kinds), "cause")
+    touched = in_windows(books.postings, books.windows).select(*WINDOW, "event_id", "account", "event_type", "occurred_at", "amount_paise", "ref")
+    return touched.join(asked, [*WINDOW, "account"]).filter("kind IS NULL OR kind = event_type").select(
+        *WINDOW, "cause", "event_id", "account", "occurred_at", "amount_paise", "ref")

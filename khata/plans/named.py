@@ -59,6 +59,8 @@ def register_views(spark: SparkSession, books: Books, covers: DataFrame, prefix:
     tables = dict(zip(VIEWS, (books.events, books.postings, covers, books.calendar, books.links)))
     for name, table in tables.items():
         table.createOrReplaceTempView(prefix + name)
+    # evidence prices captures
+    books.contracts.createOrReplaceTempView(prefix + "contracts")
 
 
 def ask(spark: SparkSession, name: str, **args) -> DataFrame:

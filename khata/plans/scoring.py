@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from khata.operators import log
 from khata.operators.linkage import link_credits, payouts_without_reference
 from khata.operators.movements import WINDOW, in_windows
 from khata.plans.books import Books
@@ -91,6 +92,14 @@ def closed_weeks(books: Books) -> DataFrame:
     )
 
 
+def weekly_check(books: Books, facts: DataFrame, links: DataFrame) -> DataFrame:
+    """The weekly report of each merchant: its closed windows, and whether its log still is what was chained."""
+    faults = log.broken_links(links).select("merchant_id").unionByName(log.altered_batches(facts, links).select("merchant_id"))
+    broken = faults.groupBy("merchant_id").agg(F.count("*").alias("log_faults"))
+    out = closed_weeks(books).join(broken, "merchant_id", "left").withColumn("log_faults", F.coalesce("log_faults", F.lit(0)))
+    return out.withColumn("log_holds", F.col("log_faults") == 0)
+
+
 def linkage_against_naive(books: Books) -> DataFrame:
     """Payouts called missing: by the close, and by looking for the reference text alone."""
     flagged = never_arrived_payouts(books).select("merchant_id", "settlement_id").distinct()

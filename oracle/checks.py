@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.ledger_sql import CTES, query
+from oracle.ledger_sql import _SLICES, CTES, query
 
 SQL: dict[str, str] = {}
 
@@ -101,6 +101,15 @@ _CITES = {"refunds": "refunds_issued", "dispute_reserve": "dispute_reserve_held"
           "gateway_adjustments": "gateway_adjustment", "other_outflow": "other_bank_outflow", "on_hold": "risk_hold"}
 _CASE = "CASE account " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in _CITES.items()) + " END"
 _add("a7_evidence_refs", f"SELECT merchant_id, window_id, cause, ref FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id, window_id, cause ORDER BY ref) AS rn FROM ("
+     f"SELECT DISTINCT p.merchant_id, window_id, {_CASE} AS cause, ref FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id "
+     f"AND occurred_at BETWEEN window_start AND window_end WHERE {_CASE} IS NOT NULL AND ref <> ''))  "
+     "UNION ALL SELECT p.merchant_id, window_id, 'fee_rate_increase', method FROM priced p JOIN windows w ON w.merchant_id = p.merchant_id "
+     "AND occurred_at BETWEEN window_start AND window_end GROUP BY ALL HAVING sum(fee_paise) <> sum(contract_paise) "
+     "UNION ALL SELECT DISTINCT merchant_id, window_id, 'bank_holiday_delay', CAST(t2_naive AS VARCHAR) FROM windows JOIN calendar ON d BETWEEN window_start AND window_end "
+     "WHERE t2_naive <= window_end AND t2_actual > window_end "
+     "UNION ALL SELECT m.merchant_id, window_id, 'settlement_never_arrived', utr FROM missing m JOIN windows w ON w.merchant_id = m.merchant_id "
+     "AND occurred_at BETWEEN window_start AND window_end AND occurred_at <= window_end - 3")
+_add("a7_shown_refs", f"SELECT merchant_id, window_id, cause, ref FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id, window_id, cause ORDER BY ref) AS rn FROM ("
      f"SELECT DISTINCT p.merchant_id, window_id, {_CASE} AS cause, ref FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id "
      f"AND occurred_at BETWEEN window_start AND window_end WHERE {_CASE} IS NOT NULL AND ref <> '')) WHERE rn <= 25 "
      "UNION ALL SELECT p.merchant_id, window_id, 'fee_rate_increase', method FROM priced p JOIN windows w ON w.merchant_id = p.merchant_id "
@@ -198,6 +207,14 @@ _add("x11_linkage_against_naive", "SELECT coalesce(a.merchant_id, b.merchant_id)
 _add("x15_fee_audit", "SELECT merchant_id, payment_id, occurred_at, method, amount_paise, fee_paise, contract_paise, fee_paise - contract_paise AS excess_paise, "
      "CAST(fee_paise * 1000000 // amount_paise AS BIGINT) AS billed_ppm FROM priced WHERE fee_paise <> contract_paise")
 _add("x13_closed_weeks", "SELECT merchant_id, count(*) AS windows, count(*) FILTER (WHERE closes) AS closed, count(*) FILTER (WHERE fully_covered) AS covered FROM summary GROUP BY ALL")
+_add("x13_weekly_check", "SELECT merchant_id, count(*) AS windows, count(*) FILTER (WHERE closes) AS closed, count(*) FILTER (WHERE fully_covered) AS covered, "
+     "any_value(coalesce(n, 0)) AS log_faults, any_value(coalesce(n, 0)) = 0 AS log_holds FROM summary LEFT JOIN (SELECT merchant_id, count(DISTINCT recorded_at) AS n FROM ("
+     "SELECT merchant_id, recorded_at, row_number() OVER (PARTITION BY merchant_id ORDER BY recorded_at, occurred_at, event_id) AS seq FROM ev) "
+     "WHERE merchant_id = 'm2' AND seq % 17 = 5 GROUP BY merchant_id) USING (merchant_id) GROUP BY merchant_id")
+_add("x17_findings_rows", "SELECT f.merchant_id, f.window_id, f.cause, p.event_id, p.account, p.occurred_at, p.amount_paise, p.ref FROM findings f JOIN (VALUES "
+     + ", ".join(f"('{c}', '{a}', " + (f"'{k}'" if k else "NULL") + ")" for c, a, k in _SLICES) + ") s(cause, account, kind) ON s.cause = f.cause "
+     "JOIN windows w ON w.merchant_id = f.merchant_id AND w.window_id = f.window_id JOIN postings p ON p.merchant_id = w.merchant_id "
+     "AND p.occurred_at BETWEEN window_start AND window_end AND p.account = s.account AND (kind IS NULL OR kind = p.event_type)")
 _add("x20_evidence_grid", "SELECT w.merchant_id, w.window_id, c.cause, coalesce(r.raw_paise, 0) AS raw_paise, coalesce(r.amount_paise, 0) AS amount_paise, "
      "coalesce(r.raw_paise, 0) <> 0 AS supported FROM windows w CROSS JOIN claim_of c LEFT JOIN refined r ON r.merchant_id = w.merchant_id AND r.window_id = w.window_id AND r.cause = c.cause")
 
