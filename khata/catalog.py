@@ -456,7 +456,7 @@ query("f15_document_figures")(lambda s: grounding.citations(_table(s, "documents
 query("x8_checked_figures")(lambda s: grounding.check(s.texts, grounding.permitted_figures(s.books), WINDOW).select(
     *WINDOW, "paise", "grounded", "nearest_paise"))
 query("x8_grounding_rate")(lambda s: grounding.grounding_rate(
-    grounding.check(s.texts, grounding.permitted_figures(s.books), WINDOW), WINDOW))
+    grounding.check(s.texts, grounding.permitted_figures(s.books), WINDOW), WINDOW, s.texts))
 query("x18_permitted_figures")(lambda s: grounding.permitted_figures(s.books))
 
 # --- forecasts -----------------------------------------------------------------------------------------

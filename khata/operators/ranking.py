@@ -67,6 +67,32 @@ def carry_last(
     )
 
 
+def carry_both_ways(
+    df: DataFrame, group: list[str], order: list, value: str, before: str, after: str, parts: int | None = None
+) -> DataFrame:
+    """The latest non-null ``value`` at or before each row of its group, and the first behind it, from one placing of the rows.
+
+    Partitions fill their own rows in both directions with one sort; what a group's other partitions hold next to them is
+    one row per partition. ``order`` must be unique in a group.
+    """
+    placed = _placed(df, group, order, parts)
+    inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    seen = placed.withColumns({
+        "_before": F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_after": F.first(value, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)),
+        "_at": F.row_number().over(inside),
+    })
+    held = F.when(F.col(value).isNotNull(), F.col("_at"))
+    ends = seen.groupBy(*group, "_part").agg(F.max_by(value, held).alias("_last"), F.min_by(value, held).alias("_first"))
+    pieces = Window.partitionBy(*group).orderBy("_part")
+    ends = ends.select(
+        *group, "_part", F.last("_last", ignorenulls=True).over(pieces.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_first", ignorenulls=True).over(pieces.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    return seen.join(ends, [*group, "_part"]).withColumns(
+        {before: F.coalesce("_before", "_earlier"), after: F.coalesce("_after", "_later")}).drop(
+        "_part", "_before", "_after", "_at", "_earlier", "_later")
+
+
 # Branches of a rank per pass over the rows.
 BRANCHES = 16
 

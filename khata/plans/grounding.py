@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from khata.functions.money import money_text
 from khata.functions.text import quoted_figures
 from khata.operators.movements import WINDOW
-from khata.operators.ranking import carry_last
+from khata.operators.ranking import carry_both_ways
 from khata.plans import causes
 from khata.plans.books import Books
 from khata.plans.close import close_summary, exceptions, findings
@@ -24,8 +24,8 @@ def citations(texts: DataFrame, keys: list[str]) -> DataFrame:
 def check(texts: DataFrame, permitted: DataFrame, keys: list[str], tolerance_paise: int = 0) -> DataFrame:
     """Each quoted figure: whether it equals a permitted amount (sign aside), and if not the nearest one.
 
-    Exact hits are one equi-join. Nearest amounts come from carrying the last permitted
-    amount up and down the sorted figures, so a text never meets all its amounts in pairs.
+    Exact hits are one equi-join. Nearest amounts come from one pass over the sorted figures that
+    carries the permitted amounts both ways, so a text never meets all its amounts in pairs.
     """
     cited = citations(texts, keys).withColumn("size", F.abs("paise"))
     allowed = permitted.select(*keys, F.abs("amount_paise").alias("size")).distinct()
@@ -38,11 +38,10 @@ def check(texts: DataFrame, permitted: DataFrame, keys: list[str], tolerance_pai
         allowMissingColumns=True,
     )
     tie = F.coalesce("place", F.lit(-1))
-    up = carry_last(both, keys, [F.col("size"), tie], "allowed", "below")
-    down = carry_last(up, keys, [F.col("size").desc(), tie], "allowed", "above")
+    near = carry_both_ways(both, keys, [F.col("size"), tie], "allowed", "below", "above")
     below, above, size = F.col("below"), F.col("above"), F.col("size")
     nearer = F.when(above.isNull() | ((size - below) <= (above - size)), below).otherwise(above)
-    judged = down.filter("place IS NOT NULL").withColumn("_nearest", F.coalesce(nearer, below, above))
+    judged = near.filter("place IS NOT NULL").withColumn("_nearest", F.coalesce(nearer, below, above))
     grounded = F.coalesce(F.abs(F.col("_nearest") - size) <= tolerance_paise, F.lit(False))
     open_ = judged.withColumn("grounded", grounded).withColumn(
         "nearest_paise", F.when(~grounded, F.col("_nearest"))
@@ -51,11 +50,16 @@ def check(texts: DataFrame, permitted: DataFrame, keys: list[str], tolerance_pai
     return done.select(*columns).unionByName(open_.select(*columns))
 
 
-def grounding_rate(checked: DataFrame, keys: list[str]) -> DataFrame:
-    return checked.groupBy(*keys).agg(
+def grounding_rate(checked: DataFrame, keys: list[str], texts: DataFrame | None = None) -> DataFrame:
+    """Figures, grounded ones and their share per text; of ``texts``, those without any figure have nothing unfounded: 1."""
+    rates = checked.groupBy(*keys).agg(
         F.count("*").alias("figures"), F.count_if("grounded").alias("grounded"),
         F.round(F.avg(F.col("grounded").cast("double")), 6).alias("rate"),
     )
+    if texts is None:
+        return rates
+    every = texts.select(*keys).distinct().join(rates, keys, "left")
+    return every.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("figures", "grounded")], F.coalesce("rate", F.lit(1.0)).alias("rate"))
 
 
 def permitted_figures(books: Books) -> DataFrame:

@@ -129,6 +129,16 @@ def test_floors_match_the_models(spark):
             scores.append((forecast - actual) / forecast)
 
 
+def test_values_carried_both_ways(spark):
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice((None, None, None, i * 10))) for g, n in (("a", 300), ("b", 5), ("c", 1)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "g string, i int, v int").repartition(3)
+    got = {(r["g"], r["i"]): (r["lo"], r["hi"]) for r in ranking.carry_both_ways(frame, ["g"], [F.col("i")], "v", "lo", "hi", parts=7).collect()}
+    for g, i, _ in rows:
+        before, after = ([v for x, j, v in rows if x == g and v is not None and cond(j)] for cond in (lambda j: j <= i, lambda j: j > i))
+        assert got[g, i] == (before[-1] if before else None, after[0] if after else None)
+
+
 def test_order_statistics_of_earlier_rows(spark):
     rng = random.Random(12)
     rows = [(g, i, rng.choice((-1.5, 0.0, 0.25, rng.random())), rng.choice((0, 1, 2, max(1, i // 2), i, i + 1))) for g, n in (("a", 700), ("b", 17), ("c", 1)) for i in range(n)]
@@ -285,6 +295,9 @@ def test_grounding_finds_the_nearest(spark):
     allowed = spark.createDataFrame([(1, -1000), (1, 30000), (1, 20000)], "doc int, amount_paise bigint")
     got = {(r["doc"], r["place"]): (r["grounded"], r["nearest_paise"]) for r in grounding.check(texts, allowed, ["doc"]).collect()}
     assert got == {(1, 0): (True, None), (1, 1): (False, 20000), (1, 2): (False, 1000), (2, 0): (False, None)}
+    rates = {r["doc"]: (r["figures"], r["rate"]) for r in grounding.grounding_rate(
+        grounding.check(texts, allowed, ["doc"]), ["doc"], texts.unionByName(spark.createDataFrame([(99, "no figure")], texts.schema))).collect()}
+    assert rates[99] == (0, 1.0) and len(rates) == texts.select("doc").distinct().count() + 1
     near = {r["place"]: r["grounded"] for r in grounding.check(texts.filter("doc = 1"), allowed, ["doc"], 100).collect()}
     assert near == {0: True, 1: False, 2: True}
 
