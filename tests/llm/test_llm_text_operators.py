@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from khata.llm import bloom_lm, decontaminate, packing, pii, qda, url_lists
@@ -89,6 +90,36 @@ def test_retrieval_recall_against_all_cosines(spark):
     assert total > 50 and found >= 0.9 * total
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pretest_keeps_every_window_the_decision_could_take(seed):
+    rng = np.random.default_rng(seed)
+    d, size = decontaminate, 400
+    words = [rng.integers(0, size, rng.integers(3, 90)).astype(np.int32) for _ in range(25)]
+    rare = [w[w % 3 > seed % 2] for w in words]
+    pretest = d.Pretest.of(words, rare, size)
+    texts = []
+    for _ in range(60):
+        text = np.where(rng.random(rng.integers(0, 1500)) < 0.75, -1, rng.integers(0, size, 1)).astype(np.int32)
+        for _ in range(rng.integers(0, 4)):
+            own = words[rng.integers(0, 25)]
+            at = rng.integers(0, len(text) + 1)
+            text = np.concatenate([text[:at], own[rng.random(len(own)) < rng.choice([0.4, 0.6, 0.8, 1.0])], text[at:]]).astype(np.int32)
+        texts.append(text)
+    docs, asked = pretest.windows(pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["numbers"]))
+    kept, at = {}, 0
+    for doc in docs.tolist():
+        n = -(-len(texts[doc]) // d.STRIDE) + 1
+        kept[doc], at = asked[at:at + n], at + n
+    assert at == len(asked) and asked.sum() < sum(-(-len(t) // d.STRIDE) + 1 for t in texts)
+    for doc, text in enumerate(texts):
+        for c in range(-(-len(text) // d.STRIDE) + 1):
+            for wanted, heavy in zip(words, rare, strict=True):
+                region = set(text[max(0, c * d.STRIDE - len(wanted)):c * d.STRIDE + d.WINDOW + len(wanted)].tolist()) - {-1}
+                whole, part = sum(w in region for w in wanted.tolist()), sum(w in region for w in heavy.tolist())
+                if whole >= d.COPY * len(wanted) or (whole >= d.PARAPHRASE * len(wanted) and part >= d.RARE * len(heavy)):
+                    assert doc in kept and kept[doc][c]
+
+
 # --- pseudonyms
 
 def feistel(kind, a, b, p, q):
