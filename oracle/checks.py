@@ -191,8 +191,8 @@ _add("q3_wrong_side", "SELECT * FROM (SELECT merchant_id, account, CAST(sum(amou
      "WHERE account IN ('dispute_reserve', 'on_hold', 'gateway_receivable') AND balance_paise < 0")
 _add("q5_identity", _VAR + " WHERE gross_paise - landed_paise <> explained_paise")
 _add("q6_unclaimed", "SELECT * FROM (SELECT *, claimed_paise - actual_paise AS drift_paise, claimed_paise = actual_paise AS ok FROM coverage) WHERE drift_paise <> 0")
-_add("q1_lost_legs", "SELECT merchant_id, event_id, CAST(-sum(amount_paise) AS BIGINT) AS off_paise, (SELECT count(*) FROM postings p WHERE p.event_id = l.event_id AND p.merchant_id = l.merchant_id) - count(*) AS rows "
-     "FROM postings l WHERE account = 'refunds' AND amount_paise % 7 = 3 GROUP BY ALL")
+_add("q1_lost_legs", "SELECT p.merchant_id, p.event_id, -l.amount_paise AS off_paise, count(*) AS rows FROM postings l JOIN postings p ON p.merchant_id = l.merchant_id AND p.event_id = l.event_id "
+     "AND p.account <> 'refunds' WHERE l.account = 'refunds' AND l.amount_paise % 7 = 3 GROUP BY ALL")
 _add("q5_lost_legs", "SELECT p.merchant_id, window_id, CAST(sum(amount_paise) AS BIGINT) AS remainder_paise FROM postings p JOIN windows w ON w.merchant_id = p.merchant_id "
      "AND occurred_at BETWEEN window_start AND window_end WHERE account = 'refunds' AND amount_paise % 7 = 3 GROUP BY ALL")
 _add("q8_linkage_work", "SELECT merchant_id, count(DISTINCT bank_txn_id) AS credits, count(*) AS candidates, round(count(*) / count(DISTINCT bank_txn_id), 6) AS per_credit FROM pairs GROUP BY ALL")
