@@ -12,10 +12,10 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from khata.operators.ranking import rank_in_group
+from khata.operators.ranking import parts_for, rank_in_group, rank_placed
 from khata.schemas import EVENTS
 
 GENESIS = "0" * 64
@@ -54,24 +54,50 @@ def ingestion(batch: DataFrame, log: DataFrame | None) -> DataFrame:
     return out.withColumn("skipped", F.col("delivered") - F.col("recorded"))
 
 
-def assign_sequence(facts: DataFrame, since: DataFrame | None = None) -> DataFrame:
+ORDER = ["merchant_id", "recorded_at", "occurred_at", "event_id", "digest"]
+
+
+def assign_sequence(facts: DataFrame, since: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Numbers new facts of each merchant on from where the heads in ``since`` stand, or from 1."""
-    order = [F.col(c) for c in ("recorded_at", "occurred_at", "event_id", "digest")]
-    out = rank_in_group(facts, ["merchant_id"], order, "seq")
+    out = rank_in_group(facts, ["merchant_id"], [F.col(c) for c in ORDER[1:]], "seq", parts)
     if since is None:
         return out
     last = since.select("merchant_id", F.col("facts").alias("_last"))
     return out.join(last, "merchant_id", "left").withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0))).drop("_last")
 
 
-def roots(rows: DataFrame, keys: list[str], digest: str = "digest", digits: int = SPLIT_DIGITS) -> DataFrame:
-    """One hash per key over all its digests, whatever order they come in."""
-    leaf = rows.groupBy(*keys, F.left(digest, F.lit(digits)).alias("_head")).agg(
-        F.sha2(F.concat_ws("", F.array_sort(F.collect_list(digest))), 256).alias("_leaf"), F.count("*").alias("_n")
-    )
+def record(events: DataFrame) -> DataFrame:
+    """Each fact once, with its digest and sequence number from 1: ``assign_sequence`` of ``distinct_facts``, from one shuffle.
+
+    Copies of a fact are neighbours in the order of the log, so they are met there, and digests are taken there as well.
+    """
+    placed = events.repartitionByRange(parts_for(events.count(), events.sparkSession), *ORDER[:-1])
+    facts = with_digest(placed)
+    rest = [c for c in facts.columns if c not in ORDER]
+    once = facts.groupBy(*ORDER).agg(*[F.first(c).alias(c) for c in rest]).select(*facts.columns)
+    return rank_placed(once.sortWithinPartitions(*ORDER), ["merchant_id"], "seq")
+
+
+def roots(rows: DataFrame, keys: list[str], digest: str = "digest", digits: int = SPLIT_DIGITS, parts: int | None = None) -> DataFrame:
+    """One hash per key over all its digests, whatever order they come in.
+
+    With ``parts``, the digests are dealt by key and first digit, so that the digests of a key meet in at most 16 tasks and
+    all steps but the last need no further shuffle.
+    """
+    rows = rows.select(*keys, F.left(digest, F.lit(1)).alias("_shard"), F.left(digest, F.lit(digits)).alias("_head"), F.col(digest).alias("_digest"))
+    if parts:
+        rows = rows.repartition(parts, *keys, "_shard")
+    # most leaves hold few digests: a sort makes them cheaper than an aggregate with a buffer for each
+    leaf = Window.partitionBy(*keys, "_shard", "_head").orderBy("_digest")
+    whole = leaf.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    leaves = rows.select(
+        *keys, "_shard", "_head", F.row_number().over(leaf).alias("_place"), F.count("*").over(whole).alias("_n"),
+        F.collect_list("_digest").over(whole).alias("_digests")).filter("_place = 1")
+    # half as many bytes on the way, spelled out again behind it
+    leaves = leaves.withColumn("_leaf", F.unhex(F.sha2(F.concat_ws("", "_digests"), 256)))
     # at most 16 ** digits leaves per key
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_head", "_leaf"))), lambda x: x["_leaf"])
-    return leaf.groupBy(*keys).agg(F.sha2(F.concat_ws("", ordered), 256).alias("root"), F.sum("_n").alias("facts"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_head", "_leaf"))), lambda x: F.lower(F.hex(x["_leaf"])))
+    return leaves.groupBy(*keys).agg(F.sha2(F.concat_ws("", ordered), 256).alias("root"), F.sum("_n").alias("facts"))
 
 
 def _delivered(rows: DataFrame) -> DataFrame:
@@ -81,7 +107,8 @@ def _delivered(rows: DataFrame) -> DataFrame:
 def log_roots(log: DataFrame) -> DataFrame:
     """One root per merchant, delivery and day recorded, over its facts and the places they have in the sequence."""
     leaf = F.sha2(F.concat_ws(":", "seq", "digest"), 256)
-    return roots(_delivered(log).withColumn("_fact", leaf), ["merchant_id", "delivery", "recorded_at"], "_fact")
+    parts = parts_for(log.count(), log.sparkSession)
+    return roots(_delivered(log).withColumn("_fact", leaf), ["merchant_id", "delivery", "recorded_at"], "_fact", parts=parts)
 
 
 HEAD = "merchant_id string, batch bigint, facts bigint, log_head string"

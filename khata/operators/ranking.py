@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from khata.lineage import cut
 
+# Rows of a shuffle's partition, beyond which there are more partitions: the memory of a task stays what it is.
+PART_ROWS = 500_000
+# A row id of ``monotonically_increasing_id`` is the partition's number above this many bits of the row's place in it.
+PLACE_BITS = 33
+
+
+def parts_for(rows: int, spark: SparkSession) -> int:
+    """Partitions for so many rows: those of the session, and more where they would grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
 
 def _placed(df: DataFrame, group: list[str], order: list, parts: int | None) -> DataFrame:
     """``df`` in range partitions by (group, order), so that a big group spans many of them.
@@ -44,8 +54,29 @@ def rank_in_group(
     df: DataFrame, group: list[str], order: list, into: str = "rank", parts: int | None = None
 ) -> DataFrame:
     """``row_number`` per group for groups of any size."""
-    ranked = running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), group, order, "_one", into, parts)
-    return ranked.withColumn(into, (F.col(into) + 1).cast("bigint")).drop("_one")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(g) for g in group], *order]
+    return rank_placed(df.repartitionByRange(parts, *by).sortWithinPartitions(*by), group, into)
+
+
+def rank_placed(df: DataFrame, group: list[str], into: str) -> DataFrame:
+    """``row_number`` per group of rows that are range partitioned and sorted by (group, order) already.
+
+    The rows stay where they are. What is shared is one row per partition and group: where the group begins there, and how
+    many rows of it the earlier partitions hold. Written out, so that places stay what they are when a task is run again.
+    """
+    placed = cut(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    pieces = placed.groupBy(*group, F.shiftright("_at", PLACE_BITS).alias("_part")).agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_size").over(earlier), F.lit(0).cast("bigint"))
+    # written, so that its size is known and few pieces go to the rows, not the rows to them
+    pieces = cut(pieces.select(
+        *[F.col(g).alias(f"_of_{g}") for g in group], F.col("_part").alias("_of_part"), (before - F.col("_first") + 1).alias("_shift")), "pieces")
+    same = F.shiftright("_at", PLACE_BITS) == F.col("_of_part")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return placed.join(pieces, same).withColumn(into, F.col("_at") + F.col("_shift")).select(*[c for c in df.columns if c != into], into)
 
 
 def carry_last(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from khata.functions.money import money_text
 from khata.lineage import cut
 from khata.operators.calendar import bank_calendar
-from khata.operators.log import assign_sequence, distinct_facts, with_digest
+from khata.operators.log import chain, record, with_digest
 from khata.operators.movements import variance, weekly_windows, whole_period
 from khata.operators.postings import project
 from khata.plans import causes
@@ -403,12 +403,19 @@ class SampleLedger:
     @cached_property
     def deliveries(self) -> DataFrame:
         """Everything delivered once, captures and payouts twice."""
-        again = self.events.filter("type IN ('payment_captured', 'settlement_executed')")
-        return with_digest(self.events.unionByName(again))
+        return with_digest(self._delivered)
+
+    @cached_property
+    def _delivered(self) -> DataFrame:
+        return self.events.unionByName(self.events.filter("type IN ('payment_captured', 'settlement_executed')"))
 
     @cached_property
     def log(self) -> DataFrame:
-        return cut(assign_sequence(distinct_facts(self.deliveries)), "log")
+        return record(self._delivered)
+
+    @cached_property
+    def chain(self) -> DataFrame:
+        return cut(chain(self.log), "chain")
 
     @cached_property
     def statement_lines(self) -> DataFrame:
