@@ -3,9 +3,9 @@
 1. A text becomes the numbers of those of its words (lower case, letters and digits only) that occur in the benchmark.
 2. Passages are windows of ``WINDOW`` words every ``WINDOW // 2``. Features are the benchmark's words, weighted by inverse
    passage frequency over the whole corpus; words in more than ``COMMON`` of all passages have no weight, except the ``RAREST`` of each benchmark passage.
-3. A randomised subspace iteration over ``SAMPLE`` passages of the corpus and all of the benchmark (weighted to equal the corpus's
-   energy) gives the leading right singular vectors. Tasks sum ``A^T (A X)`` and send only blocks of that matrix, whose size is
-   set by the benchmark's vocabulary; the driver orthonormalises it.
+3. A randomised subspace iteration over all passages of the corpus and of the benchmark (weighted to equal the corpus's
+   energy) gives the leading right singular vectors. The passages are read once for ``A^T A``, a triangle over the benchmark's
+   vocabulary that tasks sum and write in stripes; a step multiplies the stripes, and the driver orthonormalises the product.
 4. Every corpus passage with a weighted word is projected and compared by cosine with all benchmark passages, a stated
    query set, a block at a time; but for those in whose surroundings too few of any item's words stand for the decision in 5,
    which is counted exactly (``Pretest``).
@@ -40,10 +40,12 @@ WINDOW = 48
 STRIDE = WINDOW // 2
 COMMON, RAREST = 0.02, 6
 LATENT, OVERSAMPLE, PASSES = 192, 32, 2
-#: Passages, of documents drawn by a hash, that the basis is learnt on; weights come from all passages, and all are searched.
-SAMPLE = 32_768
+#: Entries of ``A^T A`` that a task sums at once; a larger triangle takes several readings of the passages.
+TRIANGLE = 8 << 20
 COSINE, COPY, PARAPHRASE, RARE, ANSWER = 0.40, 0.70, 0.50, 0.60, 0.80
 BLOCK_ITEMS, BLOCK_BYTES = 1000, 16 << 20
+#: Bytes of word numbers that a task takes at a time.
+PIECE = 1 << 20
 BLANK_WORD = -1
 
 
@@ -207,8 +209,8 @@ def _place(cell: np.ndarray) -> np.ndarray:
 def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, windows = np.zeros(size, np.int64), 0
-        for batch in batches:
-            numbers, cell, first = cells_of(batch)
+        for piece in (p for batch in batches for p in slices(batch, "numbers", PIECE)):
+            numbers, cell, first = cells_of(piece)
             # the words of a cell in one row, sorted: each counts where it differs from the one before
             rows = np.full((int(first[-1]), STRIDE), BLANK_WORD, np.int32)
             rows[cell, _place(cell)] = numbers
@@ -216,12 +218,20 @@ def _frequencies(size: int):
             fresh = rows >= 0
             fresh[:, 1:] &= rows[:, 1:] != rows[:, :-1]
             total += np.bincount(rows[fresh], minlength=size)
-            windows += int(first[-1]) - batch.num_rows
+            windows += int(first[-1]) - piece.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(total[used], windows), pa.int64())], ["word", "n"])
     return run
 
 
+def _unit(window: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values of sorted windows' entries, each window's scaled to length 1."""
+    if len(window) == 0:
+        return value
+    starts = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+    return value / np.repeat(np.sqrt(np.add.reduceat(value ** 2, starts)), np.diff(np.append(starts, len(window))))
+
+
 def _rows(window: np.ndarray, word: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(windows present, their unit rows times ``basis``, entry values) for sorted (window, word) pairs."""
     starts = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
@@ -241,7 +251,7 @@ def _accumulate(out: np.ndarray, window: np.ndarray, word: np.ndarray, weight: n
     out[word[order][starts]] += np.add.reduceat(projected[row[order]] * value[order][:, None], starts, axis=0)
 
 
-def _chunks(window: np.ndarray, size: int = 16_000) -> Iterator[slice]:
+def _chunks(window: np.ndarray, size: int = 4_000) -> Iterator[slice]:
     """Slices of sorted pairs that end between windows."""
     at = 0
     while at < len(window):
@@ -256,15 +266,76 @@ def _chunks(window: np.ndarray, size: int = 16_000) -> Iterator[slice]:
 STRIPE = 64
 
 
-def _gram_times(weight: np.ndarray, basis: np.ndarray):
+def _pairs(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, place) of all two entries of each window, the first not behind the second, each entry with itself included."""
+    starts = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+    size = np.diff(np.append(starts, len(window)))
+    at = np.arange(len(window))
+    reach = np.repeat(starts + size, size) - at
+    left = np.repeat(at, reach)
+    return left, np.arange(len(left)) + np.repeat(at - np.cumsum(reach) + reach, reach)
+
+
+def _rows_at_once(size: int) -> list[tuple[int, int]]:
+    """Ranges of rows of the lower triangle with at most ``TRIANGLE`` entries, in whole stripes."""
+    out, low, held = [], 0, 0
+    for at in range(0, size, STRIPE):
+        own = sum(i + 1 for i in range(at, min(at + STRIPE, size)))
+        if held and held + own > TRIANGLE:
+            out.append((low, at))
+            low, held = at, 0
+        held += own
+    return [*out, (low, size)]
+
+
+def _gram(weight: np.ndarray, rank: np.ndarray, low: int, high: int):
+    """The rows from ``low`` to ``high`` of the lower triangle of ``A^T A`` over a task's passages.
+
+    Words stand at their ``rank``, frequent ones first: most pairs then fall into a small corner of the triangle.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(basis.shape, np.float32)
+        size = len(weight)
+        first = np.arange(size + 1) * np.arange(1, size + 2) // 2
+        out = np.zeros(int(first[high] - first[low]), np.float32)
+        heavy = np.zeros(size, np.float32)
+        heavy[rank] = weight
         for batch in batches:
-            window, word, _, _ = window_words(batch, weight)
-            for part in _chunks(window):
-                _accumulate(out, window[part], word[part], weight, basis)
-        stripes = range(0, len(out), STRIPE)
-        yield pa.RecordBatch.from_arrays([pa.array([s // STRIPE for s in stripes], pa.int64()), pa.array([out[s:s + STRIPE].tobytes() for s in stripes], pa.binary())], ["stripe", "part"])
+            for piece in slices(batch, "numbers", PIECE):
+                window, word, _, _ = window_words(piece, weight)
+                key = np.sort(window * size + rank[word])
+                window, word = key // size, key % size
+                value = _unit(window, heavy[word])
+                for part in _chunks(window):
+                    left, right = _pairs(window[part])
+                    if (low, high) != (0, size):
+                        own = (word[part][right] >= low) & (word[part][right] < high)
+                        left, right = left[own], right[own]
+                    np.add.at(out, (first[word[part]] - first[low])[right] + word[part][left], value[part][left] * value[part][right])
+        for s in range(low, high, STRIPE):
+            own = out[first[s] - first[low]:first[min(s + STRIPE, high)] - first[low]]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([s // STRIPE], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["stripe", "part"])
+    return run
+
+
+def _times(basis: np.ndarray):
+    """``A^T A`` times ``basis``, from stripes of the triangle: each stands for its rows and, mirrored, for its columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(basis)
+        out = np.zeros(basis.shape, np.float64)
+        for batch in batches:
+            for stripe, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, values, used = stripe * STRIPE, np.frombuffer(part.as_buffer(), np.float64), 0
+                to = min(at + STRIPE, size)
+                rows = np.zeros((to - at, to))
+                for i in range(at, to):
+                    rows[i - at, :i + 1] = values[used:used + i + 1]
+                    used += i + 1
+                out[at:to] += rows @ basis[:to]
+                rows[np.arange(to - at), np.arange(at, to)] = 0
+                out[:to] += rows.T @ basis[at:to]
+        for s in range(0, size, STRIPE):
+            yield pa.RecordBatch.from_arrays([pa.array([s // STRIPE], pa.int64()), pa.array([out[s:s + STRIPE].astype(np.float32).tobytes()], pa.binary())], ["stripe", "part"])
     return run
 
 
@@ -283,7 +354,7 @@ def _bench_rows(bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def learn(numbers: DataFrame, bench: Benchmark, seed: int = 7) -> Benchmark:
-    """Word weights from all passages, latent basis from ``SAMPLE`` of them; the collected matrices have one row per benchmark word."""
+    """Word weights and latent basis from all passages; the collected matrices have one row per benchmark word."""
     size = len(bench.number)
     counts = {r["word"]: r["n"] for r in numbers.mapInArrow(_frequencies(size), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     passages = max(1, counts.pop(-1, 0))
@@ -302,15 +373,21 @@ def learn(numbers: DataFrame, bench: Benchmark, seed: int = 7) -> Benchmark:
     bench.weight = np.where(keep, np.maximum(weight, 1e-3), 0).astype(np.float32)
 
     bench.pretest = Pretest.of(bench.words, bench.rare, size)
-    if passages > SAMPLE:
-        drawn = F.pmod(F.xxhash64("doc_id", "numbers"), F.lit(1_000_000)) < max(1, 1_000_000 * SAMPLE // passages)
-        numbers = cut(numbers.filter(drawn), "bench-sample")
+    parts = "stripe long, part binary"
+    # a triangle per task is sent, so there are no more tasks than run at a time
+    few = numbers.coalesce(numbers.sparkSession.sparkContext.defaultParallelism)
+    often = np.argsort(-seen, kind="stable")
+    rank = np.argsort(often)
+    gram = None
+    for low, high in _rows_at_once(size):
+        own = cut(few.mapInArrow(_gram(bench.weight, rank, low, high), parts).groupBy("stripe").applyInPandas(_add_stripes, parts), "bench-gram")
+        gram = own if gram is None else gram.unionByName(own)
     window, word, _ = _bench_rows(bench)
     width = min(LATENT + OVERSAMPLE, size)
     basis = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
     for _ in range(PASSES):
-        parts = numbers.mapInArrow(_gram_times(bench.weight, basis), "stripe long, part binary").groupBy("stripe").applyInPandas(_add_stripes, "stripe long, part binary").collect()
-        corpus = np.concatenate([np.frombuffer(r["part"], np.float64).reshape(-1, width) for r in sorted(parts, key=lambda r: r["stripe"])]) if parts else np.zeros((size, width))
+        done = gram.mapInArrow(_times(basis[often]), parts).groupBy("stripe").applyInPandas(_add_stripes, parts).collect()
+        corpus = np.concatenate([np.frombuffer(r["part"], np.float64).reshape(-1, width) for r in sorted(done, key=lambda r: r["stripe"])])[rank] if done else np.zeros((size, width))
         own = np.zeros((size, width), np.float32)
         _accumulate(own, window, word, bench.weight, basis)
         ratio = np.linalg.norm(corpus) / max(np.linalg.norm(own), 1e-9)
@@ -340,7 +417,7 @@ def _search(shared, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
         there = np.zeros(len(bench.number), bool)
-        for batch in batches:
+        for batch in (p for batch in batches for p in slices(batch, "numbers", PIECE)):
             docs, asked = bench.pretest.windows(batch)
             if len(docs) == 0:
                 continue

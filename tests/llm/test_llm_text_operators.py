@@ -90,6 +90,38 @@ def test_retrieval_recall_against_all_cosines(spark):
     assert total > 50 and found >= 0.9 * total
 
 
+def test_basis_is_learnt_on_every_passage(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vocabulary = np.array([f"w{i}" for i in range(300)])
+    share = 1 / np.arange(20, 320)
+    items = [" ".join(vocabulary[i * 30:i * 30 + 30]) for i in range(10)]
+    docs = [(d, " ".join(rng.choice(vocabulary, 3000, p=share / share.sum()))) for d in range(300)]
+    d = decontaminate
+    bench = d.read_benchmark([{"item_id": i, "text": w} for i, w in enumerate(items)])
+    numbers = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).mapInArrow(d._numbers(bench), "doc_id long, numbers binary")
+    monkeypatch.setattr(d, "TRIANGLE", 20_000)  # in several readings
+    assert len(d._rows_at_once(300)) > 1
+    held, real = [], d.cut
+    monkeypatch.setattr(d, "cut", lambda frame, label: (held.append(real(frame, label)), held[-1])[1])
+    d.learn(numbers, bench)
+    stripes = sorted((r["stripe"], r["part"]) for part in held for r in part.collect())
+    assert [s for s, _ in stripes] == list(range(5))
+    lower = np.concatenate([np.frombuffer(part) for _, part in stripes])
+    gram, n, seen = np.zeros((300, 300)), 0, np.zeros(300)
+    for batch in numbers.toArrow().combine_chunks().to_batches():
+        words, cell, first = d.cells_of(batch)
+        seen += np.bincount(np.unique(cell * 300 + words) % 300, minlength=300)
+        window, word, windows, _ = d.window_words(batch, bench.weight)
+        dense = np.zeros((windows, 300))
+        dense[window, word] = bench.weight[word]
+        dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+        gram, n = gram + dense.T @ dense, n + windows
+    assert n > 32_768
+    often = np.argsort(-seen, kind="stable")
+    want = gram[often][:, often][np.tril_indices(300)]
+    assert np.allclose(lower, want, rtol=1e-3, atol=1e-3)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pretest_keeps_every_window_the_decision_could_take(seed):
     rng = np.random.default_rng(seed)
