@@ -14,6 +14,7 @@ from khata.operators import apportion, audits, fees, linkage, log, movements, pa
 from khata.operators.calendar import add_bank_days
 from khata.operators.movements import WINDOW
 from khata.operators.postings import project
+from khata.operators.ranking import parts_for
 from khata.plans import (
     causes, close, conformal, forecast, grounding, insights, named, pack, restate, scoring, search, tax,
 )
@@ -445,7 +446,10 @@ def _(s):
     """Each order's total split over its lines by quantity."""
     orders = _table(s, "orders").select(
         F.col("o_orderkey").alias("k"), (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint").alias("total_paise"))
-    lines = _table(s, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")).agg(
+    lines = _table(s, "lineitem")
+    # all steps go by the order: one shuffle, into as many parts as the lines ask for
+    lines = lines.select("l_orderkey", "l_linenumber", "l_quantity").repartition(parts_for(lines.count(), s.spark), "l_orderkey")
+    lines = lines.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")).agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("weight"))
     return apportion.allocate(lines.join(orders, "k"), ["k"], "total_paise", "weight", "line").select("k", "line", "share_paise")
 

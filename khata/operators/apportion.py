@@ -15,8 +15,11 @@ def allocate(rows: DataFrame, group: list[str], amount: str, weight: str, index:
     only be given a zero amount. Set ``big_groups`` where one group may not fit a task.
     """
     wide = "decimal(38,0)"
-    total = rows.groupBy(*group).agg(F.sum(weight).cast("decimal(19,0)").alias("_all"))
-    out = rows.join(total, group)
+    own = Window.partitionBy(*group)
+    if big_groups:
+        out = rows.join(rows.groupBy(*group).agg(F.sum(weight).cast("decimal(19,0)").alias("_all")), group)
+    else:  # sums beside the rows, from the sort that ranks them too; a null group is none, as in the joins
+        out = rows.dropna(subset=group).withColumn("_all", F.sum(weight).over(own).cast("decimal(19,0)"))
     size = F.abs(amount).cast("decimal(19,0)")
     product = (size * F.col(weight).cast("decimal(19,0)")).cast(wide)
     whole = F.when(F.col("_all") == 0, F.lit(0)).otherwise(F.call_function("div", product, F.col("_all").cast(wide)))
@@ -24,8 +27,10 @@ def allocate(rows: DataFrame, group: list[str], amount: str, weight: str, index:
         "_rest", F.when(F.col("_all") == 0, F.lit(0)).otherwise(product % F.col("_all").cast(wide)).cast(wide)
     )
     # the group's own size is used up to this many paise short
-    given = out.groupBy(*group).agg(F.sum("_share").alias("_given"))
-    out = out.join(given, group)
+    if big_groups:
+        out = out.join(out.groupBy(*group).agg(F.sum("_share").alias("_given")), group)
+    else:
+        out = out.withColumn("_given", F.sum("_share").over(own))
     order = [F.col("_rest").desc(), F.col(index).desc()]
     if big_groups:
         out = rank_in_group(out, group, order, "_turn")
