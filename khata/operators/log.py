@@ -66,16 +66,21 @@ def assign_sequence(facts: DataFrame, since: DataFrame | None = None, parts: int
     return out.join(last, "merchant_id", "left").withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0))).drop("_last")
 
 
-def record(events: DataFrame) -> DataFrame:
-    """Each fact once, with its digest and sequence number from 1: ``assign_sequence`` of ``distinct_facts``, from one shuffle.
+def once(events: DataFrame) -> DataFrame:
+    """Each fact once, with its digest and the number of its ``copies``, range partitioned and sorted in the log's order.
 
-    Copies of a fact are neighbours in the order of the log, so they are met there, and digests are taken there as well.
+    Copies of a fact are neighbours in that order, so one shuffle brings them together; digests are taken behind it.
     """
     placed = events.repartitionByRange(parts_for(events.count(), events.sparkSession), *ORDER[:-1])
     facts = with_digest(placed)
     rest = [c for c in facts.columns if c not in ORDER]
-    once = facts.groupBy(*ORDER).agg(*[F.first(c).alias(c) for c in rest]).select(*facts.columns)
-    return rank_placed(once.sortWithinPartitions(*ORDER), ["merchant_id"], "seq")
+    held = facts.groupBy(*ORDER).agg(*[F.first(c).alias(c) for c in rest], F.count("*").alias("copies"))
+    return held.select(*facts.columns, "copies").sortWithinPartitions(*ORDER)
+
+
+def record(events: DataFrame) -> DataFrame:
+    """Each fact once, with its digest and sequence number from 1: ``assign_sequence`` of ``distinct_facts``, from one shuffle."""
+    return rank_placed(once(events).drop("copies"), ["merchant_id"], "seq")
 
 
 def roots(rows: DataFrame, keys: list[str], digest: str = "digest", digits: int = SPLIT_DIGITS, parts: int | None = None) -> DataFrame:
@@ -104,10 +109,10 @@ def _delivered(rows: DataFrame) -> DataFrame:
     return rows if "delivery" in rows.columns else rows.withColumn("delivery", F.lit(1).cast("bigint"))
 
 
-def log_roots(log: DataFrame) -> DataFrame:
+def log_roots(log: DataFrame, parts: int | None = None) -> DataFrame:
     """One root per merchant, delivery and day recorded, over its facts and the places they have in the sequence."""
     leaf = F.sha2(F.concat_ws(":", "seq", "digest"), 256)
-    parts = parts_for(log.count(), log.sparkSession)
+    parts = parts or parts_for(log.count(), log.sparkSession)
     return roots(_delivered(log).withColumn("_fact", leaf), ["merchant_id", "delivery", "recorded_at"], "_fact", parts=parts)
 
 
@@ -115,13 +120,13 @@ HEAD = "merchant_id string, batch bigint, facts bigint, log_head string"
 CHAIN = "merchant_id string, recorded_at date, delivery bigint, batch bigint, facts bigint, root string, prev_hash string, hash string"
 
 
-def chain(log: DataFrame, since: DataFrame | None = None) -> DataFrame:
+def chain(log: DataFrame, since: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Batches of each merchant in order, each hashed together with the one before.
 
     A batch is what one delivery recorded on one day. With ``since``, the heads of a log, the chain goes on from there:
     only the new facts are read. One row per batch and merchant goes through the sequential step, never the facts.
     """
-    days = log_roots(log)
+    days = log_roots(log, parts)
     if since is None:
         days = days.withColumns({"_from": F.lit(0).cast("bigint"), "_head": F.lit(GENESIS)})
     else:
@@ -171,7 +176,8 @@ def broken_links(links: DataFrame, content: str = "root", position: str = "batch
 
 def altered_batches(log: DataFrame, links: DataFrame) -> DataFrame:
     """Batches whose facts, or whose order, no longer give the root the chain was built on."""
-    now = log_roots(log).select(
+    linked = links.agg(F.sum("facts")).first()[0] or 0
+    now = log_roots(log, parts_for(linked, log.sparkSession)).select(
         "merchant_id", "delivery", "recorded_at", F.col("root").alias("_now"), F.col("facts").alias("_facts")
     )
     both = _delivered(links).join(now, ["merchant_id", "delivery", "recorded_at"], "full_outer")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from khata.lineage import cut
 from khata.operators import log
+from khata.operators.ranking import parts_for
 from khata.schemas import EVENTS
 
 FACTS = T.StructType([*EVENTS.fields, T.StructField("digest", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("delivery", T.LongType())])
@@ -53,22 +54,26 @@ def append(batch: DataFrame, path: str) -> DataFrame:
     the delivery are read, and of the chain its links. One delivery is recorded at a time.
     """
     spark = batch.sparkSession
-    came = cut(log.with_digest(batch), "delivery")
+    came = cut(log.once(batch), "delivery")
+    parts = parts_for(came.count(), spark)
     chained = links(spark, path)
     number = (chained.agg(F.max("delivery")).first()[0] or 0) + 1
     heads = cut(log.heads(chained), "heads")
     # a copy of a fact has the same recorded_at, so only these months can hold it
     held = facts(spark, path).join(came.select(_month().alias("month")).distinct(), "month", "left_semi")
-    told = cut(log.ingestion(came, held), "told")
-    new = log.assign_sequence(log.new_facts(came, held), heads).withColumn("delivery", F.lit(number).cast("bigint"))
+    new = came.drop("copies").join(held.select("merchant_id", "digest"), ["merchant_id", "digest"], "left_anti")
+    new = log.assign_sequence(new, heads, parts).withColumn("delivery", F.lit(number).cast("bigint"))
     placed = new.select(*FACTS.names, _month().alias("month")).repartitionByRange("month", "merchant_id", "seq")
     target = f"{path}/facts/delivery={number}"
     placed.drop("delivery").write.mode("overwrite").partitionBy("month").option("partitionOverwriteMode", "static").option(
         "ignoreNullFields", False).json(target)
     # read again, so the chain is over what was written
     written = _stored(spark, target, T.StructType([*(f for f in FACTS.fields if f.name != "delivery"), MONTH]))
-    log.chain(written.withColumn("delivery", F.lit(number).cast("bigint")), heads).drop("delivery").write.mode("overwrite").json(f"{path}/chain/delivery={number}")
-    return told
+    log.chain(written.withColumn("delivery", F.lit(number).cast("bigint")), heads, parts).drop("delivery").write.mode("overwrite").json(f"{path}/chain/delivery={number}")
+    # the links say how many facts were recorded
+    kept = links(spark, path).filter(F.col("delivery") == number).groupBy("merchant_id").agg(F.sum("facts").alias("recorded"))
+    told = came.groupBy("merchant_id").agg(F.sum("copies").alias("delivered")).join(kept, "merchant_id", "left")
+    return cut(told.withColumn("recorded", F.coalesce("recorded", F.lit(0))).withColumn("skipped", F.col("delivered") - F.col("recorded")), "told")
 
 
 def faults(spark: SparkSession, path: str, since: int = 0) -> DataFrame:

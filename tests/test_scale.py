@@ -77,3 +77,29 @@ def test_sequence_and_facts_are_compared_without_counting_distinct_rows(spark):
     differing = audits.differing_facts(left, right)
     assert sorted(map(tuple, differing.collect())) == [("a", "x", "left"), ("a", "y", "left"), ("a", "z", "right")]
     assert _plan(differing).split("== Physical Plan ==")[0].count("Union") == 3
+
+
+def test_a_delivery_is_counted_from_its_links(spark, tmp_path):
+    from khata.sources import log_store
+
+    events = _events(spark, 40, copies=3)
+    first = {r["merchant_id"]: tuple(r)[1:] for r in log_store.append(events, str(tmp_path / "log")).collect()}
+    again = {r["merchant_id"]: tuple(r)[1:] for r in log_store.append(events.unionByName(_events(spark, 44, copies=1)), str(tmp_path / "log")).collect()}
+    assert first == {"m0": (60, 20, 40), "m1": (60, 20, 40)} and again == {"m0": (82, 2, 80), "m1": (82, 2, 80)}
+    assert log_store.read_log(spark, str(tmp_path / "log")).count() == 44
+
+
+def test_apportionment_of_small_groups_joins_nothing(spark):
+    from khata.operators.apportion import allocate
+
+    rows = spark.createDataFrame([("a", 1, 2, 100), ("a", 2, 1, 100), ("b", 1, 0, 0), (None, 1, 1, 5)], "g string, i int, w bigint, t bigint")
+    got = allocate(rows, ["g"], "t", "w", "i")
+    assert sorted((r["g"], r["i"], r["share_paise"]) for r in got.collect()) == [("a", 1, 67), ("a", 2, 33), ("b", 1, 0)]
+    assert "Join" not in _plan(got)
+
+
+def test_apportionment_takes_more_parts_for_more_lines(spark, folder, monkeypatch):
+    from khata.catalog import QUERIES
+
+    monkeypatch.setattr(ranking, "PART_ROWS", 500)
+    assert "hashpartitioning(l_orderkey" in (plan := _plan(QUERIES["f4_apportion"](spark, folder))) and ", 4), " not in plan
