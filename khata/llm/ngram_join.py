@@ -224,12 +224,21 @@ def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (kind 1) of signatures with few sharers; (signature, sharer) rows (kind 2) of the others."""
     sigs, ids = [], []
     for batch in batches:
-        sigs += [np.frombuffer(x, np.uint64) for x in batch.column("sigs").to_pylist()]
-        ids += [np.frombuffer(x, np.int64) for x in batch.column("ids").to_pylist()]
+        sigs += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("sigs")]
+        ids += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("ids")]
     if not sigs:
         return
     sig, own = np.concatenate(sigs), np.concatenate(ids)
-    del sigs, ids
+    del sigs, ids, batch
+    # sorted by portions: sharers of a signature are in one, and what a portion needs beside its rows is gone before the next
+    portion = (sig >> np.uint64(61)).astype(np.uint8)
+    for n in range(8):
+        here = portion == n
+        if here.any():
+            yield from _sharing(sig[here], own[here])
+
+
+def _sharing(sig: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
     again = np.concatenate([[False], (sig[1:] == sig[:-1]) & (own[1:] == own[:-1])])

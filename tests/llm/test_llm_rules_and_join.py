@@ -149,3 +149,26 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 40)] + [(500, 499), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 200 for i in range(200, 240)} | {499: 499, 500: 499}
+
+
+def test_sharers_are_found_within_a_share_of_a_bucket_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 64, 4000, np.uint64)[rng.integers(0, 4000, 20_000)]
+    own = rng.integers(0, 900, 20_000)
+    sizes, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sizes.append(len(keys[0])), real(keys))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([sig[:7000].tobytes(), sig[7000:].tobytes()], pa.binary()), pa.array([own[:7000].tobytes(), own[7000:].tobytes()], pa.binary())], ["sigs", "ids"])
+    got = {tuple(r.values()) for out in ngram_join._sharers(iter([batch])) for r in out.to_pylist()}
+    assert max(sizes) < 20_000 / 5 and sum(sizes) == 20_000
+    want, holders = set(), {}
+    for s, o in zip(sig.tolist(), own.tolist()):
+        holders.setdefault(s, set()).add(o)
+    for s, h in holders.items():
+        if len(h) > ngram_join.SMALL:
+            want |= {(s - (1 << 64) if s >> 63 else s, o, 2) for o in h}
+        else:
+            want |= {(a, b, 1) for a in h for b in h if a < b}
+    assert got == want
