@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.lineage import cut
+from khata.llm.base import small_batches
 from khata.llm.shingles import slices, tokens
 
 WINDOW = 48
@@ -44,8 +45,8 @@ LATENT, OVERSAMPLE, PASSES = 192, 32, 2
 TRIANGLE = 8 << 20
 COSINE, COPY, PARAPHRASE, RARE, ANSWER = 0.40, 0.70, 0.50, 0.60, 0.80
 BLOCK_ITEMS, BLOCK_BYTES = 1000, 16 << 20
-#: Bytes of word numbers that a task takes at a time.
-PIECE = 1 << 20
+#: Bytes of word numbers, and of text, that a task takes at a time.
+PIECE, TEXT_PIECE = 1 << 20, 2 << 20
 BLANK_WORD = -1
 
 
@@ -161,7 +162,7 @@ def _numbers(bench: Benchmark):
     """Documents as 32-bit word numbers; words outside the benchmark are ``BLANK_WORD``, words without letters are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=TEXT_PIECE):
                 bounds, at, names = normal_words(piece.column("text"))
                 own = np.array([bench.number.get(w, BLANK_WORD) if w else -2 for w in names], np.int32)
                 numbers = own[at] if len(own) else np.zeros(0, np.int32)
@@ -339,11 +340,9 @@ def _times(basis: np.ndarray):
     return run
 
 
-def _add_stripes(group):
-    import pandas as pd
-
-    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["part"])
-    return pd.DataFrame({"stripe": [group["stripe"].iloc[0]], "part": [total.tobytes()]})
+def _add_stripes(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in group["part"])
+    return pa.table({"stripe": group["stripe"].slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
 
 def _bench_rows(bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,13 +379,13 @@ def learn(numbers: DataFrame, bench: Benchmark, seed: int = 7) -> Benchmark:
     rank = np.argsort(often)
     gram = None
     for low, high in _rows_at_once(size):
-        own = cut(few.mapInArrow(_gram(bench.weight, rank, low, high), parts).groupBy("stripe").applyInPandas(_add_stripes, parts), "bench-gram")
+        own = cut(few.mapInArrow(_gram(bench.weight, rank, low, high), parts).groupBy("stripe").applyInArrow(_add_stripes, parts), "bench-gram")
         gram = own if gram is None else gram.unionByName(own)
     window, word, _ = _bench_rows(bench)
     width = min(LATENT + OVERSAMPLE, size)
     basis = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
     for _ in range(PASSES):
-        done = gram.mapInArrow(_times(basis[often]), parts).groupBy("stripe").applyInPandas(_add_stripes, parts).collect()
+        done = gram.mapInArrow(_times(basis[often]), parts).groupBy("stripe").applyInArrow(_add_stripes, parts).collect()
         corpus = np.concatenate([np.frombuffer(r["part"], np.float64).reshape(-1, width) for r in sorted(done, key=lambda r: r["stripe"])])[rank] if done else np.zeros((size, width))
         own = np.zeros((size, width), np.float32)
         _accumulate(own, window, word, bench.weight, basis)
@@ -464,6 +463,7 @@ HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id) of every benchmark item found in a document, with its best cosine, common words and whether the answer is there."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     blocks = items.count() // BLOCK_ITEMS + 1
     items = cut(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "bench-items")

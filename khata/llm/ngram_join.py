@@ -31,13 +31,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.lineage import cut
+from khata.llm.base import small_batches
 from khata.llm.components import components
 from khata.llm.shingles import mix, shingle_sets, slices
 
@@ -51,6 +51,10 @@ NONE = np.zeros(0, np.uint64)
 #: Signatures that one reducer is meant to hold, and bytes of sets on one side of a tile.
 REDUCER_ENTRIES, TILE_BYTES = 2_000_000, 24 << 20
 LEAST_BITS = 1024
+#: Bytes of text that a task takes at a time: what it makes of them is many times as much.
+PIECE = 1 << 20
+#: Buckets of signatures per reducer, which holds one at a time; signatures in a blob: that many at least on average, and at most.
+BUCKETS, BLOB_LEAST, BLOB_MOST = 4, 32, 512
 #: Bits and parts of the map of documents to read again; a fuller map lets more documents pass for nothing.
 MAP_BITS, MAP_PARTS = 1 << 26, 64
 
@@ -126,7 +130,7 @@ def _folded(words: np.ndarray, length: int) -> np.ndarray:
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=PIECE):
                 bounds, values = shingle_sets(piece.column("text"), width)
                 ids = [_identity(values[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([
@@ -181,17 +185,33 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(piece.column("text"), width)[1].view(np.int64))], ["shingle"])
     return run
 
 
+def _by_bucket(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """(whose, signature) as blobs of one bucket each, of at most ``BLOB_MOST`` signatures."""
+    whose, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+    bucket = (sig % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    whose, sig, bucket = whose[order], sig[order], bucket[order]
+    first = np.searchsorted(bucket, bucket)
+    starts = np.flatnonzero((np.arange(len(bucket)) - first) % BLOB_MOST == 0)
+    ends = np.append(starts[1:], len(bucket))
+    return pa.RecordBatch.from_arrays([
+        pa.array(bucket[starts], pa.int64()),
+        pa.array([sig[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+        pa.array([whose[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+    ], ["bucket", "sigs", "ids"])
+
+
 def _blobs(width: int, percent: int, buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        frequent = shared.value
+        frequent, held = shared.value, []
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=PIECE):
                 bounds, values = shingle_sets(piece.column("text"), width)
                 keep, ids = [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -207,16 +227,12 @@ def _blobs(width: int, percent: int, buckets: int, shared):
                 owner, sig = signatures(np.concatenate([[0], np.cumsum(sizes[keep])]), values[np.repeat(chosen, sizes)], percent, frequent)
                 if len(sig) == 0:
                     continue
-                bucket = (sig % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                whose, sig, bucket = np.array(ids, np.int64)[owner[order]], sig[order], bucket[order]
-                starts = np.flatnonzero(np.concatenate([[len(bucket) > 0], bucket[1:] != bucket[:-1]]))
-                ends = np.concatenate([starts[1:], [len(bucket)]])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket[starts], pa.int64()),
-                    pa.array([sig[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    pa.array([whose[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                ], ["bucket", "sigs", "ids"])
+                held.append((np.array(ids, np.int64)[owner], sig))
+                if sum(len(x) for _, x in held) >= BLOB_LEAST * buckets:
+                    yield _by_bucket(held, buckets)
+                    held = []
+        if held:
+            yield _by_bucket(held, buckets)
     return run
 
 
@@ -238,6 +254,20 @@ def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _sharing(sig[here], own[here])
 
 
+def _each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_sharers`` of one bucket after the other; the rows come sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[len(bucket) > 0], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=False):
+            if bucket[a] != now:
+                yield from _sharers(iter(held))
+                now, held = bucket[a], []
+            held.append(batch.slice(a, b - a))
+    yield from _sharers(iter(held))
+
+
 def _sharing(sig: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
@@ -280,10 +310,10 @@ def _spots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (first % np.uint64(MAP_PARTS)).astype(np.int64), (places % np.uint64(MAP_BITS // MAP_PARTS)).astype(np.int64)
 
 
-def _marked(group: pd.DataFrame) -> pd.DataFrame:
+def _marked(group: pa.Table) -> pa.Table:
     bits = np.zeros(MAP_BITS // MAP_PARTS, bool)
     bits[_spots(group["doc_id"].to_numpy())[1].ravel()] = True
-    return pd.DataFrame({"part": [group["part"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+    return pa.table({"part": group["part"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +386,7 @@ def _sets(width: int, shared):
             for p, bits in marks.items():
                 own = np.flatnonzero(part == p)
                 hit[own] = ((bits[places[:, own] >> 3] >> (7 - (places[:, own] & 7)).astype(np.uint8)) & 1 == 1).all(0)
-            for piece in slices(batch.filter(pa.array(hit))):
+            for piece in slices(batch.filter(pa.array(hit)), size=PIECE):
                 bounds, values = shingle_sets(piece.column("text"), width)
                 sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([_identity(v) for v in sets], pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())], ["id", "elements"])
@@ -395,16 +425,18 @@ def forest(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, pe
 
 
 def _tile(percent: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        across = block["i"].iloc[0] != block["j"].iloc[0]
-        links = forest(block["id"].tolist(), [np.frombuffer(x, np.uint64) for x in block["elements"]], block["piece"].to_numpy() - block["i"].iloc[0], across, percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def run(block: pa.Table) -> pa.Table:
+        one, two = block["i"][0].as_py(), block["j"][0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["elements"]]
+        links = forest(block["id"].to_pylist(), sets, block["piece"].to_numpy() - one, one != two, percent)
+        return pa.Table.from_batches([_edges(links)])
     return run
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, reducer_entries: int = REDUCER_ENTRIES) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select("doc_id", "text")
     members = cut(texts.mapInArrow(_members(width), "doc_id long, n long, id long, sketch binary"), "join-members")
     nodes = members.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
@@ -416,8 +448,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, reducer_en
     shared = spark.sparkContext.broadcast(np.sort(np.concatenate([NONE, *(np.frombuffer(r["shingles"], np.uint64) for r in packed)])))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * 6 // 10 // reducer_entries + 1)
     candidates = cut(
-        texts.mapInArrow(_blobs(width, percent, parts, shared), "bucket long, sigs binary, ids binary")
-        .repartition(parts, "bucket").mapInArrow(_sharers, "a long, b long, kind long")
+        texts.mapInArrow(_blobs(width, percent, parts * BUCKETS, shared), "bucket long, sigs binary, ids binary")
+        .repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_each_bucket, "a long, b long, kind long")
         .distinct(), "join-candidates"
     )
     shared.destroy()
@@ -436,11 +468,11 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, reducer_en
     sized = cut(blocks.join(nodes, "id"), "join-sized")
     pieces = sized.groupBy("root").agg(F.expr(f"CAST(sum(8 * n) DIV {TILE_BYTES} + 1 AS INT)").alias("pieces"))
     active = cut(sized.join(pieces, "root").select("id", "root", "pieces", F.col("rep").alias("doc_id")), "join-active")
-    marks = active.select("doc_id").mapInArrow(_numbered, "part long, doc_id long").groupBy("part").applyInPandas(_marked, "part long, bits binary").collect()
+    marks = active.select("doc_id").mapInArrow(_numbered, "part long, doc_id long").groupBy("part").applyInArrow(_marked, "part long, bits binary").collect()
     wanted = spark.sparkContext.broadcast({r["part"]: np.frombuffer(r["bits"], np.uint8) for r in marks})
     again = texts.filter("doc_id IS NOT NULL").mapInArrow(_sets(width, wanted), "id long, elements binary")
     sets = again.join(active.select("id", "root", "pieces"), "id")
-    links = _tiled(sets).groupBy("root", "i", "j").applyInPandas(_tile(percent), "a long, b long")
+    links = _tiled(sets).groupBy("root", "i", "j").applyInArrow(_tile(percent), "a long, b long")
     linked = components(links, "join-links").withColumnsRenamed({"node": "id"})
     wanted.destroy()
     named = cut(linked.join(nodes.select("id", "rep"), "id"), "join-named")
