@@ -101,7 +101,7 @@ def sketches(bounds: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
         spot = (mix(values + np.uint64(0x2545F491)) & np.uint64(bits - 1)).astype(np.int64)
     spot += np.repeat(np.arange(n), np.diff(bounds)) * bits
     odd = (np.bincount(spot, minlength=n * bits) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.uint64).reshape(n, -1)
+    return np.packbits(odd).view(np.uint64).reshape(n, bits // 64)
 
 
 def _own_sketches(bounds: np.ndarray, values: np.ndarray) -> list[bytes]:

@@ -106,6 +106,28 @@ def test_join_of_odd_and_empty_tables(odd, none):
     assert kept == sorted([None, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11], key=str)
 
 
+def test_join_of_long_texts_alone(spark):
+    rng = random.Random(8)
+    own = [f"w{rng.randint(0, 4000)}" for _ in range(1500)]
+    other = [f"v{rng.randint(0, 4000)}" for _ in range(2600)]
+    texts = [own, edited(rng, own, 0.004), own[:1200], other, edited(rng, other, 0.3), other + ["end"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert min(len(sets_of(t, 4)) for _, t in rows) > ngram_join.LEAST_BITS
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.join(docs).collect()) == by_brute_force(rows, 4, 85)
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == sorted({c for _, _, c in by_brute_force(rows, 5, 80)})
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [0, 0], [5], [1024], [1025], [3000, 1025], [3, 2000, 0, 1024], [1100] * 2001 + [9], [9] * 2000 + [1100]])
+def test_sketches_of_any_mix_of_sizes(sizes):
+    values = np.arange(sum(sizes), dtype=np.uint64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    got = ngram_join._own_sketches(bounds, values)
+    assert [len(x) * 8 for x in got] == [ngram_join.sketch_bits(n) for n in sizes]
+    for x, a, b in zip(got, bounds[:-1], bounds[1:], strict=True):
+        assert x == ngram_join.sketches(np.array([0, b - a]), values[a:b], ngram_join.sketch_bits(b - a))[0].tobytes()
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = np.random.default_rng(5)
     for size in (7, 8, 13, 14, 20, 40, 100, 333, 1000):
