@@ -83,15 +83,38 @@ def record(events: DataFrame) -> DataFrame:
     return rank_placed(once(events).drop("copies"), ["merchant_id"], "seq")
 
 
-def roots(rows: DataFrame, keys: list[str], digest: str = "digest", digits: int = SPLIT_DIGITS, parts: int | None = None) -> DataFrame:
+def fresh(batch: DataFrame, held: DataFrame | None, parts: int) -> DataFrame:
+    """Facts of ``batch`` that ``held`` lacks, each once, with its digest and the month recorded, placed by month and the log's order.
+
+    What the log holds goes through the same shuffle by its order and digest alone, so that copies of it are neighbours too.
+    """
+    rows = batch.select(*EVENTS.names, F.lit(None).cast("binary").alias("_held"))
+    if held is not None:
+        # a fact of no merchant is never taken for one that is there
+        there = held.select(*ORDER[:-1], F.unhex("digest").alias("_held")).filter("merchant_id IS NOT NULL AND _held IS NOT NULL")
+        rows = rows.unionByName(there, allowMissingColumns=True)
+    month = F.trunc("recorded_at", "MM").alias("recorded_in")
+    placed = rows.select("*", month).repartitionByRange(parts, "recorded_in", *ORDER[:-1])
+    facts = with_digest(placed).withColumn("digest", F.coalesce(F.lower(F.hex("_held")), "digest"))
+    rest = [c for c in EVENTS.names if c not in ORDER]
+    met = facts.groupBy("recorded_in", *ORDER).agg(*[F.first(c).alias(c) for c in rest], F.count("_held").alias("_there"))
+    new = met.filter("_there = 0").select("recorded_in", *EVENTS.names, "digest")
+    return new.sortWithinPartitions("recorded_in", *ORDER)
+
+
+def roots(
+    rows: DataFrame, keys: list[str], digest: str = "digest", digits: int = SPLIT_DIGITS, parts: int | None = None, hexed: bool = False,
+) -> DataFrame:
     """One hash per key over all its digests, whatever order they come in.
 
     With ``parts``, the digests are dealt by key and first digit, so that the digests of a key meet in at most 16 tasks and
-    all steps but the last need no further shuffle.
+    all steps but the last need no further shuffle. Digests of hex digits, ``hexed``, go there in half their bytes.
     """
-    rows = rows.select(*keys, F.left(digest, F.lit(1)).alias("_shard"), F.left(digest, F.lit(digits)).alias("_head"), F.col(digest).alias("_digest"))
+    spelled = F.lower(F.hex("_digest")) if hexed else F.col("_digest")
+    rows = rows.select(*keys, F.left(digest, F.lit(1)).alias("_shard"), (F.unhex(digest) if hexed else F.col(digest)).alias("_digest"))
     if parts:
         rows = rows.repartition(parts, *keys, "_shard")
+    rows = rows.withColumn("_digest", spelled).withColumn("_head", F.left("_digest", F.lit(digits)))
     # most leaves hold few digests: a sort makes them cheaper than an aggregate with a buffer for each
     leaf = Window.partitionBy(*keys, "_shard", "_head").orderBy("_digest")
     whole = leaf.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -113,7 +136,7 @@ def log_roots(log: DataFrame, parts: int | None = None) -> DataFrame:
     """One root per merchant, delivery and day recorded, over its facts and the places they have in the sequence."""
     leaf = F.sha2(F.concat_ws(":", "seq", "digest"), 256)
     parts = parts or parts_for(log.count(), log.sparkSession)
-    return roots(_delivered(log).withColumn("_fact", leaf), ["merchant_id", "delivery", "recorded_at"], "_fact", parts=parts)
+    return roots(_delivered(log).withColumn("_fact", leaf), ["merchant_id", "delivery", "recorded_at"], "_fact", parts=parts, hexed=True)
 
 
 HEAD = "merchant_id string, batch bigint, facts bigint, log_head string"

@@ -59,22 +59,27 @@ def rank_in_group(
     return rank_placed(df.repartitionByRange(parts, *by).sortWithinPartitions(*by), group, into)
 
 
-def rank_placed(df: DataFrame, group: list[str], into: str) -> DataFrame:
+def rank_placed(df: DataFrame, group: list[str], into: str, runs: list[str] | None = None, since: DataFrame | None = None) -> DataFrame:
     """``row_number`` per group of rows that are range partitioned and sorted by (group, order) already.
 
     The rows stay where they are. What is shared is one row per partition and group: where the group begins there, and how
     many rows of it the earlier partitions hold. Written out, so that places stay what they are when a task is run again.
+    With ``runs``, the columns a group's order begins with, the rows are placed by (runs, group, order) instead.
+    Groups that ``since`` has a number for, in ``_last``, go on from there.
     """
+    runs = runs or []
     placed = cut(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
-    pieces = placed.groupBy(*group, F.shiftright("_at", PLACE_BITS).alias("_part")).agg(
+    pieces = placed.groupBy(*group, *runs, F.shiftright("_at", PLACE_BITS).alias("_part")).agg(
         F.min("_at").alias("_first"), F.count("*").alias("_size"))
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy(*runs, "_part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_size").over(earlier), F.lit(0).cast("bigint"))
+    pieces = pieces.select(*group, *runs, "_part", (before - F.col("_first") + 1).alias("_shift"))
+    if since is not None:
+        pieces = pieces.join(since, group, "left").withColumn("_shift", F.col("_shift") + F.coalesce("_last", F.lit(0)))
     # written, so that its size is known and few pieces go to the rows, not the rows to them
-    pieces = cut(pieces.select(
-        *[F.col(g).alias(f"_of_{g}") for g in group], F.col("_part").alias("_of_part"), (before - F.col("_first") + 1).alias("_shift")), "pieces")
+    pieces = cut(pieces.select(*[F.col(g).alias(f"_of_{g}") for g in [*group, *runs]], F.col("_part").alias("_of_part"), "_shift"), "pieces")
     same = F.shiftright("_at", PLACE_BITS) == F.col("_of_part")
-    for g in group:
+    for g in [*group, *runs]:
         same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     return placed.join(pieces, same).withColumn(into, F.col("_at") + F.col("_shift")).select(*[c for c in df.columns if c != into], into)
 

@@ -1,4 +1,4 @@
-"""The log on disk: facts and chain, one JSON object per line, a folder per delivery.
+"""The log on disk: facts (gzip) and chain, one JSON object per line, a folder per delivery.
 
 A delivery is recorded in two writes. Its facts come first, numbered on from the stored heads; its links of the chain come
 second and make it count. Facts of a delivery without links are what a run left that did not end: nobody reads them, and the
@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from khata.lineage import cut
+from khata.lineage import cut, kept, passage
 from khata.operators import log
-from khata.operators.ranking import parts_for
+from khata.operators.ranking import parts_for, rank_placed
 from khata.schemas import EVENTS
 
 FACTS = T.StructType([*EVENTS.fields, T.StructField("digest", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("delivery", T.LongType())])
 # Folders below a delivery: the month recorded, so that a later delivery reads only its own months.
 MONTH = T.StructField("month", T.StringType())
+# Merchants and months of a delivery beyond which their pieces are no longer few.
+CELLS = 100_000
 
 
 def _month() -> Column:
@@ -29,12 +31,12 @@ class BrokenLog(Exception):
     """What was read back is not what was chained."""
 
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The JSON table at ``path``; empty where nothing was written yet."""
+def _stored(spark: SparkSession, path: str, schema, below: str | None = None) -> DataFrame:
+    """The JSON table at ``path``; empty where nothing was written yet. ``below``: the folder whose names of folders are columns."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("basePath", below or path).json(path)
 
 
 def links(spark: SparkSession, path: str) -> DataFrame:
@@ -54,26 +56,33 @@ def append(batch: DataFrame, path: str) -> DataFrame:
     the delivery are read, and of the chain its links. One delivery is recorded at a time.
     """
     spark = batch.sparkSession
-    came = cut(log.once(batch), "delivery")
-    parts = parts_for(came.count(), spark)
-    chained = links(spark, path)
-    number = (chained.agg(F.max("delivery")).first()[0] or 0) + 1
-    heads = cut(log.heads(chained), "heads")
-    # a copy of a fact has the same recorded_at, so only these months can hold it
-    held = facts(spark, path).join(came.select(_month().alias("month")).distinct(), "month", "left_semi")
-    new = came.drop("copies").join(held.select("merchant_id", "digest"), ["merchant_id", "digest"], "left_anti")
-    new = log.assign_sequence(new, heads, parts).withColumn("delivery", F.lit(number).cast("bigint"))
-    placed = new.select(*FACTS.names, _month().alias("month")).repartitionByRange("month", "merchant_id", "seq")
-    target = f"{path}/facts/delivery={number}"
-    placed.drop("delivery").write.mode("overwrite").partitionBy("month").option("partitionOverwriteMode", "static").option(
-        "ignoreNullFields", False).json(target)
-    # read again, so the chain is over what was written
-    written = _stored(spark, target, T.StructType([*(f for f in FACTS.fields if f.name != "delivery"), MONTH]))
-    log.chain(written.withColumn("delivery", F.lit(number).cast("bigint")), heads, parts).drop("delivery").write.mode("overwrite").json(f"{path}/chain/delivery={number}")
-    # the links say how many facts were recorded
-    kept = links(spark, path).filter(F.col("delivery") == number).groupBy("merchant_id").agg(F.sum("facts").alias("recorded"))
-    told = came.groupBy("merchant_id").agg(F.sum("copies").alias("delivered")).join(kept, "merchant_id", "left")
-    return cut(told.withColumn("recorded", F.coalesce("recorded", F.lit(0))).withColumn("skipped", F.col("delivered") - F.col("recorded")), "told")
+    with passage(spark, "delivery"):
+        # one row per merchant and month
+        came = cut(batch.groupBy("merchant_id", _month().alias("month")).agg(F.count("*").alias("delivered")), "came")
+        rows, cells = came.agg(F.sum("delivered"), F.count("*")).first()
+        parts = parts_for(rows or 0, spark)
+        chained = links(spark, path)
+        number = (chained.agg(F.max("delivery")).first()[0] or 0) + 1
+        heads = cut(log.heads(chained), "heads")
+        # a copy of a fact has the same recorded_at, so only these months can hold it
+        held = facts(spark, path).join(came.select("month").distinct(), "month", "left_semi") if number > 1 else None
+        last = heads.select("merchant_id", F.col("facts").alias("_last"))
+        new = rank_placed(log.fresh(batch, held, parts), ["merchant_id"], "seq", ["recorded_in"], last)
+        placed = new.select(*[c for c in FACTS.names if c != "delivery"], _month().alias("month"))
+        if cells > CELLS:
+            # too many to be brought to the rows, so these have left the place they had
+            placed = placed.repartitionByRange(parts, "month", "merchant_id", "seq")
+        target = f"{path}/facts/delivery={number}"
+        placed.write.mode("overwrite").partitionBy("month").option("partitionOverwriteMode", "static").option(
+            "ignoreNullFields", False).option("compression", "gzip").json(target)
+        # read again, so the chain is over what was written; its number comes from the folder, as a constant would leave no trace in a plan
+        # and rows dealt by it would be dealt once more
+        written = _stored(spark, target, T.StructType([*FACTS.fields, MONTH]), f"{path}/facts")
+        log.chain(written, heads, parts).drop("delivery").write.mode("overwrite").json(f"{path}/chain/delivery={number}")
+        # the links say how many facts were recorded
+        recorded = links(spark, path).filter(F.col("delivery") == number).groupBy("merchant_id").agg(F.sum("facts").alias("recorded"))
+        told = came.groupBy("merchant_id").agg(F.sum("delivered").alias("delivered")).join(recorded, "merchant_id", "left")
+        return kept(told.withColumn("recorded", F.coalesce("recorded", F.lit(0))).withColumn("skipped", F.col("delivered") - F.col("recorded")), "told")
 
 
 def faults(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
@@ -92,7 +101,8 @@ def faults(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
 def read_log(spark: SparkSession, path: str, verify: bool = True, since: int = 0) -> DataFrame:
     """The facts, after the chain and they themselves were checked from delivery ``since`` on."""
     if verify:
-        shown = [f"{r['merchant_id']}: {r['reason']}" for r in faults(spark, path, since).take(3)]
+        with passage(spark, "verify"):
+            shown = [f"{r['merchant_id']}: {r['reason']}" for r in faults(spark, path, since).take(3)]
         if shown:
             raise BrokenLog("; ".join(shown))
     return facts(spark, path).select(*FACTS.names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import pathlib
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,53 @@ def test_apportionment_takes_more_parts_for_more_lines(spark, folder, monkeypatc
 
     monkeypatch.setattr(ranking, "PART_ROWS", 500)
     assert "hashpartitioning(l_orderkey" in (plan := _plan(QUERIES["f4_apportion"](spark, folder))) and ", 4), " not in plan
+
+
+def test_a_delivery_is_shuffled_once_and_leaves_only_its_compressed_lines(spark, tmp_path, monkeypatch):
+    from khata import lineage
+    from khata.sources import log_store
+
+    made, plans = [], []
+    real = lineage._write
+
+    def watched(frame, label, passages):
+        written = real(frame, label, passages)
+        made.append((label, written.inputFiles()))
+        if label == "placed":
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return written
+
+    monkeypatch.setattr(lineage, "_write", watched)
+    path = tmp_path / "log"
+    log_store.append(_events(spark, 400, copies=2), str(path))
+    told = log_store.append(_events(spark, 600, copies=1), str(path))
+    assert {tuple(r)[1:] for r in told.collect()} == {(300, 100, 200)}
+    # a delivery meets the log in the shuffle that numbers it, where each row of the log is a digest and its place
+    assert len(plans) == 2 and all(p.count("Exchange rangepartitioning") == 1 for p in plans)
+    assert not any("Exchange" in line and "hashpartitioning" in line and "amount_paise" in line for p in plans for line in p.splitlines())
+    there = {label: [f for f in files if pathlib.Path(f.removeprefix("file://")).exists()] for label, files in made}
+    assert there.pop("told") and not any(there.values())
+    assert all(f.name.endswith(".json.gz") for f in (path / "facts").rglob("part-*")) and spark.conf.get(lineage.SPENT) == "false"
+    roots = log.log_roots(log_store.facts(spark, str(path)).filter("delivery = 1"), 3)
+    assert roots.count() and _plan(roots).split("== Physical Plan ==")[-1].count("REPARTITION_BY_NUM") > 0
+
+
+def test_facts_of_no_merchant_or_day_are_recorded_whenever_they_come(spark, tmp_path):
+    from khata.sources import log_store
+
+    events = _events(spark, 6, copies=1).withColumns({
+        "merchant_id": F.when(F.col("event_id") != "e1", F.col("merchant_id")), "recorded_at": F.when(F.col("event_id") != "e2", F.col("recorded_at"))})
+    for number, recorded in ((1, 6), (2, 2)):
+        log_store.append(events, str(tmp_path / "log"))
+        links = log_store.links(spark, str(tmp_path / "log")).filter(F.col("delivery") == number)
+        assert links.agg(F.sum("facts")).first()[0] == recorded
+    facts = log_store.facts(spark, str(tmp_path / "log"))
+    assert facts.groupBy("event_id").count().filter("count > 1").count() == 2
+
+
+def test_a_group_goes_on_through_its_runs(spark):
+    rows = spark.range(60).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 20).alias("run"), F.col("id").alias("i"))
+    placed = rows.repartitionByRange(5, "run", "g", "i").sortWithinPartitions("run", "g", "i")
+    since = spark.createDataFrame([(1, 100)], "g bigint, _last bigint")
+    got = {r["i"]: r["n"] for r in ranking.rank_placed(placed, ["g"], "n", ["run"], since).collect()}
+    assert got == {i: i // 2 + 1 + (100 if i % 2 else 0) for i in range(60)}
