@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from khata.functions import dates, money, text
-from khata.lineage import checkpoint_folder, cut
+from khata.lineage import checkpoint_folder, cut, kept, passage
 from khata.operators import apportion, audits, fees, linkage, log, movements, payouts, select
 from khata.operators.calendar import add_bank_days
 from khata.operators.movements import WINDOW
@@ -108,8 +108,17 @@ query("p13_gateway_credits")(lambda s: select.select(s.events, "credits")
 query("j1_links")(lambda s: s.books.links.select("merchant_id", "bank_txn_id", "settlement_id", "rule", "candidates"))
 query("j1_tiers")(lambda s: s.books.links.groupBy("merchant_id", "rule").agg(
     F.count("*").alias("credits"), F.count("settlement_id").alias("linked")))
-query("j1_busy_days")(lambda s: linkage.link_credits(*busy_days(order_facts(s.spark, s.folder))).filter("settlement_id IS NOT NULL").select(
-    "merchant_id", "bank_txn_id", "settlement_id"))
+
+
+@query("j1_busy_days")
+def _(s):
+    with passage(s.spark, "busy-days"):
+        # credits and payouts are made of the same few columns
+        facts = cut(order_facts(s.spark, s.folder).select("k", "merchant_id", "gross"), "order-facts")
+        links = linkage.link_credits(*busy_days(facts)).filter("settlement_id IS NOT NULL")
+        return kept(links.select("merchant_id", "bank_txn_id", "settlement_id"), "linked")
+
+
 query("j1a_candidates")(lambda s: linkage.candidate_pairs(s.books.credits, s.books.payouts, ["merchant_id"])
     .filter("in_reach > 0"))
 query("j1e_open_credits")(lambda s: s.books.links.filter("rule = 'abstain_ambiguous'").select(

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.functions.text import reference_key
-from khata.lineage import cut
-from khata.operators.ranking import rank_in_group, running_sum
+from khata.lineage import cut, kept, passage
+from khata.operators.ranking import parts_for, rank_in_group, running_sum
 
 # Confidence of each rule, and what is needed to accept a link.
 CONFIDENCE = {
@@ -127,6 +127,42 @@ def _head() -> Column:
     return F.left("utr", F.lit(HEAD))
 
 
+def _sign(kind: str, keys: list[str], text: Column, amount: Column | None = None) -> Column:
+    """Five bytes that stand for a text of a key, and an amount: equal for equal ones, and hardly ever for others."""
+    parts = [F.lit(kind), *[F.col(k).cast("string") for k in keys], text]
+    return F.shiftrightunsigned(F.xxhash64(*parts, *([] if amount is None else [amount.cast("bigint")])), 24)
+
+
+def _meeting(seen: DataFrame, nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pieces, heads): credits with each piece of their text that is a payout's reference, or the head of one of their amount.
+
+    A narration has far more pieces than references in it. So what is dealt and compared first is a piece's sign and its credit's
+    number; the credit itself follows only to the pieces whose signs were found among the payouts. A sign may be found by chance,
+    so what the pieces are joined with is still compared in full.
+    """
+    # lengths of references, few for each key
+    sizes = cut(nodes.groupBy(*keys).agg(F.collect_set(F.length("utr")).alias("sizes")), "sizes")
+    seen = cut(seen.join(sizes, keys).withColumn("_credit", F.monotonically_increasing_id()), "narrations")
+    seen = seen.withColumn("folded", reference_key(F.col("narration")))
+    amount = F.col("amount_paise")
+    named = F.flatten(F.transform("sizes", lambda n: F.array_union(_pieces(F.col("narration"), n), _pieces(F.col("folded"), n))))
+    starts = F.array_distinct(F.flatten(F.transform("sizes", lambda n: _pieces(F.col("folded"), F.least(n, F.lit(HEAD))))))
+    # about three pieces a character, and a sign is small
+    letters = seen.agg(F.sum(F.length("narration"))).first()[0] or 0
+    parts = parts_for(letters // 4, seen.sparkSession)
+    asked = seen.select("_credit", F.explode(F.concat(
+        F.transform(named, lambda p: _sign("name", keys, p)), F.transform(starts, lambda p: _sign("head", keys, p, amount)))).alias("_sign"))
+    there = nodes.select(F.explode(F.array(
+        _sign("name", keys, F.col("utr")), _sign("head", keys, F.col("head"), F.col("paid_paise")))).alias("_sign"))
+    found = asked.repartition(parts, "_sign").join(there.repartition(parts, "_sign"), "_sign", "left_semi")
+    met = cut(seen.drop("sizes").join(found, "_credit").join(sizes, keys).drop("folded"), "met").withColumn(
+        "folded", reference_key(F.col("narration")))
+    pieces = met.withColumn("utr", F.explode(F.filter(named, lambda p: _sign("name", keys, p) == F.col("_sign"))))
+    heads = met.withColumn("head", F.explode(F.filter(starts, lambda p: _sign("head", keys, p, amount) == F.col("_sign"))))
+    away = ("_credit", "_sign", "sizes")
+    return pieces.drop(*away), heads.withColumn("paid_paise", amount).drop(*away)
+
+
 def reference_evidence(
     credits: DataFrame, paid: DataFrame, keys: list[str],
     lookback: int = LOOKBACK_DAYS, forward: int = FORWARD_DAYS, crowded: int = CROWDED,
@@ -141,18 +177,27 @@ def reference_evidence(
     judged = _evidence(F.col("narration"), F.col("folded"), F.col("utr"), same)
     told = F.col("exact") | F.col("norm") | F.col("stub")
 
-    nodes = reference_nodes(paid, keys).withColumn("head", _head())
+    nodes = cut(reference_nodes(paid, keys).withColumn("head", _head()), "nodes")
     busy = nodes.groupBy(*keys, "day").agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).drop("_n")
     # the few busy days are written down, and ordinary books have none of them
     busy = cut(busy, "busy-days")
-    reach = seen.withColumn("day", _near(F.col("occurred_at"), lookback, forward))
+
+    def met_by_day(some: DataFrame) -> DataFrame:
+        # payouts go to the days of the credits that can see them: they are fewer bytes than narrations
+        near = some.withColumn("occurred_at", _near(F.col("day"), forward, lookback))
+        return seen.join(near, [*keys, "occurred_at"]).select("*", *judged).filter(told).select(*columns)
+
     if busy.isEmpty():
-        return Evidence(reach.join(nodes, [*keys, "day"]).select("*", *judged).filter(told).select(*columns))
+        return Evidence(met_by_day(nodes))
 
     sparse = nodes.join(busy, [*keys, "day"], "left_anti")
     dense = cut(nodes.join(busy, [*keys, "day"], "left_semi"), "busy-nodes")
 
     def crowd(rows: DataFrame, by: list[str]) -> DataFrame:
+        # nearly all cells are small, which the hashes of their columns tell; only the others are counted by the columns themselves
+        sign = F.xxhash64(*keys, *by)
+        many = rows.groupBy(sign.alias("_sign")).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).select("_sign")
+        rows = rows.withColumn("_sign", sign).join(cut(many, "crowds"), "_sign", "left_semi")
         return rows.groupBy(*keys, *by).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowded).drop("_n")
 
     by_amount, by_reference = ["head", "paid_paise", "day"], ["utr", "day"]
@@ -167,19 +212,14 @@ def reference_evidence(
         F.date_sub(F.col("occurred_at"), lookback), F.date_add(F.col("occurred_at"), forward)
     )
     no, yes = F.lit(False), F.lit(True)
-    sizes = dense.select(*keys, F.length("utr").alias("size")).distinct()
-    pieces = seen.join(sizes, keys).withColumn("utr", F.explode(F.array_union(
-        _pieces(F.col("narration"), F.col("size")), _pieces(F.col("folded"), F.col("size")))))
-    heads = (
-        seen.join(sizes.select(*keys, F.least("size", F.lit(HEAD)).alias("size")).distinct(), keys)
-        .withColumn("head", F.explode(F.array_distinct(_pieces(F.col("folded"), F.col("size")))))
-        .withColumn("paid_paise", F.col("amount_paise"))
-    )
+    pieces, heads = _meeting(seen.drop("folded"), dense, keys)
     exact, norm = F.contains("narration", F.col("utr")).alias("exact"), F.contains("folded", F.col("utr")).alias("norm")
 
-    by_day = reach.join(sparse, [*keys, "day"]).select("*", *judged).filter(told).select(*columns)
+    by_day = met_by_day(sparse)
     named = pieces.join(single, [*keys, "utr"]).filter(in_reach).select("*", *judged).select(*columns)
-    cut_off = heads.join(single, [*keys, "head", "paid_paise"]).filter(in_reach).select("*", *judged).select(*columns)
+    # a reference that is there in full was met as a piece
+    cut_off = heads.join(single, [*keys, "head", "paid_paise"]).filter(in_reach).select("*", *judged).filter(
+        ~F.col("exact") & ~F.col("norm")).select(*columns)
     # a cell judges what its payouts share, so single edges into it carry only the rest
     named_there = pieces.join(same_amount, [*keys, "utr"]).filter(in_reach).select("*", exact, norm, no.alias("stub")).select(*columns)
     paid_there = heads.join(same_reference, [*keys, "head", "paid_paise"]).filter(in_reach).select(
@@ -481,16 +521,24 @@ def link_credits(
     threshold: float = THRESHOLD, lookback: int = LOOKBACK_DAYS, forward: int = FORWARD_DAYS,
     crowded: int = CROWDED, greedy: bool = False,
 ) -> DataFrame:
-    """One row per credit: the payout it is, by which rule and how sure, or why it stays open."""
+    """One row per credit: the payout it is, by which rule and how sure, or why it stays open. Written once."""
     keys = keys or ["merchant_id"]
+    with passage(credits.sparkSession, "links"):
+        return kept(_linked(credits, paid, keys, threshold, lookback, forward, crowded, greedy), "linked")
+
+
+def _linked(
+    credits: DataFrame, paid: DataFrame, keys: list[str], threshold: float, lookback: int, forward: int, crowded: int, greedy: bool,
+) -> DataFrame:
     credits = cut(credits, "credits")
     paid = cut(paid, "paid")
-    made = claim_by_reference(
-        reference_evidence(credits, paid, keys, lookback, forward, crowded), keys, threshold)
+    # read several times below
+    made = cut(claim_by_reference(
+        reference_evidence(credits, paid, keys, lookback, forward, crowded), keys, threshold), "made")
     by_reference = made.filter(F.col("rule").isNotNull())
     accepted = _accepted(made, threshold)
 
-    open_credits = credits.join(by_reference.select(*keys, "bank_txn_id"), [*keys, "bank_txn_id"], "left_anti")
+    open_credits = cut(credits.join(by_reference.select(*keys, "bank_txn_id"), [*keys, "bank_txn_id"], "left_anti"), "open")
     free = paid.join(accepted.select(*keys, "settlement_id"), [*keys, "settlement_id"], "left_anti")
 
     # Was there anything left in reach when the credit's turn came? Per payout day keep

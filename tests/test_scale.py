@@ -154,3 +154,25 @@ def test_a_group_goes_on_through_its_runs(spark):
     since = spark.createDataFrame([(1, 100)], "g bigint, _last bigint")
     got = {r["i"]: r["n"] for r in ranking.rank_placed(placed, ["g"], "n", ["run"], since).collect()}
     assert got == {i: i // 2 + 1 + (100 if i % 2 else 0) for i in range(60)}
+
+
+def test_only_pieces_that_payouts_have_are_dealt_with_their_narrations(spark):
+    from khata import lineage
+    from khata.operators import linkage
+
+    n, day = 300, datetime.date(2026, 5, 4)
+    paid = spark.createDataFrame(
+        [("m", f"p{i}", f"20260504{i:06d}", 1000 + i, day) for i in range(n)], "merchant_id string, settlement_id string, utr string, amount_paise bigint, occurred_at date")
+    came = spark.createDataFrame(
+        [("m", f"c{i}", 1000 + i, day, f"PAID BY A PAYER OF A LONG NAME, REF 20260504-{i:06d} THANK YOU") for i in range(n)],
+        "merchant_id string, bank_txn_id string, amount_paise bigint, occurred_at date, narration string")
+    nodes = linkage.reference_nodes(paid, ["merchant_id"]).withColumn("head", linkage._head())
+    pieces, heads = linkage._meeting(came, nodes, ["merchant_id"])
+    # a credit has about fifty pieces, of which one is a reference and one the head of a payout of its amount
+    assert pieces.count() == n and heads.count() == n
+    folder = pathlib.Path(lineage.checkpoint_folder(spark))
+    before = {p.name for p in folder.iterdir()}
+    links = linkage.link_credits(came, paid)
+    assert links.filter("rule = 'normalised_utr' AND substr(settlement_id, 2) = substr(bank_txn_id, 2)").count() == n
+    left = [p for p in folder.iterdir() if p.name not in before]
+    assert [p.name.split("-")[0] for p in left if any(f.is_file() for f in p.rglob("*"))] == ["linked"]
